@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from foliant.llm import decontam, line_dedup
+from foliant.llm import decontam, line_dedup, minhash
 
 
 def queries() -> dict:
-    return {"op2_decontamination": decontam.query, "op3_line_dedup": line_dedup.query}
+    return {"op2_decontamination": decontam.query, "op3_line_dedup": line_dedup.query, "op7_minhash": minhash.query}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontam.ORACLE, "op3_line_dedup": line_dedup.ORACLE}
+    return {"op2_decontamination": decontam.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op7_minhash": minhash.ORACLE}
