@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from foliant.llm import decontam, line_dedup, minhash
+from foliant.llm import decontam, line_dedup, minhash, packing, topk, warc
+
+OPERATORS = {
+    "op2_decontamination": decontam,
+    "op3_line_dedup": line_dedup,
+    "op5_packing": packing,
+    "op6_warc": warc,
+    "op7_minhash": minhash,
+    "op10_top_k": topk,
+}
 
 
 def queries() -> dict:
-    return {"op2_decontamination": decontam.query, "op3_line_dedup": line_dedup.query, "op7_minhash": minhash.query}
+    return {name: m.query for name, m in OPERATORS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontam.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op7_minhash": minhash.ORACLE}
+    return {name: m.ORACLE for name, m in OPERATORS.items() if hasattr(m, "ORACLE")}
