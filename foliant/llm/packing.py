@@ -2,8 +2,9 @@
 
 Tokens come from a public tokenizer file, whose path is a parameter, followed by the end id. Documents of over
 `capacity` ids are cut in pieces of `capacity`; only the last piece may be shorter. Pieces are dealt to shards by a hash
-of their document, so that no shard holds over about SHARD pieces whatever the input; each shard is packed apart, at
-the cost of at most a part-filled sequence or two a shard. Equal lengths, copies and hot sources spread like any others.
+of their place in the written table, so that no shard holds over about SHARD pieces whatever the input; each shard is
+packed apart, at the cost of a part-filled sequence or two a shard. Equal lengths, copies, repeated rows and hot sources
+spread like any others.
 
 Method, in a shard. Pieces are taken from the longest down, each bin being filled greedily with the longest piece that
 still fits. When nothing fits the rest, the bin's smallest piece is taken out if two pieces still unpacked fill the
@@ -28,7 +29,7 @@ from foliant.llm.common import written
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces of a shard in the mean; a shard is packed in the memory of one task.
-SHARD = 100_000
+SHARD = 25_000
 #: Chunks of text between spaces whose ids are kept in a worker's memory.
 CACHE = 400_000
 
@@ -172,7 +173,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of docs."""
     cut = written(pieces(docs, id_col, text_col, path, capacity, end_id), "pieces")
     shards = max(1, -(-cut.count() // SHARD))
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("_id", "crc", "piece"), F.lit(shards)))
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
     kind = cut.schema["_id"].dataType.simpleString()
     packed = dealt.groupBy("shard").applyInArrow(_pack(capacity), f"_id {kind}, piece int, start long, length long, crc long, sequence long, offset long")
     return packed.select(F.col("_id").alias(id_col), "piece", "start", "length", F.col("crc").alias("ids_crc32"), F.col("sequence").alias("sequence_id"), "offset")

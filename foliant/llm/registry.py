@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from foliant.llm import decontam, line_dedup, minhash, packing, topk, warc
+from foliant.llm import decontam, html_text, line_dedup, minhash, packing, topk, warc
 
 OPERATORS = {
+    "op1_html_text": html_text,
     "op2_decontamination": decontam,
     "op3_line_dedup": line_dedup,
     "op5_packing": packing,
