@@ -11,9 +11,10 @@ lost. Pairs beyond it are still found if any chunk agrees; FAR only drops pairs
 threshold. Each link is confirmed on the full sets (as 64-bit hashes of shingles).
 
 Groups. Equal sets are folded to one representative first, by a pre-aggregated minimum. In each key, all members are
-compared with its smallest one (a star, not all pairs), the confirmed links are closed into components, and only then
-are members outside the component of the key's smallest compared with the members of other components, within FAR. No
-link between different texts is lost, and a large group costs as many comparisons as it has members.
+compared with its smallest one (a star, not all pairs) and the confirmed links are closed into components. Members that
+are then outside the component of their key's smallest meet the other members of the key in blocks of bounded size,
+which hold the full sets and yield a spanning forest of exact links. No link between different texts is lost, and what
+any step makes grows with the members of a group, not with its pairs.
 
 Defined results: no words or no text: an empty set, linked with nothing, kept. Rows that share an id are one document
 for linking: their sets are all its own. A null id is kept alone in the result, with a null component and kept true.
@@ -29,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import written
+from foliant.llm.common import shuffle_partitions, written
 
 CHUNKS, CHUNK = 10, 6
 SYMBOLS = CHUNKS * CHUNK
 #: Symbols that may differ in a pair that is compared: at the threshold of 0.8 the mean is 12 of 60, with a deviation of 3.1.
 FAR = 28
-#: Of the lowest bits, 6 of 60 differ in the mean at the threshold, with a deviation of 2.3; half of them do in unrelated pairs.
-FAR_BITS = 18
+#: Shingles that a block of strays or of members holds in the mean.
+BLOCK_ELEMENTS = 2_000_000
 #: Words whose hashes are kept in a worker's memory, and rows of a block of minima.
 CACHE, BLOCK = 1 << 20, 4096
 
@@ -86,20 +87,20 @@ def signature(elements: np.ndarray) -> np.ndarray:
 
 
 def chunk_keys(symbols: np.ndarray) -> np.ndarray:
-    """For each chunk and each symbol left out of it, a 64-bit key of the rest."""
-    chunks = symbols.reshape(CHUNKS, CHUNK).astype(np.uint64)
-    keys = np.empty((CHUNKS, CHUNK), np.uint64)
+    """For each signature (a row), each chunk and each symbol left out of it, a 64-bit key of the rest."""
+    chunks = symbols.reshape(len(symbols), CHUNKS, CHUNK).astype(np.uint64)
+    keys = np.empty(chunks.shape, np.uint64)
     for out in range(CHUNK):
-        h = (np.arange(CHUNKS, dtype=np.uint64) * np.uint64(CHUNK) + np.uint64(out + 1)) * _M1
+        h = np.broadcast_to((np.arange(CHUNKS, dtype=np.uint64) * np.uint64(CHUNK) + np.uint64(out + 1)) * _M1, chunks.shape[:2])
         for i in range(CHUNK):
             if i != out:
-                h = _mixed(h * _M1 + chunks[:, i])
-        keys[:, out] = h
-    return keys.ravel()
+                h = _mixed(h * _M1 + chunks[:, :, i])
+        keys[:, :, out] = h
+    return keys.reshape(len(symbols), SYMBOLS)
 
 
 def _sketches(shingle: int):
-    schema = pa.schema([("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary()), ("bits", pa.int64())])
+    schema = pa.schema([("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -110,11 +111,10 @@ def _sketches(shingle: int):
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), shingle, hashes)
                 if not len(s):
-                    rows.append((0, None, None, None))
+                    rows.append((0, None, None))
                     continue
                 symbols = signature(s)
-                bits = int(np.packbits((symbols & 1).astype(np.uint8), bitorder="little").tobytes().ljust(8, b"\0").hex(), 16)
-                rows.append((len(s), xxhash.xxh128_digest(s.tobytes()), symbols.tobytes(), bits - (bits >> 63 << 64)))
+                rows.append((len(s), xxhash.xxh128_digest(s.tobytes()), symbols.tobytes()))
             columns = zip(*rows, strict=True) if rows else ([],) * len(schema)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, f.type) for x, f in zip(columns, schema, strict=True))], names=["_id", *schema.names])
 
@@ -122,16 +122,15 @@ def _sketches(shingle: int):
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(_id, n, digest, sig, bits) of each row; bits: the lowest bit of each symbol."""
+    """(_id, n, digest, sig) of each row."""
     base = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    return base.mapInArrow(_sketches(shingle), f"_id {base.schema['_id'].dataType.simpleString()}, n long, digest binary, sig binary, bits long")
+    return base.mapInArrow(_sketches(shingle), f"_id {base.schema['_id'].dataType.simpleString()}, n long, digest binary, sig binary")
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sigs = batch.column(1).to_pylist()
-        keys = [chunk_keys(np.frombuffer(s, np.uint16)) for s in sigs]
-        flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
+        flat = chunk_keys(np.frombuffer(b"".join(sigs), np.uint16).reshape(len(sigs), SYMBOLS)).ravel().view(np.int64)
         at = pa.array(np.repeat(np.arange(len(sigs)), SYMBOLS))
         yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(flat)], names=["rep", "key"])
 
@@ -206,20 +205,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = base.where("_id is not null and digest is not null")
     # equal sets fold to their smallest id
     owners = known.groupBy("digest").agg(F.min("_id").alias("rep"))
-    member = written(known.select("_id", "digest", "sig", "bits").join(owners, "digest").select("_id", "rep", "sig", "bits"), "members")
-    reps = written(member.where("_id = rep").select("rep", "sig", "bits").distinct(), "representatives")
+    member = written(known.select("_id", "digest", "sig").join(owners, "digest").select("_id", "rep", "sig"), "members")
+    reps = written(member.where("_id = rep").select("rep", "sig").distinct(), "representatives")
     kind = reps.schema["rep"].dataType.simpleString()
 
-    keys = written(reps.select("rep", "sig").mapInArrow(_keyed, f"rep {kind}, key bigint"), "keys")
+    keys = written(reps.select("rep", "sig").repartition(shuffle_partitions(docs.sparkSession)).mapInArrow(_keyed, f"rep {kind}, key bigint"), "keys")
     heads = keys.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").select("key", "head")
     shared = written(keys.join(heads, "key").where("head <> rep"), "shared")
     texts = docs.select(F.col(f"`{id_col}`").alias("rep"), F.col(f"`{text_col}`").cast("string").alias("_text")).where("rep is not null")
     star = written(_near(shared.select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), reps), "star")
     links = written(_confirmed(star, texts, shingle, percent), "links")
 
-    strays = _strays(shared, links, reps, star)
-    if not strays.isEmpty():
-        links = links.unionByName(_confirmed(strays, texts, shingle, percent))
+    links = links.unionByName(_stray_links(shared, links, texts, shingle, percent))
     ids = member.select("_id", "rep").distinct()
     lowest = ids.groupBy("_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("_id", "a")
     links = links.unionByName(ids.join(lowest, "_id").where("rep > a").select("a", F.col("rep").alias("b")))
@@ -229,22 +226,66 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.col("_id").eqNullSafe(F.col("c")).alias("kept"))
 
 
-def _strays(shared: DataFrame, links: DataFrame, reps: DataFrame, star: DataFrame) -> DataFrame:
-    """(a, b) not compared yet that share a key and lie in different components: members outside the component of
-    their key's smallest, with every other member of the key. One bit of each symbol keeps pairs out of reach back."""
+def _forest(percent: int):
+    """Of a block of strays and a block of members, links that join what the exact comparison of all pairs would join."""
+
+    def run(key: tuple, strays: pa.Table, members: pa.Table) -> pa.Table:
+        reps, comps = members.column("rep").to_pylist(), members.column("comp").to_pylist()
+        sets = [np.asarray(e.values) for e in members.column("elements")]
+        sizes = np.array([len(e) for e in sets], np.int64)
+        values, rows = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(values, kind="stable")
+        values, rows = values[order], rows[order]
+        root: dict = {}
+
+        def find(x):
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        a, b = [], []
+        for s, comp, own in zip(strays.column("stray").to_pylist(), strays.column("comp").to_pylist(), strays.column("elements"), strict=True):
+            own = np.asarray(own.values)
+            low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+            count = high - low
+            at = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            both = np.bincount(rows[at], minlength=len(sets))
+            for k in np.flatnonzero(100 * both >= percent * (len(own) + sizes - both)):
+                x, y = find(comp), find(comps[k])
+                if x != y:
+                    root[x] = y
+                    a.append(min(s, reps[k])), b.append(max(s, reps[k]))
+        kind = members.schema.field("rep").type
+        return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
+
+    return run
+
+
+def _stray_links(shared: DataFrame, links: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(a, b): links between members of a key that its smallest member did not join.
+
+    Strays are members outside the component of their key's smallest. Those of a head's keys meet all other members of
+    these keys, in blocks of bounded size that hold the full sets; what leaves a block is a spanning forest of exact
+    links, never its pairs.
+    """
+    kind = shared.schema["rep"].dataType.simpleString()
     closed = written(components(links), "components")
     named = lambda side: closed.select(F.col("node").alias(side), F.col("comp").alias(f"{side}_comp"))
     comps = shared.join(named("rep"), "rep", "left").join(named("head"), "head", "left")
-    comps = comps.select("key", "rep", F.coalesce("rep_comp", "rep").alias("comp"), (F.coalesce("rep_comp", "rep") != F.coalesce("head_comp", "head")).alias("stray"))
-    comps = written(comps, "comps")
-    out = comps.where("stray").select("key", F.col("rep").alias("s"), F.col("comp").alias("sc"))
-    contested = comps.join(out.select("key").distinct(), "key", "left_semi")
-    bits = reps.select("rep", "bits")
-    left = out.join(bits.select(F.col("rep").alias("s"), F.col("bits").alias("sb")), "s")
-    right = contested.join(bits, "rep")
-    apart = (F.col("sc") != F.col("comp")) & (~F.col("stray") | (F.col("s") < F.col("rep"))) & (F.bit_count(F.col("sb").bitwiseXOR(F.col("bits"))) <= FAR_BITS)
-    pairs = left.join(right, "key").where(apart).select(F.least("s", "rep").alias("a"), F.greatest("s", "rep").alias("b")).distinct()
-    return written(_near(pairs.join(star, ["a", "b"], "left_anti"), reps), "strays")
+    comps = written(comps.select("key", "head", "rep", F.coalesce("rep_comp", "rep").alias("comp"), (F.coalesce("rep_comp", "rep") != F.coalesce("head_comp", "head")).alias("stray")), "comps")
+    mixed = comps.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    rows = written(comps.join(mixed, "key", "left_semi").groupBy("head", "rep").agg(F.min("comp").alias("comp"), F.max("stray").alias("stray")), "contested")
+    sets = written(texts.join(rows.select("rep").distinct(), "rep", "left_semi").mapInArrow(_shingled(shingle), f"rep {kind}, elements array<bigint>"), "contested-sets")
+    sizes = sets.select("rep", F.size("elements").alias("n"))
+    blocks = rows.join(sizes, "rep").groupBy("head").agg(F.ceil(F.sum("n") / F.lit(BLOCK_ELEMENTS)).cast("int").alias("m"), F.ceil(F.sum(F.when(F.col("stray"), F.col("n"))) / F.lit(BLOCK_ELEMENTS)).cast("int").alias("s"))
+    full = rows.join(blocks, "head").join(sets, "rep")
+    part = lambda n: F.pmod(F.xxhash64("rep"), n)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
+    left = full.where("stray").select("head", "rep", "comp", "elements", part(F.col("s")).alias("i"), each(F.col("m")).alias("j"))
+    left = left.toDF("head", "stray", "comp", "elements", "i", "j")
+    right = full.select("head", "rep", "comp", "elements", each(F.col("s")).alias("i"), part(F.col("m")).alias("j"))
+    return left.groupBy("head", "i", "j").cogroup(right.groupBy("head", "i", "j")).applyInArrow(_forest(percent), f"a {kind}, b {kind}")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
