@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.llm import decontam, html_text, line_dedup, minhash, packing, topk, warc
+from foliant.llm import decontam, html_text, line_dedup, minhash, packing, quality, topk, warc
 
 OPERATORS = {
     "op1_html_text": html_text,
@@ -11,6 +11,7 @@ OPERATORS = {
     "op5_packing": packing,
     "op6_warc": warc,
     "op7_minhash": minhash,
+    "op8_quality": quality,
     "op10_top_k": topk,
 }
 
