@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.llm import decontam, html_text, line_dedup, minhash, packing, quality, topk, warc
+from foliant.llm import decontam, html_text, line_dedup, minhash, packing, quality, topk, toxicity, warc
 
 OPERATORS = {
     "op1_html_text": html_text,
@@ -12,6 +12,7 @@ OPERATORS = {
     "op6_warc": warc,
     "op7_minhash": minhash,
     "op8_quality": quality,
+    "op9_toxicity": toxicity,
     "op10_top_k": topk,
 }
 

@@ -36,7 +36,7 @@ SECOND = frozenset("you your yours yourself u ur youre tu toi ton ta tes vous vo
 FEATURES = ["seed", "seed_log", "learned", "learned_log", "obfuscated", "near_second", "second", "capital_words", "upper", "exclaimed", "punctuation", "symbol", "stretched", "spelled_out", "distinct_hits", "digits_in_words"]
 #: The learned lexicon holds word beginnings of STEM code points (marked *) and whole words: LEARNED at most, each in
 #: SUPPORT sampled rows and SHARE of those of label 1, RATIO times as frequent in them as in the others.
-STEM, LEARNED, SUPPORT, SHARE, RATIO = range(3, 8), 400, 5, 0.04, 8.0
+STEM, LEARNED, SUPPORT, SHARE, RATIO = range(3, 8), 400, 5, 0.02, 8.0
 #: Words between a second-person word and a lexicon word that are near.
 NEAR, CACHE = 5, 1 << 19
 TREES = {"trees": 40, "depth": 3, "rate": 0.2, "least": 8}
