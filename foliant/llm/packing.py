@@ -17,10 +17,12 @@ ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +32,10 @@ from foliant.llm.common import written
 CAPACITY, END_ID = 4096, 1
 #: Pieces of a shard in the mean; a shard is packed in the memory of one task.
 SHARD = 25_000
-#: Chunks of text between spaces whose ids are kept in a worker's memory.
-CACHE = 400_000
+#: Chunks of text between spaces whose ids are kept in a worker's memory; the longest that is kept; code points learned at once.
+CACHE, KEPT_CHARS, SLICE = 500_000, 64, 4_000_000
+#: Letters, then signs of ASCII (but no apostrophe, which may part words). Letters of these two blocks have one lower case each.
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
 
 
 def tokenizer_path() -> str:
@@ -40,42 +44,85 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class ChunkIds(dict):
-    """The ids of a chunk of text between spaces, as unsigned little-endian 32-bit ids.
+class ChunkIds:
+    """The ids of texts, as unsigned little-endian 32-bit ids, by way of their chunks between spaces.
 
-    The tokenizer drops white space and no token spans it, so a text's ids are those of its chunks in turn.
+    The tokenizer drops white space and no token spans it, so a text's ids are those of its chunks in turn. In a chunk of
+    letters and signs, the two are tokens apart and letter case makes no difference, so its ids are put together from
+    those of the lower-cased letters and of the signs. What is not known yet is given to the tokenizer in one text and
+    parted at the tokens that end a word. Everything else goes to the tokenizer as it is.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = _bytes(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-        if len(chunk) < 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-    def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
-
-
-def _bytes(ids: list[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+        self.chunks: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith("</w>")
+
+    def _encode(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Of words that are one run of letters or of signs each."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        last = np.flatnonzero(self.ends[ids]) + 1
+        if len(last) != len(words) or last[-1] != len(ids):  # a vocabulary without word ends
+            return self._encode(words)
+        raw, at = ids.tobytes(), [0, *(4 * last).tolist()]
+        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of new chunks; those too long to keep are returned."""
+        simple = [(c, m[1].lower(), m[2]) for c, m in zip(chunks, map(SIMPLE.fullmatch, chunks), strict=True) if m]
+        new = sorted({p for _, a, b in simple for p in (a, b) if p not in self.parts})
+        if new:
+            self.parts.update(zip(new, self._words(new), strict=True))
+        self.chunks.update((c, self.parts[a] + self.parts[b] if b else self.parts[a]) for c, a, b in simple)
+        rest = sorted(c for c in chunks if c not in self.chunks)
+        found = dict(zip(rest, self._encode(rest), strict=True))
+        self.chunks.update((c, x) for c, x in found.items() if len(c) < KEPT_CHARS)
+        return {c: x for c, x in found.items() if len(c) >= KEPT_CHARS}
+
+    def of(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text."""
+        at = 0
+        while at < len(texts):
+            own, size = [], 0
+            while at < len(texts) and (size < SLICE or not own):
+                size += len(texts[at])
+                own.append(texts[at].replace("\n", " ").split(" "))
+                at += 1
+            if len(self.chunks) > CACHE or len(self.parts) > CACHE:
+                self.chunks.clear()
+                self.parts = {"": b""}
+            long = self._learn({c for c in set().union(*own) if c not in self.chunks})
+            known = (self.chunks | long).__getitem__ if long else self.chunks.__getitem__
+            for words in own:
+                yield b"".join(map(known, words))
+
+
+_encoders: dict[str, ChunkIds] = {}
+
+
+def encoder(path: str) -> ChunkIds:
+    """One for each worker process, so that later tasks find what earlier ones learned."""
+    if path not in _encoders:
+        _encoders[path] = ChunkIds(path)
+    return _encoders[path]
 
 
 def _cut(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end = ChunkIds(path), end_id.to_bytes(4, "little")
+        ids, end = encoder(path), end_id.to_bytes(4, "little")
         for batch in batches:
             at, piece, start, length, crc = [], [], [], [], []
-            for row, text in enumerate(batch.column(1)):
-                tokens = memoryview(ids.of(text.as_py() or "") + end)
+            for row, raw in enumerate(ids.of([t or "" for t in batch.column(1).to_pylist()])):
+                tokens = memoryview(raw + end)
                 total = len(tokens) // 4
                 for k, s in enumerate(range(0, total, capacity)):
                     n = min(capacity, total - s)
