@@ -168,7 +168,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -
     """Of (a, b), the pairs whose full sets are similar enough. texts: (rep, _text). The set of b moves once a pair, that of a once."""
     kind = pairs.schema["a"].dataType.simpleString()
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    sets = written(texts.join(wanted, "rep", "left_semi").mapInArrow(_shingled(shingle), f"rep {kind}, elements array<bigint>"), "sets")
+    # by shuffle at every size: how many ids are wanted follows the input
+    sets = written(texts.join(wanted.hint("merge"), "rep", "left_semi").mapInArrow(_shingled(shingle), f"rep {kind}, elements array<bigint>"), "sets")
     left = pairs.join(sets.select(F.col("rep").alias("b"), F.col("elements").alias("eb")), "b")
     both = left.join(sets.select(F.col("rep").alias("a"), F.col("elements").alias("ea")), "a")
     shared = both.select("a", "b", (F.size("ea") + F.size("eb")).cast("long").alias("sum"), F.size(F.array_intersect("ea", "eb")).cast("long").alias("both"))
@@ -276,7 +277,7 @@ def _stray_links(shared: DataFrame, links: DataFrame, texts: DataFrame, shingle:
     comps = written(comps.select("key", "head", "rep", F.coalesce("rep_comp", "rep").alias("comp"), (F.coalesce("rep_comp", "rep") != F.coalesce("head_comp", "head")).alias("stray")), "comps")
     mixed = comps.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
     rows = written(comps.join(mixed, "key", "left_semi").groupBy("head", "rep").agg(F.min("comp").alias("comp"), F.max("stray").alias("stray")), "contested")
-    sets = written(texts.join(rows.select("rep").distinct(), "rep", "left_semi").mapInArrow(_shingled(shingle), f"rep {kind}, elements array<bigint>"), "contested-sets")
+    sets = written(texts.join(rows.select("rep").distinct().hint("merge"), "rep", "left_semi").mapInArrow(_shingled(shingle), f"rep {kind}, elements array<bigint>"), "contested-sets")
     sizes = sets.select("rep", F.size("elements").alias("n"))
     blocks = rows.join(sizes, "rep").groupBy("head").agg(F.ceil(F.sum("n") / F.lit(BLOCK_ELEMENTS)).cast("int").alias("m"), F.ceil(F.sum(F.when(F.col("stray"), F.col("n"))) / F.lit(BLOCK_ELEMENTS)).cast("int").alias("s"))
     full = rows.join(blocks, "head").join(sets, "rep")
