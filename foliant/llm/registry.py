@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from foliant.llm import decontam, html_text, line_dedup, minhash, packing, quality, topk, toxicity, warc
+from foliant.llm import decontam, html_text, line_dedup, minhash, packing, pii, quality, topk, toxicity, warc
 
 OPERATORS = {
     "op1_html_text": html_text,
     "op2_decontamination": decontam,
     "op3_line_dedup": line_dedup,
+    "op4_pii": pii,
     "op5_packing": packing,
     "op6_warc": warc,
     "op7_minhash": minhash,
