@@ -58,9 +58,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return grouped.select("_id", "_row", _runs(F.col("p")).alias("drop_runs"), F.size("p").cast("long").alias("n_dropped"))
 
 
-def kept_text(text: Column, drop_runs: Column) -> Column:
-    """The lines outside the runs, joined by line feeds; time in proportion to the text."""
-    lines = F.split(text, "\n", -1)
+def kept_text(lines: Column, drop_runs: Column) -> Column:
+    """The lines outside the runs, joined by line feeds; time in proportion to the text if `lines` is a column."""
     last = F.struct(F.size(lines).alias("start"), F.lit(0).alias("length"))
     gaps = F.zip_with(F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("length"))), drop_runs), F.concat(drop_runs, F.array(last)), lambda a, b: F.slice(lines, a["start"] + a["length"] + 1, b["start"] - a["start"] - a["length"]))
     return F.array_join(F.flatten(gaps), "\n")
@@ -72,7 +71,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     left = docs.withColumn("_row", F.xxhash64(text))
     joined = left.join(bitmaps, left[f"`{id_col}`"].eqNullSafe(bitmaps["_id"]) & (left["_row"] == bitmaps["_row"]), "left")
-    kept = F.when(F.col("drop_runs").isNull(), text).otherwise(kept_text(text, F.col("drop_runs")))
+    joined = joined.withColumn("_lines", F.when(F.col("drop_runs").isNotNull(), F.split(text, "\n", -1)))
+    kept = F.when(F.col("drop_runs").isNull(), text).otherwise(kept_text(F.col("_lines"), F.col("drop_runs")))
     n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     return joined.select(*[left[f"`{c}`"] for c in docs.columns], kept.alias("_kept"), n_lines.alias("_n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("_n_dropped"))
 

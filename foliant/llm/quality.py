@@ -23,6 +23,8 @@ from foliant.llm import boosting
 from foliant.llm.labels import MAX_LABELS, remainder, sample
 
 STATISTICS = ["log_chars", "log_words", "word_length", "upper", "digit", "punctuation", "symbol", "space", "non_ascii", "distinct_words", "line_length", "repeated_lines", "repeated_words", "no_letter_words", "exclaimed", "sentence_ends"]
+#: Their columns, under names that a caller's won't clash with.
+COLUMNS = [f"_stat_{s}" for s in STATISTICS]
 #: Rules over which the lasso chooses, at most, and its strength.
 MAX_RULES, STRENGTH = 160, 0.002
 
@@ -59,13 +61,13 @@ def statistics(text: str) -> list[float]:
 def _computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = np.array([statistics(t.as_py()) for t in batch.column(batch.num_columns - 1)]).reshape(batch.num_rows, len(STATISTICS))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(rows[:, k]) for k in range(len(STATISTICS)))], names=[*batch.schema.names[:-1], *STATISTICS])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(rows[:, k]) for k in range(len(STATISTICS)))], names=[*batch.schema.names[:-1], *COLUMNS])
 
 
 def with_statistics(df: DataFrame) -> DataFrame:
     """df, whose last column is the text, with statistics in its place."""
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1])
-    return df.mapInArrow(_computed, f"{kept}, {', '.join(f'{s} double' for s in STATISTICS)}")
+    return df.mapInArrow(_computed, f"{kept}, {', '.join(f'{c} double' for c in COLUMNS)}")
 
 
 def fit(rows: list) -> tuple[float, list[tuple[tuple, float]]]:
@@ -102,10 +104,17 @@ def classify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
     """(id, score, predicted) of each row."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text")
     done = with_statistics(docs.select(F.col(f"`{id_col}`").alias("_id"), text))
-    scored = done.select("_id", score_column(model, [F.col(s) for s in STATISTICS]).alias("score"))
+    scored = done.select("_id", score_column(model, [F.col(c) for c in COLUMNS]).alias("score"))
     return scored.select(F.col("_id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
+    """The rows of docs that the model predicts as label 1, with the columns that docs has."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_stat_text")
+    done = with_statistics(docs.select("*", text))
+    return done.where(score_column(model, [F.col(c) for c in COLUMNS]) >= 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     from foliant.llm.common import table
 

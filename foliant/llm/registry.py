@@ -1,7 +1,8 @@
-"""The queries of the corpus operators and their SQL, for __spark_entry__."""
+"""The queries of the corpus operators and of the pipeline, and their SQL, for __spark_entry__."""
 
 from __future__ import annotations
 
+import corpus_pipeline
 from foliant.llm import decontam, html_text, line_dedup, minhash, packing, pii, quality, topk, toxicity, warc
 
 OPERATORS = {
@@ -19,7 +20,7 @@ OPERATORS = {
 
 
 def queries() -> dict:
-    return {name: m.query for name, m in OPERATORS.items()}
+    return {name: m.query for name, m in OPERATORS.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
