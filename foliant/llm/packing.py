@@ -17,13 +17,13 @@ ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +32,11 @@ from foliant.llm.common import written
 CAPACITY, END_ID = 4096, 1
 #: Pieces of a shard in the mean; a shard is packed in the memory of one task.
 SHARD = 25_000
-#: Chunks of text between spaces whose ids are kept in a worker's memory; the longest that is kept; code points learned at once.
-CACHE, KEPT_CHARS, SLICE = 500_000, 64, 4_000_000
-#: Letters, then signs of ASCII (but no apostrophe, which may part words). Letters of these two blocks have one lower case each.
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+#: Parts of chunks whose ids are kept in a worker's memory; the longest that is kept; code points that are numbered at once.
+CACHE, KEPT_CHARS, SLICE = 1_000_000, 64, 12_000_000
+#: Letters that have one lower case each, and the signs of ASCII but the apostrophe, which may part words.
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def tokenizer_path() -> str:
@@ -50,15 +51,15 @@ class ChunkIds:
     The tokenizer drops white space and no token spans it, so a text's ids are those of its chunks in turn. In a chunk of
     letters and signs, the two are tokens apart and letter case makes no difference, so its ids are put together from
     those of the lower-cased letters and of the signs. What is not known yet is given to the tokenizer in one text and
-    parted at the tokens that end a word. Everything else goes to the tokenizer as it is.
+    parted at the tokens that end a word. Everything else goes to the tokenizer as it is. A text's chunks are numbered
+    by their distinct values, and ids are gathered by number.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {"": b""}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
@@ -76,34 +77,49 @@ class ChunkIds:
         raw, at = ids.tobytes(), [0, *(4 * last).tolist()]
         return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of new chunks; those too long to keep are returned."""
-        simple = [(c, m[1].lower(), m[2]) for c, m in zip(chunks, map(SIMPLE.fullmatch, chunks), strict=True) if m]
-        new = sorted({p for _, a, b in simple for p in (a, b) if p not in self.parts})
+    def _ids(self, parts: list[str], simple: list[bool]) -> list[bytes]:
+        """Of distinct parts; simple ones are one run of letters or of signs each."""
+        own = self.known
+        new = [(x, s) for x, s in zip(parts, simple, strict=True) if x not in own]
         if new:
-            self.parts.update(zip(new, self._words(new), strict=True))
-        self.chunks.update((c, self.parts[a] + self.parts[b] if b else self.parts[a]) for c, a, b in simple)
-        rest = sorted(c for c in chunks if c not in self.chunks)
-        found = dict(zip(rest, self._encode(rest), strict=True))
-        self.chunks.update((c, x) for c, x in found.items() if len(c) < KEPT_CHARS)
-        return {c: x for c, x in found.items() if len(c) >= KEPT_CHARS}
-
-    def of(self, texts: list[str]) -> Iterator[bytes]:
+            plain, rest = [x for x, s in new if s], [x for x, s in new if not s]
+            found = dict(zip(plain, self._words(plain), strict=True)) if plain else {}
+            if rest:
+                found.update(zip(rest, self._encode(rest), strict=True))
+            if len(own) + len(found) > CACHE:
+                own = self.known = {"": b""} | {x: own[x] for x in parts if x in own}
+            long = {x: found.pop(x) for x in [x for x in found if len(x) >= KEPT_CHARS]}
+            own.update(found)
+            own = own | long if long else own
+        return [own[x] for x in parts]
+
+    def of(self, texts: list[str]) -> Iterator[memoryview]:
         """The ids of each text."""
         at = 0
         while at < len(texts):
-            own, size = [], 0
-            while at < len(texts) and (size < SLICE or not own):
+            first, size = at, 0
+            while at < len(texts) and (size < SLICE or at == first):
                 size += len(texts[at])
-                own.append(texts[at].replace("\n", " ").split(" "))
                 at += 1
-            if len(self.chunks) > CACHE or len(self.parts) > CACHE:
-                self.chunks.clear()
-                self.parts = {"": b""}
-            long = self._learn({c for c in set().union(*own) if c not in self.chunks})
-            known = (self.chunks | long).__getitem__ if long else self.chunks.__getitem__
-            for words in own:
-                yield b"".join(map(known, words))
+            cut = pc.split_pattern(pa.array([t.replace("\n", " ") for t in texts[first:at]], pa.large_string()), " ")
+            coded = cut.flatten().dictionary_encode()
+            chunks = coded.dictionary
+            stem = pc.utf8_rtrim(chunks, SIGNS)
+            simple = pc.match_substring_regex(stem, f"^[{LETTERS}]*$")
+            heads = pc.if_else(simple, pc.utf8_lower(stem), chunks).dictionary_encode()
+            tails = pc.if_else(simple, pc.utf8_ltrim(chunks, LETTERS), "").dictionary_encode()
+            names = heads.dictionary
+            ids = self._ids(names.to_pylist(), pc.match_substring_regex(names, f"^[{LETTERS}]+$").to_pylist())
+            ids += self._ids(tails.dictionary.to_pylist(), [True] * len(tails.dictionary))
+            parts = np.stack([heads.indices.to_numpy(), tails.indices.to_numpy().astype(np.int64) + len(names)], axis=1)
+            code, sizes = parts[coded.indices.to_numpy()].ravel(), np.array([len(i) // 4 for i in ids], np.int64)
+            starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), "<u4")
+            count = sizes[code]
+            ends = np.concatenate([[0], np.cumsum(count)])
+            gathered = flat[np.repeat(starts[code] - ends[:-1], count) + np.arange(ends[-1])]
+            raw, bounds = memoryview(gathered.tobytes()), (4 * ends[2 * cut.offsets.to_numpy()]).tolist()
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                yield raw[a:b]
 
 
 _encoders: dict[str, ChunkIds] = {}
@@ -122,7 +138,7 @@ def _cut(path: str, capacity: int, end_id: int):
         for batch in batches:
             at, piece, start, length, crc = [], [], [], [], []
             for row, raw in enumerate(ids.of([t or "" for t in batch.column(1).to_pylist()])):
-                tokens = memoryview(raw + end)
+                tokens = memoryview(bytes(raw) + end)
                 total = len(tokens) // 4
                 for k, s in enumerate(range(0, total, capacity)):
                     n = min(capacity, total - s)
