@@ -92,13 +92,14 @@ def weighted_median_size(s, d):
 
 def grid_text(s, d):
     rows = F.transform(F.slice(F.split("text", "\n"), 1, 3), lambda line: F.slice(F.split(line, " "), 1, 4))
-    return table(s, d, "documents").select("doc_id", VA.grid_text(rows, F.col("source")).alias("text"), VA.grid_shape(rows).isNotNull().alias("regular"))
+    grid = table(s, d, "documents").select("doc_id", "source", rows.alias("g"))
+    return grid.select("doc_id", VA.grid_text(F.col("g"), F.col("source")).alias("text"), VA.grid_shape(F.col("g")).isNotNull().alias("regular"))
 
 
 def grid_pad(s, d):
     rows = F.transform(F.slice(F.split("text", "\n"), 1, 2), lambda line: F.slice(F.split(line, " "), 1, 3))
-    fitted = VA.fit_grid(rows, 2, 3)
-    return table(s, d, "documents").select("doc_id", F.coalesce(F.array_join(F.transform(fitted, lambda r: F.array_join(r, "|")), "/"), F.lit("none")).alias("grid"))
+    fitted = VA.fit_grid(F.col("g"), 2, 3)
+    return table(s, d, "documents").select("doc_id", rows.alias("g")).select("doc_id", F.coalesce(F.array_join(F.transform(fitted, lambda r: F.array_join(r, "|")), "/"), F.lit("none")).alias("grid"))
 
 
 def upsert_latest(s, d):
