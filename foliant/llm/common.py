@@ -13,6 +13,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_BYTES = 32 << 20
 
 
+#: Rows of a batch of texts in Python.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,6 +42,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """df, after a bound on the rows of a batch sent to Python: texts are long, and a batch is held several times over.
+
+    A session whose setting isn't the default keeps it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased and nothing else; lower() is used where a text is plain ASCII, since it is far quicker than translate()."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

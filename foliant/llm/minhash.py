@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import shuffle_partitions, written
+from foliant.llm.common import shuffle_partitions, text_batches, written
 
 CHUNKS, CHUNK = 10, 6
 SYMBOLS = CHUNKS * CHUNK
@@ -39,7 +39,7 @@ FAR = 28
 #: Shingles that a block of strays or of members holds in the mean.
 BLOCK_ELEMENTS = 2_000_000
 #: Words whose hashes are kept in a worker's memory, and rows of a block of minima.
-CACHE, BLOCK = 1 << 20, 4096
+CACHE, BLOCK = 1 << 19, 4096
 
 _rng = np.random.default_rng(20240501)
 _MULTIPLIERS = _rng.integers(1, 1 << 32, SYMBOLS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -124,7 +124,7 @@ def _sketches(shingle: int):
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """(_id, n, digest, sig) of each row."""
     base = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    return base.mapInArrow(_sketches(shingle), f"_id {base.schema['_id'].dataType.simpleString()}, n long, digest binary, sig binary")
+    return text_batches(base).mapInArrow(_sketches(shingle), f"_id {base.schema['_id'].dataType.simpleString()}, n long, digest binary, sig binary")
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,13 +27,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import written
+from foliant.llm.common import text_batches, written
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces of a shard in the mean; a shard is packed in the memory of one task.
 SHARD = 25_000
 #: Parts of chunks whose ids are kept in a worker's memory; the longest that is kept; code points that are numbered at once.
-CACHE, KEPT_CHARS, SLICE = 1_000_000, 64, 12_000_000
+CACHE, KEPT_CHARS, SLICE = 600_000, 64, 12_000_000
 #: Letters that have one lower case each, and the signs of ASCII but the apostrophe, which may part words.
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -152,7 +152,7 @@ def _cut(path: str, capacity: int, end_id: int):
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(_id, piece, start, length, crc) of every piece."""
     base = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    return base.mapInArrow(_cut(path or tokenizer_path(), capacity, end_id), f"_id {base.schema['_id'].dataType.simpleString()}, piece int, start long, length long, crc long")
+    return text_batches(base).mapInArrow(_cut(path or tokenizer_path(), capacity, end_id), f"_id {base.schema['_id'].dataType.simpleString()}, piece int, start long, length long, crc long")
 
 
 class Lengths:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm import boosting
+from foliant.llm.common import text_batches
 from foliant.llm.labels import MAX_LABELS, remainder, sample
 
 STATISTICS = ["log_chars", "log_words", "word_length", "upper", "digit", "punctuation", "symbol", "space", "non_ascii", "distinct_words", "line_length", "repeated_lines", "repeated_words", "no_letter_words", "exclaimed", "sentence_ends"]
@@ -67,7 +68,7 @@ def _computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_statistics(df: DataFrame) -> DataFrame:
     """df, whose last column is the text, with statistics in its place."""
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1])
-    return df.mapInArrow(_computed, f"{kept}, {', '.join(f'{c} double' for c in COLUMNS)}")
+    return text_batches(df).mapInArrow(_computed, f"{kept}, {', '.join(f'{c} double' for c in COLUMNS)}")
 
 
 def fit(rows: list) -> tuple[float, list[tuple[tuple, float]]]:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm import boosting
+from foliant.llm.common import text_batches
 from foliant.llm.labels import MAX_LABELS, remainder, sample
 
 #: Words that insult, in the languages of the corpus. The learned lexicon adds what the labels show.
@@ -192,7 +193,7 @@ def classify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _scored(trees, knots)(_computed(words)(batches))
 
-    scored = base.mapInArrow(run, f"_id {kind}, score double")
+    scored = text_batches(base).mapInArrow(run, f"_id {kind}, score double")
     return scored.select(F.col("_id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
