@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import decontam, line_dedup, minhash, packing, quality
-from foliant.llm.common import table, written
+from foliant.llm.common import numbered, picked, table, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,29 +20,31 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that a document of a smaller id has; n_chars follows the text."""
-    done = line_dedup.dedup_lines(docs)
-    new = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
-    return done.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    done = numbered(line_dedup.dedup_lines(docs))
+    kept = F.col(f"c{len(docs.columns)}")
+    new = {"text": kept, "n_chars": F.length(kept).cast("long")}
+    return done.select(*[new.get(c, F.col(f"c{i}")).alias(f"c{i}") for i, c in enumerate(docs.columns)]).toDF(*docs.columns)
 
 
 def unlike_others(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near-duplicates: five-word shingles, similarity 0.8."""
     found = minhash.near_duplicates(docs, shingle=5)
-    kept = docs.join(found.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    ids = docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1)
-    if ids.isEmpty():
-        return kept
-    # rows that repeat an id and its text are copies too
-    own = kept.withColumn("_hash", F.xxhash64("text"))
-    once = own.where("doc_id is not null").dropDuplicates(["doc_id", "_hash"])
-    return once.unionByName(own.where("doc_id is null")).drop("_hash")
+    own, doc_id = numbered(docs), F.col(f"c{docs.columns.index('doc_id')}")
+    kept = own.join(found.where(~F.col("kept")).select("doc_id").distinct(), doc_id == F.col("doc_id"), "left_anti")
+    again = picked(docs, "doc_id").where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1)
+    if not again.isEmpty():  # rows that repeat an id and its text are copies too
+        hashed = kept.withColumn("_hash", F.xxhash64(f"c{docs.columns.index('text')}"))
+        once = hashed.where(doc_id.isNotNull()).dropDuplicates([f"c{docs.columns.index('doc_id')}", "_hash"])
+        kept = once.unionByName(hashed.where(doc_id.isNull())).drop("_hash")
+    return kept.toDF(*docs.columns)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark: under a twentieth of their words lies in its windows."""
-    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_hit"), "_row").distinct()
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_hit")) & (F.xxhash64(text) == F.col("_row")), "left_anti")
+    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id", "_row").distinct()
+    own, doc_id = numbered(docs), F.col(f"c{docs.columns.index('doc_id')}")
+    text = F.coalesce(F.col(f"c{docs.columns.index('text')}").cast("string"), F.lit(""))
+    return own.join(found, doc_id.eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("_row")), "left_anti").toDF(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

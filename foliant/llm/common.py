@@ -62,7 +62,17 @@ def digest64(*cols: Column, seed: int = 0) -> Column:
     return F.xxhash64(F.lit(seed), *cols)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1 and so on: names that differ in case alone, or like ours, can't clash."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def picked(df: DataFrame, *names: str) -> DataFrame:
+    """Only the columns of exactly these names, each the first so named."""
+    return numbered(df).select(*[F.col(f"c{df.columns.index(n)}").alias(n) for n in names])
+
+
 def renamed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and text under names of our own, so that columns of the caller can't clash, and _row, which tells apart rows that share an id. Rows equal in both count once."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return df.select(F.col(f"`{id_col}`").alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_row"))
+    return picked(df, id_col, text_col).select(F.col(f"`{id_col}`").alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_row"))

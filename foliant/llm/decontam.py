@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import BROADCAST_BYTES, ascii_lower, renamed, written
+from foliant.llm.common import BROADCAST_BYTES, ascii_lower, picked, renamed, written
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
@@ -29,7 +29,7 @@ def words_of(text: Column) -> Column:
 
 def _windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
     """(wt, len, items): each distinct window text with the items that have it."""
-    items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), words_of(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("w")).where(F.size("w") > 0)
+    items = picked(benchmark, item_col, text_col).select(F.col(f"`{item_col}`").cast("string").alias("item"), words_of(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("w")).where(F.size("w") > 0)
     length = F.least(F.size("w"), F.lit(window))
     cut = items.select("item", "w", length.alias("len"), F.explode(F.sequence(F.lit(1), F.size("w") - length + 1)).alias("i"))
     return cut.groupBy(F.array_join(F.slice("w", F.col("i"), F.col("len")), " ").alias("wt"), "len").agg(F.collect_set("item").alias("items"))
@@ -37,7 +37,7 @@ def _windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) ->
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(_id, _row, start, len, items) of every place in docs where a window of the benchmark occurs; start from 0."""
-    size = benchmark.agg(F.sum(F.octet_length(f"`{item_text_col}`"))).first()[0] or 0
+    size = picked(benchmark, item_text_col).agg(F.sum(F.octet_length(f"`{item_text_col}`"))).first()[0] or 0
     small = size * window <= broadcast_bytes  # the windows repeat each word up to `window` times
     sent = F.broadcast if small else (lambda df: df)
 
@@ -76,7 +76,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hits = found.groupBy("_id", "_row").agg(F.sort_array(F.collect_set(F.struct("start", "len"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     hits = hits.select(F.col("_id").alias("_hit_id"), F.col("_row").alias("_hit_row"), covered(F.col("spans")).alias("n_hit"), "items")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    counted = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_row"), F.size(words_of(text)).cast("long").alias("n_words"))
+    counted = picked(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_row"), F.size(words_of(text)).cast("long").alias("n_words"))
     joined = counted.join(hits, F.col("_id").eqNullSafe(F.col("_hit_id")) & (F.col("_row") == F.col("_hit_row")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import text_batches
+from foliant.llm.common import picked, text_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is not markup.
@@ -296,7 +296,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of each row."""
-    base = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
+    base = picked(pages, id_col, url_col, html_col).select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
     kinds = [base.schema[c].dataType.simpleString() for c in ("page_id", "url")]
     return text_batches(base).mapInArrow(_extracted, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")
 

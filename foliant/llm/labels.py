@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import written
+from foliant.llm.common import picked, written
 
 #: Labelled rows that a classifier is fitted on at most: those of the smallest hashes of their ids.
 MAX_LABELS = 12_000
@@ -20,8 +20,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: Col
 
     Labels whose id or value is null are left out; an id labelled twice takes its smallest label.
     """
-    given = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")).where("_id is not null and _label in (0, 1)")
+    given = picked(labels, "doc_id", label).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")).where("_id is not null and _label in (0, 1)")
     open_ = given.withColumn("_fold", remainder(F.col("_id"), folds)).where(~held).groupBy("_id").agg(F.min("_label").alias("_label"))
     chosen = written(open_.orderBy(F.xxhash64("_id"), "_id").limit(limit), f"labels-{label}")
-    texts = docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    texts = picked(docs, "doc_id", "text").select(F.col("doc_id").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     return texts.join(F.broadcast(chosen), "_id")

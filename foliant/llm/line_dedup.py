@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import ascii_lower, renamed, shuffle_partitions, written
+from foliant.llm.common import ascii_lower, numbered, renamed, shuffle_partitions, written
 
 SPACE = " \t\n\x0b\x0c\r"
 #: Keys handled apart, for each range partition. The most frequent 4N keys leave no other with over 1/4N of the lines.
@@ -68,13 +68,15 @@ def kept_text(lines: Column, drop_runs: Column) -> Column:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
     """docs with _kept (the text left), _n_lines and _n_dropped added; one row for each row given."""
     bitmaps = keep_bitmaps(docs, id_col, text_col, min_chars)
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    left = docs.withColumn("_row", F.xxhash64(text))
-    joined = left.join(bitmaps, left[f"`{id_col}`"].eqNullSafe(bitmaps["_id"]) & (left["_row"] == bitmaps["_row"]), "left")
+    own, doc_id = numbered(docs), F.col(f"c{docs.columns.index(id_col)}")
+    text = F.coalesce(F.col(f"c{docs.columns.index(text_col)}").cast("string"), F.lit(""))
+    left = own.withColumn("_hash", F.xxhash64(text))
+    joined = left.join(bitmaps, doc_id.eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_row")), "left")
     joined = joined.withColumn("_lines", F.when(F.col("drop_runs").isNotNull(), F.split(text, "\n", -1)))
     kept = F.when(F.col("drop_runs").isNull(), text).otherwise(kept_text(F.col("_lines"), F.col("drop_runs")))
     n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    return joined.select(*[left[f"`{c}`"] for c in docs.columns], kept.alias("_kept"), n_lines.alias("_n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("_n_dropped"))
+    done = joined.select(*own.columns, kept.alias("_kept"), n_lines.alias("_n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("_n_dropped"))
+    return done.toDF(*docs.columns, "_kept", "_n_lines", "_n_dropped")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import shuffle_partitions, text_batches, written
+from foliant.llm.common import picked, shuffle_partitions, text_batches, written
 
 CHUNKS, CHUNK = 10, 6
 SYMBOLS = CHUNKS * CHUNK
@@ -123,7 +123,7 @@ def _sketches(shingle: int):
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """(_id, n, digest, sig) of each row."""
-    base = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    base = picked(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     return text_batches(base).mapInArrow(_sketches(shingle), f"_id {base.schema['_id'].dataType.simpleString()}, n long, digest binary, sig binary")
 
 
@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = written(reps.select("rep", "sig").repartition(shuffle_partitions(docs.sparkSession)).mapInArrow(_keyed, f"rep {kind}, key bigint"), "keys")
     heads = keys.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").select("key", "head")
     shared = written(keys.join(heads, "key").where("head <> rep"), "shared")
-    texts = docs.select(F.col(f"`{id_col}`").alias("rep"), F.col(f"`{text_col}`").cast("string").alias("_text")).where("rep is not null")
+    texts = picked(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("rep"), F.col(f"`{text_col}`").cast("string").alias("_text")).where("rep is not null")
     star = written(_near(shared.select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), reps), "star")
     links = written(_confirmed(star, texts, shingle, percent), "links")
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm import boosting
-from foliant.llm.common import text_batches
+from foliant.llm.common import numbered, picked, text_batches
 from foliant.llm.labels import MAX_LABELS, remainder, sample
 
 STATISTICS = ["log_chars", "log_words", "word_length", "upper", "digit", "punctuation", "symbol", "space", "non_ascii", "distinct_words", "line_length", "repeated_lines", "repeated_words", "no_letter_words", "exclaimed", "sentence_ends"]
@@ -104,16 +104,17 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELS):
 def classify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, predicted) of each row."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text")
-    done = with_statistics(docs.select(F.col(f"`{id_col}`").alias("_id"), text))
+    done = with_statistics(picked(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("_id"), text))
     scored = done.select("_id", score_column(model, [F.col(c) for c in COLUMNS]).alias("score"))
     return scored.select(F.col("_id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
     """The rows of docs that the model predicts as label 1, with the columns that docs has."""
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_stat_text")
-    done = with_statistics(docs.select("*", text))
-    return done.where(score_column(model, [F.col(c) for c in COLUMNS]) >= 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = numbered(docs)
+    text = F.coalesce(F.col(f"c{docs.columns.index(text_col)}").cast("string"), F.lit("")).alias("_text")
+    done = with_statistics(rows.select("*", text))
+    return done.where(score_column(model, [F.col(c) for c in COLUMNS]) >= 0.5).select(*rows.columns).toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import written
+from foliant.llm.common import picked, written
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 512, 8192
 #: Queries and candidates whose scores are accumulated at once, to stay in a core's cache.
@@ -30,7 +30,7 @@ TILE_Q, TILE_C = 64, 2048
 
 def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """(id, v): finite vectors as whole numbers, one for each id."""
-    base = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("x")).where("id is not null and x is not null")
+    base = picked(vectors, id_col, vector_col).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("x")).where("id is not null and x is not null")
     finite = ~F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
     return base.where(finite).groupBy("id").agg(F.min("x").alias("x")).select("id", F.transform("x", lambda c: F.expr("double(1)") * _floor(c * scale)).alias("v"))
 

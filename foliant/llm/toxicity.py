@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm import boosting
-from foliant.llm.common import text_batches
+from foliant.llm.common import picked, text_batches
 from foliant.llm.labels import MAX_LABELS, remainder, sample
 
 #: Words that insult, in the languages of the corpus. The learned lexicon adds what the labels show.
@@ -187,7 +187,7 @@ def _scored(trees, knots):
 def classify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, predicted) of each row."""
     words, trees, knots = model
-    base = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
+    base = picked(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
     kind = base.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

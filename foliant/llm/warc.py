@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import scratch
+from foliant.llm.common import picked, scratch
 
 MIN_BYTES = 100
 DATE = "2024-01-01T00:00:00Z"
@@ -39,7 +39,7 @@ def _line(name: str, *value: Column | str) -> Column:
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = MIN_BYTES, date: str = DATE) -> None:
     """Write the archive of pages to path."""
     payload = F.encode(F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")), "UTF-8")
-    base = pages.select(F.col(f"`{id_col}`").alias("page_id"), _uri(F.col(f"`{url_col}`").cast("string")).alias("url"), payload.alias("payload"))
+    base = picked(pages, id_col, url_col, payload_col).select(F.col(f"`{id_col}`").alias("page_id"), _uri(F.col(f"`{url_col}`").cast("string")).alias("url"), payload.alias("payload"))
     base = base.withColumns({"digest": F.sha2("payload", 256), "n_bytes": F.octet_length("payload").cast("long")})
 
     once = base.select("digest", "n_bytes", "payload").groupBy("digest").agg(F.first("n_bytes").alias("n_bytes"), F.first("payload").alias("payload"))
