@@ -58,7 +58,8 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     tokens = words.withColumn("n_words", F.size("w")).select("_id", "_row", *["w"] * small, "n_words", F.posexplode("w").alias("pos", "word")).withColumn("key", F.xxhash64("word")).drop("word")
     proposed = tokens.join(sent(anchors), "key").where(inside)
     if not small:
-        proposed = proposed.join(words, (F.col("_id").eqNullSafe(words["_id"])) & (proposed["_row"] == words["_row"])).select(proposed["_id"], proposed["_row"], "w", "pos", "off", "len")
+        whole = words.toDF("_own", "_own_row", "w")
+        proposed = proposed.join(whole, F.col("_id").eqNullSafe(F.col("_own")) & (F.col("_row") == F.col("_own_row")))
     start = F.greatest(F.col("pos") - F.col("off"), F.lit(0))  # the optimizer may evaluate this before the bounds are checked
     spans = proposed.select("_id", "_row", start.alias("start"), "len", F.array_join(F.slice("w", start + 1, F.col("len")), " ").alias("wt"))
     return spans.join(sent(windows.select("wt", "items")), "wt").select("_id", "_row", "start", "len", "items")
