@@ -74,5 +74,5 @@ def paper_ref(c: Column) -> Column:
 
 def math_to_text(fragment: Column) -> Column:
     """math elements become their alternative text between inline or display signs."""
-    display = F.regexp_replace(fragment, r'(?is)<math[^>]*alttext="([^"]*)"[^>]*display="block"[^>]*>.*?</math>', r"\\\\[$1\\\\]")
-    return F.regexp_replace(display, r'(?is)<math[^>]*alttext="([^"]*)"[^>]*>.*?</math>', r"\\\\($1\\\\)")
+    display = F.regexp_replace(fragment, r'(?is)<math[^>]*alttext="([^"]*)"[^>]*display="block"[^>]*>.*?</math>', r"\\[$1\\]")
+    return F.regexp_replace(display, r'(?is)<math[^>]*alttext="([^"]*)"[^>]*>.*?</math>', r"\\($1\\)")
