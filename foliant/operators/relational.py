@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.session import written
+
 STATUSES = ("unread", "reading", "read", "reviewed")
 SHARE_STATES = ("active", "expiring", "expired", "revoked")
 #: Seconds before its end in which a share is expiring.
@@ -47,6 +49,20 @@ def ranked(df: DataFrame, *order: Column, by: str | None = None, name: str = "ra
     return df.withColumn(name, F.row_number().over(w.orderBy(*order)).cast("long"))
 
 
+def placed(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """df with the place of each row in a total order of all, without gathering them in one task.
+
+    Rows are parted by ranges of the order and numbered within each; the counts of the parts before, as many numbers as
+    there are parts, are added. The parted rows are written once, since parting them again would draw other ranges.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "placed")
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.withColumn("_row", within).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_row")).drop("_part", "_row", "_before")
+
+
 LIBRARY_ORDERS = {
     "created_desc": lambda: (F.desc("created_at"), F.asc("paper_id")),
     "created_asc": lambda: (F.asc("created_at"), F.asc("paper_id")),
@@ -56,10 +72,9 @@ LIBRARY_ORDERS = {
 }
 
 
-def library_order(papers: DataFrame, name: str, limit: int) -> DataFrame:
-    """The first rows of a named order (an unknown name means created_desc), with their places."""
-    top = papers.orderBy(*LIBRARY_ORDERS.get(name, LIBRARY_ORDERS["created_desc"])()).limit(limit)
-    return ranked(top, *LIBRARY_ORDERS.get(name, LIBRARY_ORDERS["created_desc"])())
+def library_order(papers: DataFrame, name: str) -> DataFrame:
+    """All rows with their places in a named order; an unknown name means created_desc."""
+    return placed(papers, *LIBRARY_ORDERS.get(name, LIBRARY_ORDERS["created_desc"])())
 
 
 def recent(papers: DataFrame, k: int = 5) -> DataFrame:

@@ -101,10 +101,10 @@ def table_usable(rows: Column, zh: Column, zh_text: Column) -> Column:
     return F.coalesce(grid_shape(rows).eqNullSafe(grid_shape(zh)) & grid_shape(rows).isNotNull() & zh_text.rlike(r"\S") & differs, F.lit(False))
 
 
-def fit_grid(rows: Column, n: int, width: int) -> Column:
+def fit_grid(rows: Column, n: Column, width: Column) -> Column:
     """Short rows padded to the width; null where the number of rows is another or a row is too long."""
     fits = (F.size(rows) == n) & F.forall(rows, lambda r: F.size(r) <= width)
-    return F.when(fits, F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), F.lit(width) - F.size(r)))))
+    return F.when(fits, F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))))
 
 
 def grid_text(rows: Column, caption: Column) -> Column:

@@ -54,33 +54,34 @@ def _split_boxes(s, d):
 
 
 def marks_clipped(s, d):
-    units = V.blocks(s, d).where("ord < 3 and paper_id < 400").select(F.col("paper_id").alias("block_id"), F.col("ord").alias("unit"), (F.col("ord") * 120).alias("u_start"), (F.col("ord") * 120 + 100).alias("u_end"))
+    units = V.blocks(s, d).select(F.col("paper_id").alias("block_id"), F.col("ord").alias("unit"), (F.col("ord") * 120).alias("u_start"), (F.col("ord") * 120 + 100).alias("u_end"))
     return I.clip(V.marks(s, d), units, ["block_id"])
 
 
 def remap_span(s, d):
     docs = table(s, d, "documents")
-    old, n = F.substring("text", 1, 120), F.col("doc_id")
-    new = F.concat(F.substring(old, 1, 30), F.when(n % 2 == 0, F.lit(" inserted ")).otherwise(F.lit("")), F.when(n % 3 == 0, F.substring(old, 51, 120)).otherwise(F.substring(old, 31, 120)))
+    old, n = F.col("text"), F.col("doc_id")
+    rest = lambda at: F.substring(old, F.lit(at), F.length(old))
+    new = F.concat(F.substring(old, 1, 30), F.when(n % 2 == 0, F.lit(" inserted ")).otherwise(F.lit("")), F.when(n % 3 == 0, rest(51)).otherwise(rest(31)))
     to = I.remap(F.col("old"), F.col("new"), F.col("start"), F.col("end"))
-    rows = docs.where("length(text) >= 120").select("doc_id", old.alias("old"), new.alias("new"), (n % 90).alias("start"), (n % 90 + 12).alias("end"))
+    rows = docs.where("length(text) >= 102").select("doc_id", old.alias("old"), new.alias("new"), (n % 90).alias("start"), (n % 90 + 12).alias("end"))
     return rows.select("doc_id", to.alias("to")).select("doc_id", F.col("to.s").alias("start"), F.col("to.e").alias("end"))
 
 
 def exact_range_lookup(s, d):
     m = V.marks(s, d)
-    wanted = m.where("id % 10 = 0").select("block_id", "lang", "start", (F.col("end") + F.when(F.col("id") % 20 == 0, 0).otherwise(1)).alias("end")).distinct()
+    wanted = m.select("block_id", "lang", "start", (F.col("end") + F.when(F.col("id") % 2 == 0, 0).otherwise(1)).alias("end")).distinct()
     return I.exact_range(m, wanted, ["block_id", "lang"])
 
 
 def anchor_ledger(s, d):
     docs = table(s, d, "documents").where("length(text) >= 60 and doc_id % 2 = 0")
-    edits = docs.select(F.col("doc_id").alias("block_id"), F.substring("text", 1, 440).alias("old"), F.concat(F.substring("text", 1, 20), F.substring("text", 41, 400)).alias("new"))
-    return I.ledger(V.marks(s, d).where("end <= 440"), edits, ["block_id"])
+    edits = docs.select(F.col("doc_id").alias("block_id"), F.col("text").alias("old"), F.concat(F.substring("text", 1, 20), F.substring(F.col("text"), F.lit(41), F.length("text"))).alias("new"))
+    return I.ledger(V.marks(s, d), edits, ["block_id"])
 
 
 def remap_ws(s, d):
-    docs = table(s, d, "documents").select("doc_id", F.substring("text", 1, 100).alias("old"), (F.col("doc_id") % 50).alias("start"), (F.col("doc_id") % 50 + 20).alias("end"))
+    docs = table(s, d, "documents").select("doc_id", F.col("text").alias("old"), (F.col("doc_id") % 50).alias("start"), (F.col("doc_id") % 50 + 20).alias("end"))
     to = I.remap_blank(F.col("old"), F.regexp_replace("old", " ", "\n "), F.col("start"), F.col("end"))
     return docs.select("doc_id", to.alias("to")).select("doc_id", F.col("to.s").alias("start"), F.col("to.e").alias("end"))
 
@@ -91,14 +92,14 @@ def weighted_median_size(s, d):
 
 
 def grid_text(s, d):
-    rows = F.transform(F.slice(F.split("text", "\n"), 1, 3), lambda line: F.slice(F.split(line, " "), 1, 4))
+    rows = F.transform(F.split("text", "\n"), lambda line: F.split(line, " "))
     grid = table(s, d, "documents").select("doc_id", "source", rows.alias("g"))
     return grid.select("doc_id", VA.grid_text(F.col("g"), F.col("source")).alias("text"), VA.grid_shape(F.col("g")).isNotNull().alias("regular"))
 
 
 def grid_pad(s, d):
-    rows = F.transform(F.slice(F.split("text", "\n"), 1, 2), lambda line: F.slice(F.split(line, " "), 1, 3))
-    fitted = VA.fit_grid(F.col("g"), 2, 3)
+    rows = F.transform(F.split("text", "\n"), lambda line: F.split(line, " "))
+    fitted = VA.fit_grid(F.col("g"), F.size("g"), F.when(F.col("doc_id") % 4 == 0, 60).otherwise(F.array_max(F.transform("g", F.size))))
     return table(s, d, "documents").select("doc_id", rows.alias("g")).select("doc_id", F.coalesce(F.array_join(F.transform(fitted, lambda r: F.array_join(r, "|")), "/"), F.lit("none")).alias("grid"))
 
 
@@ -153,7 +154,7 @@ QUERIES = {
     "interval_union_extent": lambda s, d: S.interval_union(V.marks(s, d), "block_id", "start", "end"),
     "greedy_chunks": lambda s, d: S.greedy_chunks(V.blocks(s, d)),
     "caption_before": lambda s, d: S.caption_before(V.blocks(s, d)),
-    "join_fragments": lambda s, d: S.joined_fragments(V.blocks(s, d).where("ord < 6")).select("paper_id", F.sha2("text", 256).alias("sha")),
+    "join_fragments": lambda s, d: S.joined_fragments(V.blocks(s, d)).select("paper_id", F.sha2("text", 256).alias("sha")),
     "highlight_overlay": lambda s, d: I.overlay(V.marks(s, d), ["block_id", "lang"]),
     "marks_clipped_to_units": marks_clipped,
     "exact_range_lookup": exact_range_lookup,
@@ -180,7 +181,7 @@ QUERIES = {
     "rule_nearest": lambda s, d: (lambda b, r: G.nearest_rule(b, r))(*_split_boxes(s, d)).select("page", "rule", "id", "gap"),
     "shade_cover": lambda s, d: (lambda b, r: G.shade_cover(b, r, 0.2))(*_split_boxes(s, d)).select("page", "id", "shade"),
     "hrule_stitch": lambda s, d: G.stitched_rules(_boxes(s, d).withColumn("y0", F.floor(F.col("y0") / 100) * 1.0), gap=40.0).select("page", "row", "x0", "x1", "n"),
-    "gutter": lambda s, d: G.gutters(_boxes(s, d).where("page % 50 = 0").withColumn("x1", F.least(F.col("x1"), F.col("x0") + 120))),
+    "gutter": lambda s, d: G.gutters(_boxes(s, d).withColumn("x1", F.least(F.col("x1"), F.col("x0") + 120))),
     "cluster_rects": lambda s, d: G.clusters(_boxes(s, d)),
     "caption_match": lambda s, d: (lambda b, r: G.caption_pairs(r, b))(*_split_boxes(s, d)),
     "progress_running_max": lambda s, d: ST.progress(V.progress_log(s, d)).select("paper_id", "seq", "progress"),
@@ -250,14 +251,14 @@ ORACLES = {
     "caption_before": _B + """SELECT paper_id, ord, caption FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, caption ORDER BY ord) AS k FROM (SELECT * FROM
       (SELECT paper_id, ord, type, max(CASE WHEN type = 'p' THEN ord END) OVER (PARTITION BY paper_id ORDER BY ord ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS caption FROM blocks) WHERE type = 'figure' AND caption IS NOT NULL)) WHERE k = 1""",
     "join_fragments": V.with_(V.BLOCKS, """j AS (SELECT paper_id, ord, en AS text FROM blocks WHERE ord = 0 UNION ALL SELECT b.paper_id, b.ord, j.text || CASE WHEN j.text = '' OR (suffix(j.text, '-') AND regexp_matches(b.en, '^[A-Za-z]')) OR regexp_matches(j.text, '\\s$') OR regexp_matches(b.en, '^\\s') THEN '' ELSE ' ' END || b.en
-      FROM j JOIN blocks b ON b.paper_id = j.paper_id AND b.ord = j.ord + 1 WHERE b.ord < 6)""", recursive=True) + "SELECT paper_id, sha256(arg_max(text, ord)) AS sha FROM j GROUP BY paper_id",
+      FROM j JOIN blocks b ON b.paper_id = j.paper_id AND b.ord = j.ord + 1)""", recursive=True) + "SELECT paper_id, sha256(arg_max(text, ord)) AS sha FROM j GROUP BY paper_id",
     "highlight_overlay": V.with_(V.MARKS, """seg AS (SELECT block_id, lang, s, lead(s) OVER (PARTITION BY block_id, lang ORDER BY s) AS e FROM (SELECT block_id, lang, start AS s FROM marks UNION SELECT block_id, lang, "end" FROM marks))""",
       """own AS (SELECT block_id, lang, s, e, id, color FROM (SELECT seg.*, m.id, m.color, row_number() OVER (PARTITION BY seg.block_id, seg.lang, s ORDER BY m.ts DESC, m.id DESC) AS k FROM seg JOIN marks m ON m.block_id = seg.block_id AND m.lang = seg.lang AND m.start <= s AND m."end" >= e WHERE e IS NOT NULL) WHERE k = 1)""")
       + """SELECT block_id, lang, min(s) AS start, max(e) AS "end", id, any_value(color) AS color FROM (SELECT *, sum(CASE WHEN id = pid AND s = pe THEN 0 ELSE 1 END) OVER (PARTITION BY block_id, lang ORDER BY s) AS run FROM
       (SELECT *, lag(id) OVER w AS pid, lag(e) OVER w AS pe FROM own WINDOW w AS (PARTITION BY block_id, lang ORDER BY s))) GROUP BY block_id, lang, run, id""",
     "marks_clipped_to_units": V.with_(V.MARKS, V.BLOCKS) + """SELECT m.block_id, m.id, b.ord AS unit, greatest(m.start, b.ord * 120) - b.ord * 120 AS start, least(m."end", b.ord * 120 + 100) - b.ord * 120 AS "end" FROM marks m JOIN blocks b ON b.paper_id = m.block_id
-      WHERE b.ord < 3 AND b.paper_id < 400 AND m.start < b.ord * 120 + 100 AND m."end" > b.ord * 120""",
-    "exact_range_lookup": V.with_(V.MARKS) + """SELECT w.*, m.mark FROM (SELECT DISTINCT block_id, lang, start, "end" + CASE WHEN id % 20 = 0 THEN 0 ELSE 1 END AS "end" FROM marks WHERE id % 10 = 0) w
+      WHERE m.start < b.ord * 120 + 100 AND m."end" > b.ord * 120""",
+    "exact_range_lookup": V.with_(V.MARKS) + """SELECT w.*, m.mark FROM (SELECT DISTINCT block_id, lang, start, "end" + CASE WHEN id % 2 = 0 THEN 0 ELSE 1 END AS "end" FROM marks) w
       LEFT JOIN (SELECT block_id, lang, start, "end", min(id) AS mark FROM marks GROUP BY ALL) m ON m.block_id = w.block_id AND m.lang = w.lang AND m.start = w.start AND m."end" = w."end\"""",
     "marker_missing": _ALL + "SELECT * FROM missing",
     "marker_extra": _ALL + "SELECT * FROM extra",
@@ -269,8 +270,9 @@ ORACLES = {
       SELECT p.paper_id, count(*) FILTER (WHERE kind = 'missing') AS missing, count(*) FILTER (WHERE kind = 'extra') AS extra, count(*) FILTER (WHERE kind = 'duplicated') AS duplicated, count(*) FILTER (WHERE kind = 'misordered') AS misordered, count(*) FILTER (WHERE kind = 'untranslated') AS untranslated, count(*) FILTER (WHERE kind = 'digits') AS digits, count(*) FILTER (WHERE kind <> 'digits') = 0 AS ok
       FROM (SELECT DISTINCT paper_id FROM en) p LEFT JOIN found f ON f.paper_id = p.paper_id GROUP BY p.paper_id""",
     "blocks_to_retry": _ALL + "SELECT paper_id, id, min(rank) AS rank FROM (SELECT paper_id, id, 0 AS rank FROM missing UNION ALL SELECT paper_id, id, 1 FROM dup UNION ALL SELECT paper_id, id, 2 FROM mis UNION ALL SELECT paper_id, id, 3 FROM untranslated) GROUP BY paper_id, id",
-    "grid_text": "SELECT doc_id, source || chr(10) || array_to_string(list_transform(g, lambda r: array_to_string(r, ' | ')), chr(10)) AS text, len(list_filter(g, lambda r: len(r) = len(g[1]))) = len(g) AS regular FROM (SELECT doc_id, source, list_transform(string_split(text, chr(10))[1:3], lambda l: string_split(l, ' ')[1:4]) AS g FROM documents)",
-    "grid_pad": "SELECT doc_id, CASE WHEN len(g) = 2 THEN array_to_string(list_transform(g, lambda r: array_to_string(list_concat(r, ['', '', ''])[1:3], '|')), '/') ELSE 'none' END AS grid FROM (SELECT doc_id, list_transform(string_split(text, chr(10))[1:2], lambda l: string_split(l, ' ')[1:3]) AS g FROM documents)",
+    "grid_text": "SELECT doc_id, source || chr(10) || array_to_string(list_transform(g, lambda r: array_to_string(r, ' | ')), chr(10)) AS text, len(list_filter(g, lambda r: len(r) = len(g[1]))) = len(g) AS regular FROM (SELECT doc_id, source, list_transform(string_split(text, chr(10)), lambda l: string_split(l, ' ')) AS g FROM documents)",
+    "grid_pad": """SELECT doc_id, CASE WHEN most <= w THEN array_to_string(list_transform(g, lambda r: array_to_string(r, '|') || repeat('|', w - len(r))), '/') ELSE 'none' END AS grid FROM
+      (SELECT *, CASE WHEN doc_id % 4 = 0 THEN 60 ELSE most END AS w FROM (SELECT doc_id, g, list_max(list_transform(g, lambda r: len(r))) AS most FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda l: string_split(l, ' ')) AS g FROM documents)))""",
     "render_blocks": _B + f"SELECT paper_id, ord, {_HTML} AS html FROM blocks",
     "render_document": _B + f"""SELECT paper_id, sha256('<!doctype html><html lang="en"><head><meta charset="utf-8"><title></title></head><body>' || chr(10) || string_agg({_HTML}, chr(10) ORDER BY ord) || chr(10) || '</body></html>') AS sha FROM blocks GROUP BY paper_id""",
     "dual_rows": V.with_(V.BLOCKS, _WZ) + f"""SELECT paper_id, ord, CASE WHEN type = 'deco' OR ord % 5 = 0 THEN '<div class="wide">' || {_esc('en')} || '</div>' ELSE '<div class="en">' || {_esc('en')} || '</div><div class="zh">' || {_esc('zh')} || '</div>' END AS row FROM wz""",

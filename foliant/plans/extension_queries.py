@@ -59,7 +59,7 @@ def rank_family(s, d):
 def asof_last_event(s, d):
     """For every order of a user the last event before an hour of the day: a union in time order carries it forward."""
     (e,) = _t(s, d, "events")
-    probes = e.where("event_id % 50 = 0").select("user_id", (F.col("ts") + F.expr("interval 1 hour")).alias("ts"), F.col("event_id").alias("probe"), F.lit(None).cast("long").alias("event_id"))
+    probes = e.select("user_id", (F.col("ts") + F.expr("interval 1 hour")).alias("ts"), F.col("event_id").alias("probe"), F.lit(None).cast("long").alias("event_id"))
     both = e.select("user_id", "ts", F.lit(None).cast("long").alias("probe"), "event_id").unionByName(probes)
     w = Window.partitionBy("user_id").orderBy("ts", F.col("probe").isNotNull().cast("int"), "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return both.withColumn("last", F.last("event_id", ignorenulls=True).over(w)).where("probe is not null").select("probe", "last")
@@ -68,15 +68,15 @@ def asof_last_event(s, d):
 def range_join(s, d):
     """Items whose price lies in a band of parts' prices: both sides meet in buckets of the price, then by the range."""
     p, l = _t(s, d, "part", "lineitem")
-    bands = p.where("p_partkey % 40 = 0").select("p_partkey", (F.col("p_retailprice") * 10).alias("low"), (F.col("p_retailprice") * 10 + 200).alias("high"))
+    bands = p.select("p_partkey", (F.col("p_retailprice") * 10).alias("low"), (F.col("p_retailprice") * 10 + 200).alias("high"))
     cells = bands.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / 1000), F.floor(F.col("high") / 1000))))
     items = l.withColumn("cell", F.floor(F.col("l_extendedprice") / 1000))
     return cells.join(items, "cell").where("l_extendedprice >= low and l_extendedprice < high").groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 def reference_entries(s, d):
-    t = table(s, d, "documents").select(F.col("doc_id").alias("paper_id"), F.posexplode(F.slice(F.split("text", "\n"), 1, 6)).alias("ord", "line"))
-    return R.reference_entries(t.select("paper_id", "ord", F.concat(F.lit("["), (F.col("ord") + 1).cast("string"), F.lit("] "), F.substring("line", 1, 300)).alias("text")))
+    t = table(s, d, "documents").select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("ord", "line"))
+    return R.reference_entries(t.select("paper_id", "ord", F.concat(F.lit("["), (F.col("ord") + 1).cast("string"), F.lit("] "), "line").alias("text")))
 
 
 def model_channel(s, d):
@@ -85,9 +85,9 @@ def model_channel(s, d):
 
 
 def guarded_edit(s, d):
-    docs = table(s, d, "documents").select("doc_id", F.substring("text", 1, 120).alias("old"))
-    new = F.when(F.col("doc_id") % 4 == 0, F.col("old")).when(F.col("doc_id") % 4 == 1, F.reverse("old")).when(F.col("doc_id") % 4 == 2, F.replace("old", F.lit("e"), F.lit("é"))).otherwise("")
-    return docs.select("doc_id", M.change_verdict(F.col("old"), new).alias("verdict"))
+    blocks = V.blocks(s, d).select("paper_id", "ord", F.col("en").alias("old"))
+    new = F.when(F.col("ord") % 4 == 0, F.col("old")).when(F.col("ord") % 4 == 1, F.reverse("old")).when(F.col("ord") % 4 == 2, F.replace("old", F.lit("e"), F.lit("é"))).otherwise("")
+    return blocks.select("paper_id", "ord", M.change_verdict(F.col("old"), new).alias("verdict"))
 
 
 QUERIES = {
@@ -128,8 +128,8 @@ ORACLES = {
     "ext_rank_family": "SELECT o_orderkey, row_number() OVER w AS rn, ntile(4) OVER w AS tile, round(o_totalprice - lag(o_totalprice) OVER w, 2) AS step FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)",
     "ext_set_ops": "(SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0) EXCEPT SELECT c_custkey FROM customer WHERE c_nationkey = 3",
     "ext_semi_anti": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
-    "ext_range_join": "SELECT p_partkey, count(*) AS n FROM part JOIN lineitem ON l_extendedprice >= p_retailprice * 10 AND l_extendedprice < p_retailprice * 10 + 200 WHERE p_partkey % 40 = 0 GROUP BY p_partkey",
-    "ext_asof_last_event": "SELECT p.event_id AS probe, e.event_id AS last FROM (SELECT user_id, ts + INTERVAL 1 HOUR AS at, event_id FROM events WHERE event_id % 50 = 0) p ASOF JOIN events e ON e.user_id = p.user_id AND e.ts <= p.at",
+    "ext_range_join": "SELECT p_partkey, count(*) AS n FROM part JOIN lineitem ON l_extendedprice >= p_retailprice * 10 AND l_extendedprice < p_retailprice * 10 + 200 GROUP BY p_partkey",
+    "ext_asof_last_event": "SELECT p.event_id AS probe, e.event_id AS last FROM (SELECT user_id, ts + INTERVAL 1 HOUR AS at, event_id FROM events) p ASOF JOIN events e ON e.user_id = p.user_id AND e.ts <= p.at",
     "ext_exact_dup_docs": "SELECT sha256(text) AS h, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1",
     "model_channel": V.with_(V.BLOCKS) + "SELECT paper_id, ord, CASE WHEN length(en) % 7 = 0 THEN 'needs_review' ELSE 'mt' END AS state, CASE WHEN length(en) % 7 = 0 THEN 3 ELSE 1 END AS tries, (length(en) // 4 + 1) * CASE WHEN length(en) % 7 = 0 THEN 3 ELSE 1 END AS tokens FROM blocks WHERE type = 'p'",
     "doc_json_round_trip": V.with_(V.BLOCKS) + "SELECT paper_id, ord, id, type, en FROM blocks",

@@ -74,22 +74,22 @@ def cache_misses(spark, sf):
 def note_order(spark, sf):
     m = V.marks(spark, sf).withColumn("block_id", F.when(F.col("id") % 9 != 0, F.col("block_id")))
     order = (F.col("block_id").isNull().cast("int"), F.col("block_id"), F.when(F.col("id") % 4 == 0, 0).otherwise(1), F.when(F.col("id") % 4 == 0, -1).otherwise(F.col("start")), F.when(F.col("lang") == "en", 0).otherwise(1), F.col("id"))
-    top = m.orderBy(*order).limit(500)
-    return R.ranked(top, *order, name="place").select("place", "id")
+    keyed = m.select("id", *[c.alias(f"k{i}") for i, c in enumerate(order)])
+    return R.placed(keyed, *[F.asc(f"k{i}") for i in range(len(order))], name="place").select("place", "id")
 
 
 QUERIES = {
     "overview_by_plan": overview_by_plan,
     "plan_totals": lambda s, d: R.plan_stats(V.papers(s, d), None),
-    "status_histogram_zero_filled": lambda s, d: R.histogram(V.papers(s, d).where("paper_id % 4 <> 0 or status <> 'reviewed'").where("status <> 'reading'"), "status", R.STATUSES),
+    "status_histogram_zero_filled": lambda s, d: R.histogram(V.papers(s, d), "status", R.STATUSES),
     "conv_state_histogram": lambda s, d: R.histogram(V.papers(s, d), "conv_state"),
     "usage_per_user": usage_per_user,
     "library_search": lambda s, d: R.search(V.papers(s, d), "the%er", plan="src3").select("paper_id", "title"),
     "library_search_all_fields": lambda s, d: R.search_all(V.papers(s, d), "TH EN", ["title", "authors", "plan_id"]).select("paper_id"),
-    "library_sorted_title": lambda s, d: R.library_order(V.papers(s, d), "title", 200).select("rank", "paper_id"),
-    "library_sorted_year": lambda s, d: R.library_order(V.papers(s, d), "year", 200).select("rank", "paper_id"),
-    "library_sorted_progress": lambda s, d: R.library_order(V.papers(s, d), "progress", 200).select("rank", "paper_id"),
-    "library_sorted_created": lambda s, d: R.library_order(V.papers(s, d), "unknown", 200).select("rank", "paper_id"),
+    "library_sorted_title": lambda s, d: R.library_order(V.papers(s, d), "title").select("rank", "paper_id"),
+    "library_sorted_year": lambda s, d: R.library_order(V.papers(s, d), "year").select("rank", "paper_id"),
+    "library_sorted_progress": lambda s, d: R.library_order(V.papers(s, d), "progress").select("rank", "paper_id"),
+    "library_sorted_created": lambda s, d: R.library_order(V.papers(s, d), "unknown").select("rank", "paper_id"),
     "board_columns": board_columns,
     "recent_top5": lambda s, d: R.recent(V.papers(s, d)).select("paper_id", "status"),
     "attention_list": lambda s, d: R.attention(V.papers(s, d), AS_OF).select("kind", "paper_id"),
@@ -127,7 +127,7 @@ _ATTENTION = f"""attention AS (
 
 
 def _ordered(order: str) -> str:
-    return V.with_(V.PAPERS) + f"SELECT * FROM (SELECT row_number() OVER (ORDER BY {order}, paper_id) AS rank, paper_id FROM papers) WHERE rank <= 200"
+    return V.with_(V.PAPERS) + f"SELECT row_number() OVER (ORDER BY {order}, paper_id) AS rank, paper_id FROM papers"
 
 
 def _pace(day: str, n: int, unit: str) -> str:
@@ -140,7 +140,7 @@ def _pace(day: str, n: int, unit: str) -> str:
 ORACLES = {
     "overview_by_plan": V.with_(V.PAPERS) + f"SELECT plan_id, count(*) AS total, count(*) FILTER (WHERE {_DONE}) AS done, CAST(floor(count(*) FILTER (WHERE {_DONE}) * 100.0 / count(*) + 0.5) AS BIGINT) AS pct FROM papers GROUP BY plan_id",
     "plan_totals": V.with_(V.PAPERS) + f"SELECT count(*) AS total, count(*) FILTER (WHERE {_DONE}) AS done FROM papers",
-    "status_histogram_zero_filled": V.with_(V.PAPERS) + "SELECT d.status, count(paper_id) AS n FROM (SELECT unnest(['unread', 'reading', 'read', 'reviewed']) AS status) d LEFT JOIN (SELECT * FROM papers WHERE (paper_id % 4 <> 0 OR status <> 'reviewed') AND status <> 'reading') p ON p.status = d.status GROUP BY d.status",
+    "status_histogram_zero_filled": V.with_(V.PAPERS) + "SELECT d.status, count(paper_id) AS n FROM (SELECT unnest(['unread', 'reading', 'read', 'reviewed']) AS status) d LEFT JOIN papers p ON p.status = d.status GROUP BY d.status",
     "conv_state_histogram": V.with_(V.PAPERS) + "SELECT conv_state, count(*) AS n FROM papers GROUP BY conv_state",
     "usage_per_user": V.with_(_TENANTS) + "SELECT c_custkey AS user_key, CAST(coalesce(sum(n), 0) AS BIGINT) AS papers, CAST(coalesce(sum(t), 0) AS BIGINT) AS tokens FROM customer LEFT JOIN plans ON user_key = c_custkey LEFT JOIN (SELECT plan_key, count(DISTINCT paper_key) AS n, sum(tokens) AS t FROM items GROUP BY plan_key) i ON i.plan_key = plans.plan_key GROUP BY c_custkey",
     "library_search": V.with_(V.PAPERS) + f"SELECT paper_id, title {_SEARCHED} plan_id = 'src3' AND (title ILIKE '%the%er%' OR authors ILIKE '%the%er%')",
@@ -170,7 +170,7 @@ ORACLES = {
     "cache_misses": "SELECT doc_id, sha256('parse-v17' || text) AS fingerprint FROM documents WHERE sha256('parse-v17' || text) NOT IN (SELECT sha256('parse-v17' || text) FROM documents WHERE doc_id % 3 = 0)",
     "pending_pages": V.with_(V.BLOCKS) + "SELECT DISTINCT paper_id, page FROM blocks WHERE page <> 0 AND (paper_id + page) % 3 <> 0",
     "fixed_point_admin_guard": "SELECT s_suppkey, s_nationkey = 7 AS is_admin, CASE WHEN s_suppkey % 4 = 0 THEN 'disabled' ELSE 'active' END AS status, s_nationkey <> 7 OR (SELECT count(*) FROM supplier WHERE s_nationkey = 7 AND s_suppkey % 4 <> 0) - CASE WHEN s_nationkey = 7 AND s_suppkey % 4 <> 0 THEN 1 ELSE 0 END > 0 AS may_demote FROM supplier",
-    "note_order": V.with_(V.MARKS) + """SELECT * FROM (SELECT row_number() OVER (ORDER BY CASE WHEN id % 9 = 0 THEN 1 ELSE 0 END, CASE WHEN id % 9 <> 0 THEN block_id END NULLS FIRST, CASE WHEN id % 4 = 0 THEN 0 ELSE 1 END,
-      CASE WHEN id % 4 = 0 THEN -1 ELSE start END, CASE WHEN lang = 'en' THEN 0 ELSE 1 END, id) AS place, id FROM marks) WHERE place <= 500""",
+    "note_order": V.with_(V.MARKS) + """SELECT row_number() OVER (ORDER BY CASE WHEN id % 9 = 0 THEN 1 ELSE 0 END, CASE WHEN id % 9 <> 0 THEN block_id END NULLS FIRST, CASE WHEN id % 4 = 0 THEN 0 ELSE 1 END,
+      CASE WHEN id % 4 = 0 THEN -1 ELSE start END, CASE WHEN lang = 'en' THEN 0 ELSE 1 END, id) AS place, id FROM marks""",
     "token_estimate": V.with_(V.BLOCKS) + "SELECT paper_id, round(CAST(sum(length(en)) AS DOUBLE) * 3.5 / 1000, 4) AS estimate FROM blocks GROUP BY paper_id",
 }

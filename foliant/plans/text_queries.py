@@ -11,7 +11,7 @@ from foliant.sources import views as V
 
 #: Texts with what the functions look for; the same expression in both engines.
 _B = "chr(92)"
-DECORATED = f"""concat(substr(text, 1, 160), CASE doc_id % 8
+DECORATED = f"""concat(text, CASE doc_id % 8
   WHEN 0 THEN concat(' vari- ous words, a x- ray {_B}(a = ', {_B}, 'text{{two words}} + b', {_B}, ') (12)')
   WHEN 1 THEN concat(' see [ 12 ] here . And I NTRODUCTION to S MALL caps  -  end [3].')
   WHEN 2 THEN concat(' x = y + 2 (7)')
