@@ -74,8 +74,6 @@ def cascade_delete(parents: DataFrame, children: DataFrame, gone: DataFrame, key
     return parents.join(gone, key, "left_anti"), children.join(gone, key, "left_anti")
 
 
-def recovered(papers: DataFrame, most: int = 3) -> DataFrame:
-    """After a restart: work in hand is queued again, unless it was tried too often; then it has failed."""
-    stuck = F.col("conv_state") == "doing"
-    state = F.when(stuck & (F.col("attempts") >= most), "failed").when(stuck, "queued").otherwise(F.col("conv_state"))
-    return papers.withColumn("conv_state", state)
+def recovered(papers: DataFrame) -> DataFrame:
+    """After a restart: work in hand is queued again; its attempts stay as they were."""
+    return papers.withColumn("conv_state", F.when(F.col("conv_state") == "doing", "queued").otherwise(F.col("conv_state")))
