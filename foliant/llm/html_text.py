@@ -35,8 +35,11 @@ ENDS = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt
 ENDS = {k: (frozenset(a.split()), b) for k, (a, b) in ENDS.items()}
 DROPPED = frozenset("head nav footer aside form button input select option menu dialog svg math canvas object embed audio video label fieldset".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
-UNLIKELY = frozenset("ad ads advert adverts advertisement advertising adbox adslot adsense sponsor sponsored promo promotion banner sidebar comment comments commentlist disqus respond replies reply notice notices cookie cookies consent gdpr popup modal overlay share sharing social related recommended recommendations newsletter subscribe signup menu nav navbar navigation breadcrumb breadcrumbs footer masthead toolbar pagination pager widget widgets login search skip feedback alert warning disclaimer tags".split())
-PLAUSIBLE = frozenset("article body content main post entry story text has with no".split())
+UNLIKELY = frozenset("ad ads advert adverts advertisement advertising adbox adslot adsense sponsor sponsored promo promotion banner sidebar comment comments commentlist disqus respond replies reply notice notices cookie cookies consent gdpr popup modal overlay share sharing social related recommended recommendations newsletter subscribe signup menu nav navbar navigation breadcrumb breadcrumbs footer masthead toolbar pagination pager widget widgets login search skip feedback alert warning disclaimer tags hidden rail rightbar leftbar outbrain taboola".split())
+#: Parts of a class name that say what else a page has, not what the element is.
+BESIDE = frozenset("has with no without".split())
+#: Class names of page headers; of one inside an article only the headings are kept.
+HEADERS = frozenset("header siteheader pageheader topheader mainheader articleheader entryheader postheader".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S)
 COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?(?P<end>)(?P<name>(?!))?(?P<attrs>)(?P<cdata>(?!))?", re.S)
 TAG_START = re.compile(r"</?[a-zA-Z]")
@@ -47,13 +50,13 @@ NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "score", "chars", "linked", "commas", "drop", "named")
+    __slots__ = ("tag", "parent", "children", "score", "chars", "linked", "commas", "drop", "named", "head")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []
         self.score = self.chars = self.linked = self.commas = 0
         self.drop = tag in DROPPED
-        self.named = False
+        self.named, self.head = False, tag == "header"
 
 
 def _told(node: Node, attrs: str) -> None:
@@ -61,9 +64,11 @@ def _told(node: Node, attrs: str) -> None:
     for m in ATTRIBUTE.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name in ("class", "id"):
-            parts = {x.lower() for x in NAME_PART.findall(value)}
-            if parts & UNLIKELY and not parts & PLAUSIBLE or parts & {"comment", "comments", "sidebar"} and not parts & {"has", "with", "no"}:
-                node.named = True
+            for own in value.split():
+                parts = [x.lower() for x in NAME_PART.findall(own)]
+                if not BESIDE.intersection(parts):
+                    node.named |= not UNLIKELY.isdisjoint(parts)
+                    node.head |= "".join(parts) in HEADERS
         elif name == "role":
             node.drop |= value.lower() in ROLES
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -131,7 +136,7 @@ def parse(html: str) -> Node:
         if m["attrs"]:
             _told(node, m["attrs"])
         if name in ("html", "body"):
-            node.drop = node.named = False
+            node.drop = node.named = node.head = False
         elif name in ("article", "main"):
             node.drop = False
         top.children.append(node)
@@ -162,9 +167,7 @@ def _order(root: Node) -> list[Node]:
 
 
 def _gone(node: Node, strict: bool) -> bool:
-    if node.tag == "header":
-        return True
-    return node.drop or strict and node.named
+    return node.head or node.drop or strict and node.named
 
 
 def _measure(nodes: list[Node], strict: bool) -> None:
@@ -261,7 +264,7 @@ def _blocks(kept: list[Node], strict: bool) -> Iterator[str]:
         if x.tag in ("br", "wbr"):
             own.append(" " if x.tag == "br" else "")
             continue
-        if inside and x.tag == "header":  # an article's own header keeps its headings
+        if inside and x.head:  # an article's own header keeps its headings
             todo.extend(h for h in reversed(_order(x)) if h.tag in HEADINGS)
             continue
         if inside and _gone(x, strict) or inside and x.tag in ("ul", "ol", "div", "section", "table") and x.chars and _density(x) > 0.5:
