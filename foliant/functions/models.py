@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from foliant.functions.text import CJK
+from foliant.functions.text import CJK, first_json_object, tags_of, year_of
+from foliant.operators.validate import latex_problems
 
 #: Bounds of an acceptable correction: growth and likeness.
 GROWTH, SLACK, LIKENESS = 3, 300, 0.55
@@ -87,3 +88,15 @@ def _verdicts(old: pd.Series, new: pd.Series) -> pd.Series:
 def change_verdict(old: Column, new: Column) -> Column:
     """change_refused() over columns, in Arrow batches."""
     return F.pandas_udf(_verdicts, StringType())(old, new)
+
+
+def latex_accepted(source: Column, answer: Column) -> Column:
+    """A typeset text is accepted if nothing speaks against it but numbering, which may move to a neighbour."""
+    return F.size(F.array_remove(latex_problems(source, answer), "numbers")) == 0
+
+
+def metadata(heads: DataFrame, model: TextModel) -> DataFrame:
+    """(paper_id, title, year, tags) from (paper_id, text): a model's JSON, whatever stands around it, each field checked; nulls where it fails."""
+    got = answers(heads.select("paper_id", "text"), "text", model).select("paper_id", first_json_object(F.col("answer")).alias("j"))
+    field = lambda name: F.get_json_object("j", f"$.{name}")
+    return got.select("paper_id", F.nullif(F.trim(field("title")), F.lit("")).alias("title"), year_of(field("year")).alias("year"), tags_of(F.coalesce(field("tags"), F.lit(""))).alias("tags"))

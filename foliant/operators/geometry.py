@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions.text import continues
+
 PAGE = ["paper_id", "page"]
 WIDTH, HEIGHT = 612.0, 792.0
 
@@ -152,3 +154,37 @@ def caption_pairs(images: DataFrame, texts: DataFrame, most: float = 90.0) -> Da
         return pd.DataFrame(out, columns=["paper_id", "page", "image", "text"])
 
     return hit.select(*PAGE, "image", "id", "score").groupBy(*PAGE).applyInPandas(one, "paper_id long, page long, image long, text long")
+
+
+def table_regions(rules: DataFrame, lines: DataFrame, most_gap: float = 220.0, least_lines: int = 4, ratio: float = 1.6, columns: int = 3, top: int = 3) -> DataFrame:
+    """(paper_id, page, y0, y1): bands between neighbouring rules with enough lines, lines a row and distinct starts; the tallest of a page.
+
+    rules: (paper_id, page, x0, x1, y); lines: (paper_id, page, x0, y0). Rules go together while the gap is small; a
+    line's row and start are told by steps of 4 points.
+    """
+    order = Window.partitionBy(*PAGE).orderBy("y", "x0")
+    far = F.coalesce((F.col("y") - F.lag("y").over(order)) > most_gap, F.lit(True))
+    runs = rules.withColumn("far", far.cast("int")).withColumn("band", F.sum("far").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    bands = runs.groupBy(*PAGE, "band").agg(F.min("y").alias("b0"), F.max("y").alias("b1"), F.count(F.lit(1)).alias("rules")).where("rules >= 2")
+    inside = bands.join(lines, PAGE).where((F.col("y0") >= F.col("b0")) & (F.col("y0") <= F.col("b1")))
+    held = inside.groupBy(*PAGE, "band", "b0", "b1").agg(F.count(F.lit(1)).alias("lines"), F.countDistinct(F.floor(F.col("y0") / 4)).alias("rows"), F.countDistinct(F.floor(F.col("x0") / 4)).alias("starts"))
+    found = held.where((F.col("lines") >= least_lines) & (F.col("lines") >= F.col("rows") * ratio) & (F.col("starts") >= columns))
+    place = F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc(F.col("b1") - F.col("b0")), "b0"))
+    return found.withColumn("k", place).where(F.col("k") <= top).select(*PAGE, F.col("b0").alias("y0"), F.col("b1").alias("y1"))
+
+
+def margin_graphics(boxes: DataFrame, texts: DataFrame, height: float = HEIGHT, width: float = WIDTH, band: float = 0.14, top: int = 4) -> DataFrame:
+    """Small boxes in the bands at a page's edges that lie over no text: the largest of each page."""
+    small = boxes.where(((F.col("y1") <= height * band) | (F.col("y0") >= height * (1 - band))) & ((F.col("x1") - F.col("x0")).between(4, width * 0.4)) & ((F.col("y1") - F.col("y0")).between(4, 40)))
+    t = texts.select(*[F.col(c).alias(f"t_{c}") for c in (*PAGE, "x0", "y0", "x1", "y1")])
+    over = (F.col("x0") < F.col("t_x1")) & (F.col("x1") > F.col("t_x0")) & (F.col("y0") < F.col("t_y1")) & (F.col("y1") > F.col("t_y0"))
+    free = small.join(t, (F.col("paper_id") == F.col("t_paper_id")) & (F.col("page") == F.col("t_page")) & over, "left_anti")
+    place = F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))), "id"))
+    return free.withColumn("k", place).where(F.col("k") <= top).select(*PAGE, "id", F.col("k").cast("long").alias("k"))
+
+
+def column_seams(ordered: DataFrame) -> DataFrame:
+    """(paper_id, page, before, after): a left column's last text that goes on at the head of the right one. ordered: place, side, text."""
+    w = Window.partitionBy(*PAGE).orderBy("place")
+    near = ordered.withColumns({"after": F.lead("id").over(w), "next_side": F.lead("side").over(w), "next_text": F.lead("text").over(w)})
+    return near.where((F.col("side") == 0) & (F.col("next_side") == 1) & continues(F.col("text"), F.col("next_text"))).select(*PAGE, F.col("id").alias("before"), "after")

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.functions import matching as MA
+from foliant.functions import models as M
 from foliant.functions import text as T
+from foliant.operators import accounts as A
 from foliant.operators import edits as E
+from foliant.operators import geometry as G
+from foliant.operators import render as H
 from foliant.operators import spans as SP
 from foliant.session import table
+from foliant.sources import markers as MK
 from foliant.sources import views as V
 
 
@@ -76,7 +81,88 @@ def title_replaced(s, d):
     return x.select("paper_id", "x.text", "x.refused")
 
 
+def _fragments(s, d):
+    """Each paper's blocks as one marked fragment, every seventh one nested in the block before it."""
+    b = V.blocks(s, d)
+    inner = F.concat(F.lit('<span data-b="'), "id", F.lit('" data-nt="1">'), T.escape(F.col("en")), F.lit("</span></p>"))
+    html = F.when(F.col("ord") % 7 == 6, inner).otherwise(H.render_block(F.lit("p"), F.col("id"), F.col("en")))
+    opened = F.when(F.col("ord") % 7 == 5, F.regexp_replace(html, "</p>$", "")).otherwise(html)
+    parts = b.select("paper_id", "ord", opened.alias("h"))
+    return parts.groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "h"))), lambda x: x["h"]), "").alias("html"))
+
+
+def heading_levels(s, d):
+    b = V.blocks(s, d)
+    text = F.when(F.col("ord") % 5 == 0, F.concat(F.lit("II. "), "en")).when(F.col("ord") % 5 == 1, F.concat(F.lit("A. "), "en")).when(F.col("ord") % 5 == 2, F.concat(F.lit("1.2 "), "en")).otherwise(F.col("en"))
+    return b.select("paper_id", "ord", G.heading_level(text, 9.0 + F.col("ord") % 4, F.col("ord") % 2 == 1, F.lit(10.0)).alias("level"))
+
+
+def furniture(s, d):
+    b = V.blocks(s, d)
+    n = F.col("ord")
+    css = H.furniture_class(F.col("type"), F.when(n % 5 == 0, "top").when(n % 5 == 1, "bottom").when(n % 5 == 2, "x"), F.when(n % 3 == 0, "above"), F.when(n % 4 == 0, "#a1B2c3").when(n % 4 == 1, "red"))
+    url = H.asset_url(F.when(n % 3 == 0, F.concat(F.lit("assets/"), "id", F.lit(".png"))).when(n % 3 == 1, F.lit("https://x/y.png")).otherwise("data:z"), "/files/7/")
+    return b.select("paper_id", "ord", css.alias("css"), url.alias("url"), G.hex_color(F.array((n % 11) / 10.0, F.lit(0.5), F.lit(2.0))).alias("color"))
+
+
+def code_verdicts(s, d):
+    e = table(s, d, "events").select(F.concat(F.lit("U"), F.col("user_id").cast("string"), F.lit("@x.org ")).alias("email"), F.lit("login").alias("purpose"), (F.col("event_id") % 5).cast("string").alias("code"), "ts", "event_id")
+    tries = e.where("event_id % 2 = 1").withColumn("ts", F.col("ts") + F.expr("interval 20 days"))
+    return A.code_verdict(A.issued_codes(e.where("event_id % 2 = 0"), 60 * 24 * 20), tries).groupBy("email", "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+def backfill(s, d):
+    p = V.papers(s, d).select("paper_id", "progress", F.when(F.col("paper_id") % 2 == 0, F.col("status_at")).alias("last_read_at"), F.col("created_at").alias("updated_at"))
+    return A.backfilled(p).select("paper_id", "last_read_at")
+
+
+def metadata_writeback(s, d):
+    p = V.papers(s, d).select("paper_id", F.when(F.col("paper_id") % 3 == 0, F.lit("")).otherwise(F.col("title")).alias("title"), F.when(F.col("paper_id") % 5 == 0, F.lit(True)).alias("placeholder"), F.when(F.col("paper_id") % 2 == 0, F.col("authors")).alias("authors"), "year")
+    meta = p.select("paper_id", F.when(F.col("paper_id") % 2 == 0, "题名").otherwise(" ").alias("title_zh"), F.lit("A title").alias("title_en"), F.lit("someone").alias("authors"), F.lit(1999).alias("year"))
+    return A.metadata_written(p, meta)
+
+
+def _json_model(texts):
+    return [(f'```json\n{{"title": " T{len(t)} ", "year": "in {1990 + len(t) % 30}", "tags": "#a, b;a"}}\n```' if len(t) % 4 else "no answer", 5) for t in texts]
+
+
+def metadata_extract(s, d):
+    heads = V.blocks(s, d).where("ord = 0").select("paper_id", F.col("en").alias("text"))
+    return M.metadata(heads, _json_model).select("paper_id", "title", "year", F.array_join("tags", "|").alias("tags"))
+
+
+def _pages(s, d):
+    l = table(s, d, "lineitem")
+    return l.select((F.col("l_orderkey") % 100).alias("paper_id"), F.col("l_orderkey").alias("page"), F.col("l_linenumber").cast("long").alias("id"), (F.col("l_partkey") % 60 * 10.0).alias("x0"), (F.col("l_suppkey") % 79 * 10.0).alias("y0")).withColumns({"x1": F.col("x0") + 80, "y1": F.col("y0") + 12.0 + F.col("id") * 3})
+
+
+def table_regions(s, d):
+    p = _pages(s, d)
+    rules = p.where("id % 2 = 0").select("paper_id", "page", "x0", "x1", F.col("y0").alias("y"))
+    return G.table_regions(rules, p.where("id % 2 = 1"), 900.0, 2, 1.0, 2).select("page", "y0", "y1")
+
+
+def margin_graphics(s, d):
+    p = _pages(s, d)
+    return G.margin_graphics(p.where("id % 2 = 0"), p.where("id % 2 = 1")).select("page", "id", "k")
+
+
+def column_seams(s, d):
+    b = V.blocks(s, d).select("paper_id", "page", F.col("ord").alias("id"), F.col("ord").alias("place"), (F.floor(F.col("ord") / 2) % 2).alias("side"), F.when(F.col("ord") % 2 == 1, F.regexp_replace("en", "[.]$", " and")).otherwise(F.lower("en")).alias("text"))
+    return G.column_seams(b)
+
+
 QUERIES = {
+    "heading_levels": heading_levels,
+    "furniture": furniture,
+    "code_verdicts": code_verdicts,
+    "backfill": backfill,
+    "metadata_writeback": metadata_writeback,
+    "metadata_extract": metadata_extract,
+    "table_regions": table_regions,
+    "margin_graphics": margin_graphics,
+    "column_seams": column_seams,
+    "marked_blocks": lambda s, d: MK.markers(_fragments(s, d)).select("paper_id", "n", "id", "text", "untranslated"),
     "page_rotation": lambda s, d: SP.page_rotation(_spans(s, d)),
     "visible_text": visible_text,
     "main_size": lambda s, d: SP.main_sizes(_spans(s, d), SP.BLOCK),
@@ -95,7 +181,26 @@ QUERIES = {
 
 _S = V.with_(V.BLOCKS, SPANS)
 
+_PAGES = """p AS (SELECT *, x0 + 80 AS x1, y0 + 12.0 + id * 3 AS y1 FROM (SELECT l_orderkey AS page, CAST(l_linenumber AS BIGINT) AS id, CAST(l_partkey % 60 * 10 AS DOUBLE) AS x0, CAST(l_suppkey % 79 * 10 AS DOUBLE) AS y0 FROM lineitem))"""
+
 ORACLES = {
+    "heading_levels": V.with_(V.BLOCKS) + """SELECT paper_id, ord, CAST(CASE WHEN length(t) > 160 THEN NULL WHEN ord % 5 = 0 AND ord % 2 = 0 THEN 2 WHEN ord % 5 = 1 AND ord % 2 = 1 THEN 3 WHEN ord % 5 = 2 THEN 4
+      WHEN regexp_matches(lower(t), '^(abstract|introduction|references|conclusions?|acknowledge?ments?|appendix|methods?|results|discussion)\\b') AND length(t) < 60 THEN 2 WHEN ord % 4 >= 2 AND length(t) < 90 THEN 2 END AS INTEGER) AS level
+      FROM (SELECT paper_id, ord, CASE ord % 5 WHEN 0 THEN 'II. ' || en WHEN 1 THEN 'A. ' || en WHEN 2 THEN '1.2 ' || en ELSE en END AS t FROM blocks)""",
+    "furniture": V.with_(V.BLOCKS) + """SELECT paper_id, ord, concat_ws(' ', CASE WHEN type = 'deco' THEN 'deco' END, CASE WHEN type = 'deco' THEN CASE ord % 5 WHEN 0 THEN 'deco-top' WHEN 1 THEN 'deco-bottom' END END, CASE WHEN type = 'p' THEN CASE ord % 5 WHEN 0 THEN 'pg-band pg-top' WHEN 1 THEN 'pg-band pg-bottom' END END,
+      CASE WHEN type <> 'deco' AND ord % 3 = 0 THEN 'pg-rule-above' END, CASE WHEN type <> 'deco' AND ord % 4 = 0 THEN 'pg-shade' END) AS css, CASE ord % 3 WHEN 0 THEN '/files/7/' || id || '.png' WHEN 1 THEN 'https://x/y.png' ELSE 'data:z' END AS url, printf('#%02x80ff', CAST(floor(ord % 11 / 10.0 * 255 + 0.5) AS BIGINT)) AS color FROM blocks""",
+    "code_verdicts": """WITH e AS (SELECT 'u' || user_id || '@x.org' AS email, event_id % 5 AS code, ts, event_id FROM events), i AS (SELECT email, arg_max(code, struct_pack(ts := ts, c := code)) AS code, max(ts) AS ts FROM e WHERE event_id % 2 = 0 GROUP BY email)
+      SELECT t.email, CASE WHEN i.code IS NULL THEN 'none' WHEN i.ts + INTERVAL 20 DAY < t.ts + INTERVAL 20 DAY THEN 'expired' WHEN i.code <> t.code THEN 'wrong' ELSE 'ok' END AS verdict, count(*) AS n FROM e t LEFT JOIN i ON i.email = t.email WHERE t.event_id % 2 = 1 GROUP BY ALL""",
+    "backfill": V.with_(V.PAPERS) + "SELECT paper_id, coalesce(CASE WHEN paper_id % 2 = 0 THEN status_at END, CASE WHEN progress > 0 THEN created_at END) AS last_read_at FROM papers",
+    "metadata_writeback": V.with_(V.PAPERS) + "SELECT paper_id, CASE WHEN paper_id % 5 = 0 OR paper_id % 3 = 0 OR trim(title) = '' THEN CASE WHEN paper_id % 2 = 0 THEN '题名' ELSE 'A title' END ELSE title END AS title, CASE WHEN paper_id % 2 = 0 THEN authors ELSE 'someone' END AS authors, coalesce(year, 1999) AS year FROM papers",
+    "metadata_extract": V.with_(V.BLOCKS) + "SELECT paper_id, CASE WHEN length(en) % 4 > 0 THEN 'T' || length(en) END AS title, CASE WHEN length(en) % 4 > 0 THEN CAST(1990 + length(en) % 30 AS INTEGER) END AS year, CASE WHEN length(en) % 4 > 0 THEN 'a|b' ELSE '' END AS tags FROM blocks WHERE ord = 0",
+    "table_regions": f"WITH {_PAGES}, b AS (SELECT page, min(y0) AS b0, max(y0) AS b1 FROM p WHERE id % 2 = 0 GROUP BY page HAVING count(*) >= 2)" + """ SELECT b.page, b0 AS y0, b1 AS y1 FROM b JOIN p ON p.page = b.page AND id % 2 = 1 AND y0 >= b0 AND y0 <= b1 GROUP BY ALL
+      HAVING count(*) >= 2 AND count(*) >= count(DISTINCT floor(p.y0 / 4)) AND count(DISTINCT floor(x0 / 4)) >= 2""",
+    "margin_graphics": f"WITH {_PAGES}" + """ SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY (x1 - x0) * (y1 - y0) DESC, id) AS k FROM p a WHERE id % 2 = 0 AND (y1 <= 792 * 0.14 OR y0 >= 792 * 0.86) AND y1 - y0 BETWEEN 4 AND 40
+      AND NOT EXISTS (SELECT 1 FROM p t WHERE t.page = a.page AND t.id % 2 = 1 AND a.x0 < t.x1 AND a.x1 > t.x0 AND a.y0 < t.y1 AND a.y1 > t.y0) QUALIFY k <= 4""",
+    "column_seams": V.with_(V.BLOCKS) + """SELECT paper_id, page, ord AS before, after FROM (SELECT *, lead(ord) OVER w AS after, lead(side) OVER w AS ns, lead(t) OVER w AS nt FROM (SELECT *, ord // 2 % 2 AS side, CASE WHEN ord % 2 = 1 THEN regexp_replace(en, '[.]$', ' and') ELSE lower(en) END AS t FROM blocks) WINDOW w AS (PARTITION BY paper_id, page ORDER BY ord))
+      WHERE side = 0 AND ns = 1 AND NOT regexp_matches(t, '[.!?:;)\\]"''”’。！？]\\s*$') AND regexp_matches(nt, '^[a-z(]')""",
+    "marked_blocks": V.with_(V.BLOCKS) + "SELECT paper_id, ord AS n, id, regexp_replace(regexp_replace(en, '\\s+', ' ', 'g'), '^ | $', '', 'g') AS text, ord % 7 = 6 AS untranslated FROM blocks",
     "page_rotation": _S + """SELECT paper_id, page, CASE WHEN v < 200 OR v < 0.6 * (v + l) THEN 0 ELSE 270 END AS rotation FROM (SELECT paper_id, page, coalesce(sum(length(text)) FILTER (WHERE dir_y < 0), 0) AS v, coalesce(sum(length(text)) FILTER (WHERE dir_y = 0), 0) AS l FROM spans GROUP BY ALL)""",
     "visible_text": _S + """SELECT paper_id, page, block, sha256(string_agg(text, ' ' ORDER BY line, span)) AS sha, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, CAST(max(CASE WHEN regexp_matches(text, '\\S') THEN size END) AS DOUBLE) AS size FROM
       (SELECT *, min(y0) OVER w > 792 * 0.075 AND max(y1) OVER w < 792 * 0.925 AS inside FROM spans WINDOW w AS (PARTITION BY paper_id, page, block)) WHERE inside OR color <> 16777215 OR NOT regexp_matches(text, '\\S') GROUP BY paper_id, page, block""",

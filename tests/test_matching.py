@@ -43,3 +43,21 @@ def test_note_area(spark):
     rows = [*line(0, "a", "Corresponding author"), *line(1, "b", "Department of things"), (1, 1, 2, 0, 0, "A body paragraph", 10.0), (1, 1, 2, 1, 0, "goes on", 10.0)]
     df = spark.createDataFrame(rows, "paper_id long, page long, block long, line long, span long, text string, size double")
     assert [(r.block, r.marks, r.em) for r in SP.note_areas(df, 10.0).collect()] == [(1, 2, 0.85)]
+
+
+def test_nested_markers():
+    from foliant.sources.markers import read
+
+    html = '<style><p data-b="no">x</p></style><p data-b="b-1">one <b>two</b> <span data-b="b-2" data-nt="1">in &amp; side</span> three</p><br><p data-b="b-3" data-pt="1">end'
+    assert read(html) == [(0, "b-1", "p", "one two three", False, False), (1, "b-2", "span", "in & side", True, False), (2, "b-3", "p", "end", False, True)]
+    assert read("") == [] and read("</p>< text") == []
+
+
+def test_metadata_fails_softly(spark):
+    from foliant.functions import models as M
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "paper_id long, text string")
+    given = {"a": '```json\n{"title": "T", "year": 2019, "tags": "#x,y"}\n```', "b": "sorry", "c": 'see {"title": " ", "year": "about 1850"} end'}
+    out = {r.paper_id: r for r in M.metadata(rows, lambda ts: [(given[t], 1) for t in ts]).collect()}
+    assert (out[1].title, out[1].year, out[1].tags) == ("T", 2019, ["x", "y"])
+    assert (out[2].title, out[2].year) == (None, None) and (out[3].title, out[3].year) == (None, None)
