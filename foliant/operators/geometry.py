@@ -1,15 +1,16 @@
 """Page layout over boxes (paper_id, page, id, x0, y0, x1, y1): bands, columns, reading order, rules, shades, captions.
 
-What folds over a page's boxes until nothing changes runs in pandas, a page a group; a page is bounded by its paper.
+What folds over a page's boxes until nothing changes runs in Python, many pages to a batch; a page is bounded by its paper.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import continues
+from foliant.operators.grouped import fold_groups
 
 PAGE = ["paper_id", "page"]
 WIDTH, HEIGHT = 612.0, 792.0
@@ -88,36 +89,34 @@ def hex_color(rgb: Column) -> Column:
 def gutters(boxes: DataFrame, width: float = WIDTH) -> DataFrame:
     """(paper_id, page, gutter): the x between columns that the fewest boxes cross, or null."""
 
-    def one(page: pd.DataFrame) -> pd.DataFrame:
-        found = _gutter(page[["x0", "y0", "x1", "y1"]].to_numpy().tolist(), width)
-        return pd.DataFrame({"paper_id": [page.paper_id.iloc[0]], "page": [page.page.iloc[0]], "gutter": [found]})
+    return fold_groups(boxes, PAGE, ["x0", "y0", "x1", "y1"], lambda key, rows: [(*key, _gutter(rows, width))], "paper_id long, page long, gutter double")
 
-    return boxes.groupBy(*PAGE).applyInPandas(one, "paper_id long, page long, gutter double")
 
-
-def _gutter(boxes: list[list[float]], width: float) -> float | None:
-    while boxes:
-        steps = [width * 0.35 + 0.5 * k for k in range(int(width * 0.3 / 0.5) + 1)]
-        crossed = [sum(b[0] < x < b[2] for b in boxes) for x in steps]
-        least = min(crossed)
-        x = min((s for s, c in zip(steps, crossed, strict=True) if c == least), key=lambda s: (abs(s - width / 2), s))
-        if least > max(1, int(0.06 * len(boxes))):
-            boxes = [b for b in boxes if not b[0] < x < b[2]]
+def _gutter(boxes: list[tuple], width: float) -> float | None:
+    own = np.array(boxes, dtype=float)
+    steps = width * 0.35 + 0.5 * np.arange(int(width * 0.3 / 0.5) + 1)
+    while len(own):
+        across = (own[:, None, 0] < steps) & (steps < own[:, None, 2])
+        crossed = across.sum(axis=0)
+        fewest = np.flatnonzero(crossed == crossed.min())
+        k = fewest[np.lexsort((steps[fewest], np.abs(steps[fewest] - width / 2)))[0]]
+        if crossed[k] > max(1, int(0.06 * len(own))):
+            own = own[~across[:, k]]
             continue
-        sides = [[b for b in boxes if b[2] <= x], [b for b in boxes if b[0] >= x]]
-        if not all(sides):
+        sides = own[own[:, 2] <= steps[k]], own[own[:, 0] >= steps[k]]
+        if not all(map(len, sides)):
             return None
-        spans = [max(b[3] for b in s) - min(b[1] for b in s) for s in sides]
+        spans = [s[:, 3].max() - s[:, 1].min() for s in sides]
         tall = min(spans) >= 0.5 * max(spans) > 0
-        return x if tall or min(map(len, sides)) >= 2 else None
+        return float(steps[k]) if tall or min(map(len, sides)) >= 2 else None
     return None
 
 
 def clusters(boxes: DataFrame, dx: float = 6.0, dy: float = 20.0) -> DataFrame:
     """Boxes within dx and dy of each other, joined until nothing changes: (paper_id, page, x0, y0, x1, y1, n)."""
 
-    def one(page: pd.DataFrame) -> pd.DataFrame:
-        own = [[*r, 1] for r in page[["x0", "y0", "x1", "y1"]].to_numpy().tolist()]
+    def one(key: tuple, rows: list[tuple]) -> list[tuple]:
+        own = [[*r, 1] for r in rows]
         moved = True
         while moved:
             moved, out = False, []
@@ -130,12 +129,9 @@ def clusters(boxes: DataFrame, dx: float = 6.0, dy: float = 20.0) -> DataFrame:
                 else:
                     out.append(list(b))
             own = out
-        done = pd.DataFrame(sorted(own), columns=["x0", "y0", "x1", "y1", "n"])
-        done.insert(0, "page", page.page.iloc[0])
-        done.insert(0, "paper_id", page.paper_id.iloc[0])
-        return done.astype({"n": "int64"})
+        return [(*key, *o) for o in sorted(own)]
 
-    return boxes.groupBy(*PAGE).applyInPandas(one, "paper_id long, page long, x0 double, y0 double, x1 double, y1 double, n long")
+    return fold_groups(boxes, PAGE, ["x0", "y0", "x1", "y1"], one, "paper_id long, page long, x0 double, y0 double, x1 double, y1 double, n long")
 
 
 def caption_pairs(images: DataFrame, texts: DataFrame, most: float = 90.0) -> DataFrame:
@@ -145,15 +141,15 @@ def caption_pairs(images: DataFrame, texts: DataFrame, most: float = 90.0) -> Da
     gap = F.when(F.col("y0") >= F.col("iy1"), F.col("y0") - F.col("iy1")).otherwise(F.col("iy0") - F.col("y1"))
     hit = texts.join(i, PAGE).withColumn("score", F.abs(gap) + F.when(gap < 0, 8.0).otherwise(0.0)).where((overlap > 0) & (gap <= most) & (gap >= -F.least(F.lit(24.0), (F.col("y1") - F.col("y0")) * 0.25)))
 
-    def one(page: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, rows: list[tuple]) -> list[tuple]:
         seen_i, seen_t, out = set(), set(), []
-        for r in page.sort_values(["score", "image", "id"]).itertuples():
-            if r.image not in seen_i and r.id not in seen_t:
-                seen_i.add(r.image), seen_t.add(r.id)
-                out.append((r.paper_id, r.page, r.image, r.id))
-        return pd.DataFrame(out, columns=["paper_id", "page", "image", "text"])
+        for image, text, _ in rows:
+            if image not in seen_i and text not in seen_t:
+                seen_i.add(image), seen_t.add(text)
+                out.append((*key, image, text))
+        return out
 
-    return hit.select(*PAGE, "image", "id", "score").groupBy(*PAGE).applyInPandas(one, "paper_id long, page long, image long, text long")
+    return fold_groups(hit, PAGE, ["image", "id", "score"], one, "paper_id long, page long, image long, text long", ("score", "image", "id"))
 
 
 def table_regions(rules: DataFrame, lines: DataFrame, most_gap: float = 220.0, least_lines: int = 4, ratio: float = 1.6, columns: int = 3, top: int = 3) -> DataFrame:

@@ -52,14 +52,19 @@ def common_suffix(a: Column, b: Column) -> Column:
     return common_prefix(F.reverse(a), F.reverse(b))
 
 
-def remap(old: Column, new: Column, start: Column, end: Column) -> Column:
+def seams(old: Column, new: Column) -> tuple[Column, Column]:
+    """What two texts share at their start, and at the end of what is left of both."""
+    p = common_prefix(old, new)
+    return p, common_suffix(F.substring(old, p + 1, F.length(old)), F.substring(new, p + 1, F.length(new)))
+
+
+def remap(old: Column, new: Column, start: Column, end: Column, shared: tuple[Column, Column] | None = None) -> Column:
     """(s, e) of a range after an edit, or null where nothing of it is left.
 
     What the two texts share at both ends stays; an end of the range inside the replaced part is held to its seam. At a
     pure insertion, a start at the seam moves with the text after it and an end there doesn't.
     """
-    p = common_prefix(old, new)
-    q = common_suffix(F.substring(old, p + 1, F.length(old)), F.substring(new, p + 1, F.length(new)))
+    p, q = shared or seams(old, new)
     a, b = F.length(old) - q, F.length(new) - q  # the replaced part is [p, a), and [p, b) in the new text
     shift = F.length(new) - F.length(old)
     s = F.when(start < p, start).when(start >= a, start + shift).otherwise(b)
@@ -84,7 +89,10 @@ def remap_blank(old: Column, new: Column, start: Column, end: Column) -> Column:
 
 def ledger(anchors: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
     """Anchors after edits (old, new) of their blocks: moved, or dropped with their quote. Unedited blocks keep theirs."""
-    joined = anchors.join(edits, keys, "left").withColumn("to", remap(F.col("old"), F.col("new"), F.col("start"), F.col("end")))
+    measured = edits.withColumn("_p", common_prefix(F.col("old"), F.col("new")))  # once for each edit, not for each anchor
+    rest = lambda c: F.substring(F.col(c), F.col("_p") + 1, F.length(c))
+    measured = measured.withColumn("_q", common_suffix(rest("old"), rest("new")))
+    joined = anchors.join(measured, keys, "left").withColumn("to", remap(F.col("old"), F.col("new"), F.col("start"), F.col("end"), (F.col("_p"), F.col("_q"))))
     fate = F.when(F.col("old").isNull(), "kept").when(F.col("to").isNull(), "dropped").otherwise("moved")
     at = lambda side, own: F.when(F.col("old").isNull(), F.col(own)).otherwise(F.col(f"to.{side}"))
     quote = F.when(fate == "dropped", F.substring(F.col("old"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")))
