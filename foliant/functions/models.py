@@ -17,6 +17,7 @@ from pyspark.sql.types import StringType
 
 from foliant.functions.text import CJK, first_json_object, tags_of, year_of
 from foliant.operators.validate import latex_problems
+from foliant.session import ship
 
 #: Bounds of an acceptable correction: growth and likeness.
 GROWTH, SLACK, LIKENESS = 3, 300, 0.55
@@ -35,6 +36,7 @@ def stub(texts: list[str]) -> list[tuple[str, int]]:
 
 def answers(rows: DataFrame, text: str, model: TextModel, name: str = "answer") -> DataFrame:
     """rows with the model's answer and its tokens; batches of a partition go to the model together."""
+    ship(rows.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -8,6 +8,8 @@ from itertools import groupby
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from foliant.session import ship
+
 
 def fold_groups(df: DataFrame, keys: list[str], values: list[str], fold: Callable[[tuple, list[tuple]], list[tuple]], schema: str, order: tuple[str, ...] = ()) -> DataFrame:
     """fold(key, rows of values) for each key; only the rows of one key are held beyond a batch."""
@@ -31,4 +33,5 @@ def fold_groups(df: DataFrame, keys: list[str], values: list[str], fold: Callabl
         if held:
             yield done(held)
 
+    ship(df.sparkSession)
     return df.select(*keys, *values).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

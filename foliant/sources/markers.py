@@ -12,6 +12,7 @@ from html import unescape
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from foliant.session import ship
 from foliant.sources.html import VOID
 
 _TOKEN = re.compile(r"<(/?)([a-zA-Z][\w-]*)([^>]*)>|([^<]+|<)")
@@ -51,4 +52,5 @@ def markers(docs: DataFrame, html: str = "html") -> DataFrame:
             rows = [(p, *r) for p, h in zip(b.paper_id, b[html], strict=True) for r in read(h)]
             yield pd.DataFrame(rows, columns=["paper_id", "n", "id", "tag", "text", "untranslated", "partial"])
 
+    ship(docs.sparkSession)
     return docs.select("paper_id", html).mapInPandas(run, "paper_id long, n long, id string, tag string, text string, untranslated boolean, partial boolean")

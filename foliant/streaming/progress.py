@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from foliant.session import ship
+
 OUT = "paper_id long, seq long, progress long, status string"
 STATE = "progress long, locked boolean, status string"
 
@@ -38,4 +40,5 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.
 
 def progress_stream(log: DataFrame) -> DataFrame:
     """(paper_id, seq, progress, status) after each event of a streaming log (paper_id, ts, seq, pct, kind)."""
+    ship(log.sparkSession)
     return log.groupBy("paper_id").applyInPandasWithState(_advance, OUT, STATE, "append", "NoTimeout")
