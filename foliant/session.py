@@ -40,7 +40,7 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(context.applicationId)
     package = Path(__file__).resolve().parent
-    path = f"{tempfile.mkdtemp(prefix='foliant-')}/foliant.zip"
+    path = os.path.realpath(f"{tempfile.mkdtemp(prefix='foliant-')}/foliant.zip")
     with zipfile.ZipFile(path, "w") as out:
         for p in sorted(package.rglob("*.py")):
             out.write(p, p.relative_to(package.parent))
