@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.session import scratch, written
+from foliant.session import scratch, ship, written
 
-__all__ = ["scratch", "written"]
+__all__ = ["scratch", "ship", "written"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A table of at most so many bytes may be broadcast; larger ones are joined by shuffle.
@@ -31,6 +31,7 @@ def text_batches(df: DataFrame) -> DataFrame:
 
     A session whose setting isn't the default keeps it.
     """
+    ship(df.sparkSession)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if df.sparkSession.conf.get(key) == "10000":
         df.sparkSession.conf.set(key, str(BATCH_ROWS))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import picked, written
+from foliant.llm.common import picked, ship, written
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 512, 8192
 #: Queries and candidates whose scores are accumulated at once, to stay in a core's cache.
@@ -96,6 +96,7 @@ def _select(k: int):
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score). Ids are longs."""
+    ship(queries.sparkSession)
     q = written(quantized(queries, id_col, vector_col, scale), "queries")
     c = written(quantized(candidates, id_col, vector_col, scale), "candidates")
     n_q, n_c = (max(1, -(-df.count() // size)) for df, size in ((q, QUERY_BLOCK), (c, CANDIDATE_BLOCK)))
