@@ -96,18 +96,18 @@ def test_pieces_of_a_long_text(spark, docs):
     assert [r.start for r in out] == [4096 * r.piece for r in out] and all(r.length == 4096 for r in out[:-1])
 
 
-def test_pages(spark):
+def test_pages(spark, tmp_path):
     spark.conf.set("spark.sql.caseSensitive", "true")
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>x" * 40), (3, "a\r\nX: y", "<p>x" * 40), (3, "u", "<p>x" * 40), (4, "u", "<p>x" * 40)]
     pages = spark.createDataFrame([(*r, "c", b"p", "h") for r in rows], "page_id long, url string, html string, digest string, payload binary, header string")
     text = html_text.extract_pages(pages).collect()
     assert len(text) == 6 and all(r.n_chars == len(r.text) for r in text) and text[0].text == ""
-    path = f"{warc.scratch(spark)}/edge-warc"
+    path = str(tmp_path / "pages")
     warc.write_archive(pages, path)
     got = warc.read_pages(spark, path).collect()
     assert sorted((r.page_id or 0, r.record_type, r.refers_to) for r in got) == sorted([(1, "response", None), (2, "response", None), (0, "revisit", 3), (3, "response", None), (3, "response", None), (4, "revisit", 3)], key=str) or len(got) == 6
     assert {r.refers_to for r in got if r.record_type == "revisit"} == {3}
-    empty = f"{warc.scratch(spark)}/edge-empty"
+    empty = str(tmp_path / "empty")
     warc.write_archive(pages.limit(0), empty)
     assert warc.read_pages(spark, empty).collect() == [] and html_text.extract_pages(pages.limit(0)).collect() == []
 
