@@ -132,22 +132,23 @@ def lasso_logistic(x: np.ndarray, y: np.ndarray, strength: float, steps: int = 4
     return float(w[0]), w[1:]
 
 
-def isotonic(z: np.ndarray, y: np.ndarray, prior: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(z: np.ndarray, y: np.ndarray, prior: float = 1.0, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Knots (z, probability) of a nondecreasing fit by pooling adjacent violators, for linear interpolation.
 
     Each pool is shrunk by `prior` pseudo-rows towards the overall rate, so that no score is exactly 0 or 1.
     """
+    weight = np.ones(len(y)) if weight is None else weight
     order = np.argsort(z, kind="stable")
-    z, y = z[order], y[order].astype(float)
+    z, y, weight = z[order], y[order].astype(float), weight[order]
     u, start = np.unique(z, return_index=True)
-    total, count = np.add.reduceat(y, start), np.diff([*start, len(z)])
+    total, count = np.add.reduceat(y * weight, start), np.add.reduceat(weight, start)
     pools: list[list[float]] = []
     for k, (s, n) in enumerate(zip(total, count, strict=True)):
         pools.append([s, n, k, k])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             s2, n2, _, last = pools.pop()
             pools[-1] = [pools[-1][0] + s2, pools[-1][1] + n2, pools[-1][2], last]
-    rate = y.mean()
+    rate = float(np.average(y, weights=weight))
     at, p = [], []
     for s, n, first, last in pools:
         value = (s + prior * rate) / (n + prior)

@@ -171,6 +171,24 @@ def test_spans_of_documents(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(_base(texts[r.doc_id])).encode()).hexdigest()
 
 
+def test_copies_of_spans_leave_room_for_others(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    letters = lambda n, signs="abcdefghkmnpqrstuvwxyz": "".join(rng.choice(signs) for _ in range(n))
+    texts = []
+    for _ in range(40):
+        texts += [f"write to {letters(8)}@{letters(6)}.org today", f"prices {letters(5)} @ {letters(4)} each"]
+        texts += [f"call +49 30 {rng.randint(10**6, 10**7 - 1)} now", f"order {rng.randint(10**7, 10**8 - 1)} came"]
+        texts += [f"api_key = '{letters(32, '0123456789abcdef')}' is set", f"so {letters(24)} ends"]
+    once = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs = once.crossJoin(spark.range(120).toDF("copy"))
+    spans = pii.candidates(docs).withColumn("base", pii.checked())
+    _, _, least = pii.learn(spans.where(F.col("base") | (F.col("kind") >= len(pii.BASE))), 100)
+    assert set(least) == {pii.KINDS.index(k) for k in pii.WIDE}
+    assert {r.doc_id for r in pii.detect(docs, limit=100).where("exists(spans, s -> s.name = 'secret')").collect()} == {i for i, t in enumerate(texts) if "api_key" in t}
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "mail a@b.cd or +1 (555) 123-4567 é")], "doc_id long, text string")
     done = pii.detect(docs).join(docs, "doc_id")
