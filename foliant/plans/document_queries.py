@@ -64,7 +64,8 @@ def remap_span(s, d):
     rest = lambda at: F.substring(old, F.lit(at), F.length(old))
     new = F.concat(F.substring(old, 1, 30), F.when(n % 2 == 0, F.lit(" inserted ")).otherwise(F.lit("")), F.when(n % 3 == 0, rest(51)).otherwise(rest(31)))
     to = I.remap(F.col("old"), F.col("new"), F.col("start"), F.col("end"))
-    rows = docs.where("length(text) >= 102").select("doc_id", old.alias("old"), new.alias("new"), (n % 90).alias("start"), (n % 90 + 12).alias("end"))
+    held = lambda at: F.least(at, F.length(old).cast("long"))
+    rows = docs.select("doc_id", old.alias("old"), new.alias("new"), F.when(old.isNotNull(), held(n % 90)).alias("start"), F.when(old.isNotNull(), held(n % 90 + 12)).alias("end"))
     return rows.select("doc_id", to.alias("to")).select("doc_id", F.col("to.s").alias("start"), F.col("to.e").alias("end"))
 
 
