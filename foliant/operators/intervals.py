@@ -62,7 +62,8 @@ def remap(old: Column, new: Column, start: Column, end: Column, shared: tuple[Co
     """(s, e) of a range after an edit, or null where nothing of it is left.
 
     What the two texts share at both ends stays; an end of the range inside the replaced part is held to its seam. At a
-    pure insertion, a start at the seam moves with the text after it and an end there doesn't.
+    pure insertion, a start at the seam moves with the text after it and an end there doesn't. Where the text changed, a
+    range that reaches beyond it is held to the new text.
     """
     p, q = shared or seams(old, new)
     a, b = F.length(old) - q, F.length(new) - q  # the replaced part is [p, a), and [p, b) in the new text
@@ -70,6 +71,8 @@ def remap(old: Column, new: Column, start: Column, end: Column, shared: tuple[Co
     s = F.when(start < p, start).when(start >= a, start + shift).otherwise(b)
     e = F.when(end <= p, end).when(end > a, end + shift).when((end == a) & (a > p), b).otherwise(p)
     low, high = F.when((start >= p) & (start < a), p).otherwise(s), F.when((end > p) & (end < a), p).otherwise(e)
+    held = lambda c: F.when(old == new, c).otherwise(F.least(c, F.length(new)))
+    low, high = held(low), held(high)
     whole = F.struct(low.cast("long").alias("s"), high.cast("long").alias("e"))
     return F.when((start < end) & (low < high) & ~((start >= p) & (end <= a) & (a > p) & (b == p)), whole)
 
