@@ -8,8 +8,9 @@ query by partition selection; these are merged by a window. All candidates are s
 Scores are exact. Where components are so large that a sum could leave 63 bits, unbounded integers are used, and a score
 outside the range of a long is set to its nearest end.
 
-Defined results: null vectors and those with a null or non-finite component take no part. An id that comes more than
-once counts once, with the smallest of its vectors (as arrays are ordered); a null id takes no part. Vectors of another
+Defined results: null vectors and those with a null or non-finite component take no part. An id may come with several
+vectors: each is a query and a candidate, a query is compared with all vectors but those of its id, and the k best of an
+id are those over all of its vectors. Rows equal in id and vector count once; a null id takes no part. Vectors of another
 dimension than a query's are compared over the dimensions both have. Fewer than k candidates are all returned. Ties
 go to the smaller id. An empty table, or no query, gives an empty table. Other columns are ignored.
 """
@@ -29,10 +30,10 @@ TILE_Q, TILE_C = 64, 2048
 
 
 def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, v): finite vectors as whole numbers, one for each id."""
+    """(id, v): finite vectors as whole numbers, one for each id and vector."""
     base = picked(vectors, id_col, vector_col).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("x")).where("id is not null and x is not null")
     finite = ~F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
-    return base.where(finite).groupBy("id").agg(F.min("x").alias("x")).select("id", F.transform("x", lambda c: F.expr("double(1)") * _floor(c * scale)).alias("v"))
+    return base.where(finite).dropDuplicates(["id", "x"]).select("id", F.transform("x", lambda c: F.expr("double(1)") * _floor(c * scale)).alias("v"))
 
 
 def _floor(c):
@@ -100,7 +101,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
     q = written(quantized(queries, id_col, vector_col, scale), "queries")
     c = written(quantized(candidates, id_col, vector_col, scale), "candidates")
     n_q, n_c = (max(1, -(-df.count() // size)) for df, size in ((q, QUERY_BLOCK), (c, CANDIDATE_BLOCK)))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    block = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n))
     left = q.select("id", "v", block(n_q).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_c - 1).cast("long"))).alias("cb"))
     right = c.select("id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))).alias("qb"), block(n_c).alias("cb"))
     best = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(_select(k), "query_id long, vec_id long, score long")

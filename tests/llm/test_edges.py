@@ -121,6 +121,20 @@ def test_vectors(spark):
     assert topk.top_k(v.limit(0), v).collect() == []
 
 
+def test_vectors_of_one_id_all_count(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    rng = random.Random(11)
+    rows = [(rng.choice([0, 50, 100, *range(1, 20)]), [rng.uniform(-1, 1) for _ in range(6)]) for _ in range(120)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(r) for r in topk.query(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect())
+    sql = duckdb.connect()
+    sql.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert got == sorted(sql.execute(f"SELECT query_id, rank, vec_id, score FROM ({topk.ORACLE})").fetchall())
+
+
 def test_stages(spark, plain, tmp_path):
     benchmark(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
     labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
