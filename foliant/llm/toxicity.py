@@ -78,7 +78,7 @@ class _Codes(dict):
     def __missing__(self, word: str) -> int:
         low = plain(word)
         code = (low in SEED) | 2 * self.knows(low) | 8 * (low in SECOND)
-        if not code & 3 and len(word) < 60 and (not low.isalpha() or _RUN.search(low)):
+        if not code & 3 and (not low.isalpha() or _RUN.search(low)):
             tried = undone(word)
             hit = bool(tried & SEED) | 2 * any(map(self.knows, tried))
             code |= hit | 4 * bool(hit)

@@ -303,6 +303,13 @@ def test_labels_of_the_held_out_fold_are_not_read(spark):
     assert quality.learn(docs, labels) == quality.learn(docs, turned)
 
 
+def test_long_obfuscated_insults_are_seen():
+    codes = toxicity._Codes(frozenset())
+    for word in ("idi" + "o" * 80 + "t", "-".join("st" + "u" * 40 + "pid"), "l" + "." * 70 + "oser", "m" + "0" * 5000 + "ron!!!"):
+        assert codes[word] & 5 == 5, word
+    assert not codes["x" * 200_000 + "1"] & 3 and not codes["a1-" * 100_000] & 3
+
+
 def test_obfuscated_insults_are_seen():
     codes = toxicity._Codes(frozenset())
     for text in ("you are an 1d10t", "you m.o.r.o.n", "STUPID!!!", "stuuuupid", "you l o s e r s"):
