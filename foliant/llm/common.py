@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +17,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_BYTES = 32 << 20
 
 
-#: Rows of a batch of texts in Python.
+#: Rows of a part of a batch of texts in Python.
 BATCH_ROWS = 1000
 
 
@@ -26,18 +29,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_batches(df: DataFrame) -> DataFrame:
-    """df, after a bound on the rows of a batch sent to Python: texts are long, and a batch is held several times over.
-
-    A session whose setting isn't the default keeps it.
-    """
+def shipped(df: DataFrame) -> DataFrame:
+    """df, once the Python workers have this package. Spark itself bounds the bytes of a batch sent to them."""
     ship(df.sparkSession)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(key) == "10000":
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
     return df
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of few rows: texts are long, and what is made of a part is held several times over."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased and nothing else; lower() is used where a text is plain ASCII, since it is far quicker than translate()."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

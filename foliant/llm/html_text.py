@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import picked, text_batches
+from foliant.llm.common import picked, shipped, slices
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is not markup.
@@ -292,7 +292,7 @@ def extract(html: str | None) -> str:
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = [extract(h.as_py()) for h in batch.column(2)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
@@ -301,7 +301,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """(page_id, url, text, n_chars) of each row."""
     base = picked(pages, id_col, url_col, html_col).select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
     kinds = [base.schema[c].dataType.simpleString() for c in ("page_id", "url")]
-    return text_batches(base).mapInArrow(_extracted, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")
+    return shipped(base).mapInArrow(_extracted, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -7,14 +7,17 @@ lower-cased); with fewer words, the whole sequence is one shingle. Two sets are
 Method. A signature has CHUNKS chunks of CHUNK symbols, each the low 16 bits of a minimum. Two signatures that differ in
 at most 2 * CHUNKS - 1 symbols have, by the pigeonhole principle, a chunk that differs in at most one, so a key for
 each chunk and each symbol left out of it ("allowed errors") meets in at least one key: no pair within that distance is
-lost. Pairs beyond it are still found if any chunk agrees; FAR only drops pairs whose distance is out of reach of the
-threshold. Each link is confirmed on the full sets (as 64-bit hashes of shingles).
+missed. A pair beyond it is missed only if every chunk differs in at least two symbols; at a similarity of exactly 0.8
+that has a probability under MISSED, and less above. No pair that meets is dropped for its distance: what can't be
+linked by the sizes of its sets is left out, which is exact, and signatures further apart than FAR, which a linked pair
+reaches with a probability under MISSED. Every link is confirmed on the full sets (as 64-bit hashes of shingles).
 
 Groups. Equal sets are folded to one representative first, by a pre-aggregated minimum. In each key, all members are
 compared with its smallest one (a star, not all pairs) and the confirmed links are closed into components. Members that
 are then outside the component of their key's smallest meet the other members of the key in blocks of bounded size,
-which hold the full sets and yield a spanning forest of exact links. No link between different texts is lost, and what
-any step makes grows with the members of a group, not with its pairs.
+which hold the full sets and yield a spanning forest of exact links. What any step makes grows with the members of a
+group, not with its pairs. Joins on a key, digest or head that many rows share read both sides from written tables, so
+that adaptive execution can split the many rows of one value among tasks.
 
 Defined results: no words or no text: an empty set, linked with nothing, kept. Rows that share an id are one document
 for linking: their sets are all its own. A null id is kept alone in the result, with a null component and kept true.
@@ -24,18 +27,31 @@ An empty table gives an empty table. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import picked, shuffle_partitions, text_batches, written
+from foliant.llm.common import picked, shipped, shuffle_partitions, slices, written
 
-CHUNKS, CHUNK = 10, 6
+CHUNKS, CHUNK = 16, 5
 SYMBOLS = CHUNKS * CHUNK
-#: Symbols that may differ in a pair that is compared: at the threshold of 0.8 the mean is 12 of 60, with a deviation of 3.1.
-FAR = 28
+#: The probability with which a pair at the threshold may be missed, by its keys or by FAR.
+MISSED = 1e-9
+
+
+def far(percent: int) -> int:
+    """The least distance that a pair at the threshold exceeds with a probability under MISSED."""
+    p = 1 - percent / 100
+    at = lambda k: comb(SYMBOLS, k) * p**k * (1 - p) ** (SYMBOLS - k)
+    over, k = 0.0, SYMBOLS
+    while k > 0 and over + at(k) < MISSED:
+        over, k = over + at(k), k - 1
+    return k
+
+
 #: Shingles that a block of strays or of members holds in the mean.
 BLOCK_ELEMENTS = 2_000_000
 #: Words whose hashes are kept in a worker's memory, and rows of a block of minima.
@@ -106,7 +122,7 @@ def _sketches(shingle: int):
         import xxhash
 
         hashes = _WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), shingle, hashes)
@@ -115,8 +131,7 @@ def _sketches(shingle: int):
                     continue
                 symbols = signature(s)
                 rows.append((len(s), xxhash.xxh128_digest(s.tobytes()), symbols.tobytes()))
-            columns = zip(*rows, strict=True) if rows else ([],) * len(schema)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, f.type) for x, f in zip(columns, schema, strict=True))], names=["_id", *schema.names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True))], names=["_id", *schema.names])
 
     return run
 
@@ -124,11 +139,11 @@ def _sketches(shingle: int):
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """(_id, n, digest, sig) of each row."""
     base = picked(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    return text_batches(base).mapInArrow(_sketches(shingle), f"_id {base.schema['_id'].dataType.simpleString()}, n long, digest binary, sig binary")
+    return shipped(base).mapInArrow(_sketches(shingle), f"_id {base.schema['_id'].dataType.simpleString()}, n long, digest binary, sig binary")
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         sigs = batch.column(1).to_pylist()
         flat = chunk_keys(np.frombuffer(b"".join(sigs), np.uint16).reshape(len(sigs), SYMBOLS)).ravel().view(np.int64)
         at = pa.array(np.repeat(np.arange(len(sigs)), SYMBOLS))
@@ -138,30 +153,30 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shingled(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t.as_py(), shingle, hashes).view(np.int64) for t in batch.column(1)]
             offsets = np.cumsum([0, *map(len, sets)])
-            values = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))
+            values = pa.array(np.concatenate(sets))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=["rep", "elements"])
 
     return run
 
 
-def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = batch.num_rows
-        if not rows:
-            yield batch.select([0, 1])
-            continue
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(rows, SYMBOLS) for i in (2, 3))
-        yield batch.select([0, 1]).filter(pa.array((a != b).sum(axis=1) <= FAR))
+def _distances(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, SYMBOLS) for i in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array((a != b).sum(axis=1) <= most))
+
+    return run
 
 
-def _near(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Of (a, b), the pairs whose signatures differ in at most FAR symbols."""
+def _near(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """Of (a, b), the pairs that may be linked by their sizes and by the distance of their signatures. sigs: (rep, n, sig)."""
     kind = pairs.schema["a"].dataType.simpleString()
-    both = pairs.join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b").join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a")
-    return both.select("a", "b", "sa", "sb").mapInArrow(_distances, f"a {kind}, b {kind}").distinct()
+    side = lambda x: sigs.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
+    return both.select("a", "b", "sa", "sb").mapInArrow(_distances(far(percent)), f"a {kind}, b {kind}")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -185,10 +200,10 @@ def components(edges: DataFrame) -> DataFrame:
     links = written(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct(), "links")
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
         large = both.join(low, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
         large = written(large, "large")
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
+        low = written(large.groupBy("v").agg(F.min("u").alias("m")), "low")
         small = large.join(low, "v").select(F.explode(F.array(F.struct(F.col("m").alias("u"), "v"), F.struct(F.col("m").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.*").where("u < v").distinct()
         after = written(small, "links")
         # done when every node hangs on one smaller node, which hangs on none
@@ -205,16 +220,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = written(sketches(docs, id_col, text_col, shingle), "sketches")
     known = base.where("_id is not null and digest is not null")
     # equal sets fold to their smallest id
-    owners = known.groupBy("digest").agg(F.min("_id").alias("rep"))
-    member = written(known.select("_id", "digest", "sig").join(owners, "digest").select("_id", "rep", "sig"), "members")
-    reps = written(member.where("_id = rep").select("rep", "sig").distinct(), "representatives")
+    owners = written(known.groupBy("digest").agg(F.min("_id").alias("rep")), "owners")
+    member = written(known.select("_id", "digest", "n", "sig").join(owners, "digest").select("_id", "rep", "n", "sig"), "members")
+    reps = written(member.where("_id = rep").select("rep", "n", "sig").distinct().repartition(shuffle_partitions(docs.sparkSession)), "representatives")
     kind = reps.schema["rep"].dataType.simpleString()
 
-    keys = written(reps.select("rep", "sig").repartition(shuffle_partitions(docs.sparkSession)).mapInArrow(_keyed, f"rep {kind}, key bigint"), "keys")
-    heads = keys.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").select("key", "head")
+    keys = reps.select("rep", "sig").mapInArrow(_keyed, f"rep {kind}, key bigint")  # made again where it is read: a tenth of its bytes are stored
+    heads = written(keys.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").select("key", "head"), "heads")
     shared = written(keys.join(heads, "key").where("head <> rep"), "shared")
     texts = picked(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("rep"), F.col(f"`{text_col}`").cast("string").alias("_text")).where("rep is not null")
-    star = written(_near(shared.select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), reps), "star")
+    star = written(_near(shared.select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), reps, percent), "star")
     links = written(_confirmed(star, texts, shingle, percent), "links")
 
     links = links.unionByName(_stray_links(shared, links, texts, shingle, percent))
@@ -275,12 +290,12 @@ def _stray_links(shared: DataFrame, links: DataFrame, texts: DataFrame, shingle:
     named = lambda side: closed.select(F.col("node").alias(side), F.col("comp").alias(f"{side}_comp"))
     comps = shared.join(named("rep"), "rep", "left").join(named("head"), "head", "left")
     comps = written(comps.select("key", "head", "rep", F.coalesce("rep_comp", "rep").alias("comp"), (F.coalesce("rep_comp", "rep") != F.coalesce("head_comp", "head")).alias("stray")), "comps")
-    mixed = comps.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    mixed = written(comps.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key"), "mixed")
     rows = written(comps.join(mixed, "key", "left_semi").groupBy("head", "rep").agg(F.min("comp").alias("comp"), F.max("stray").alias("stray")), "contested")
     sets = written(texts.join(rows.select("rep").distinct().hint("merge"), "rep", "left_semi").mapInArrow(_shingled(shingle), f"rep {kind}, elements array<bigint>"), "contested-sets")
-    sizes = sets.select("rep", F.size("elements").alias("n"))
+    sizes = written(sets.select("rep", F.size("elements").alias("n")), "contested-sizes")
     blocks = rows.join(sizes, "rep").groupBy("head").agg(F.ceil(F.sum("n") / F.lit(BLOCK_ELEMENTS)).cast("int").alias("m"), F.ceil(F.sum(F.when(F.col("stray"), F.col("n"))) / F.lit(BLOCK_ELEMENTS)).cast("int").alias("s"))
-    full = rows.join(blocks, "head").join(sets, "rep")
+    full = written(rows.join(written(blocks, "blocks"), "head"), "placed").join(sets, "rep")
     part = lambda n: F.pmod(F.xxhash64("rep"), n)
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
     left = full.where("stray").select("head", "rep", "comp", "elements", part(F.col("s")).alias("i"), each(F.col("m")).alias("j"))

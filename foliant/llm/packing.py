@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import picked, text_batches, written
+from foliant.llm.common import picked, shipped, slices, written
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces of a shard in the mean; a shard is packed in the memory of one task.
@@ -135,7 +135,7 @@ def encoder(path: str) -> ChunkIds:
 def _cut(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end = encoder(path), end_id.to_bytes(4, "little")
-        for batch in batches:
+        for batch in slices(batches):
             at, piece, start, length, crc = [], [], [], [], []
             for row, raw in enumerate(ids.of([t or "" for t in batch.column(1).to_pylist()])):
                 tokens = memoryview(bytes(raw) + end)
@@ -152,7 +152,7 @@ def _cut(path: str, capacity: int, end_id: int):
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(_id, piece, start, length, crc) of every piece."""
     base = picked(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    return text_batches(base).mapInArrow(_cut(path or tokenizer_path(), capacity, end_id), f"_id {base.schema['_id'].dataType.simpleString()}, piece int, start long, length long, crc long")
+    return shipped(base).mapInArrow(_cut(path or tokenizer_path(), capacity, end_id), f"_id {base.schema['_id'].dataType.simpleString()}, piece int, start long, length long, crc long")
 
 
 class Lengths:

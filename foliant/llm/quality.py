@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm import boosting
-from foliant.llm.common import numbered, picked, text_batches
+from foliant.llm.common import numbered, picked, shipped, slices
 from foliant.llm.labels import MAX_LABELS, remainder, sample
 
 STATISTICS = ["log_chars", "log_words", "word_length", "upper", "digit", "punctuation", "symbol", "space", "non_ascii", "distinct_words", "line_length", "repeated_lines", "repeated_words", "no_letter_words", "exclaimed", "sentence_ends"]
@@ -60,7 +60,7 @@ def statistics(text: str) -> list[float]:
 
 
 def _computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = np.array([statistics(t.as_py()) for t in batch.column(batch.num_columns - 1)]).reshape(batch.num_rows, len(STATISTICS))
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(rows[:, k]) for k in range(len(STATISTICS)))], names=[*batch.schema.names[:-1], *COLUMNS])
 
@@ -68,7 +68,7 @@ def _computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_statistics(df: DataFrame) -> DataFrame:
     """df, whose last column is the text, with statistics in its place."""
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1])
-    return text_batches(df).mapInArrow(_computed, f"{kept}, {', '.join(f'{c} double' for c in COLUMNS)}")
+    return shipped(df).mapInArrow(_computed, f"{kept}, {', '.join(f'{c} double' for c in COLUMNS)}")
 
 
 def fit(rows: list) -> tuple[float, list[tuple[tuple, float]]]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm import boosting
-from foliant.llm.common import picked, text_batches
+from foliant.llm.common import picked, shipped, slices
 from foliant.llm.labels import MAX_LABELS, remainder, sample
 
 #: Words that insult, in the languages of the corpus. The learned lexicon adds what the labels show.
@@ -133,7 +133,7 @@ def _letter_runs(code: np.ndarray) -> list[tuple[int, int]]:
 def _computed(learned: frozenset):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes(learned)
-        for batch in batches:
+        for batch in slices(batches):
             rows = np.array([features(t.as_py(), codes) for t in batch.column(batch.num_columns - 1)]).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(rows[:, k]) for k in range(len(FEATURES)))], names=[*batch.schema.names[:-1], *FEATURES])
 
@@ -193,7 +193,7 @@ def classify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _scored(trees, knots)(_computed(words)(batches))
 
-    scored = text_batches(base).mapInArrow(run, f"_id {kind}, score double")
+    scored = shipped(base).mapInArrow(run, f"_id {kind}, score double")
     return scored.select(F.col("_id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from math import comb
 
 import duckdb
 import numpy as np
@@ -90,6 +91,26 @@ def test_signature_join_guarantee():
         assert set(ka.tolist()) & set(kb.tolist())
 
 
+def test_missed_pairs_are_bounded():
+    """A pair at the threshold whose every chunk differs in two symbols or more, or that is further apart than FAR."""
+    one = 1 - 0.8**minhash.CHUNK - minhash.CHUNK * 0.2 * 0.8 ** (minhash.CHUNK - 1)
+    assert one**minhash.CHUNKS < minhash.MISSED
+    over = sum(comb(minhash.SYMBOLS, k) * 0.2**k * 0.8 ** (minhash.SYMBOLS - k) for k in range(minhash.far(80) + 1, minhash.SYMBOLS + 1))
+    assert over < minhash.MISSED and minhash.far(80) >= 2 * minhash.CHUNKS - 1
+
+
+def test_pairs_at_the_threshold(spark):
+    """3,000 pairs with 0.79 to 0.81 of 200 shingles in common: linked from 0.8 on, and only then."""
+    rows, want = [], {}
+    for k in range(3000):
+        words = [f"p{k}w{i}" for i in range(201)]
+        n = 158 + k % 5  # of 200 shingles
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: n + 1]))]
+        want[2 * k + 1] = 2 * k if n >= 160 else 2 * k + 1
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()
+    assert len(got) == 6000 and all(r.component_id == want.get(r.doc_id, r.doc_id) for r in got)
+
+
 # contamination by shuffled joins gives what broadcast joins give
 
 
@@ -332,7 +353,7 @@ def test_pipeline(spark):
         for line in texts[i].split("\n"):
             owner.setdefault(key(line), i)
     kept = {i: "\n".join(x for x in texts[i].split("\n") if len(key(x)) < 10 or owner[key(x)] == i) for i in good}
-    sets = {i: _shingles(t, 5) for i, t in kept.items()}
+    sets = {i: _shingles(t) for i, t in kept.items()}
     parent = {i: i for i in kept}
 
     def find(x):
