@@ -1,39 +1,47 @@
 """Exact top-k search: exhaustive term-at-a-time accumulation of integer inner products.
 
-A vector's components become floor(scale * x). Queries and candidates are dealt to blocks of bounded size; a pair of
-blocks is one task: for each dimension with a weight in some query, the weighted postings of the candidates (their
-nonzero components there) are added to the queries' dense score arrays. Each pair of blocks yields the k best of each
-query by partition selection; these are merged by a window. All candidates are scored for all queries.
+A vector's components become floor(scale * x). Rows are numbered, and queries and candidates are dealt by number to
+blocks of bounded size; a pair of blocks is one group: for each dimension with a weight in some query, the weighted
+postings of the candidates (their nonzero components there) are added to dense score arrays, for a bounded part of the
+queries at a time. Each pair of blocks yields the k best of each query by partition selection; these are merged by a
+window. All candidates are scored for all queries.
+
+A candidate moves once for each block of queries and a query once for each block of candidates. The blocks are as large
+as a task's memory allows (QUERY_BLOCK and CANDIDATE_BLOCK vectors), so that few copies move.
 
 Scores are exact. Where components are so large that a sum could leave 63 bits, unbounded integers are used, and a score
 outside the range of a long is set to its nearest end.
 
-Defined results: null vectors and those with a null or non-finite component take no part. An id may come with several
-vectors: each is a query and a candidate, a query is compared with all vectors but those of its id, and the k best of an
-id are those over all of its vectors. Rows equal in id and vector count once; a null id takes no part. Vectors of another
-dimension than a query's are compared over the dimensions both have. Fewer than k candidates are all returned. Ties
-go to the smaller id. An empty table, or no query, gives an empty table. Other columns are ignored.
+Defined results: null vectors and those with a null or non-finite component take no part. Every other row is a candidate
+for every query but itself, and every row that is_query chooses is a query: rows that share an id, or repeat a vector,
+count each for itself, and a null id is a candidate, named null. Vectors of another dimension than a query's are compared
+over the dimensions both have. Fewer than k candidates are all returned. Ties go to the smaller id, null last. An empty
+table, or no query, gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import picked, ship, written
+from foliant.llm.common import picked, ship, shuffle_partitions, written
 
-QUERY_BLOCK, CANDIDATE_BLOCK = 512, 8192
+QUERY_BLOCK, CANDIDATE_BLOCK = 16_384, 65_536
+#: Queries whose scores against a block of candidates are held at once.
+PART = 128
 #: Queries and candidates whose scores are accumulated at once, to stay in a core's cache.
 TILE_Q, TILE_C = 64, 2048
 
 
-def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, v): finite vectors as whole numbers, one for each id and vector."""
-    base = picked(vectors, id_col, vector_col).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("x")).where("id is not null and x is not null")
+def quantized(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str, scale: int) -> DataFrame:
+    """(row, id, query, v): every finite vector as whole numbers, under a number of its row. is_query: of column id."""
+    base = picked(vectors, id_col, vector_col).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("x")).where("x is not null")
     finite = ~F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
-    return base.where(finite).dropDuplicates(["id", "x"]).select("id", F.transform("x", lambda c: F.expr("double(1)") * _floor(c * scale)).alias("v"))
+    whole = F.transform("x", lambda c: F.expr("double(1)") * _floor(c * scale)).alias("v")
+    return base.where(finite).select(F.monotonically_increasing_id().alias("row"), "id", F.coalesce(is_query, F.lit(False)).alias("query"), whole)
 
 
 def _floor(c):
@@ -41,11 +49,13 @@ def _floor(c):
     return F.when(F.abs(c) >= F.lit(2.0**53), c).otherwise(F.floor(c).cast("double"))
 
 
+def _lengths(column: pa.ChunkedArray) -> np.ndarray:
+    return pc.list_value_length(column).to_numpy().astype(np.int64)
+
+
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    rows = column.to_pylist()
-    out = np.zeros((len(rows), width))
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+    out = np.zeros((len(column), width))
+    out[np.arange(width) < _lengths(column)[:, None]] = pc.list_flatten(column).to_numpy()
     return out
 
 
@@ -73,56 +83,72 @@ def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     return scores
 
 
+def _best(scores: np.ndarray, own: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each row of scores, the places of its k highest ones, the lowest places among ties, without place own (-1: none)."""
+    n = scores.shape[1]
+    cut = np.partition(scores, n - k - 1, axis=1)[:, n - k - 1] if n > k + 1 else None
+    out = []
+    for i, row in enumerate(scores):
+        if cut is None:
+            at = np.arange(n)
+        else:
+            at = np.concatenate([np.flatnonzero(row > cut[i]), np.flatnonzero(row == cut[i])])
+        out.append(at[at != own[i]][:k] if cut is not None else at[at != own[i]])
+    return out
+
+
 def _select(k: int):
     def run(key: tuple, queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        ids, qid = candidates.column("id").to_numpy(), queries.column("id").to_numpy()
-        width = max(max(map(len, t.column("v").to_pylist()), default=0) for t in (queries, candidates))
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        scores = accumulate(_matrix(queries.column("v"), width), _matrix(candidates.column("v"), width)[order])
+        # by id, null last, so that ties go to the smaller id
+        candidates = candidates.select(["row", "id", "v"]).sort_by("id")
+        rows, ids = candidates.column("row").to_numpy(), candidates.column("id").combine_chunks()
+        q_rows, q_ids = queries.column("row").to_numpy(), queries.column("id").to_numpy()
+        width = max(int(_lengths(t.column("v")).max(initial=0)) for t in (queries, candidates))
+        weights, postings = _matrix(queries.column("v"), width), _matrix(candidates.column("v"), width)
+        by_row = np.argsort(rows)
+        found = np.searchsorted(rows, q_rows, sorter=by_row)
+        own = by_row[np.minimum(found, len(rows) - 1)]
+        own = np.where(rows[own] == q_rows, own, -1)
         out_q, out_c, out_s = [], [], []
-        for q, row in zip(qid, scores, strict=True):
-            own = np.flatnonzero(ids != q)
-            if len(own) > k:  # those over the k-th best score, then the smallest ids at it
-                s = row[own]
-                cut = np.partition(s, len(s) - k)[len(s) - k]
-                over, at = own[s > cut], own[s == cut]
-                own = np.concatenate([over, at[: k - len(over)]])
-            out_q.append(np.full(len(own), q)), out_c.append(ids[own]), out_s.append(row[own].astype(np.int64))
-        join = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())
-        return pa.table({"query_id": join(out_q), "vec_id": join(out_c), "score": join(out_s)})
+        for at in range(0, len(q_rows), PART):
+            scores = accumulate(weights[at : at + PART], postings)
+            for i, best in enumerate(_best(scores, own[at : at + PART], k)):
+                out_q.append(np.full(len(best), at + i)), out_c.append(best), out_s.append(scores[i, best].astype(np.int64))
+        which, place, score = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_q, out_c, out_s))
+        return pa.table({"row": pa.array(q_rows[which], pa.int64()), "query_id": pa.array(q_ids[which], pa.int64()), "vec_id": ids.take(pa.array(place, pa.int64())), "score": pa.array(score, pa.int64())})
 
     return run
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """(query_id, rank, vec_id, score). Ids are longs."""
-    ship(queries.sparkSession)
-    q = written(quantized(queries, id_col, vector_col, scale), "queries")
-    c = written(quantized(candidates, id_col, vector_col, scale), "candidates")
-    n_q, n_c = (max(1, -(-df.count() // size)) for df, size in ((q, QUERY_BLOCK), (c, CANDIDATE_BLOCK)))
-    block = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n))
-    left = q.select("id", "v", block(n_q).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_c - 1).cast("long"))).alias("cb"))
-    right = c.select("id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))).alias("qb"), block(n_c).alias("cb"))
-    best = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(_select(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the rows that is_query, a condition on column id, chooses. Ids are longs."""
+    ship(vectors.sparkSession)
+    rows = written(quantized(vectors, is_query, id_col, vector_col, scale), "vectors")
+    queries = rows.where("query")
+    n_q = max(1, -(-queries.count() // QUERY_BLOCK))
+    n_c = max(-(-rows.count() // CANDIDATE_BLOCK), -(-shuffle_partitions(vectors.sparkSession) // n_q))
+    part = lambda n: F.pmod(F.xxhash64("row"), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = queries.select("row", "id", "v", part(n_q).alias("qb"), each(n_c).alias("cb"))
+    right = rows.select("row", "id", "v", each(n_q).alias("qb"), part(n_c).alias("cb"))
+    best = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(_select(k), "row long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from foliant.llm.common import table
 
-    vectors = table(spark, sf_dir, "embeddings")
-    return top_k(vectors.where("vec_id % 50 = 0"), vectors)
+    return top_k(table(spark, sf_dir, "embeddings"), F.expr("id % 50 = 0"))
 
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
-), r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+  SELECT q.r AS q, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.r <> q.r
+), r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 5
 """
