@@ -1,12 +1,17 @@
 """HTML extraction by tree scoring.
 
 Paragraphs pass points for length and commas to their ancestors, each sum is discounted by link density, and the best
-container is kept with those siblings that score like it. Menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are left out, whether tags, roles or class names tell them. A container inside an
-article or main element stands for the whole of it.
+container is kept with those siblings that score like it. A main element stands for the best container where a page has
+one with text, else its articles do, each of them whole: they say themselves what the page is about.
+
+Left out, inside the container too: menus, headers (but for their headings), footers, sidebars, notices, adverts, forms,
+scripts, styles and reader comments. Tags and roles tell them, and class names or ids made of nothing but words for such
+parts ("cookie-notice", "left-sidebar"). A name that only has such a word among others ("market-share") counts where
+link density agrees: over half of the text in links. Nothing else inside the container is dropped. Blocks that are
+mostly links and stand beside the articles of a main element, or straight in the body, are menus.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined in page
-order by one line feed. The whole html is read; nothing is capped.
+order by one line feed. The whole html is read in linear time; nothing is capped.
 
 Defined results: null or empty html, and pages without text, give an empty text. Broken markup is read as it comes:
 unclosed and stray tags never fail. Rows that repeat give equal rows; a null id or url stays null. An empty table gives
@@ -16,6 +21,8 @@ an empty table. Other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -33,9 +40,14 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What a start tag ends, besides an open paragraph for blocks: the tag, and where the search stops.
 ENDS = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
 ENDS = {k: (frozenset(a.split()), b) for k, (a, b) in ENDS.items()}
-DROPPED = frozenset("head nav footer aside form button input select option menu dialog svg math canvas object embed audio video label fieldset".split()) | RAW
+DROPPED = frozenset("head nav footer aside form button input select option menu dialog svg canvas audio video".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
-UNLIKELY = frozenset("ad ads advert adverts advertisement advertising adbox adslot adsense sponsor sponsored promo promotion banner sidebar comment comments commentlist disqus respond replies reply notice notices cookie cookies consent gdpr popup modal overlay share sharing social related recommended recommendations newsletter subscribe signup menu nav navbar navigation breadcrumb breadcrumbs footer masthead toolbar pagination pager widget widgets login search skip feedback alert warning disclaimer tags hidden rail rightbar leftbar outbrain taboola".split())
+#: Words for what isn't the article.
+UNLIKELY = frozenset("ad ads advert adverts advertisement advertising adbox adslot adsense sponsor sponsored promo promotion banner sidebar comment comments commentlist disqus respond replies reply notice notices cookie cookies consent gdpr popup modal overlay share sharing social related recommended recommendations newsletter subscribe signup menu nav navbar navigation breadcrumb breadcrumbs footer masthead toolbar pagination pager widget widgets login search skip feedback alert tags hidden rail rightbar leftbar outbrain taboola".split())
+#: Words that may stand beside them in a name without changing what it says.
+LAYOUT = frozenset("area bar block body bottom box btn button buttons col column container content count end footer form global group header holder icons inner item items js left link links list main message more outer page panel posts primary region right row secondary section side site slot sticky text thread title top unit wrap wrapper zone".split())
+#: Those that tell even of an article element that it is not the page's.
+NO_ARTICLE = frozenset("ad ads advert adverts advertisement comment comments reply replies respond related recommended recommendations".split())
 #: Parts of a class name that say what else a page has, not what the element is.
 BESIDE = frozenset("has with no without".split())
 #: Class names of page headers; of one inside an article only the headings are kept.
@@ -50,25 +62,36 @@ NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "score", "chars", "linked", "commas", "drop", "named", "head")
+    __slots__ = ("tag", "parent", "children", "score", "chars", "linked", "commas", "drop", "named", "head", "cls")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []
         self.score = self.chars = self.linked = self.commas = 0
         self.drop = tag in DROPPED
-        self.named, self.head = False, tag == "header"
+        self.named, self.head, self.cls = 0, tag == "header", ""
+
+
+def _named(own: str) -> int:
+    """2: a class name or id of nothing but words for what isn't the article; 1: one that has such a word; else 0."""
+    parts = [x.lower() for x in NAME_PART.findall(own)]
+    if BESIDE.intersection(parts) or UNLIKELY.isdisjoint(parts):
+        return 0
+    return 2 if all(x in UNLIKELY or x in LAYOUT for x in parts) else 1
 
 
 def _told(node: Node, attrs: str) -> None:
-    """Mark a node as dropped if its attributes say so."""
+    """Note what the attributes of a node say of it."""
     for m in ATTRIBUTE.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name in ("class", "id"):
+            if name == "class":
+                node.cls = value
             for own in value.split():
-                parts = [x.lower() for x in NAME_PART.findall(own)]
-                if not BESIDE.intersection(parts):
-                    node.named |= not UNLIKELY.isdisjoint(parts)
-                    node.head |= "".join(parts) in HEADERS
+                parts = {x.lower() for x in NAME_PART.findall(own)}
+                if node.tag == "main" or node.tag == "article" and parts.isdisjoint(NO_ARTICLE):
+                    continue
+                node.named = max(node.named, _named(own))
+                node.head |= "".join(x.lower() for x in NAME_PART.findall(own)) in HEADERS
         elif name == "role":
             node.drop |= value.lower() in ROLES
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -77,14 +100,58 @@ def _told(node: Node, attrs: str) -> None:
             node.drop = True
 
 
+class _Open:
+    """The open elements: which stand where is looked up, not searched for, so that deep nesting costs no more."""
+
+    def __init__(self) -> None:
+        self.path = [Node("#root", None)]
+        self.depths: dict[str, list[int]] = defaultdict(list)
+        self.blocks = [0]
+
+    def push(self, node: Node) -> None:
+        self.depths[node.tag].append(len(self.path))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.path))
+        self.path.append(node)
+
+    def close(self, depth: int) -> None:
+        """Close the element at a depth and all inside it."""
+        while len(self.path) > depth:
+            self.depths[self.path.pop().tag].pop()
+        while self.blocks[-1] >= depth:
+            self.blocks.pop()
+
+    def last(self, tag: str) -> int:
+        return self.depths[tag][-1] if self.depths[tag] else 0
+
+    def end(self, name: str) -> None:
+        depth = self.last(name)
+        if depth and (name in BLOCK or depth > self.blocks[-1]):  # an inline end tag closes nothing outside its block
+            self.close(depth)
+
+    def make_room(self, name: str) -> None:
+        """Close what a start tag ends."""
+        if name in BLOCK and self.path[self.blocks[-1]].tag == "p":
+            self.close(self.blocks[-1])
+        if name == "a" and self.last("a") > self.blocks[-1]:
+            self.close(self.last("a"))
+        if name in ENDS:
+            tags, stop = ENDS[name]
+            floor = max(map(self.last, stop))
+            within = [d[k] for d in map(self.depths.__getitem__, tags) if (k := bisect_right(d, floor)) < len(d)]
+            if within:
+                self.close(min(within))
+
+
 def parse(html: str) -> Node:
     """The tree of a page: nodes and decoded strings."""
-    root = Node("#root", None)
-    at, top, end, plain = 0, root, len(html), False
+    open_ = _Open()
+    root = open_.path[0]
+    at, end, plain = 0, len(html), False
 
     def text(s: str) -> None:
         if s:
-            top.children.append(unescape(s) if "&" in s else s)
+            open_.path[-1].children.append(unescape(s) if "&" in s else s)
 
     while at < end:
         start = html.find("<", at)
@@ -103,59 +170,32 @@ def parse(html: str) -> Node:
         text(html[at:start])
         at = m.end()
         if m["cdata"]:
-            top.children.append(m["cdata"])
+            open_.path[-1].children.append(m["cdata"])
         if not m["name"]:
             continue
         name = m["name"].lower()
         if m["end"]:
-            node = top
-            while node is not root and node.tag != name:
-                if name not in BLOCK and node.tag in BLOCK:  # an inline end tag closes nothing outside its block
-                    node = root
-                    break
-                node = node.parent
-            if node is not root:
-                top = node.parent
+            open_.end(name)
             continue
-        if name in BLOCK:
-            node = top
-            while node is not root and node.tag not in BLOCK:
-                node = node.parent
-            if node.tag == "p":
-                top = node.parent
-        if name in ENDS:
-            tags, stop = ENDS[name]
-            node = top
-            while node is not root and node.tag not in stop:
-                if node.tag in tags:
-                    top = node.parent
-                node = node.parent
-        if name in ("html", "body") and any(n is not root for n in _up(top)) and name in {n.tag for n in _up(top)}:
+        open_.make_room(name)
+        if name in ("html", "body") and open_.last(name):
             continue
-        node = Node(name, top)
+        node = Node(name, open_.path[-1])
         if m["attrs"]:
             _told(node, m["attrs"])
         if name in ("html", "body"):
-            node.drop = node.named = node.head = False
+            node.drop, node.named, node.head = False, 0, False
         elif name in ("article", "main"):
             node.drop = False
-        top.children.append(node)
+        open_.path[-1].children.append(node)
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at)
             at = close.end() if close else end
-        elif name not in VOID and not m["attrs"].endswith("/"):
-            top = node
-        elif m["attrs"].endswith("/") and name not in VOID and name not in ("svg", "path"):
-            top = node  # html knows no empty elements but the void ones
+        elif name not in VOID and not (m["attrs"].endswith("/") and name in ("svg", "path")):  # html knows no empty elements but the void ones
+            open_.push(node)
     return root
 
 
-def _up(node: Node) -> Iterator[Node]:
-    while node is not None:
-        yield node
-        node = node.parent
-
-
 def _order(root: Node) -> list[Node]:
     """All nodes, each after its parent."""
     out, todo = [], [root]
@@ -167,7 +207,8 @@ def _order(root: Node) -> list[Node]:
 
 
 def _gone(node: Node, strict: bool) -> bool:
-    return node.head or node.drop or strict and node.named
+    """Whether a measured node is left out. strict: class names count."""
+    return node.head or node.drop or strict and (node.named == 2 or node.named == 1 and _density(node) > 0.5)
 
 
 def _measure(nodes: list[Node], strict: bool) -> None:
@@ -222,35 +263,64 @@ def _alive(nodes: list[Node], strict: bool) -> set[int]:
     return alive
 
 
-def _kept(root: Node, strict: bool) -> list[Node]:
-    """The best container, or it and its siblings, in page order."""
+def _semantic(nodes: list[Node], alive: set[int]) -> list[Node]:
+    """The outermost main elements that have text, or else the outermost such articles that aren't mostly links."""
+    out: dict[str, list[Node]] = {"main": [], "article": []}
+    under: set[int] = set()  # what is or lies in an article or main of the result
+    for n in nodes:
+        if n.parent is not None and id(n.parent) in under:
+            under.add(id(n))
+        elif n.tag in out and id(n) in alive and n.chars:
+            out[n.tag].append(n)
+            under.add(id(n))
+    return out["main"] or [n for n in out["article"] if _density(n) <= 0.5] or out["article"]
+
+
+def _menus(container: Node, strict: bool) -> set[int]:
+    """Blocks of a container that are mostly links: those beside the articles of a main element, those straight in a body."""
+    listed = lambda n: n.tag in ("ul", "ol", "dl", "div", "section", "table") and n.chars and _density(n) > 0.5
+    if container.tag in ("body", "html", "#root"):
+        return {id(n) for n in container.children if isinstance(n, Node) and listed(n)}
+    inside = _order(container)
+    if container.tag != "main" or not any(n.tag == "article" and n.chars and not _gone(n, strict) for n in inside):
+        return set()
+    own: set[int] = set()
+    for n in inside:
+        if n is container or id(n.parent) in own and n.tag != "article":
+            own.add(id(n))
+    return {id(n) for n in inside if id(n) in own and listed(n)}
+
+
+def _kept(root: Node, strict: bool) -> tuple[list[Node], set[int]]:
+    """The best container, or it and its siblings, in page order; and the menus in it."""
     nodes = _order(root)
     _measure(nodes, strict)
-    best = _best(nodes, _alive(nodes, strict))
+    alive = _alive(nodes, strict)
+    if whole := _semantic(nodes, alive):
+        return whole, set().union(*(_menus(n, strict) for n in whole))
+    best = _best(nodes, alive)
     if best is None:
-        return []
-    whole = [n for n in _up(best) if n.tag in ("article", "main")]
-    if whole:
-        best = whole[0] if best.tag != "main" else best
+        return [], set()
     if best.parent is None:
-        return [best]
-    least, out = max(10, 0.2 * best.score), []
+        return [best], _menus(best, strict)
+    out = []
     for s in best.parent.children:
         if s is best:
             out.append(s)
         elif isinstance(s, Node) and not _gone(s, strict):
-            like = s.score * (1 - _density(s)) >= least and s.tag == best.tag
-            prose = s.tag == "p" and (s.chars > 80 and _density(s) < 0.25 or s.chars > 0 and not s.linked and best.tag != "article")
-            heading = s.tag in HEADINGS and best.tag not in ("article", "main") and s.chars > 0
+            bonus = 0.2 * best.score if s.cls and s.cls == best.cls else 0
+            like = s.tag == best.tag and s.chars > 0 and _density(s) <= 0.5 and s.score * (1 - _density(s)) + bonus >= 0.2 * best.score
+            prose = s.tag == "p" and (s.chars > 80 and _density(s) < 0.25 or s.chars > 0 and not s.linked)
+            heading = s.tag in HEADINGS and s.chars > 0
             if like or prose or heading:
                 out.append(s)
-    return out
+    return out, _menus(best, strict)
 
 
-def _blocks(kept: list[Node], strict: bool) -> Iterator[str]:
+def _blocks(kept: list[Node], menus: set[int], strict: bool) -> Iterator[str]:
     own: list[str] = []
     todo: list = list(reversed(kept))
-    inside = False
+    first = {id(n) for n in kept}
     while todo:
         x = todo.pop()
         if isinstance(x, str):
@@ -264,12 +334,14 @@ def _blocks(kept: list[Node], strict: bool) -> Iterator[str]:
         if x.tag in ("br", "wbr"):
             own.append(" " if x.tag == "br" else "")
             continue
-        if inside and x.head:  # an article's own header keeps its headings
-            todo.extend(h for h in reversed(_order(x)) if h.tag in HEADINGS)
-            continue
-        if inside and _gone(x, strict) or inside and x.tag in ("ul", "ol", "div", "section", "table") and x.chars and _density(x) > 0.5:
-            continue
-        inside = True
+        if id(x) not in first:
+            if x.head:  # an article's own header keeps its headings
+                todo.append(None)
+                todo.extend(h for h in reversed(_order(x)) if h.tag in HEADINGS)
+                todo.append(None)
+                continue
+            if _gone(x, strict) or id(x) in menus:
+                continue
         if x.tag in BLOCK:
             todo.append(None)
             todo.extend(reversed(x.children))
@@ -286,9 +358,9 @@ def extract(html: str | None) -> str:
         return ""
     root = parse(html)
     for strict in (True, False):  # where class names leave nothing, they were misread
-        if out := "\n".join(_blocks(_kept(root, strict), strict)):
+        if out := "\n".join(_blocks(*_kept(root, strict), strict)):
             return out
-    return "\n".join(_blocks([root], False))
+    return "\n".join(_blocks([root], set(), False))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

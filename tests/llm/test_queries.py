@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from math import comb
@@ -144,11 +145,96 @@ def test_main_text_of_layouts():
     assert html_text.extract("no markup & no tags") == "no markup & no tags"
 
 
+PROSE = "<p>First paragraph, which is long enough, with commas, to be the text.</p>"
+FIRST = PROSE[3:-4]
+PAGES = {
+    "a name with a word of its own": ("<article>{P}<p class='market-share'>Our share, it grew.</p></article>", "{F}\nOur share, it grew."),
+    "inline elements": ("<article>{P}<p>Use the <label>label</label> tag, <object>or this</object>.</p></article>", "{F}\nUse the label tag, or this."),
+    "sources": ("<article>{P}<ul><li><a href=a>Source one</a></li><li><a href=b>Source two</a></li></ul></article>", "{F}\nSource one\nSource two"),
+    "two articles": ("<main><article>{P}</article><article><p>Short two.</p></article></main>", "{F}\nShort two."),
+    "a short article": ("<article><p>Hi.</p></article><div><p>A longer div, outside of it, with commas, and words, that go on and on.</p></div>", "Hi."),
+    "links beside an article": ("<main><h1>T</h1><article>{P}</article><div><ul><li><a href=a>More</a><li><a href=b>Stories</a></ul></div></main>", "T\n{F}"),
+    "sections of one class": ("<div class=nav><a href=a>x</a></div><div id=content><div class=sec>{P}{P}</div><div class=sec><p>short.</p></div></div><div class=footer>c</div>", "{F}\n{F}\nshort."),
+    "a flat body": ("<body><ul><li><a href=a>Home</a><li><a href=b>About</a></ul>{P}<p>x</p><div class='cookie-notice'>We use, cookies.</div>", "{F}\nx"),
+    "header and comments": ("<article><header><h1>T</h1><p>by me</p></header>{P}<section class=comments><article class=comment><p>A reader, says.</p></article></section></article>", "T\n{F}"),
+    "unclosed tags": ("<article><p>a<b>b<br><p>c</p></article>", "ab\nc"),
+    "an advert by name": ("<article>{P}<div class='ad-box'>Buy, now.</div><p class=advert>Buy</p></article>", "{F}"),
+    "a menu by name and links": ("<article>{P}<div class='tags-of-us'><a href=a>one</a> <a href=b>two</a></div></article>", "{F}"),
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_articles_are_whole(name):
+    html, want = (x.replace("{P}", PROSE).replace("{F}", FIRST) for x in PAGES[name])
+    assert html_text.extract(html) == want
+
+
+def test_deep_markup_takes_linear_time():
+    for html in ("<span>" * 8000 + "<p>a</p>" * 8000, "<div>" * 4000 + "<li>a" * 4000, "<ul><li>" * 4000 + "<dt>a" * 8000, "<header>" * 8000 + "<h1>a</h1>" * 8000, "<div>" * 8000 + "<article>a</article>" * 8000, "<a href=x>" * 16000, "<p>" + "word, " * 400_000):
+        began = time.process_time()
+        html_text.extract(html)
+        assert time.process_time() - began < 1.5
+
+
+def test_best_container_by_brute_force():
+    """Points of paragraphs, passed up by a plain walk over small trees."""
+    rng = random.Random(7)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.4:
+            words = ", ".join("word" * rng.randint(1, 3) for _ in range(rng.randint(1, 12)))
+            return ("p", [("a", [words])] if rng.random() < 0.2 else [words])
+        return ("div", [tree(depth - 1) for _ in range(rng.randint(1, 4))])
+
+    def markup(t):
+        return t if isinstance(t, str) else f"<{t[0]}>{''.join(map(markup, t[1]))}</{t[0]}>"
+
+    def chars(t):
+        return sum(len(x.strip()) if isinstance(x, str) else chars(x) for x in t[1])
+
+    def links(t, inside=False):
+        return sum((len(x.strip()) if inside else 0) if isinstance(x, str) else links(x, inside or x[0] == "a") for x in t[1])
+
+    for _ in range(300):
+        root = ("div", [tree(3) for _ in range(3)])
+        scores = {}
+
+        def walk(t, above, where):
+            if t[0] == "p":
+                n, density = chars(t), links(t) / chars(t)
+                commas = markup(t).count(",")
+                points = (1 + commas + min(n / 100, 3) if n >= 25 else n / 100) * (1 - density)
+                for level, place in enumerate(reversed(above)):
+                    if level < 5:
+                        scores[place] = scores.get(place, 0) + points * (1 if level == 0 else 1 / (2 * level))
+            else:
+                for k, c in enumerate(t[1]):
+                    if not isinstance(c, str):
+                        walk(c, [*above, where], (*where, k))
+
+        walk(root, [], ())
+        found = {(): root}
+        for place in sorted(scores, key=len):
+            for k, c in enumerate(found[place][1]):
+                found[*place, k] = c
+        final = {w: v * (1 - links(found[w]) / chars(found[w])) for w, v in scores.items()}
+        parsed = html_text.parse(markup(root))
+        nodes = html_text._order(parsed)
+        html_text._measure(nodes, True)
+        best = html_text._best(nodes, html_text._alive(nodes, True))
+        place = []
+        while best.parent is not parsed:
+            place.append(best.parent.children.index(best))
+            best = best.parent
+        assert final[tuple(reversed(place))] == pytest.approx(max(final.values()))
+
+
 def test_broken_markup_never_fails():
     rng = random.Random(0)
     parts = ["<p>", "</p>", '<div class="ad">', "</div>", "<b", "<", ">", '"', "'", "<!--", "-->", "text ", "&amp;", "<script>", "</script>", "<br/>", "<td>", "<li>", '<a href="x>', "<article>", "<![CDATA[", "]]>"]
     for _ in range(2000):
-        assert isinstance(html_text.extract("".join(rng.choice(parts) for _ in range(rng.randint(1, 30)))), str)
+        text = html_text.extract("".join(rng.choice(parts) for _ in range(rng.randint(1, 30))))
+        assert all(line == " ".join(line.split()) and line for line in text.split("\n")) or not text
 
 
 # personal data
