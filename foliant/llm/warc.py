@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import picked, scratch
+from foliant.llm.common import picked, scratch, written
 
 MIN_BYTES = 100
 DATE = "2024-01-01T00:00:00Z"
@@ -47,7 +47,8 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
 
     rows = base.drop("payload")
     owners = rows.where(F.col("n_bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1 and owner is not null")
-    joined = rows.join(owners.select("digest", "owner"), "digest", "left")
+    owners = written(owners.select("digest", "owner"), "owners")  # so that the rows of a digest with many copies can be split
+    joined = rows.join(owners, "digest", "left")
     revisit = F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
     http = F.when(revisit, F.lit("")).otherwise(F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n_bytes").cast("string"), F.lit(CRLF * 2)))
     typed = joined.withColumns({"revisit": revisit, "http": http})
@@ -97,10 +98,10 @@ def parse_records(records: DataFrame) -> DataFrame:
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to), read back from the whole records; a revisit's payload is that of the address it names."""
     read = parse_records(read_records(spark, path)).select(F.col("record_id").cast("long").alias("page_id"), "record_type", F.col("refers_to").cast("long").alias("refers_to"), "digest", F.octet_length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("actual"))
-    stored = spark.read.parquet(f"{path}/payloads").select("digest", "n_bytes")
-    responses = read.where("record_type = 'response'").select("page_id", F.col("n").alias("payload_bytes"), F.col("actual").alias("payload_digest"), "record_type", "refers_to")
-    revisits = read.where("record_type = 'revisit'").join(stored, "digest").select("page_id", F.col("n_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
-    return responses.unionByName(revisits)
+    stored = spark.read.parquet(f"{path}/payloads").select(F.col("digest").alias("address"), "n_bytes")
+    revisit = F.col("record_type") == "revisit"
+    both = read.join(stored, revisit & (F.col("digest") == F.col("address")), "left")
+    return both.select("page_id", F.when(revisit, F.col("n_bytes")).otherwise(F.col("n")).alias("payload_bytes"), F.when(revisit, F.col("address")).otherwise(F.col("actual")).alias("payload_digest"), "record_type", "refers_to")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
