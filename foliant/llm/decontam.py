@@ -37,11 +37,11 @@ def _windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) ->
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(_id, _row, start, len, items) of every place in docs where a window of the benchmark occurs; start from 0."""
-    size = picked(benchmark, item_text_col).agg(F.sum(F.octet_length(f"`{item_text_col}`"))).first()[0] or 0
-    small = size * window <= broadcast_bytes  # the windows repeat each word up to `window` times
+    windows = written(_windows(benchmark, item_col, item_text_col, window), "windows")
+    row_bytes = F.octet_length("wt") + F.aggregate("items", F.lit(64), lambda n, item: n + F.octet_length(item) + 16)
+    small = (windows.agg(F.sum(row_bytes)).first()[0] or 0) <= broadcast_bytes  # the other tables sent have a part of these rows
     sent = F.broadcast if small else (lambda df: df)
 
-    windows = written(_windows(benchmark, item_col, item_text_col, window), "windows")
     base = renamed(docs, id_col, text_col)
     words = base.select("_id", "_row", words_of(F.col("_text")).alias("w"))
     placed = windows.select("wt", "len", F.posexplode(F.split("wt", " ")).alias("off", "word")).withColumn("key", F.xxhash64("word"))
