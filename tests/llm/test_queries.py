@@ -439,6 +439,35 @@ def test_labels_of_the_held_out_fold_are_not_read(spark):
     assert quality.learn(docs, labels) == quality.learn(docs, turned)
 
 
+def test_compiled_rules_are_the_model(spark):
+    """Scores of the columns against the rules evaluated in numpy."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    base, rules = model = quality.learn(docs, labels)
+    rows = docs.select("doc_id", "text").collect()
+    x = np.array([quality.statistics(r.text or "") for r in rows], float)
+    z = base + sum((w * quality.boosting.rule_values(rule, x) for rule, w in rules), np.zeros(len(x)))
+    want = dict(zip([r.doc_id for r in rows], 1 / (1 + np.exp(-z)), strict=True))
+    assert rules
+    for r in quality.classify(docs, model).collect():
+        assert r.score == pytest.approx(want[r.doc_id], abs=1e-12) and r.predicted == (r.score >= 0.5)
+
+
+def test_toxicity_scores_are_the_model(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    words, (bias, trees), (at, p) = model = toxicity.learn(docs, labels)
+    codes = toxicity._Codes(words)
+
+    def leaf(tree, x):
+        while not isinstance(tree, float):
+            tree = tree[2] if x[tree[0]] <= tree[1] else tree[3]
+        return tree
+
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in toxicity.classify(docs, model).collect():
+        x = toxicity.features(texts[r.doc_id], codes)
+        assert r.score == pytest.approx(float(np.interp(bias + sum(leaf(t, x) for t in trees), at, p)), abs=1e-9)
+
+
 def test_long_obfuscated_insults_are_seen():
     codes = toxicity._Codes(frozenset())
     for word in ("idi" + "o" * 80 + "t", "-".join("st" + "u" * 40 + "pid"), "l" + "." * 70 + "oser", "m" + "0" * 5000 + "ron!!!"):
