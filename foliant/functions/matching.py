@@ -1,6 +1,7 @@
-"""Matching that needs offsets into the original text: folding, title spans, title replacement, cells in a source.
+"""Matching that needs offsets into the original text: title spans, title replacement, cells in a source.
 
-Each is a plain function and an Arrow-batched column form.
+Titles are matched in column expressions: both texts are folded by one pattern, the folded title is located in the folded
+entry, and its place is mapped back through the lengths of what the pattern took out.
 """
 
 from __future__ import annotations
@@ -10,50 +11,16 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
-
-_CJK = re.compile("[㐀-䶿一-鿿豈-﫿]")
-_ADDRESS = re.compile(r"https?://|doi\.org|\bdoi:\s*10\.|arXiv:", re.I)
-_FOLD = re.compile(r"(?P<blank>\s+)|(?P<hyphen>(?<=[^\W_])-\s*(?=[^\W_]))|(?P<sign>.)", re.S)
-STOP_WORDS = frozenset("with from that this these those were have been which their than then also into over under between".split())
+from pyspark.sql.types import ArrayType, StringType
 
+from foliant.functions.text import CJK
 
-def folded(text: str | None) -> tuple[str, list[int]]:
-    """Lower case, white space squeezed, hyphens inside words dropped with the blanks after them; and where each sign came from."""
-    out, at = [], []
-    for m in _FOLD.finditer(text or ""):
-        if m.lastgroup != "hyphen":
-            for c in " " if m.lastgroup == "blank" else m[0].lower()[:1]:
-                out.append(c)
-                at.append(m.start())
-    return "".join(out), at
-
-
-def title_span(entry: str | None, title: str | None) -> tuple[int, int] | None:
-    """[start, end) of a title in an entry, folding aside."""
-    want = folded(title)[0].strip()
-    have, at = folded(entry)
-    k = have.find(want) if want else -1
-    return (at[k], at[k + len(want) - 1] + 1) if k >= 0 else None
-
-
-def title_replaced(entry: str | None, title: str | None, translation: str | None) -> tuple[str, str]:
-    """(the entry with its title replaced, "") or ("", why not)."""
-    flat, new = " ".join((entry or "").split()), " ".join((translation or "").split())
-    if not new:
-        return "", "empty"
-    if not _CJK.search(new):
-        return "", "untranslated"
-    if _ADDRESS.search(new):
-        return "", "address"
-    span = title_span(flat, title)
-    if span is None:
-        return "", "not found"
-    if span[1] - span[0] > 0.9 * len(flat):
-        return "", "whole entry"
-    if len(new) > 2.5 * (span[1] - span[0]) + 60:
-        return "", "grown"
-    return flat[: span[0]] + new + flat[span[1] :], ""
+#: A hyphen inside a word with the blanks after it, which goes, or blanks, which become one.
+SEAM = r"(?<=[\p{L}\p{N}])-\s*(?=[\p{L}\p{N}])|\s+"
+#: An address in a translated title; the largest part of an entry that its title may be; how far a translation may outgrow the title.
+ADDRESS = r"(?i)https?://|doi\.org|\bdoi:\s*10\.|arxiv:"
+WHOLE, GROWTH, SLACK = 0.9, 2.5, 60
+STOP_WORDS = frozenset("with from that this these those were have been which their than then also into over under between".split())
 
 
 def tight(text: str | None) -> str:
@@ -74,22 +41,66 @@ def residue(source: str | None, placed: list[str] | None) -> list[str]:
     return [w for w in dict.fromkeys(re.findall("[a-z]{4,}", rest.lower())) if w not in STOP_WORDS]
 
 
-def title_span_column(entry: Column, title: Column) -> Column:
-    kind = StructType([StructField("start", LongType()), StructField("end", LongType())])
+def _lowered(c: Column) -> Column:
+    """Lower case where it keeps the length."""
+    return F.when(F.length(F.lower(c)) == F.length(c), F.lower(c)).otherwise(c)
 
-    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([s or (None, None) for s in map(title_span, a, b)], columns=["start", "end"], dtype="Int64")
 
-    return F.pandas_udf(run, kind)(entry, title)
+def folded(c: Column) -> Column:
+    """Lower case, blanks squeezed, hyphens inside words dropped with the blanks after them."""
+    return F.array_join(F.transform(_seams(c), lambda x: F.concat(_lowered(x["piece"]), x["joint"])), "")
 
 
-def title_replaced_column(entry: Column, title: Column, translation: Column) -> Column:
-    kind = StructType([StructField("text", StringType()), StructField("refused", StringType())])
+def _seams(c: Column) -> Column:
+    """(piece, joint, taken): what stands between seams, what a seam becomes, and how long it was."""
+    taken = F.regexp_extract_all(c, F.lit(SEAM), F.lit(0))
+    joint = lambda x: F.when(x.isNull() | x.startswith("-"), F.lit("")).otherwise(F.lit(" "))
+    return F.transform(F.split(c, SEAM, -1), lambda piece, i: F.struct(piece.alias("piece"), joint(F.get(taken, i)).alias("joint"), F.coalesce(F.length(F.get(taken, i)), F.lit(0)).alias("taken")))
+
+
+def _origin(c: Column, at: Column) -> Column:
+    """Where sign `at` of the folded text stands in the text itself; both from 0."""
+    start = F.struct(F.lit(0).alias("folded"), F.lit(0).alias("own"), F.lit(-1).alias("found"))
 
-    def run(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(list(map(title_replaced, a, b, c)), columns=["text", "refused"])
+    def step(a: Column, x: Column) -> Column:
+        n, more = F.length(x["piece"]), F.length(x["piece"]) + F.length(x["joint"])
+        here = (at >= a["folded"]) & (at < a["folded"] + more)
+        found = F.when(here, a["own"] + F.least(at - a["folded"], n)).otherwise(a["found"])
+        return F.struct((a["folded"] + more).alias("folded"), (a["own"] + n + x["taken"]).alias("own"), found.alias("found"))
 
-    return F.pandas_udf(run, kind)(entry, title, translation)
+    return F.aggregate(_seams(c), start, step, lambda a: a["found"])
+
+
+def title_span_column(entry: Column, title: Column) -> Column:
+    """(start, end) of a title in an entry, folding aside; nulls where it isn't there."""
+    want = F.trim(folded(F.coalesce(title, F.lit(""))))
+    place = F.position(want, folded(entry))
+    there = (F.length(want) > 0) & (place > 0)
+    start, end = _origin(entry, place - 1), _origin(entry, place + F.length(want) - 2) + 1
+    return F.struct(F.when(there, start).cast("long").alias("start"), F.when(there, end).cast("long").alias("end"))
+
+
+def title_replaced_column(entry: Column, title: Column, translation: Column) -> Column:
+    """(text, refused): the entry with its title replaced, or empty with everything that speaks against it, comma-joined."""
+    squeezed = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    flat, new = squeezed(entry), squeezed(translation)
+    span = title_span_column(flat, title)
+
+    def judged(x: Column) -> Column:
+        start, end = x["start"], x["end"]
+        n = end - start
+        faults = {
+            "no title": start.isNull(),
+            "all of the entry": n > WHOLE * F.length(flat),
+            "not Chinese": ~new.rlike(CJK),
+            "an address": new.rlike(ADDRESS),
+            "too long": F.length(new) > GROWTH * n + SLACK,
+        }
+        refused = F.array_join(F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in faults.items()]), lambda k: k.isNotNull()), ", ")
+        text = F.concat(F.substring(flat, F.lit(1), start.cast("int")), new, F.substring(flat, end.cast("int") + 1, F.length(flat)))
+        return F.struct(F.when(refused == "", text).otherwise("").alias("text"), refused.alias("refused"))
+
+    return F.get(F.transform(F.array(span), judged), 0)
 
 
 def residue_column(source: Column, placed: Column) -> Column:

@@ -1,29 +1,61 @@
 """Vectors of matching, spans and queue states."""
 
-import pytest
+import random
+
+from pyspark.sql import functions as F
 
 from foliant.functions import matching as M
 from foliant.operators import edits as E
 from foliant.operators import spans as SP
 
 
-@pytest.mark.parametrize(("entry", "title", "want"), [
-    ("A. B, Additive man- ufacturing of parts, 2020", "additive manufacturing of parts", "Additive man- ufacturing of parts"),
-    ("A. B, Laser-directed work, 2020", "Laser-Directed  Work", "Laser-directed work"),
-    ("A. B, addi-\n tive things", "Additive things", "addi-\n tive things"),
-    ("nothing of it", "another title", None),
-    ("x", "", None),
-])
-def test_title_span(entry, title, want):
-    span = M.title_span(entry, title)
-    assert (span and entry[span[0] : span[1]]) == want
-
-
-def test_title_replaced():
-    entry = "Name, A. The title of it. Journal 3, 2020."
-    assert M.title_replaced(entry, "the title of it", "译名") == ("Name, A. 译名. Journal 3, 2020.", "")
-    reasons = [M.title_replaced(entry, *x)[1] for x in (("the title of it", ""), ("the title of it", "abc"), ("the title of it", "译 https://x"), ("missing", "译"), (entry, "译"), ("of it", "译" * 90))]
-    assert reasons == ["empty", "untranslated", "address", "not found", "whole entry", "grown"]
+def _model(entry, title):
+    """A title's span, a sign at a time."""
+
+    def fold(text):
+        out, at, i = [], [], 0
+        while i < len(text):
+            if text[i] == "-" and i and text[i - 1].isalnum():
+                j = i + 1
+                while j < len(text) and text[j].isspace():
+                    j += 1
+                if j < len(text) and text[j].isalnum():
+                    i = j
+                    continue
+            if text[i].isspace():
+                out.append(" "), at.append(i)
+                while i < len(text) and text[i].isspace():
+                    i += 1
+                continue
+            out.append(text[i].lower()), at.append(i)
+            i += 1
+        return "".join(out), at
+
+    want = fold(title)[0].strip()
+    have, at = fold(entry)
+    k = have.find(want) if want else -1
+    return (at[k], at[k + len(want) - 1] + 1) if k >= 0 else (None, None)
+
+
+def test_title_spans(spark):
+    rng = random.Random(6)
+    rows = [("Smith. Slow-\n moving RIVERS of ice. 1999", "slowmoving  rivers of ice"), ("a-b", "ab"), ("- x -y", "x -y"), ("no such", "title"), ("x", ""), ("x", None), ("", "x")]
+    for _ in range(400):
+        entry = "".join(rng.choice(["ab", "C", "-", " ", "\n", "é", "9", ".", "- "]) for _ in range(rng.randint(0, 25)))
+        a = rng.randint(0, len(entry))
+        rows.append((entry, entry[a : a + rng.randint(0, 8)].upper()))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, entry string, title string")
+    got = {r.i: (r.x.start, r.x.end) for r in df.select("i", M.title_span_column(F.col("entry"), F.col("title")).alias("x")).collect()}
+    for i, (entry, title) in enumerate(rows):
+        assert got[i] == _model(entry, title or ""), (entry, title)
+
+
+def test_title_replaced(spark):
+    entry = "Doe, J.  On slow rivers.\nIce Letters 7, 1999."
+    cases = [("on slow rivers", "论慢河", "Doe, J. 论慢河. Ice Letters 7, 1999.", ""), ("on slow rivers", " ", "", "not Chinese"), ("on slow rivers", "slow", "", "not Chinese"), ("on slow rivers", "河 https://a.b", "", "an address"), ("fast rivers", "河", "", "no title"), (entry, "河", "", "all of the entry"), ("ice", "河" * 90, "", "too long"), ("fast", "doi: 10.1/x", "", "no title, not Chinese, an address")]
+    df = spark.createDataFrame([(i, entry, *c) for i, c in enumerate(cases)], "i int, entry string, title string, zh string, text string, refused string")
+    for r in df.select("*", M.title_replaced_column(F.col("entry"), F.col("title"), F.col("zh")).alias("x")).collect():
+        assert (r.x.text, r.x.refused) == (r.text, r.refused), r
 
 
 def test_cells():
