@@ -17,7 +17,7 @@ from pyspark.sql.types import StringType
 
 from foliant.functions.text import CJK, first_json_object, tags_of, year_of
 from foliant.operators.validate import latex_problems
-from foliant.session import ship
+from foliant.session import ship, written
 
 #: Bounds of an acceptable correction: growth and likeness.
 GROWTH, SLACK, LIKENESS = 3, 300, 0.55
@@ -56,11 +56,12 @@ def translation_accepted(source: Column, answer: Column) -> Column:
 def translated(rows: DataFrame, text: str, model: TextModel, accepted: Callable[[Column, Column], Column] = translation_accepted, retries: int = 2) -> DataFrame:
     """rows with answer, tokens, tries and state: mt where accepted, needs_review after the last try.
 
-    Each retry takes only the rows that failed; the model must give the same answer for the same text and try.
+    Each retry takes only the rows that failed. Each try is written before it is judged, so that no call is made twice:
+    what a call cost stays spent, and a model may answer differently each time.
     """
     todo, done = rows.withColumn("_spent", F.lit(0).cast("long")), None
     for attempt in range(1, retries + 2):
-        tried = answers(todo, text, model)
+        tried = written(answers(todo, text, model), "answers")
         sound = accepted(F.col(text), F.col("answer"))
         spent = tried.withColumn("_spent", F.col("_spent") + F.col("tokens")).withColumn("_ok", F.coalesce(sound, F.lit(False)))
         last = attempt == retries + 1

@@ -61,13 +61,17 @@ def junk(c: Column) -> Column:
     return c.rlike(r"^[^A-Za-z0-9]{0,2}$") & (F.regexp_count(c, F.lit(r"[\p{L}\p{N}]")) == 0)
 
 
+#: Signs of a reference (pages, volume, proceedings, identifiers or a year after a comma), and its number.
+REFERENCE_SIGNS = r"\bpp\.|\bvol\.|\bProc\.|IEEE Trans|\bdoi:|arXiv:|,\s*(?:19|20)[0-9]{2}\b"
+REFERENCE_NUMBER = r"^\s*\[[0-9]{1,3}\]"
+
+
 def reference_like(c: Column) -> Column:
-    """Pages, volume, proceedings, identifiers or a year after a comma."""
-    return c.rlike(r"\bpp\.|\bvol\.|\bProc\.|IEEE Trans|\bdoi:|arXiv:|,\s*(?:19|20)[0-9]{2}\b")
+    return c.rlike(REFERENCE_SIGNS)
 
 
 def numbered_reference(c: Column) -> Column:
-    return c.rlike(r"^\s*\[[0-9]{1,3}\]")
+    return c.rlike(REFERENCE_NUMBER)
 
 
 def sentences(c: Column, lang: str = "en") -> Column:

@@ -6,16 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def overlay(marks: DataFrame, keys: list[str], start: str = "start", end: str = "end", order: tuple[str, ...] = ("ts", "id"), payload: str = "color") -> DataFrame:
+def overlay(marks: DataFrame, keys: list[str], start: str = "start", end: str = "end", order: tuple[str, ...] = ("ts", "id"), payload: str = "color", width: int = 64) -> DataFrame:
     """What is seen once each mark, in order of arrival, has covered what lay under it.
 
     The keys' endpoints cut elementary segments; a segment belongs to the last mark over it; neighbouring segments of
-    one mark are joined again. Marks of a key meet only the segments of that key.
+    one mark are joined again. A segment meets only the marks that reach into its stretch of `width` places, so that a
+    key with many marks is dealt among tasks, and work follows how many marks lie over one another.
     """
+    stretch = lambda c: F.floor(c / F.lit(width))
     ends = marks.select(*keys, F.explode(F.array(start, end)).alias("s")).distinct()
-    cut = ends.withColumn("e", F.lead("s").over(Window.partitionBy(*keys).orderBy("s"))).where("e is not null")
-    own = marks.select(*keys, F.col(start).alias("_a"), F.col(end).alias("_b"), F.struct(*order, payload).alias("owner"))
-    over = cut.join(own, keys).where((F.col("_a") <= F.col("s")) & (F.col("_b") >= F.col("e")))
+    cut = ends.withColumn("e", F.lead("s").over(Window.partitionBy(*keys).orderBy("s"))).where("e is not null").withColumn("_at", stretch(F.col("s")))
+    own = marks.where(F.col(start) < F.col(end)).select(*keys, F.col(start).alias("_a"), F.col(end).alias("_b"), F.struct(*order, payload).alias("owner"))
+    own = own.withColumn("_at", F.explode(F.sequence(stretch(F.col("_a")), stretch(F.col("_b") - 1))))
+    over = cut.join(own, [*keys, "_at"]).where((F.col("_a") <= F.col("s")) & (F.col("_b") >= F.col("e")))
     seen = over.groupBy(*keys, "s", "e").agg(F.max("owner").alias("owner"))
     w = Window.partitionBy(*keys).orderBy("s")
     fresh = ~(F.lag("owner").over(w).eqNullSafe(F.col("owner")) & (F.lag("e").over(w) == F.col("s")))

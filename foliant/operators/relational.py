@@ -63,6 +63,20 @@ def placed(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     return ranged.withColumn("_row", within).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_row")).drop("_part", "_row", "_before")
 
 
+def placed_within(df: DataFrame, by: str, *order: Column, name: str = "rank") -> DataFrame:
+    """df with the place of each row in an order within each of the few values of `by`, none of them gathered in one task.
+
+    As placed(), with counts for each part and value: as many rows as there are parts and values.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(df.repartitionByRange(parts, F.col(by), *order).withColumn("_part", F.spark_partition_id()), "placed")
+    counts = ranged.groupBy(by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(F.col(by).alias("_by"), F.col("_part").alias("_of"), (F.sum("_n").over(Window.partitionBy(by).orderBy("_part")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part", by).orderBy(*order))
+    joined = ranged.withColumn("_row", within).join(before, (F.col("_part") == F.col("_of")) & F.col(by).eqNullSafe(F.col("_by")))
+    return joined.withColumn(name, F.col("_before") + F.col("_row")).drop("_part", "_row", "_before", "_by", "_of")
+
+
 LIBRARY_ORDERS = {
     "created_desc": lambda: (F.desc("created_at"), F.asc("paper_id")),
     "created_asc": lambda: (F.asc("created_at"), F.asc("paper_id")),
@@ -126,10 +140,11 @@ def attention(papers: DataFrame, as_of: str) -> DataFrame:
 
 
 def first_titles(rows: DataFrame, by: str, k: int = 3) -> DataFrame:
-    """The number of rows of each kind and its first titles by id, joined."""
+    """The number of rows of each kind and its first titles by id, joined. Each task keeps k rows of a kind before they are dealt."""
     place = F.row_number().over(Window.partitionBy(by).orderBy("paper_id"))
-    counted = rows.withColumn("place", place)
-    return counted.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("place") <= k, F.struct("place", "title")))), lambda x: x["title"]), "、").alias("titles"))
+    first = rows.select(by, "paper_id", "title").withColumn("place", place).where(F.col("place") <= k)
+    joined = first.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "title"))), lambda x: x["title"]), "、").alias("titles"))
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).join(joined, by)
 
 
 def pace(stamped: DataFrame, as_of: str, buckets: int, unit: str) -> DataFrame:

@@ -50,17 +50,44 @@ def digit_mismatch(en: DataFrame, zh: DataFrame) -> DataFrame:
     return p.where(digits(F.col("text")) != digits(F.col("zh"))).select(KEY, "id")
 
 
+def by_id(en: DataFrame, zh: DataFrame) -> DataFrame:
+    """(paper_id, id, own, other, sources, last): each id's places in en and in zh, its (n, text, type) in en, and its last text in zh.
+
+    Rows are dealt by paper once; all that follows groups within that.
+    """
+    none = F.lit(None).cast("string")
+    rows = en.select(KEY, "id", "n", "text", F.col("type").alias("type"), F.lit(True).alias("source")).unionByName(zh.select(KEY, "id", "n", "text", none.alias("type"), F.lit(False).alias("source")))
+    places = lambda which: F.array_sort(F.collect_list(F.when(which, F.col("n"))))
+    sources = F.collect_list(F.when(F.col("source"), F.struct("n", "text", "type")))
+    last = F.max_by(F.when(~F.col("source"), F.col("text")), F.when(~F.col("source"), F.col("n")))
+    return rows.repartition(KEY).groupBy(KEY, "id").agg(places(F.col("source")).alias("own"), places(~F.col("source")).alias("other"), sources.alias("sources"), last.alias("last"))
+
+
 def summary(en: DataFrame, zh: DataFrame) -> DataFrame:
     """Findings of each paper, and ok: no structural one. Numbers only warn."""
-    kinds = {"missing": missing(en, zh), "extra": missing(zh, en), "duplicated": duplicated(zh), "misordered": first_misorder(en, zh), "untranslated": untranslated(en, zh), "digits": digit_mismatch(en, zh)}
-    found = None
-    for kind, rows in kinds.items():
-        one = rows.select(KEY, F.lit(kind).alias("kind"))
-        found = one if found is None else found.unionByName(one)
-    counts = found.groupBy(KEY).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
-    out = en.select(KEY).distinct().join(counts, KEY, "left").na.fill(0, list(kinds))
-    bad = sum((F.col(k) for k in list(kinds)[:-1]), F.lit(0))
-    return out.withColumn("ok", bad == 0)
+    ids = by_id(en, zh)
+    digits = lambda c: F.regexp_extract_all(c, F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))
+    last, paired = F.col("last"), F.size("other") > 0
+    wanted = lambda x: T.expects_translation(x["text"], x["type"])
+    empty = lambda x: ~last.rlike(r"\S") | ((F.length(T.squeezed(x["text"])) > 40) & ~last.rlike(T.CJK))
+    those = lambda f: F.when(paired, F.size(F.filter("sources", f))).otherwise(0)
+    flagged = ids.select(
+        KEY, "id", "own", "other", (F.size("own") > 0).alias("listed"),
+        F.when(~paired, F.size("own")).otherwise(0).alias("missing"),
+        F.when(F.size("own") == 0, F.size("other")).otherwise(0).alias("extra"),
+        (F.size("other") > 1).cast("int").alias("duplicated"),
+        those(lambda x: wanted(x) & empty(x)).alias("untranslated"),
+        those(lambda x: wanted(x) & last.rlike(r"\S") & (digits(x["text"]) != digits(last))).alias("digits"),
+    )
+    in_order = lambda column, which: F.array_sort(F.flatten(F.collect_list(F.when(which, F.transform(column, lambda n: F.struct(n.alias("n"), F.col("id").alias("id")))))))
+    shared = (F.size("own") > 0) & (F.size("other") > 0)
+    counts = [F.sum(k).cast("long").alias(k) for k in ("missing", "extra", "duplicated", "untranslated", "digits")]
+    papers = flagged.groupBy(KEY).agg(*counts, F.bool_or("listed").alias("listed"), in_order("own", shared).alias("a"), in_order("other", shared & (F.size("other") == 1)).alias("b"))
+    apart = F.exists(F.zip_with("a", "b", lambda x, y: x["id"] != y["id"]), lambda x: x)
+    out = papers.where("listed").withColumn("misordered", F.coalesce(apart, F.lit(False)).cast("long"))
+    kinds = ["missing", "extra", "duplicated", "misordered", "untranslated", "digits"]
+    bad = sum((F.col(k) for k in kinds[:-1]), F.lit(0))
+    return out.select(KEY, *kinds).withColumn("ok", bad == 0)
 
 
 def to_retry(en: DataFrame, zh: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def usage_per_user(spark, sf):
 
 def board_columns(spark, sf):
     p = V.papers(spark, sf)
-    out = R.ranked(p, F.coalesce("status_at", "created_at").desc(), F.asc("paper_id"), by="status", name="place")
+    out = R.placed_within(p, "status", F.coalesce("status_at", "created_at").desc(), F.asc("paper_id"), name="place")
     return out.select("status", "place", "paper_id")
 
 

@@ -5,21 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.session import written
+
 BLOCK_TYPE = "array<struct<ord:bigint,id:string,type:string,en:string>>"
 
 
-def save_blocks(blocks: DataFrame, path: str, buckets: int = 64) -> None:
+BUCKETS = 64
+
+
+def _bucket(paper: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(paper.cast("long")), F.lit(buckets)).cast("int")
+
+
+def save_blocks(blocks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Replace the stored blocks of the papers in `blocks`, and of no others: whole bucket folders are rewritten.
 
-    Papers share a bounded number of folders, so the table doesn't grow one folder a paper.
+    Papers share a bounded number of folders, so the table doesn't grow one folder a paper. What the folders will hold is
+    written aside first: nothing is recomputed from a folder that is being replaced. load_blocks() takes the same number.
     """
     spark = blocks.sparkSession
-    bucketed = blocks.withColumn("bucket", F.pmod(F.xxhash64("paper_id"), F.lit(buckets)).cast("int"))
+    bucketed = blocks.withColumn("bucket", _bucket(F.col("paper_id"), buckets))
     touched = bucketed.select("bucket").distinct()
     if _exists(spark, path):
         rest = spark.read.parquet(path).join(touched, "bucket", "left_semi").join(blocks.select("paper_id").distinct(), "paper_id", "left_anti")
-        bucketed = bucketed.unionByName(rest).checkpoint() if spark.sparkContext.getCheckpointDir() else bucketed.unionByName(rest).persist()
-        bucketed.count()
+        bucketed = written(bucketed.unionByName(rest), "blocks")
     bucketed.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
@@ -29,10 +38,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def load_blocks(spark: SparkSession, path: str, paper_id: int) -> DataFrame:
+def load_blocks(spark: SparkSession, path: str, paper_id: int, buckets: int = BUCKETS) -> DataFrame:
     """A paper's blocks in order; the bucket folder prunes the scan."""
-    buckets = spark.range(1).select(F.pmod(F.xxhash64(F.lit(paper_id).cast("long")), F.lit(64)).cast("int").alias("b")).first().b
-    return spark.read.parquet(path).where((F.col("bucket") == buckets) & (F.col("paper_id") == paper_id)).orderBy("ord").drop("bucket")
+    own = spark.range(1).select(_bucket(F.lit(paper_id), buckets).alias("b")).first().b
+    return spark.read.parquet(path).where((F.col("bucket") == own) & (F.col("paper_id") == paper_id)).orderBy("ord").drop("bucket")
 
 
 def to_json(blocks: DataFrame) -> DataFrame:
