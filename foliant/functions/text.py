@@ -96,6 +96,11 @@ def math_units(c: Column) -> Column:
     return F.filter(F.transform(cut, lambda s: F.struct(kind(s).alias("kind"), s.alias("text"))), lambda u: F.length(u["text"]) > 0)
 
 
+def has_math(c: Column) -> Column:
+    """A pair of inline or display signs with something between."""
+    return c.rlike(r"(?s)\\\(.+?\\\)|\\\[.+?\\\]")
+
+
 def words(c: Column, least: int) -> Column:
     return F.regexp_extract_all(c, F.lit(f"[A-Za-z]{{{least},}}"), F.lit(0))
 
