@@ -222,7 +222,29 @@ def _esc(x: str) -> str:
 _HTML = f"""CASE WHEN type IN ('figure', 'deco') THEN '<figure data-b="' || id || '"' || CASE WHEN type = 'deco' THEN ' data-nt="1"' ELSE '' END || '><figcaption>' || {_esc('en')} || '</figcaption></figure>'
   WHEN type = 'h2' THEN '<h2 data-b="' || id || '">' || {_esc('en')} || '</h2>' ELSE '<p data-b="' || id || '">' || {_esc('en')} || '</p>' END"""
 
+def _moved(rows: str, columns: str) -> str:
+    """Ranges (start, end) of rows with old and new texts, moved a seam at a time: s and e, null where nothing is left."""
+    same = lambda x, y: f"coalesce(list_position(list_transform(list_zip({x}, {y}, true), lambda z: z[1] = z[2]), false) - 1, least(len({x}), len({y})))"
+    return f"""signs AS (SELECT *, string_split(old, '') AS a, string_split(new, '') AS b FROM ({rows})), head AS (SELECT *, {same("a", "b")} AS p FROM signs),
+  tail AS (SELECT *, length(old) - {same("list_reverse(a[p + 1:])", "list_reverse(b[p + 1:])")} AS last, length(new) - length(old) AS delta FROM head),
+  ends AS (SELECT {columns}, old, new, "start" AS s0, "end" AS e0, CASE WHEN old = new OR "start" < p THEN "start" WHEN "start" >= last THEN "start" + delta ELSE p END AS s1,
+    CASE WHEN old = new OR "end" < p OR ("end" = p AND p = last) THEN "end" WHEN "end" >= last THEN "end" + delta ELSE p END AS e1 FROM tail),
+  held AS (SELECT *, CASE WHEN old = new THEN s1 ELSE greatest(0, least(s1, length(new))) END AS s2, CASE WHEN old = new THEN e1 ELSE greatest(0, least(e1, length(new))) END AS e2 FROM ends),
+  moved AS (SELECT *, CASE WHEN s0 < e0 AND s2 < e2 THEN s2 END AS s, CASE WHEN s0 < e0 AND s2 < e2 THEN e2 END AS e FROM held)"""
+
+
+_EDITED = """SELECT doc_id, text AS old, substr(text, 1, 30) || CASE WHEN doc_id % 2 = 0 THEN ' inserted ' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN substr(text, 51) ELSE substr(text, 31) END AS new,
+  CASE WHEN text IS NOT NULL THEN least(doc_id % 90, length(text)) END AS "start", CASE WHEN text IS NOT NULL THEN least(doc_id % 90 + 12, length(text)) END AS "end" FROM documents"""
+_CUT = """SELECT m.id, m.block_id, m.start AS "start", m."end" AS "end", text AS old, substr(text, 1, 20) || substr(text, 41) AS new FROM marks m LEFT JOIN documents d ON d.doc_id = m.block_id"""
+
 ORACLES = {
+    "remap_span": f"""WITH {_moved(_EDITED, 'doc_id')} SELECT doc_id, s AS start, e AS "end" FROM moved""",
+    "anchor_ledger": V.with_(V.MARKS, _moved(_CUT, "id, block_id")) + """SELECT block_id, id, CASE WHEN old IS NULL THEN 'kept' WHEN s IS NULL THEN 'dropped' ELSE 'moved' END AS fate, CASE WHEN old IS NULL THEN s0 ELSE s END AS start, CASE WHEN old IS NULL THEN e0 ELSE e END AS "end",
+      CASE WHEN old IS NOT NULL AND s IS NULL THEN substr(old, CAST(s0 + 1 AS INTEGER), CAST(e0 - s0 AS INTEGER)) END AS quote FROM moved""",
+    "remap_ws": r"""WITH d AS (SELECT doc_id, text AS old, replace(text, ' ', chr(10) || ' ') AS new, doc_id % 50 AS s, doc_id % 50 + 20 AS e FROM documents),
+      k AS (SELECT *, length(regexp_replace(substr(old, 1, s), '\s', '', 'g')) AS first, length(regexp_replace(substr(old, 1, e), '\s', '', 'g')) AS last, string_split(new, '') AS signs FROM d),
+      p AS (SELECT *, list_filter(range(0, len(signs)), lambda i: regexp_matches(signs[i + 1], '\S')) AS kept FROM k)
+      SELECT doc_id, CASE WHEN first < last THEN kept[first + 1] END AS start, CASE WHEN first < last THEN kept[last] + 1 END AS "end" FROM p""",
     "section_forward_fill": _B + "SELECT paper_id, ord, last_value(CASE WHEN type = 'h2' THEN en END IGNORE NULLS) OVER (PARTITION BY paper_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS section FROM blocks",
     "page_groups": _B + """SELECT paper_id, CAST(island AS BIGINT) AS island, any_value(page) AS page, min(ord) AS first, count(*) AS n FROM (SELECT *, sum(CASE WHEN page = before THEN 0 ELSE 1 END) OVER (PARTITION BY paper_id ORDER BY ord) AS island FROM
       (SELECT *, lag(page) OVER (PARTITION BY paper_id ORDER BY ord) AS before FROM (SELECT paper_id, ord, ord // 3 % 4 AS page FROM blocks))) GROUP BY paper_id, island""",

@@ -8,6 +8,7 @@ from foliant.functions import text as T
 from foliant.operators import annotations as A
 from foliant.operators import editing as E
 from foliant.operators import relational as R
+from foliant.plans.document_queries import _EXPECTED
 from foliant.session import table
 from foliant.sources import html as H
 from foliant.sources import views as V
@@ -277,7 +278,6 @@ _SPANS = """p AS (SELECT paper_id AS block_id, length(title) AS n FROM papers WH
   a AS (SELECT id, block_id, CASE WHEN id % 10 <> 0 THEN start % 60 END AS start, CASE WHEN id % 10 <> 0 THEN start % 60 + 5 END AS e FROM marks),
   chosen AS (SELECT a.*, s.*, row_number() OVER (PARTITION BY a.id ORDER BY CASE WHEN f <= base + coalesce(start, 0) AND base + coalesce(start, 0) < t THEN 0 ELSE 1 END, CASE WHEN f <= base + coalesce(start, 0) AND base + coalesce(start, 0) < t THEN f ELSE -f END) AS k FROM a JOIN spans s ON s.block_id = a.block_id)"""
 _LISTED = "SELECT paper_id, page, list(id ORDER BY ord) AS ids FROM blocks GROUP BY paper_id, page"
-_PROSE = "(SELECT * FROM translated WHERE (type <> 'figure' OR coalesce(en <> '', false)))"
 
 ORACLES = {
     "marks_by_block": V.with_(V.PAPERS, V.MARKS) + """SELECT p.paper_id AS block_id, count(id) AS n, coalesce(string_agg(start || ':' || "end" || ':' || id || ':' || color, ',' ORDER BY start, "end", id), '') AS marks FROM papers p LEFT JOIN marks m ON m.block_id = p.paper_id GROUP BY p.paper_id""",
@@ -304,6 +304,8 @@ ORACLES = {
       OR len(list_filter(regexp_extract_all(en, '\[[^\]\n]{0,14}?\]'), lambda x: regexp_matches(x, '^\[\s|\s\]$') AND regexp_matches(x, '[0-9]'))) > 0) AS n_suspect FROM blocks GROUP BY paper_id, page""",
     "titles": V.with_(V.BLOCKS) + r"SELECT paper_id, arg_min(trim(en), ord) AS title, count(*) AS n, sha256(string_agg(trim(en), '|' ORDER BY ord)) AS candidates FROM blocks WHERE type = 'p' AND regexp_matches(en, '\S') GROUP BY paper_id",
     "participating": V.with_(V.BLOCKS) + "SELECT paper_id, count(*) AS n FROM blocks WHERE type <> 'figure' OR ord % 26 <> 12 AND en <> '' GROUP BY paper_id",
+    "translation_todo": V.with_(V.BLOCKS, TRANSLATED, f"own AS (SELECT *, en AS text FROM translated WHERE (type <> 'figure' OR coalesce(en <> '', false)) AND zh_source <> 'human'), todo AS (SELECT * FROM own WHERE {_EXPECTED})") + r"""SELECT paper_id, 'all' AS choice, count(*) AS n FROM todo GROUP BY paper_id
+      UNION ALL SELECT paper_id, 'only', count(*) FROM todo WHERE ord % 4 = 1 GROUP BY paper_id UNION ALL SELECT paper_id, 'resume', count(*) FROM todo WHERE NOT regexp_matches(zh, '\S') GROUP BY paper_id""",
     "payload_checks": """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'below' WHEN 1 THEN 'above' END AS side, CASE WHEN doc_id % 4 = 0 THEN '#A0b1c2' ELSE '' END AS color, CAST(CASE doc_id % 5 WHEN 1 THEN 0.98 WHEN 2 THEN 0.7 ELSE 0 END AS DOUBLE) AS em,
       CASE WHEN doc_id % 5 IN (1, 2) THEN 'a|12|||' ELSE '' END AS markers FROM documents""",
     "asset_names": V.with_(V.BLOCKS) + "SELECT DISTINCT paper_id, 'f' || ord % 4 || '.png' AS name FROM blocks WHERE ord % 3 = 0",

@@ -50,6 +50,14 @@ def block_delete(s, d):
     return E.deleted(b, b.where("ord % 3 = 1").select("paper_id", "id"), _notes(s, d))[1]
 
 
+def _note_spans(s, d):
+    """Spans, where every third block is in small print and each of its lines starts with a raised letter."""
+    own = _spans(s, d).select("paper_id", "page", "block", "line", "span", "text", "size")
+    small = F.col("block") % 3 == 0
+    raised = own.where(small & (F.col("span") == 0)).select("paper_id", "page", "block", "line", F.lit(-1).cast("long").alias("span"), F.when(F.col("line") % 5 == 4, "Note").otherwise("b").alias("text"), F.lit(5.0).alias("size"))
+    return own.withColumn("size", F.when(small, 8.5).otherwise(F.col("size"))).unionByName(raised)
+
+
 def block_correct(s, d):
     b = V.blocks(s, d).select("paper_id", "ord", "id", "en", F.lit("译").alias("zh"), F.lit("mt").alias("zh_source"))
     patch = b.where("ord % 4 > 0").select("paper_id", "id", F.when(F.col("ord") % 4 != 2, F.upper("id")).alias("en"), F.when(F.col("ord") % 4 > 1, F.lit("改")).alias("zh"))
@@ -166,7 +174,7 @@ QUERIES = {
     "page_rotation": lambda s, d: SP.page_rotation(_spans(s, d)),
     "visible_text": visible_text,
     "main_size": lambda s, d: SP.main_sizes(_spans(s, d), SP.BLOCK),
-    "note_areas": lambda s, d: SP.note_areas(_spans(s, d), 11.5),
+    "note_areas": lambda s, d: SP.note_areas(_note_spans(s, d), 11.5),
     "runin_heads": lambda s, d: SP.runin_heads(_spans(s, d)).select("paper_id", "page", "block", "head", F.length("body").alias("n")),
     "block_insert": block_insert,
     "block_delete": block_delete,
@@ -183,7 +191,27 @@ _S = V.with_(V.BLOCKS, SPANS)
 
 _PAGES = """p AS (SELECT *, x0 + 80 AS x1, y0 + 12.0 + id * 3 AS y1 FROM (SELECT l_orderkey AS page, CAST(l_linenumber AS BIGINT) AS id, CAST(l_partkey % 60 * 10 AS DOUBLE) AS x0, CAST(l_suppkey % 79 * 10 AS DOUBLE) AS y0 FROM lineitem))"""
 
+_NOTE_SPANS = """own AS (SELECT paper_id, page, block, line, span, text, CASE WHEN block % 3 = 0 THEN 8.5 ELSE size END AS size FROM spans
+  UNION ALL SELECT paper_id, page, block, line, -1, CASE WHEN line % 5 = 4 THEN 'Note' ELSE 'b' END, 5.0 FROM spans WHERE block % 3 = 0 AND span = 0)"""
+
+
+def _main(*keys: str) -> str:
+    """The size with most characters in a line or block; of equal ones, that seen first."""
+    k = ", ".join(keys)
+    return f"SELECT {k}, size AS main FROM (SELECT {k}, size, row_number() OVER (PARTITION BY {k} ORDER BY sum(length(text)) DESC, min(line * 100000 + span + 1)) AS n FROM own GROUP BY {k}, size) WHERE n = 1"
+
+
+_STEPS = """steps AS (SELECT user_id AS paper_id, ['enqueue', 'claim', 'done', 'enqueue', 'lost', 'claim', 'restart'][event_id % 7 + 1] AS e, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+  fold AS (SELECT paper_id, CAST(0 AS BIGINT) AS k, 'none' AS state, CAST(0 AS BIGINT) AS attempts FROM (SELECT DISTINCT user_id AS paper_id FROM events) UNION ALL
+    SELECT f.paper_id, s.k, CASE WHEN e = 'enqueue' AND state <> 'doing' THEN 'queued' WHEN e = 'claim' AND state = 'queued' THEN 'doing' WHEN e = 'done' AND state = 'doing' THEN 'done' WHEN e = 'lost' AND state = 'queued' AND attempts >= 2 THEN 'failed' WHEN e = 'restart' AND state = 'doing' THEN 'queued' ELSE state END,
+      CASE WHEN e = 'enqueue' AND state <> 'doing' THEN 0 WHEN e IN ('claim', 'lost') AND state = 'queued' THEN attempts + 1 ELSE attempts END FROM fold f JOIN steps s ON s.paper_id = f.paper_id AND s.k = f.k + 1)"""
+
 ORACLES = {
+    "note_areas": V.with_(V.BLOCKS, SPANS, _NOTE_SPANS) + f"""SELECT h.paper_id, h.page, h.block, h.marks, round(m.main / 11.5, 3) AS em FROM
+      (SELECT o.paper_id, o.page, o.block, count(*) AS lines, count(*) FILTER (WHERE regexp_matches(trim(text), '^([a-z]|[0-9]{{1,2}})$') AND size < l.main - 0.4) AS marks
+        FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, page, block, line ORDER BY span) AS n FROM own) o JOIN ({_main("paper_id", "page", "block", "line")}) l ON l.paper_id = o.paper_id AND l.page = o.page AND l.block = o.block AND l.line = o.line WHERE n = 1 GROUP BY o.paper_id, o.page, o.block) h
+      JOIN ({_main("paper_id", "page", "block")}) m ON m.paper_id = h.paper_id AND m.page = h.page AND m.block = h.block WHERE lines >= 2 AND marks >= 2 AND main > 0 AND main < 10.5""",
+    "conv_state_fold": f"WITH RECURSIVE {_STEPS} SELECT paper_id, arg_max(state, k) AS state, arg_max(attempts, k) AS attempts FROM fold GROUP BY paper_id",
     "heading_levels": V.with_(V.BLOCKS) + """SELECT paper_id, ord, CAST(CASE WHEN length(t) > 160 THEN NULL WHEN ord % 5 = 0 AND ord % 2 = 0 THEN 2 WHEN ord % 5 = 1 AND ord % 2 = 1 THEN 3 WHEN ord % 5 = 2 THEN 4
       WHEN regexp_matches(lower(t), '^(abstract|introduction|references|conclusions?|acknowledge?ments?|appendix|methods?|results|discussion)\\b') AND length(t) < 60 THEN 2 WHEN ord % 4 >= 2 AND length(t) < 90 THEN 2 END AS INTEGER) AS level
       FROM (SELECT paper_id, ord, CASE ord % 5 WHEN 0 THEN 'II. ' || en WHEN 1 THEN 'A. ' || en WHEN 2 THEN '1.2 ' || en ELSE en END AS t FROM blocks)""",
