@@ -55,7 +55,7 @@ def far(percent: int) -> int:
 #: Shingles that a block of strays or of members holds in the mean.
 BLOCK_ELEMENTS = 2_000_000
 #: Words whose hashes are kept in a worker's memory, and rows of a block of minima.
-CACHE, BLOCK = 1 << 19, 4096
+CACHE, BLOCK = 1 << 18, 4096
 
 _rng = np.random.default_rng(20240501)
 _MULTIPLIERS = _rng.integers(1, 1 << 32, SYMBOLS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
