@@ -90,8 +90,12 @@ def context(blocks: DataFrame, n: int = 2) -> DataFrame:
 
 
 def head_prefix(blocks: DataFrame, most_chars: int = 4000, most: int = 14) -> DataFrame:
-    """The blocks before the first that would pass the limit of characters or of number; a later, shorter one isn't taken."""
-    summed = blocks.withColumns({"chars": F.sum(F.length("en")).over(so_far()), "n": F.row_number().over(by_paper())})
+    """The blocks with text before the first that would pass the limit of characters or of number; a later, shorter one isn't taken.
+
+    Figures, decoration and blank blocks don't count.
+    """
+    usable = blocks.where(~F.col("type").isin("figure", "deco") & F.col("en").rlike(r"\S"))
+    summed = usable.withColumns({"chars": F.sum(F.length("en")).over(so_far()), "n": F.row_number().over(by_paper())})
     over = F.max(((F.col("chars") > most_chars) | (F.col("n") > most)).cast("int")).over(so_far())
     return summed.withColumn("over", over).where("over = 0").select(KEY, "ord", "chars")
 

@@ -258,7 +258,7 @@ ORACLES = {
     "context_window": _B + """SELECT paper_id, ord, coalesce(array_to_string(list(ord) OVER (PARTITION BY paper_id ORDER BY ord ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), ','), '') AS before,
       coalesce(array_to_string(list(ord) OVER (PARTITION BY paper_id ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), ','), '') AS after FROM blocks WHERE type <> 'deco'""",
     "head_prefix": _B + """SELECT paper_id, ord, chars FROM (SELECT *, max(CASE WHEN chars > 4000 OR n > 14 THEN 1 ELSE 0 END) OVER (PARTITION BY paper_id ORDER BY ord) AS over FROM
-      (SELECT paper_id, ord, CAST(sum(length(en)) OVER (PARTITION BY paper_id ORDER BY ord) AS BIGINT) AS chars, row_number() OVER (PARTITION BY paper_id ORDER BY ord) AS n FROM blocks)) WHERE over = 0""".replace(" AS over", " AS past").replace("WHERE over", "WHERE past"),
+      (SELECT paper_id, ord, CAST(sum(length(en)) OVER (PARTITION BY paper_id ORDER BY ord) AS BIGINT) AS chars, row_number() OVER (PARTITION BY paper_id ORDER BY ord) AS n FROM blocks WHERE type NOT IN ('figure', 'deco') AND regexp_matches(en, '[^ \\t\\n\\r]'))) WHERE over = 0""".replace(" AS over", " AS past").replace("WHERE over", "WHERE past"),
     "reference_tail": _B + """SELECT paper_id, ord FROM (SELECT *, coalesce(max(CASE WHEN named AND place >= floor(total * 0.35) THEN ord END) OVER (PARTITION BY paper_id), max(CASE WHEN entry THEN ord END) OVER (PARTITION BY paper_id) - 1) AS start FROM
       (SELECT paper_id, ord, type, count(*) OVER (PARTITION BY paper_id) AS total, row_number() OVER (PARTITION BY paper_id ORDER BY ord) - 1 AS place, regexp_matches(upper(regexp_replace(e, '\\s+', '', 'g')), '^(REFERENCES|BIBLIOGRAPHY)') AND length(e) < 40 AS named, regexp_matches(e, '^\\s*\\[[0-9]{1,3}\\]') AS entry FROM
         (SELECT *, CASE WHEN ord % 9 = 6 AND paper_id % 2 = 0 THEN 'References' WHEN ord % 9 = 7 AND paper_id % 3 = 0 THEN '[4] ' || en ELSE en END AS e FROM blocks))) WHERE ord > start AND type = 'p'""",

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.operators import accounts as AC
 from foliant.operators import annotations as A
 from foliant.operators import editing as E
 from foliant.operators import relational as R
+from foliant.operators import spans as SP
+from foliant.operators import validate as VA
 from foliant.plans.document_queries import _EXPECTED
-from foliant.session import table
+from foliant.plans.layout_queries import SPANS, _spans
+from foliant.session import scratch, table
+from foliant.sources import documents as DO
 from foliant.sources import html as H
 from foliant.sources import views as V
 
@@ -231,7 +238,47 @@ def split_zh(s, d):
     return table(s, d, "documents").select("doc_id", F.posexplode(T.sentences(zh, "zh")).alias("n", "sentence")).select("doc_id", F.col("n").cast("long").alias("n"), "sentence")
 
 
+def code_cooldown(s, d):
+    e = table(s, d, "events").withColumn("last", F.date_trunc("second", "ts"))
+    now = F.col("last") + F.make_dt_interval(secs=(F.col("event_id") % 100).cast("decimal(8,0)"))
+    return e.select("event_id", AC.cooldown_left(F.col("last"), now).alias("left"))
+
+
+def shares_backfilled(s, d):
+    old = V.shares(s, d).withColumn("expires_at", F.when(F.col("token") % 2 == 0, F.col("expires_at")))
+    return AC.shares_backfilled(old, V.SHARES_AS_OF).select("token", "expires_at")
+
+
+def grids_usable(s, d):
+    """Translated grids: alike, untranslated, of another shape, ragged or without text."""
+    i = F.col("doc_id") % 5
+    grid = lambda *rows: F.array(*[F.array(*[F.lit(x) for x in r]) for r in rows])
+    rows = F.when(i == 3, grid(("a", "b"), ("c",))).otherwise(grid(("a", "b"), ("c", "d")))
+    zh = F.when(i == 0, grid(("甲", "b"), ("c", "d"))).when(i == 2, grid(("甲", "乙"))).when(i == 4, grid(("甲", "b"), ("c", "d"))).otherwise(grid(("a", "b"), ("c", "d")))
+    return table(s, d, "documents").select("doc_id", VA.table_usable(rows, zh, F.when(i == 4, " ").otherwise("文")).alias("usable"))
+
+
+def blocks_stored(s, d):
+    """Blocks saved twice, the second time only some papers with other texts, and three papers loaded."""
+    path = f"{scratch(s)}/foliant/stored-{uuid.uuid4().hex}"
+    b = V.blocks(s, d).select("paper_id", "ord", "id", "en")
+    DO.save_blocks(b, path, 8)
+    DO.save_blocks(b.where("paper_id % 3 = 1").withColumn("en", F.upper("id")), path, 8)
+    out = None
+    for paper in (2, 4, 5):
+        one = DO.load_blocks(s, path, paper, 8).select("paper_id", "ord", "id", "en")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 QUERIES = {
+    "code_cooldown": code_cooldown,
+    "shares_backfilled": shares_backfilled,
+    "grids_usable": grids_usable,
+    "blocks_stored": blocks_stored,
+    "logos_dropped": lambda s, d: SP.without_logos(_spans(s, d), F.lit(4.5)).groupBy("paper_id").agg(F.count(F.lit(1)).alias("n")),
+    "junk_lines": lambda s, d: V.blocks(s, d).groupBy("paper_id").agg(F.count_if(T.junk(F.substring(F.trim("en"), -2, 2))).alias("n")),
+    "json_values": lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(DO.json_or(F.when(F.col("doc_id") % 2 == 0, '["a","b"]').when(F.col("doc_id") % 4 == 1, "none"), "array<string>", F.array(F.lit("-"))), "|").alias("v")),
     "marks_by_block": marks_by_block,
     "highlights_in_order": lambda s, d: A.in_order(V.marks(s, d)).select("block_id", "place", "id"),
     "highlight_checks": highlight_checks,
@@ -280,6 +327,13 @@ _SPANS = """p AS (SELECT paper_id AS block_id, length(title) AS n FROM papers WH
 _LISTED = "SELECT paper_id, page, list(id ORDER BY ord) AS ids FROM blocks GROUP BY paper_id, page"
 
 ORACLES = {
+    "code_cooldown": 'SELECT event_id, greatest(0, 60 - event_id % 100) AS "left" FROM events',
+    "shares_backfilled": V.with_(V.SHARES) + f"SELECT token, CASE WHEN token % 2 = 0 THEN expires_at ELSE TIMESTAMP '{V.SHARES_AS_OF}' + INTERVAL 24 HOUR END AS expires_at FROM shares",
+    "grids_usable": "SELECT doc_id, doc_id % 5 = 0 AS usable FROM documents",
+    "blocks_stored": V.with_(V.BLOCKS) + "SELECT paper_id, ord, id, CASE WHEN paper_id % 3 = 1 THEN upper(id) ELSE en END AS en FROM blocks WHERE paper_id IN (2, 4, 5)",
+    "logos_dropped": V.with_(V.BLOCKS, SPANS) + "SELECT paper_id, count(*) AS n FROM spans WHERE NOT (length(trim(text)) <= 3 AND size >= 9) GROUP BY paper_id",
+    "junk_lines": V.with_(V.BLOCKS) + r"SELECT paper_id, count(*) FILTER (WHERE regexp_matches(x, '^[^A-Za-z0-9]{0,2}$') AND NOT regexp_matches(x, '[\p{L}\p{N}]')) AS n FROM (SELECT paper_id, right(trim(en), 2) AS x FROM blocks) GROUP BY paper_id",
+    "json_values": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'a|b' ELSE '-' END AS v FROM documents",
     "marks_by_block": V.with_(V.PAPERS, V.MARKS) + """SELECT p.paper_id AS block_id, count(id) AS n, coalesce(string_agg(start || ':' || "end" || ':' || id || ':' || color, ',' ORDER BY start, "end", id), '') AS marks FROM papers p LEFT JOIN marks m ON m.block_id = p.paper_id GROUP BY p.paper_id""",
     "highlights_in_order": V.with_(V.MARKS) + "SELECT block_id, row_number() OVER (PARTITION BY block_id ORDER BY start, id) AS place, id FROM marks",
     "highlight_checks": V.with_(V.MARKS) + f"SELECT id, CASE WHEN id % 9 = 0 THEN 'empty range' WHEN color NOT IN ({_PENS}) THEN 'no such pen' END AS refused FROM marks",

@@ -11,6 +11,7 @@ from foliant.operators import accounts as A
 from foliant.operators import edits as E
 from foliant.operators import geometry as G
 from foliant.operators import render as H
+from foliant.operators import sequence as S
 from foliant.operators import spans as SP
 from foliant.session import table
 from foliant.sources import markers as MK
@@ -135,7 +136,9 @@ def _json_model(texts):
 
 
 def metadata_extract(s, d):
-    heads = V.blocks(s, d).where("ord = 0").select("paper_id", F.col("en").alias("text"))
+    b = V.blocks(s, d)
+    head = S.head_prefix(b).select("paper_id", "ord").join(b, ["paper_id", "ord"])
+    heads = head.groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "en"))), lambda x: x["en"]), "\n").alias("text"))
     return M.metadata(heads, _json_model).select("paper_id", "title", "year", F.array_join("tags", "|").alias("tags"))
 
 
@@ -221,7 +224,8 @@ ORACLES = {
       SELECT t.email, CASE WHEN i.code IS NULL THEN 'none' WHEN i.ts + INTERVAL 20 DAY < t.ts + INTERVAL 20 DAY THEN 'expired' WHEN i.code <> t.code THEN 'wrong' ELSE 'ok' END AS verdict, count(*) AS n FROM e t LEFT JOIN i ON i.email = t.email WHERE t.event_id % 2 = 1 GROUP BY ALL""",
     "backfill": V.with_(V.PAPERS) + "SELECT paper_id, coalesce(CASE WHEN paper_id % 2 = 0 THEN status_at END, CASE WHEN progress > 0 THEN created_at END) AS last_read_at FROM papers",
     "metadata_writeback": V.with_(V.PAPERS) + "SELECT paper_id, CASE WHEN paper_id % 5 = 0 OR paper_id % 3 = 0 OR trim(title) = '' THEN CASE WHEN paper_id % 2 = 0 THEN '题名' ELSE 'A title' END ELSE title END AS title, CASE WHEN paper_id % 2 = 0 THEN authors ELSE 'someone' END AS authors, coalesce(year, 1999) AS year FROM papers",
-    "metadata_extract": V.with_(V.BLOCKS) + "SELECT paper_id, CASE WHEN length(en) % 4 > 0 THEN 'T' || length(en) END AS title, CASE WHEN length(en) % 4 > 0 THEN CAST(1990 + length(en) % 30 AS INTEGER) END AS year, CASE WHEN length(en) % 4 > 0 THEN 'a|b' ELSE '' END AS tags FROM blocks WHERE ord = 0",
+    "metadata_extract": V.with_(V.BLOCKS, """u AS (SELECT *, sum(length(en)) OVER w AS chars, row_number() OVER w AS n FROM blocks WHERE type NOT IN ('figure', 'deco') AND regexp_matches(en, '[^ \\t\\n\\r]') WINDOW w AS (PARTITION BY paper_id ORDER BY ord)),
+      h AS (SELECT *, max(CASE WHEN chars > 4000 OR n > 14 THEN 1 ELSE 0 END) OVER (PARTITION BY paper_id ORDER BY ord) AS over FROM u), heads AS (SELECT paper_id, string_agg(en, chr(10) ORDER BY ord) AS en FROM h WHERE over = 0 GROUP BY paper_id)""") + "SELECT paper_id, CASE WHEN length(en) % 4 > 0 THEN 'T' || length(en) END AS title, CASE WHEN length(en) % 4 > 0 THEN CAST(1990 + length(en) % 30 AS INTEGER) END AS year, CASE WHEN length(en) % 4 > 0 THEN 'a|b' ELSE '' END AS tags FROM heads",
     "table_regions": f"WITH {_PAGES}, b AS (SELECT page, min(y0) AS b0, max(y0) AS b1 FROM p WHERE id % 2 = 0 GROUP BY page HAVING count(*) >= 2)" + """ SELECT b.page, b0 AS y0, b1 AS y1 FROM b JOIN p ON p.page = b.page AND id % 2 = 1 AND y0 >= b0 AND y0 <= b1 GROUP BY ALL
       HAVING count(*) >= 2 AND count(*) >= count(DISTINCT floor(p.y0 / 4)) AND count(DISTINCT floor(x0 / 4)) >= 2""",
     "margin_graphics": f"WITH {_PAGES}" + """ SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY (x1 - x0) * (y1 - y0) DESC, id) AS k FROM p a WHERE id % 2 = 0 AND (y1 <= 792 * 0.14 OR y0 >= 792 * 0.86) AND y1 - y0 BETWEEN 4 AND 40

@@ -93,3 +93,34 @@ def test_metadata_fails_softly(spark):
     out = {r.paper_id: r for r in M.metadata(rows, lambda ts: [(given[t], 1) for t in ts]).collect()}
     assert (out[1].title, out[1].year, out[1].tags) == ("T", 2019, ["x", "y"])
     assert (out[2].title, out[2].year) == (None, None) and (out[3].title, out[3].year) == (None, None)
+
+
+def test_each_model_call_is_made_once(spark, tmp_path):
+    """A model that counts its calls and answers differently each time: no call is repeated, each row has one result."""
+    from foliant.functions import models as MO
+
+    def model(texts):
+        with open(tmp_path / "calls", "a") as log:
+            log.writelines(f"{t}\n" for t in texts)
+        return [("" if t.startswith("bad") or random.random() < 0.3 else f"译{t}", 1) for t in texts]
+
+    rows = spark.createDataFrame([(i, f"{'bad' if i % 5 == 0 else 'good'} {i}") for i in range(60)], "i long, text string")
+    out = MO.translated(rows, "text", model).collect()
+    calls = (tmp_path / "calls").read_text().split("\n")[:-1]
+    assert len(out) == 60 == len({r.i for r in out})
+    assert all(calls.count(r.text) == r.tries == r.tokens for r in out)
+    assert all(r.state == "needs_review" and r.tries == 3 for r in out if r.i % 5 == 0)
+
+
+def test_dropped_content_is_listed(spark):
+    df = spark.createDataFrame([("Sensor type- s Value Optical camera", ["Sensor types", "Value", "Optical"])], "source string, placed array<string>")
+    assert df.select(M.residue_column(F.col("source"), F.col("placed")).alias("x")).first().x == ["camera"]
+
+
+def test_latex_acceptance(spark):
+    from foliant.functions import models as MO
+
+    cases = [("energy is m c 2 here (3)", r"energy is \(mc^2\) here \tag{3}", True), ("energy is m c 2 here", "energy is mc2 here", False), ("momentum conservation requires energy x = y", r"\(x=y\)", False)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, a string, b string, ok boolean")
+    for r in df.select("*", MO.latex_accepted(F.col("a"), F.col("b")).alias("got")).collect():
+        assert r.got == r.ok, r
