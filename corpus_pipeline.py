@@ -1,7 +1,12 @@
 """A training corpus in five stages: quality, line dedup, near-dedup, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; run() writes each result to the
-shared scratch folder and reads it back as the next one's docs. All stages but the last return the columns of documents.
+shared scratch folder and reads it back as the next one's docs. All stages but the last return the columns of documents,
+in order and under their names, further columns and names that differ in case alone included.
+
+Defined results of every stage: an empty table gives an empty table; a null text counts as an empty one; rows are
+judged one by one, so rows with a null id are kept or dropped by their text alone, and rows that repeat get equal
+decisions, but where a stage is there to drop copies.
 """
 
 from __future__ import annotations
@@ -14,12 +19,18 @@ from foliant.llm.common import numbered, picked, table, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts. It is fitted on labels.quality outside the held-out fold."""
+    """Documents that the quality classifier accepts. It is fitted on labels.quality outside the held-out fold.
+
+    Null and empty texts have a score as any other; without labels of both kinds all rows get the share of label 1.
+    """
     return quality.accepted(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that a document of a smaller id has; n_chars follows the text."""
+    """All documents, without the lines that a document of a smaller id has; n_chars follows the text.
+
+    A null text becomes an empty one. A null id comes after every other. Rows that share an id keep the same lines.
+    """
     done = numbered(line_dedup.dedup_lines(docs))
     kept = F.col(f"c{len(docs.columns)}")
     new = {"text": kept, "n_chars": F.length(kept).cast("long")}
@@ -27,7 +38,10 @@ def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def unlike_others(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates: two-word shingles as the operator's contract has them, similarity 0.8."""
+    """One document, that of the smallest id, of each group of near-duplicates: two-word shingles as the operator's contract has them, similarity 0.8.
+
+    Documents without words and rows with a null id are all kept. Of rows equal in id and text one stays.
+    """
     found = minhash.near_duplicates(docs, shingle=2)
     own, doc_id = numbered(docs), F.col(f"c{docs.columns.index('doc_id')}")
     kept = own.join(found.where(~F.col("kept")).select("doc_id").distinct(), doc_id == F.col("doc_id"), "left_anti")
@@ -40,7 +54,10 @@ def unlike_others(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated by the benchmark: under a twentieth of their words lies in its windows."""
+    """Documents that aren't contaminated by the benchmark: under a twentieth of their words lies in its windows.
+
+    Documents without words are kept; an empty benchmark drops nothing.
+    """
     found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id", "_row").distinct()
     own, doc_id = numbered(docs), F.col(f"c{docs.columns.index('doc_id')}")
     text = F.coalesce(F.col(f"c{docs.columns.index('text')}").cast("string"), F.lit(""))
@@ -48,7 +65,10 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of at most 4096 tokens."""
+    """The pieces of all documents and their places in sequences of at most 4096 tokens.
+
+    A null or empty text is one piece, the end token. Rows that repeat are packed once each.
+    """
     return packing.pack(docs)
 
 
