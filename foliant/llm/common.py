@@ -47,10 +47,6 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
-def digest64(*cols: Column, seed: int = 0) -> Column:
-    return F.xxhash64(F.lit(seed), *cols)
-
-
 def numbered(df: DataFrame) -> DataFrame:
     """df with its columns named c0, c1 and so on: names that differ in case alone, or like ours, can't clash."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])

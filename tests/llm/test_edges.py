@@ -154,6 +154,21 @@ def test_vectors_of_one_id_all_count(spark, tmp_path):
     assert got == sorted(sql.execute(f"SELECT query_id, rank, vec_id, score FROM ({topk.ORACLE})").fetchall())
 
 
+def test_stages_keep_clashing_names(spark, docs, tmp_path):
+    """Columns that differ in case alone, or like the operators' own, come back in order with their values."""
+    benchmark(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
+    labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
+    extra = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for own in (docs, docs.limit(0)):
+            out = stage(spark, own, str(tmp_path))
+            assert out.columns == docs.columns, name
+            rows = out.collect()
+            at = [docs.columns.index(c) for c in extra]
+            assert all(tuple(r[k] for k in at) == ("en", "src", "own", 3, "k", 4, "T", "o") for r in rows), name
+            assert bool(rows) == (own is docs) or name == "quality classifier"
+
+
 def test_stages(spark, plain, tmp_path):
     benchmark(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
     labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
