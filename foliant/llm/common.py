@@ -15,8 +15,6 @@ __all__ = ["scratch", "ship", "written"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A table of at most so many bytes may be broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
-
-
 #: Rows of a part of a batch of texts in Python.
 BATCH_ROWS = 1000
 
@@ -40,6 +38,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterato
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()  # workers live on after a stage, beside the next one's
 
 
 def ascii_lower(c: Column) -> Column:
