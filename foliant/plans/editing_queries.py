@@ -10,6 +10,7 @@ from foliant.functions import text as T
 from foliant.operators import accounts as AC
 from foliant.operators import annotations as A
 from foliant.operators import editing as E
+from foliant.operators import references as RE
 from foliant.operators import relational as R
 from foliant.operators import spans as SP
 from foliant.operators import validate as VA
@@ -98,6 +99,12 @@ def anchors_resolved(s, d):
     return every.join(made, "id", "left").agg(F.count("made").alias("moved"), F.count_if(F.col("made").isNull()).alias("dropped"))
 
 
+def furniture_placed(s, d):
+    """Every fifth block is furniture, heads and feet by turns."""
+    b = V.blocks(s, d).select("paper_id", "page", "ord")
+    return RE.furniture_placed(b.where("ord % 5 <> 0"), b.where("ord % 5 = 0").withColumn("band", F.when(F.col("ord") % 10 == 0, "head").otherwise("foot")))
+
+
 def shares_listed(s, d):
     plans = table(s, d, "customer").select(F.col("c_custkey").alias("plan_id"), F.col("c_nationkey").alias("user_key"))
     joined = V.shares(s, d).join(plans, "plan_id")
@@ -289,6 +296,7 @@ QUERIES = {
     "anchors_moved": anchors_moved,
     "sentence_ranges": sentence_ranges,
     "anchors_resolved": anchors_resolved,
+    "furniture_placed": furniture_placed,
     "shares_listed": shares_listed,
     "share_owned": share_owned,
     "shared_papers": shared_papers,
@@ -345,6 +353,8 @@ ORACLES = {
     "anchors_moved": V.with_(V.PAPERS, V.MARKS, _SPANS) + """SELECT id, new_id, greatest(0, least(start + base - f, t - f)) AS start, greatest(0, least(e + base - f, t - f)) AS "end" FROM (SELECT id, new_id, start, e, base, f, t FROM chosen WHERE k = 1)""",
     "sentence_ranges": _RANGES + """SELECT id, lang, start, "end" FROM ranged WHERE "end" > start""",
     "anchors_resolved": _RANGES + """SELECT count(r.id) AS moved, count(*) - count(r.id) AS dropped FROM sids LEFT JOIN (SELECT id FROM ranged WHERE "end" > start) r USING (id)""",
+    "furniture_placed": V.with_(V.BLOCKS) + """SELECT paper_id, page, ord, CASE WHEN ord % 10 = 0 THEN 'head' WHEN ord % 5 = 0 THEN 'foot' END AS band,
+      row_number() OVER (PARTITION BY paper_id ORDER BY page, CASE WHEN ord % 10 = 0 THEN 0 WHEN ord % 5 = 0 THEN 2 ELSE 1 END, ord) AS place FROM blocks""",
     "shares_listed": V.with_(V.SHARES) + "SELECT c_nationkey AS user_key, row_number() OVER (PARTITION BY c_nationkey ORDER BY created_at DESC, token) AS place, token FROM shares JOIN customer ON c_custkey = plan_id",
     "share_owned": V.with_(V.SHARES) + "SELECT token, plan_id FROM shares WHERE plan_id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7)",
     "shared_papers": V.with_(V.SHARES) + f"SELECT token, o_orderkey AS paper_key FROM shares JOIN orders ON o_custkey = plan_id WHERE NOT revoked AND expires_at >= TIMESTAMP '{V.SHARES_AS_OF}'",

@@ -99,6 +99,7 @@ QUERIES = {
     "pace_12w": lambda s, d: R.pace(_stamped(s, d), "2024-03-20 12:00:00", 12, "week"),
     "pace_summary": lambda s, d: R.pace_summary(_stamped(s, d), "2024-02-10 12:00:00", 7),
     "share_state": lambda s, d: R.share_state(V.shares(s, d), V.SHARES_AS_OF).select("token", "state", "seconds_left"),
+    "share_state_counts": lambda s, d: R.histogram(R.share_state(V.shares(s, d), V.SHARES_AS_OF), "state", R.SHARE_STATES),
     "share_filter_active": lambda s, d: R.histogram(R.share_state(V.shares(s, d), V.SHARES_AS_OF).where(F.col("state").isin("active", "expiring")), "state", R.SHARE_STATES),
     "share_resolve": lambda s, d: R.resolve_share(V.shares(s, d), F.lit(77), V.SHARES_AS_OF),
     "share_renew": lambda s, d: R.renewed(V.shares(s, d), V.SHARES_AS_OF, F.col("hours") * 2 - 5).select("token", "expires_at"),
@@ -159,6 +160,7 @@ ORACLES = {
     "pace_summary": V.with_(V.PAPERS, _AT) + """SELECT *, CASE WHEN previous > 0 THEN CAST(floor((total - previous) * 100.0 / previous + 0.5) AS BIGINT) ELSE 0 END AS change, floor(total * 10.0 / 7 + 0.5) / 10 AS mean FROM
       (SELECT count(*) FILTER (WHERE done_at > TIMESTAMP '2024-02-03 12:00:00' AND done_at <= TIMESTAMP '2024-02-10 12:00:00') AS total, count(*) FILTER (WHERE done_at > TIMESTAMP '2024-01-27 12:00:00' AND done_at <= TIMESTAMP '2024-02-03 12:00:00') AS previous FROM stamped)""",
     "share_state": V.with_(V.SHARES, _STATE) + "SELECT token, state, seconds_left FROM states",
+    "share_state_counts": V.with_(V.SHARES, _STATE) + "SELECT d.state, count(token) AS n FROM (SELECT unnest(['active', 'expiring', 'expired', 'revoked']) AS state) d LEFT JOIN states s ON s.state = d.state GROUP BY d.state",
     "share_filter_active": V.with_(V.SHARES, _STATE) + "SELECT d.state, count(token) AS n FROM (SELECT unnest(['active', 'expiring', 'expired', 'revoked']) AS state) d LEFT JOIN (SELECT * FROM states WHERE state IN ('active', 'expiring')) s ON s.state = d.state GROUP BY d.state",
     "share_resolve": V.with_(V.SHARES) + f"SELECT CASE WHEN count(*) = 0 THEN 'missing' WHEN bool_or(revoked) THEN 'revoked' WHEN max(expires_at) < TIMESTAMP '{V.SHARES_AS_OF}' THEN 'expired' ELSE 'ok' END AS verdict FROM shares WHERE token = 77",
     "share_renew": V.with_(V.SHARES) + f"SELECT token, TIMESTAMP '{V.SHARES_AS_OF}' + to_hours(greatest(1, least(24, hours * 2 - 5))) AS expires_at FROM shares",
