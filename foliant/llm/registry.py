@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from foliant.llm import decontam, html_text, line_dedup, minhash, packing, pii, quality, topk, toxicity, warc
+from foliant.llm import decontam, html_text, line_dedup, minhash, negatives, packing, pii, quality, sharding, topk, toxicity, turns, warc
 
 OPERATORS = {
     "op1_html_text": html_text,
@@ -16,6 +16,9 @@ OPERATORS = {
     "op8_quality": quality,
     "op9_toxicity": toxicity,
     "op10_top_k": topk,
+    "op11_sharding": sharding,
+    "op12_hard_negatives": negatives,
+    "op13_turn_repair": turns,
 }
 
 
