@@ -35,6 +35,8 @@ from foliant.llm.topk import _floor, _lengths, _matrix
 
 #: Bytes of the vectors of a block, as doubles.
 BLOCK_BYTES = 32 << 20
+#: Candidates of a block at least, where there are so many: each block sends histograms of its own.
+LEAST_ROWS = 4096
 #: Anchors whose scores against a block of candidates are held at once.
 PART = 64
 #: Bits of a digit, so 1024 buckets in a histogram.
@@ -116,7 +118,8 @@ class Selection:
         dimension, n, n_anchors, self.longest = size[0] or 1, size[1], size[2], size[3] or 0.0
         held = max(1, BLOCK_BYTES // (8 * dimension))
         self.n_a = max(1, -(-n_anchors // held))
-        self.n_c = max(-(-n // held), -(-shuffle_partitions(rows.sparkSession) // self.n_a))
+        wanted = min(-(-shuffle_partitions(rows.sparkSession) // self.n_a), -(-n // LEAST_ROWS))
+        self.n_c = max(1, -(-n // held), wanted)
 
     def _met(self, windows: DataFrame, visit, same: bool, schema: str, names: list[tuple[str, pa.DataType]]) -> DataFrame:
         part = lambda n: F.pmod(F.xxhash64("row"), F.lit(n))
