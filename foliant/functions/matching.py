@@ -1,4 +1,4 @@
-"""Matching that needs offsets into the original text: title spans, title replacement, cells in a source.
+"""Matching that needs offsets into the original text: title spans, title replacement.
 
 Titles are matched in column expressions: both texts are folded by one pattern, the folded title is located in the folded
 entry, and its place is mapped back through the lengths of what the pattern took out.
@@ -6,12 +6,8 @@ entry, and its place is mapped back through the lengths of what the pattern took
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from foliant.functions.text import CJK
 
@@ -20,25 +16,6 @@ SEAM = r"(?<=[\p{L}\p{N}])-\s*(?=[\p{L}\p{N}])|\s+"
 #: An address in a translated title; the largest part of an entry that its title may be; how far a translation may outgrow the title.
 ADDRESS = r"(?i)https?://|doi\.org|\bdoi:\s*10\.|arxiv:"
 WHOLE, GROWTH, SLACK = 0.9, 2.5, 60
-STOP_WORDS = frozenset("with from that this these those were have been which their than then also into over under between".split())
-
-
-def tight(text: str | None) -> str:
-    return re.sub(r"[\s\-‐‑­]+", "", text or "").lower()
-
-
-def placeable(source: str | None, cell: str | None) -> bool:
-    """Whether a cell's text occurs in a source, blanks and hyphens aside."""
-    return tight(cell) in tight(source)
-
-
-def residue(source: str | None, placed: list[str] | None) -> list[str]:
-    """Content words of a source that no placed text covers; longer texts are taken out first."""
-    rest = f" {re.sub(r'-\s+', '', source or '')} "
-    for text in sorted(placed or [], key=len, reverse=True):
-        pattern = r"[\s-]*".join(map(re.escape, tight(text)))
-        rest = re.sub(pattern, " ", rest, count=1, flags=re.I) if pattern else rest
-    return [w for w in dict.fromkeys(re.findall("[a-z]{4,}", rest.lower())) if w not in STOP_WORDS]
 
 
 def _lowered(c: Column) -> Column:
@@ -101,10 +78,3 @@ def title_replaced_column(entry: Column, title: Column, translation: Column) ->
         return F.struct(F.when(refused == "", text).otherwise("").alias("text"), refused.alias("refused"))
 
     return F.get(F.transform(F.array(span), judged), 0)
-
-
-def residue_column(source: Column, placed: Column) -> Column:
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([residue(x, None if y is None else list(y)) for x, y in zip(a, b, strict=True)])
-
-    return F.pandas_udf(run, ArrayType(StringType()))(source, placed)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from foliant.functions.text import CJK, first_json_object, tags_of, year_of
+from foliant.functions.text import CJK, first_json_object, looks_math, tags_of, year_of
 from foliant.operators.validate import latex_problems
 from foliant.session import ship, written
 
@@ -94,8 +94,16 @@ def change_verdict(old: Column, new: Column) -> Column:
 
 
 def latex_accepted(source: Column, answer: Column) -> Column:
-    """A typeset text is accepted if nothing speaks against it but numbering, which may move to a neighbour."""
-    return F.size(F.array_remove(latex_problems(source, answer), "numbers")) == 0
+    """A typeset text is accepted if nothing speaks against it; numbering may move to a neighbour, so it is compared by chunk."""
+    return F.size(latex_problems(source, answer, numbers=False)) == 0
+
+
+def latexized(blocks: DataFrame, model: TextModel, retries: int = 1) -> DataFrame:
+    """blocks (…, type, en) that look like mathematics with en typeset where a try was accepted; state latexized or needs_review, and the tokens spent."""
+    todo = blocks.where(looks_math(F.col("en"), F.col("type")))
+    done = translated(todo, "en", model, latex_accepted, retries)
+    took = F.col("state") == "mt"
+    return done.select(*[c for c in blocks.columns if c != "en"], F.when(took, F.trim("answer")).otherwise(F.col("en")).alias("en"), F.when(took, "latexized").otherwise("needs_review").alias("state"), "tokens", "tries")
 
 
 def metadata(heads: DataFrame, model: TextModel) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions import text as T
+
 
 def overlay(marks: DataFrame, keys: list[str], start: str = "start", end: str = "end", order: tuple[str, ...] = ("ts", "id"), payload: str = "color", width: int = 64) -> DataFrame:
     """What is seen once each mark, in order of arrival, has covered what lay under it.
@@ -32,6 +34,29 @@ def clip(marks: DataFrame, units: DataFrame, keys: list[str]) -> DataFrame:
     return hit.select(*keys, "id", "unit", (F.greatest("start", "u_start") - F.col("u_start")).alias("start"), (F.least("end", "u_end") - F.col("u_start")).alias("end"))
 
 
+def units_of(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, unit, u_start, u_end, atomic) of each text's parts in order: formulas, which are atomic, and what stands between."""
+    parts = T.math_units(F.col(text))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<u_start:int,u_end:int,atomic:boolean>>").alias("units"))
+
+    def step(a: Column, x: Column) -> Column:
+        end = a["at"] + F.length(x["text"])
+        return F.struct(end.alias("at"), F.concat(a["units"], F.array(F.struct(a["at"].alias("u_start"), end.alias("u_end"), (x["kind"] != "text").alias("atomic")))).alias("units"))
+
+    return texts.select(*keys, F.posexplode(F.aggregate(parts, zero, step, lambda a: a["units"])).alias("unit", "u")).select(*keys, "unit", "u.u_start", "u.u_end", "u.atomic")
+
+
+def clip_atomic(marks: DataFrame, units: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, unit, start, end): the parts of marks inside each unit, in places of the text; an atomic unit goes whole to the first mark that touches it.
+
+    Each unit meets the marks of its key; the first mark of a unit is a pre-aggregated minimum.
+    """
+    hit = marks.where(F.col("start") < F.col("end")).join(units, keys).where((F.col("start") < F.col("u_end")) & (F.col("end") > F.col("u_start")))
+    split = hit.where(~F.col("atomic")).select(*keys, "id", "unit", F.greatest("start", "u_start").alias("start"), F.least("end", "u_end").alias("end"))
+    whole = hit.where("atomic").groupBy(*keys, "unit", "u_start", "u_end").agg(F.min(F.struct("start", "id")).alias("m"))
+    return split.unionByName(whole.select(*keys, F.col("m.id").alias("id"), "unit", F.col("u_start").alias("start"), F.col("u_end").alias("end")))
+
+
 def exact_range(marks: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """For each wanted range the first mark that covers exactly it; null where one would have to be made."""
     held = marks.groupBy(*keys, "start", "end").agg(F.min("id").alias("mark"))

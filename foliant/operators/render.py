@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
@@ -34,8 +34,11 @@ def dual_rows(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("row", F.when(wide, cell(F.col("en"), "wide")).otherwise(F.concat(cell(F.col("en"), "en"), cell(F.col("zh"), "zh"))))
 
 
-def page_sections(groups: DataFrame, total: Column) -> Column:
-    return F.when(groups["page"] > 0, F.concat(F.lit("page "), groups["page"].cast("string"), F.lit(" / "), total.cast("string"))).otherwise(F.lit(""))
+def page_sections(groups: DataFrame) -> DataFrame:
+    """Runs of blocks on one page (paper_id, island, page, first, n) with the label of the section they make: the page and the paper's last one, nothing without a page."""
+    last = F.max("page").over(Window.partitionBy("paper_id"))
+    label = F.when(F.col("page") > 0, F.concat(F.lit("page "), F.col("page").cast("string"), F.lit(" / "), last.cast("string"))).otherwise("")
+    return groups.withColumn("label", label)
 
 
 def asset_url(src: Column, prefix: str) -> Column:

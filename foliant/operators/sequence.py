@@ -42,11 +42,6 @@ def page_groups(blocks: DataFrame) -> DataFrame:
     return runs.groupBy(KEY, "island").agg(F.first("page").alias("page"), F.min("ord").alias("first"), F.count(F.lit(1)).alias("n"))
 
 
-def is_math_line(c: Column) -> Column:
-    """No word of three letters once commands are gone, and at most 220 code points."""
-    return (F.length(c) <= 220) & (F.size(T.words(F.regexp_replace(c, T.COMMAND, " "), 3)) == 0)
-
-
 def merge_runs(blocks: DataFrame, alike: Column, signal: Column, least: int = 2) -> DataFrame:
     """Runs of at least `least` consecutive blocks that are alike, with a signal in one of them: the head's place, members, joined text."""
     flagged = blocks.withColumns({"alike": F.coalesce(alike, F.lit(False)), "signal": F.coalesce(signal, F.lit(False))})

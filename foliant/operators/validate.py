@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.functions.multisets import bound, fewer
 
 KEY = "paper_id"
 
@@ -100,20 +101,41 @@ def to_retry(en: DataFrame, zh: DataFrame) -> DataFrame:
     return rows.groupBy(KEY, "id").agg(F.min("rank").alias("rank"))
 
 
-def latex_problems(before: Column, after: Column) -> Column:
-    """What speaks against a typeset text: no mathematics, other numbers, lost words, shrinkage."""
-    was, now = T.prose_words(before), T.prose_words(after)
-    count = lambda ws, w: F.size(F.filter(ws, lambda x: x == w))
-    lost = F.filter(F.array_distinct(was), lambda w: count(was, w) > count(now, w))
+#: Letters of a word whose loss counts, and of its beginning that may stand inside another; the share of all words that may be lost; the least share of the length.
+CONTENT_WORD, BEGINNING, LOST_SHARE, LEAST_LENGTH = 7, 6, 0.35, 0.7
+
+
+def lost_words(before: Column, after: Column) -> Column:
+    """(words, lost, content): words outside mathematics before, those that became fewer, and those among these that are content and aren't found run together."""
     joined = F.regexp_replace(F.lower(T.join_hyphen_breaks(after)), "[^a-z]", "")
-    content = F.filter(lost, lambda w: (F.length(w) >= 7) & ~joined.contains(F.substring(w, 1, 6)))
-    found = F.array(
-        F.when(~after.rlike(r"\\\(|\\\["), "no_math"),
-        F.when(T.equation_numbers(before) != T.equation_numbers(after), "numbers"),
-        F.when((F.size(content) > 0) | ((F.size(was) > 0) & (F.size(lost) > F.size(was) * 0.35)), "words"),
-        F.when(F.length(after) < F.length(before) * 0.7, "shrunk"),
-    )
-    return F.filter(found, lambda x: x.isNotNull())
+
+    def judged(was: Column) -> Column:
+        return bound(fewer(was, T.prose_words(after)), lambda lost: bound(joined, lambda run: F.struct(F.size(was).alias("words"), lost.alias("lost"), F.filter(lost, lambda w: (F.length(w) >= CONTENT_WORD) & ~run.contains(F.substring(w, 1, BEGINNING))).alias("content"))))
+
+    return bound(T.prose_words(before), judged)
+
+
+def latex_problems(before: Column, after: Column, numbers: bool = True) -> Column:
+    """What speaks against a typeset text: no mathematics, other numbers (which may also be compared for several blocks together), lost words, shrinkage."""
+
+    def found(x: Column) -> Column:
+        faults = [
+            F.when(~after.rlike(r"\\\(|\\\["), "no_math"),
+            F.when(T.equation_numbers(before) != T.equation_numbers(after), "numbers") if numbers else F.lit(None).cast("string"),
+            F.when((F.size(x["content"]) > 0) | ((x["words"] > 0) & (F.size(x["lost"]) > x["words"] * LOST_SHARE)), "words"),
+            F.when(F.length(after) < F.length(before) * LEAST_LENGTH, "shrunk"),
+        ]
+        return F.filter(F.array(*faults), lambda f: f.isNotNull())
+
+    return bound(lost_words(before, after), found)
+
+
+def numbers_moved(rows: DataFrame, key: list[str]) -> DataFrame:
+    """(key, before, after) of the chunks whose equation numbers, all their blocks' (ord, before, after) in order taken together, are others."""
+    held = F.array_sort(F.collect_list(F.struct("ord", "before", "after")))
+    one = lambda name: T.equation_numbers(F.array_join(F.transform("held", lambda x: F.coalesce(x[name], F.lit(""))), " "))
+    both = rows.groupBy(*key).agg(held.alias("held")).select(*key, one("before").alias("before"), one("after").alias("after"))
+    return both.where(F.col("before") != F.col("after"))
 
 
 def grid_shape(rows: Column) -> Column:

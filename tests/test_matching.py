@@ -58,12 +58,6 @@ def test_title_replaced(spark):
         assert (r.x.text, r.x.refused) == (r.text, r.refused), r
 
 
-def test_cells():
-    source = "Sensor type- s Value Optical 12.5 mm camera"
-    assert M.placeable(source, "types value") and not M.placeable(source, "acoustic")
-    assert M.residue(source, ["Sensor types", "Value", "Optical"]) == ["camera"]
-
-
 def test_queue_states(spark):
     rows = [(1, k, e) for k, e in enumerate(["enqueue", "claim", "restart", "claim", "done", "claim"])] + [(2, k, e) for k, e in enumerate(["enqueue", "lost", "lost", "lost", "claim"])] + [(3, 0, "claim")]
     log = spark.createDataFrame([(p, k, k, e) for p, k, e in rows], "paper_id long, ts long, seq long, event string")
@@ -112,11 +106,6 @@ def test_each_model_call_is_made_once(spark, tmp_path):
     assert all(r.state == "needs_review" and r.tries == 3 for r in out if r.i % 5 == 0)
 
 
-def test_dropped_content_is_listed(spark):
-    df = spark.createDataFrame([("Sensor type- s Value Optical camera", ["Sensor types", "Value", "Optical"])], "source string, placed array<string>")
-    assert df.select(M.residue_column(F.col("source"), F.col("placed")).alias("x")).first().x == ["camera"]
-
-
 def test_latex_acceptance(spark):
     from foliant.functions import models as MO
 
