@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.llm import negatives, sharding, turns
+from foliant.llm import negatives, pii, sharding, turns
 
 # sharding
 
@@ -220,3 +220,33 @@ def test_a_damaged_table_keeps_every_conversation(spark, tmp_path):
     assert [got[None][c] for c in REPORT] == [0, 1, 0, 0, 0, 2, "D", empty]
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/none/conversations.parquet")
     assert turns.query(spark, f"{tmp_path}/none").collect() == []
+
+
+# personal data: thresholds on the trees that are used
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_named_tokens_of_the_tables_are_found(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    named = re.compile(r'token = "([0-9a-f]{40})"')
+    texts = {r.doc_id: r.text or "" for r in docs.where("text like '%token = %'").select("doc_id", "text").collect()}
+    want = {(k, f"secret:{m.start(1)}:{m.end(1)}") for k, t in texts.items() for m in named.finditer(t)}
+    rows = pii.detect(docs).where("n_added > 0").select("doc_id", pii.joined_spans(F.col("spans")).alias("spans")).collect()
+    got = {(r.doc_id, s) for r in rows for s in r.spans.split(",") if s.split(":")[0] in pii.WIDE}
+    assert len(want & got) >= 0.9 * len(want) > 0
+    assert len(got - want) <= 0.05 * len(got)
+
+
+def test_as_many_spans_pass_as_had_the_precision():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        n = rng.integers(1, 30)
+        p, y, w, z = rng.integers(0, 5, n) / 4.0, rng.integers(0, 2, n).astype(float), rng.integers(1, 4, n).astype(float), rng.normal(size=n).round(1)
+        selected = pii._selected(p, y, w)
+        best = max((w[p >= c].sum() for c in p if (w * y)[p >= c].sum() >= pii.PRECISION * w[p >= c].sum()), default=0.0)
+        assert selected == best
+        if selected:
+            cut = pii._reaching(z, w, selected)
+            assert w[z >= cut].sum() >= selected > w[z > cut + 1e-6].sum()
