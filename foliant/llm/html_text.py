@@ -1,11 +1,13 @@
 """HTML extraction by tree scoring.
 
 Paragraphs pass points for length and commas to their ancestors, each sum is discounted by link density, and the best
-container is kept with those siblings that score like it. A main element stands for the best container where a page has
-one with text, else its articles do, each of them whole: they say themselves what the page is about.
+container is kept with those siblings that score like it. An article or main element has points of its own, as many as a
+good paragraph, so that it wins over its like but not over a long story beside it; if the best container lies in an
+article, or else in a main element, that element is kept whole.
 
-Left out, inside the container too: menus, headers (but for their headings), footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments. Tags and roles tell them, and class names or ids made of nothing but words for such
+Left out, inside the container too: menus, headers (but for their headings and, in an article, long paragraphs without
+links), footers, sidebars, notices, adverts, forms, scripts, styles and reader comments. A form that holds more prose than
+all that lies outside of forms is the page's wrapper, of which only labels and controls are left out. Tags and roles tell them, and class names or ids made of nothing but words for such
 parts ("cookie-notice", "left-sidebar"). A name that only has such a word among others ("market-share") counts where
 link density agrees: over half of the text in links. Nothing else inside the container is dropped. Blocks that are
 mostly links and stand beside the articles of a main element, or straight in the body, are menus.
@@ -40,7 +42,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What a start tag ends, besides an open paragraph for blocks: the tag, and where the search stops.
 ENDS = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
 ENDS = {k: (frozenset(a.split()), b) for k, (a, b) in ENDS.items()}
-DROPPED = frozenset("head nav footer aside form button input select option menu dialog svg canvas audio video".split()) | RAW
+DROPPED = frozenset("head nav footer aside button input select option menu dialog svg canvas audio video".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 #: Words for what isn't the article.
 UNLIKELY = frozenset("ad ads advert adverts advertisement advertising adbox adslot adsense sponsor sponsored promo promotion banner sidebar comment comments commentlist disqus respond replies reply notice notices cookie cookies consent gdpr popup modal overlay share sharing social related recommended recommendations newsletter subscribe signup menu nav navbar navigation breadcrumb breadcrumbs footer masthead toolbar pagination pager widget widgets login search skip feedback alert tags hidden rail rightbar leftbar outbrain taboola".split())
@@ -61,13 +63,19 @@ ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[
 NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
+#: Points that an article or main element has by itself, and that a form's prose has at least to be the page's.
+SEMANTIC_POINTS, FORM_POINTS = 6.0, 5.0
+#: Characters of a paragraph that counts whole, and of one that stands for itself.
+PARAGRAPH, PROSE = 25, 80
+
+
 class Node:
-    __slots__ = ("tag", "parent", "children", "score", "chars", "linked", "commas", "drop", "named", "head", "cls")
+    __slots__ = ("tag", "parent", "children", "score", "chars", "linked", "commas", "drop", "shut", "named", "head", "cls")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []
         self.score = self.chars = self.linked = self.commas = 0
-        self.drop = tag in DROPPED
+        self.drop, self.shut = tag in DROPPED, False
         self.named, self.head, self.cls = 0, tag == "header", ""
 
 
@@ -208,7 +216,7 @@ def _order(root: Node) -> list[Node]:
 
 def _gone(node: Node, strict: bool) -> bool:
     """Whether a measured node is left out. strict: class names count."""
-    return node.head or node.drop or strict and (node.named == 2 or node.named == 1 and _density(node) > 0.5)
+    return node.head or node.drop or node.shut or strict and (node.named == 2 or node.named == 1 and _density(node) > 0.5)
 
 
 def _measure(nodes: list[Node], strict: bool) -> None:
@@ -238,12 +246,16 @@ def _paragraphs(nodes: list[Node]) -> Iterator[Node]:
             yield n
 
 
+def _points(n: Node) -> float:
+    return (1 + n.commas + min(n.chars / 100, 3) if n.chars >= PARAGRAPH else n.chars / 100) * (1 - _density(n))
+
+
 def _best(nodes: list[Node], alive: set[int]) -> Node | None:
     scored = []
     for n in _paragraphs(nodes):
         if id(n) not in alive or n.chars < 1:
             continue
-        points = (1 + n.commas + min(n.chars / 100, 3) if n.chars >= 25 else n.chars / 100) * (1 - _density(n))
+        points = _points(n)
         node, share = n.parent if n.tag in ("p", "li", "dd", "td", "pre", "blockquote") else n, 1.0
         for level in range(5):
             if node is None or node.tag == "#root" and level:
@@ -252,9 +264,34 @@ def _best(nodes: list[Node], alive: set[int]) -> Node | None:
                 scored.append(node)
             node.score += points * share
             node, share = node.parent, 1 / (2 * (level + 1))
+    for n in nodes:
+        if n.tag in ("article", "main") and id(n) in alive and n.chars:
+            if not n.score:
+                scored.append(n)
+            n.score += SEMANTIC_POINTS
     return max(scored, key=lambda n: n.score * (1 - _density(n)), default=None)
 
 
+def _shut_forms(nodes: list[Node], strict: bool) -> None:
+    """Close all forms but one that wraps the page, and the labels of that."""
+    forms = [n for n in nodes if n.tag == "form"]
+    if not forms:
+        return
+    within: dict[int, Node | None] = {}
+    for n in nodes:
+        n.shut = False
+        within[id(n)] = n if n.tag == "form" else within[id(n.parent)] if n.parent is not None else None
+    for n in nodes:
+        n.shut = n.tag in ("label", "legend") and within[id(n)] is not None
+    _measure(nodes, strict)
+    alive, points = _alive(nodes, strict), defaultdict(float)
+    for n in _paragraphs(nodes):
+        if id(n) in alive and n.chars >= PARAGRAPH:
+            points[id(within[id(n)])] += _points(n)
+    for f in forms:
+        f.shut = points[id(f)] <= max(FORM_POINTS, points[id(None)])
+
+
 def _alive(nodes: list[Node], strict: bool) -> set[int]:
     alive: set[int] = set()
     for n in nodes:
@@ -263,17 +300,14 @@ def _alive(nodes: list[Node], strict: bool) -> set[int]:
     return alive
 
 
-def _semantic(nodes: list[Node], alive: set[int]) -> list[Node]:
-    """The outermost main elements that have text, or else the outermost such articles that aren't mostly links."""
-    out: dict[str, list[Node]] = {"main": [], "article": []}
-    under: set[int] = set()  # what is or lies in an article or main of the result
-    for n in nodes:
-        if n.parent is not None and id(n.parent) in under:
-            under.add(id(n))
-        elif n.tag in out and id(n) in alive and n.chars:
-            out[n.tag].append(n)
-            under.add(id(n))
-    return out["main"] or [n for n in out["article"] if _density(n) <= 0.5] or out["article"]
+def _whole(best: Node) -> Node:
+    """The outermost article around a container, itself included, or else the outermost main element, or else itself."""
+    around: dict[str, Node] = {}
+    node: Node | None = best
+    while node is not None:
+        around[node.tag] = node
+        node = node.parent
+    return around.get("article") or around.get("main") or best
 
 
 def _menus(container: Node, strict: bool) -> set[int]:
@@ -294,13 +328,12 @@ def _menus(container: Node, strict: bool) -> set[int]:
 def _kept(root: Node, strict: bool) -> tuple[list[Node], set[int]]:
     """The best container, or it and its siblings, in page order; and the menus in it."""
     nodes = _order(root)
+    _shut_forms(nodes, strict)
     _measure(nodes, strict)
-    alive = _alive(nodes, strict)
-    if whole := _semantic(nodes, alive):
-        return whole, set().union(*(_menus(n, strict) for n in whole))
-    best = _best(nodes, alive)
+    best = _best(nodes, _alive(nodes, strict))
     if best is None:
         return [], set()
+    best = _whole(best)
     if best.parent is None:
         return [best], _menus(best, strict)
     out = []
@@ -310,7 +343,8 @@ def _kept(root: Node, strict: bool) -> tuple[list[Node], set[int]]:
         elif isinstance(s, Node) and not _gone(s, strict):
             bonus = 0.2 * best.score if s.cls and s.cls == best.cls else 0
             like = s.tag == best.tag and s.chars > 0 and _density(s) <= 0.5 and s.score * (1 - _density(s)) + bonus >= 0.2 * best.score
-            prose = s.tag == "p" and (s.chars > 80 and _density(s) < 0.25 or s.chars > 0 and not s.linked)
+            prose = s.tag == "p" and (s.chars > PROSE and _density(s) < 0.25 or s.chars > 0 and not s.linked)
+            prose |= best.parent.tag == "main" and s.tag in ("div", "section", "blockquote") and s.chars > PROSE and _density(s) < 0.25
             heading = s.tag in HEADINGS and s.chars > 0
             if like or prose or heading:
                 out.append(s)
@@ -335,9 +369,9 @@ def _blocks(kept: list[Node], menus: set[int], strict: bool) -> Iterator[str]:
             own.append(" " if x.tag == "br" else "")
             continue
         if id(x) not in first:
-            if x.head:  # an article's own header keeps its headings
+            if x.head:  # an article's own header keeps its headings and what stands for itself
                 todo.append(None)
-                todo.extend(h for h in reversed(_order(x)) if h.tag in HEADINGS)
+                todo.extend(h for h in reversed(_order(x)) if h.tag in HEADINGS or h.tag == "p" and h.chars > PROSE and _density(h) < 0.25)
                 todo.append(None)
                 continue
             if _gone(x, strict) or id(x) in menus:

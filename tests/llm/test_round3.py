@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.llm import negatives, pii, sharding, turns
+from foliant.llm import html_text, negatives, pii, sharding, turns
 
 # sharding
 
@@ -250,3 +250,41 @@ def test_as_many_spans_pass_as_had_the_precision():
         if selected:
             cut = pii._reaching(z, w, selected)
             assert w[z >= cut].sum() >= selected > w[z > cut + 1e-6].sum()
+
+
+# main texts: tree scoring on every page
+
+STORY = "Word after word, and more of it, makes a paragraph that is long enough to count as a part of a real story, which goes on."
+P = f"<p>{STORY}</p>"
+LAYOUTS = {
+    "teaser cards beside the text": (f"<body><div id=content>{P}{P}</div><article><p>Teaser one, short.</p></article><article><p>Teaser two, short.</p></article>", f"{STORY}\n{STORY}"),
+    "a main of one line": (f"<body><main><p>Welcome.</p></main><div class=story>{P}{P}{P}</div>", f"{STORY}\n{STORY}\n{STORY}"),
+    "a page in a form": (f"<body><form action=x><input name=a><label>Find it</label><div id=c><h1>Title</h1>{P}{P}</div><button>Go</button></form>", f"Title\n{STORY}\n{STORY}"),
+    "a form named for search": (f"<body><form class=search><div>{P}{P}</div></form>", f"{STORY}\n{STORY}"),
+    "a form beside the text": (f"<body><div>{P}{P}</div><form><p>{STORY}</p><input></form>", f"{STORY}\n{STORY}"),
+    "nothing but a form": ("<body><form><p>Please log in here with your name and word.</p><input></form>", ""),
+    "a standfirst": (f"<body><article><header><h1>T</h1><p>by me</p>{P}</header>{P}</article>", f"T\n{STORY}\n{STORY}"),
+    "an introduction in main": (f"<body><main><h1>T</h1><div>{STORY}</div><article>{P}{P}</article><section><a href=a>More</a> <a href=b>Stories</a></section></main>", f"T\n{STORY}\n{STORY}\n{STORY}"),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_scores_decide(name):
+    assert html_text.extract(LAYOUTS[name][0]) == LAYOUTS[name][1]
+
+
+def test_scores_decided_every_page(spark, monkeypatch):
+    """Each given page has a best container by score, and the text is that of the article it lies in."""
+    found, best = [], html_text._best
+
+    def watched(nodes, alive):
+        found.append(best(nodes, alive))
+        return found[-1]
+
+    monkeypatch.setattr(html_text, "_best", watched)
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    for p in pages:
+        text, root = html_text.extract(p.html), html_text.parse(p.html)
+        article = next(n for n in html_text._order(root) if n.tag == "article")
+        assert text == "\n".join(html_text._blocks([article], set(), True))
+    assert len(found) == len(pages) and all(n is not None and n.score > 0 for n in found)
