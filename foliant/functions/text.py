@@ -42,9 +42,13 @@ def _repeated(c: Column, pattern: str, to: str, times: int) -> Column:
     return c
 
 
+#: Fixed value: a capital set apart from two capitals or more.
+SMALL_CAPITALS = r"\b([A-Z]) ([A-Z]{2,})"
+
+
 def desmallcaps(c: Column) -> Column:
     """A capital set apart from capitals is joined to them; blanks around hyphens go; blanks are squeezed."""
-    return squeezed(F.regexp_replace(_repeated(c, r"\b([A-Z]) ([A-Z]{2,})", "$1$2", 3), r"\s+-\s*", "-"))
+    return squeezed(F.regexp_replace(_repeated(c, SMALL_CAPITALS, "$1$2", 3), r"\s+-\s*", "-"))
 
 
 def join_hyphen_breaks(c: Column) -> Column:
@@ -105,11 +109,15 @@ def words(c: Column, least: int) -> Column:
     return F.regexp_extract_all(c, F.lit(f"[A-Za-z]{{{least},}}"), F.lit(0))
 
 
+#: Fewest words of a text with a number in brackets at its end, and of one with an equals sign, that are prose; the length from which the latter is prose.
+NUMBERED_WORDS, EQUATION_WORDS, EQUATION_LENGTH = 8, 4, 160
+
+
 def looks_math(c: Column, kind: Column | None = None) -> Column:
     """A mathematical character; a number in brackets at the end of few words; an equals sign among fewer."""
     t = squeezed(c)
     n = F.size(words(t, 3))
-    hit = t.rlike(f"[{MATH_CHARS}]") | (t.rlike(r"\(\s*[0-9]{1,2}\s*\)$") & (n < 8)) | (t.contains("=") & (n < 4) & (F.length(t) < 160))
+    hit = t.rlike(f"[{MATH_CHARS}]") | (t.rlike(r"\(\s*[0-9]{1,2}\s*\)$") & (n < NUMBERED_WORDS)) | (t.contains("=") & (n < EQUATION_WORDS) & (F.length(t) < EQUATION_LENGTH))
     return hit if kind is None else (kind == "eq") | hit
 
 
@@ -119,9 +127,13 @@ def prose_core(c: Column) -> Column:
     return F.filter(F.transform(words(text, 3), F.lower), lambda w: ~w.isin(MATH_WORDS))
 
 
+#: Fixed value: commands that hold text inside mathematics.
+TEXT_COMMAND = r"\\(?:text|mathrm|mbox|operatorname|textbf)\s*\{([^{}]*)\}"
+
+
 def prose_words(c: Column) -> Column:
     """Lower-cased words of four letters or more outside mathematics, with what text commands hold inside it."""
-    kept = F.regexp_replace(join_hyphen_breaks(c), r"\\(?:text|mathrm|mbox|operatorname|textbf)\s*\{([^{}]*)\}", "\u0001$1\u0002")
+    kept = F.regexp_replace(join_hyphen_breaks(c), TEXT_COMMAND, "\u0001$1\u0002")
     outside = F.regexp_replace(kept, "[\u0001\u0002]", " ")
     inside = F.transform(F.regexp_extract_all(kept, F.lit(MATH_REGION), F.lit(0)), lambda m: F.array_join(F.regexp_extract_all(m, F.lit("\u0001([^\u0001\u0002]*)\u0002"), F.lit(1)), " "))
     text = F.regexp_replace(F.regexp_replace(outside, MATH_REGION, " "), TAG, " ")
@@ -131,7 +143,7 @@ def prose_words(c: Column) -> Column:
 def text_command_words(c: Column) -> Column:
     """Words that text commands hold inside mathematics."""
     regions = F.regexp_extract_all(c, F.lit(MATH_REGION), F.lit(0))
-    held = F.flatten(F.transform(regions, lambda m: F.regexp_extract_all(m, F.lit(r"\\(?:text|mathrm|mbox|operatorname|textbf)\s*\{([^{}]*)\}"), F.lit(1))))
+    held = F.flatten(F.transform(regions, lambda m: F.regexp_extract_all(m, F.lit(TEXT_COMMAND), F.lit(1))))
     return words(F.array_join(held, " "), 3)
 
 

@@ -122,11 +122,13 @@ def asset_bytes(named: DataFrame, files: DataFrame, most: int) -> DataFrame:
 
 
 def repointed(cache: DataFrame, folder: str, to: str) -> DataFrame:
-    """cache (key, value) rows whose JSON value names a reclaimed folder, rewritten to another one; the others as they are."""
+    """cache (key, value) rows whose JSON value names a reclaimed folder, rewritten to another one; all other fields, and the other rows, as they are."""
     at = F.get_json_object("value", "$.dir")
     hit = F.col("value").contains(folder) & F.coalesce((at == folder) | at.startswith(f"{folder}/"), F.lit(False))
-    new = F.to_json(F.struct(F.concat(F.lit(to), F.substring(at, F.lit(len(folder) + 1), F.length(at))).alias("dir"), F.get_json_object("value", "$.n").cast("long").alias("n")))
-    return cache.withColumn("value", F.when(hit, new).otherwise(F.col("value")))
+    new = F.parse_json(F.to_json(F.array(F.concat(F.lit(to), F.substring(at, F.lit(len(folder) + 1), F.length(at))))))
+    fields = F.from_json("value", "map<string,variant>")
+    moved = F.to_json(F.transform_values(fields, lambda k, v: F.when(k == "dir", F.variant_get(new, "$[0]", "variant")).otherwise(v)))
+    return cache.withColumn("value", F.when(hit, moved).otherwise(F.col("value")))
 
 
 def enqueue_verdict(action: Column, state: Column) -> Column:

@@ -21,15 +21,16 @@ def fold_groups(df: DataFrame, keys: list[str], values: list[str], fold: Callabl
         return pd.DataFrame(out, columns=names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
+        held: list[tuple] = []  # the rows of the key that is still coming
         for batch in batches:
-            rows = held + list(batch.astype(object).where(batch.notna(), None).itertuples(index=False, name=None))
+            rows = list(batch.astype(object).where(batch.notna(), None).itertuples(index=False, name=None))
             cut = len(rows)
             while cut and rows[cut - 1][:n] == rows[-1][:n]:
                 cut -= 1
-            held = rows[cut:]
-            if cut:
-                yield done(rows[:cut])
+            if cut or held and rows and held[-1][:n] != rows[0][:n]:
+                yield done([*held, *rows[:cut]])
+                held = []
+            held += rows[cut:]
         if held:
             yield done(held)
 

@@ -92,13 +92,20 @@ def summary(en: DataFrame, zh: DataFrame) -> DataFrame:
 
 
 def to_retry(en: DataFrame, zh: DataFrame) -> DataFrame:
-    """Ids to translate again, each once, under its first finding."""
-    listed = [(0, missing(en, zh).select(KEY, "id")), (1, duplicated(zh).select(KEY, "id")), (2, first_misorder(en, zh)), (3, untranslated(en, zh))]
-    rows = None
-    for rank, df in listed:
-        one = df.withColumn("rank", F.lit(rank))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows.groupBy(KEY, "id").agg(F.min("rank").alias("rank"))
+    """Ids to translate again, each once, under its first finding: missing, repeated, first in another order, untranslated.
+
+    All findings are read off one grouping by id; rows are dealt by paper once.
+    """
+    ids = by_id(en, zh)
+    last, own, other = F.col("last"), F.size("own"), F.size("other")
+    empty = lambda x: T.expects_translation(x["text"], x["type"]) & (~last.rlike(r"\S") | ((F.length(T.squeezed(x["text"])) > 40) & ~last.rlike(T.CJK)))
+    shared = (own > 0) & (other > 0)
+    in_order = lambda column, which: F.array_sort(F.flatten(F.collect_list(F.when(which, F.transform(column, lambda n: F.struct(n.alias("n"), F.col("id").alias("id")))))))
+    part = F.get(F.filter(F.zip_with("a", "b", lambda x, y: F.when(x["id"] != y["id"], y["id"])), lambda i: i.isNotNull()), F.lit(0))
+    papers = ids.groupBy(KEY).agg(in_order("own", shared).alias("a"), in_order("other", shared & (other == 1)).alias("b")).select(KEY, part.alias("_part"))
+    listed = ids.join(papers, KEY)
+    rank = F.when((own > 0) & (other == 0), 0).when(other > 1, 1).when(F.col("id") == F.col("_part"), 2).when((other > 0) & F.exists("sources", empty), 3)
+    return listed.select(KEY, "id", rank.alias("rank")).where("rank is not null")
 
 
 #: Letters of a word whose loss counts, and of its beginning that may stand inside another; the share of all words that may be lost; the least share of the length.

@@ -7,10 +7,10 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.plans import document_queries, editing_queries, extension_queries, layout_queries, proofreading_queries, rebuild_queries, relational_queries, text_queries
+from foliant.plans import document_queries, editing_queries, extension_queries, layout_queries, proofreading_queries, rebuild_queries, relational_queries, sharing_queries, text_queries
 
 #: Modules with QUERIES (name to function of session and folder) and ORACLES (name to SQL).
-MODULES: list[ModuleType] = [relational_queries, text_queries, document_queries, layout_queries, editing_queries, rebuild_queries, proofreading_queries, extension_queries]
+MODULES: list[ModuleType] = [relational_queries, sharing_queries, text_queries, document_queries, layout_queries, editing_queries, rebuild_queries, proofreading_queries, sharing_queries, extension_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

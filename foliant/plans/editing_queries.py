@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
@@ -19,6 +20,7 @@ from foliant.plans.layout_queries import SPANS, _spans
 from foliant.session import scratch, table
 from foliant.sources import documents as DO
 from foliant.sources import html as H
+from foliant.sources import papers as PA
 from foliant.sources import views as V
 
 PENS = ["view", "click", "purchase", "signup"]
@@ -170,12 +172,13 @@ def translation_todo(s, d):
 
 
 def _payloads(s, d):
-    i = F.col("doc_id")
-    rule = F.when(i % 3 == 0, '"below"').when(i % 3 == 1, '{"side": "above"}').otherwise('"left"')
-    color = F.when(i % 4 == 0, "#A0b1c2").when(i % 4 == 1, "red").otherwise("#12345")
-    em = F.when(i % 5 == 0, "0.5").when(i % 5 == 1, "0.98").when(i % 5 == 2, '"0.7"').when(i % 5 == 3, "null").otherwise("1.2")
-    payload = F.concat(F.lit('{"rule": '), rule, F.lit(', "shade": {"color": "'), color, F.lit('"}, "note": {"em": '), em, F.lit('}, "markers": ["a", "12", "xy", "", "<b>"]}'))
-    return table(s, d, "documents").select("doc_id", payload.alias("p"))
+    """Payloads that follow from the length of a document and its first word."""
+    n, word = F.length("text"), F.regexp_extract("text", "^([A-Za-z]*)", 1)
+    rule = F.when(n % 3 == 0, '"below"').when(n % 3 == 1, '{"side": "above"}').otherwise('"left"')
+    color = F.when(n % 4 == 0, F.concat(F.lit("#"), F.upper(F.substring(F.md5("text"), 1, 6)))).when(n % 4 == 1, "red").otherwise("#12345")
+    em = F.when(n % 5 == 3, F.lit("null")).when(n % 5 == 2, F.concat(F.lit('"0.'), (n % 100).cast("string"), F.lit('"'))).otherwise(F.concat(F.lit("0."), (n % 100).cast("string")))
+    payload = F.concat(F.lit('{"rule": '), rule, F.lit(', "shade": {"color": "'), color, F.lit('"}, "note": {"em": '), em, F.lit('}, "markers": ["'), F.substring(word, 1, 1), F.lit('", "'), (n % 200).cast("string"), F.lit('", "'), word, F.lit('"]}'))
+    return table(s, d, "documents").where("text is not null").select("doc_id", payload.alias("p"))
 
 
 def payload_checks(s, d):
@@ -198,9 +201,13 @@ def asset_sizes(s, d):
 
 
 def cache_repointed(s, d):
-    i = F.col("event_id")
-    value = F.concat(F.lit('{"dir":"/data/'), F.when(i % 4 == 0, "old/a").when(i % 4 == 1, "older/a").when(i % 4 == 2, "old").otherwise("new"), F.lit('","n":'), i.cast("string"), F.lit("}"))
-    return E.repointed(table(s, d, "events").select(i.alias("key"), value.alias("value")), "/data/old", "/data/kept")
+    """Cache rows with nested fields and another folder of that name inside; the fields are read back."""
+    kind = F.col("event_type")
+    folder = F.when(kind == "view", F.concat(F.lit("old/"), "props")).when(kind == "click", F.concat(F.lit("older/"), F.lit("a"))).when(kind == "purchase", F.lit("old")).otherwise(F.lit("new"))
+    value = F.to_json(F.struct(F.col("value").alias("size"), F.struct(F.lit("/data/old").alias("dir"), F.col("user_id").alias("n")).alias("inner"), F.concat(F.lit("/data/"), folder).alias("dir"), F.array(kind, F.col("props")).alias("list")))
+    done = E.repointed(table(s, d, "events").select(F.col("event_id").alias("key"), value.alias("value")), "/data/old", "/data/kept")
+    got = lambda p: F.get_json_object("value", p)
+    return done.select("key", got("$.dir").alias("dir"), got("$.inner.dir").alias("inner_dir"), got("$.inner.n").cast("long").alias("n"), got("$.size").cast("double").alias("size"), got("$.list[0]").alias("kind"), got("$.list[1]").alias("props"))
 
 
 def enqueue_guard(s, d):
@@ -217,27 +224,34 @@ def band_blocks(s, d):
 
 
 def _paper_pages(s, d):
-    """Pages with the abstract, the mathematics and the equation tables that an HTML paper has."""
-    i = F.col("page_id")
-    eq = lambda k, number: F.concat(F.lit(f'<table class="ltx_equation ltx_eqn_table" id="S1.E{k}"><tr><td><table><tr><td>x</td></tr></table>'), number, F.lit("</td></tr></table>"))
-    shown = F.when(i % 3 == 0, F.lit("")).otherwise(F.concat(F.lit('<span class="ltx_tag ltx_tag_equation">( '), i.cast("string"), F.lit(" )</span>")))
-    head = F.when(i % 4 == 0, F.lit("")).otherwise(F.concat(F.lit('<section><div class="x ltx_abstract"><h6>Abstract</h6><p>On '), i.cast("string"), F.lit(' <math alttext="a&lt;b" class="m"><mi>a</mi></math> &amp; more.</p></div> </section>')))
-    return table(s, d, "pages").select("page_id", F.concat(head, eq(1, shown), F.lit("<p>t</p>"), eq(2, F.lit('<span class="ltx_tag_equation">2.a</span>'))).alias("html"))
+    """Documents as HTML papers: the first block as abstract, every fourth block as an equation with the number of its place, between numbers that belong to none."""
+    b = V.blocks(s, d).select("paper_id", "ord", T.escape(F.col("en")).alias("en"))
+    n = F.col("ord")
+    number = F.when(n % 3 != 0, F.concat(F.lit('<span class="ltx_tag ltx_tag_equation">( '), n.cast("string"), F.lit(" )</span>"))).otherwise("")
+    nested = F.lit('<table class="ltx_equation ltx_eqn_table" id="in"><tr><td>x</td></tr></table>')
+    eq = F.concat(F.lit('<table id="S1.E'), n.cast("string"), F.lit('" class="ltx_eqn_table x ltx_equation"><tr><td>'), nested, F.lit('<math alttext="'), F.substring("en", 1, 5), F.lit('"><mi>y</mi></math></td><td>'), number, F.lit('</td></tr></table><span class="ltx_tag_equation">(99)</span>'))
+    head = F.concat(F.lit('<div class="x ltx_abstract"><h6>Abstract</h6><div><p>'), "en", F.lit(' <math display="block" alttext="a&lt;b"><mi>a</mi></math></p></div></div><div class="ltx_abstract">no</div>'))
+    part = F.when(n == 0, head).when(n % 4 == 1, eq).otherwise(F.concat(F.lit("<p>"), "en", F.lit("</p>")))
+    whole = b.select("paper_id", "ord", part.alias("h")).groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("ord", "h"))).alias("l"))
+    return whole.select("paper_id", F.array_join(F.transform("l", lambda x: x["h"]), "\n").alias("html"))
 
 
 def paper_abstract(s, d):
-    return _paper_pages(s, d).select("page_id", H.abstract(F.col("html")).alias("abstract"))
+    return PA.abstracts(_paper_pages(s, d), "paper_id", "html").select("paper_id", F.md5("abstract").alias("abstract"))
 
 
 def equation_marks(s, d):
-    return H.equation_marks(_paper_pages(s, d), "page_id", "html")
+    return PA.equation_marks(_paper_pages(s, d), "paper_id", "html")
 
 
 def paper_refs(s, d):
-    i = F.col("doc_id")
-    number = F.concat(F.lpad((i % 10000).cast("string"), 4, "1"), F.lit("."), F.lpad(i.cast("string"), 5, "0"))
-    ref = F.when(i % 5 == 0, F.concat(F.lit("https://arxiv.org/abs/"), number, F.lit("v2"))).when(i % 5 == 1, F.concat(F.lit("arXiv:"), number)).when(i % 5 == 2, F.lit("hep-th/9901001v3")).when(i % 5 == 3, F.concat(number, F.lit("v1"))).otherwise(F.concat(F.lit("x"), number))
-    return table(s, d, "documents").select("doc_id", H.paper_ref(ref).alias("ref"))
+    """Numbers that follow from a document's length and words, in each form."""
+    n, w = F.length("text"), F.size(F.split("text", " "))
+    number = F.concat(F.lpad((n % 10000).cast("string"), 4, "1"), F.lit("."), F.lpad((w % 100000).cast("string"), 5, "0"))
+    old = F.concat(F.lit("math.GT/"), F.lpad((n % 10000000).cast("string"), 7, "0"))
+    kind = n % 6
+    ref = F.when(kind == 0, F.concat(F.lit("https://arxiv.org/abs/"), number, F.lit("v2"))).when(kind == 1, F.concat(F.lit("arXiv:"), number)).when(kind == 2, F.concat(old, F.lit("v3"))).when(kind == 3, F.concat(number, F.lit("v1"))).when(kind == 4, F.concat(F.lit("see "), F.substring("text", 1, 9), F.lit(" hep-th/9901001"))).otherwise("none 12.3")
+    return table(s, d, "documents").select("doc_id", H.paper_ref_parts(ref).alias("r")).select("doc_id", F.col("r.id").alias("id"), F.col("r.version").alias("version"))
 
 
 def split_zh(s, d):
@@ -246,9 +260,11 @@ def split_zh(s, d):
 
 
 def code_cooldown(s, d):
-    e = table(s, d, "events").withColumn("last", F.date_trunc("second", "ts"))
-    now = F.col("last") + F.make_dt_interval(secs=(F.col("event_id") % 100).cast("decimal(8,0)"))
-    return e.select("event_id", AC.cooldown_left(F.col("last"), now).alias("left"))
+    """What is left of each user's cooldown at an event, since the event before."""
+    last = F.lag(F.date_trunc("second", "ts")).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    slow = F.timestamp_seconds((F.unix_seconds(F.col("last").cast("timestamp")) + (F.unix_seconds(F.date_trunc("second", "ts").cast("timestamp")) - F.unix_seconds(F.col("last").cast("timestamp"))) % 100).cast("double")).cast("timestamp_ntz")
+    e = table(s, d, "events").withColumn("last", last.cast("timestamp_ntz")).where("last is not null")
+    return e.select("event_id", AC.cooldown_left(F.col("last"), slow).alias("left"))
 
 
 def shares_backfilled(s, d):
@@ -257,12 +273,14 @@ def shares_backfilled(s, d):
 
 
 def grids_usable(s, d):
-    """Translated grids: alike, untranslated, of another shape, ragged or without text."""
-    i = F.col("doc_id") % 5
-    grid = lambda *rows: F.array(*[F.array(*[F.lit(x) for x in r]) for r in rows])
-    rows = F.when(i == 3, grid(("a", "b"), ("c",))).otherwise(grid(("a", "b"), ("c", "d")))
-    zh = F.when(i == 0, grid(("甲", "b"), ("c", "d"))).when(i == 2, grid(("甲", "乙"))).when(i == 4, grid(("甲", "b"), ("c", "d"))).otherwise(grid(("a", "b"), ("c", "d")))
-    return table(s, d, "documents").select("doc_id", VA.table_usable(rows, zh, F.when(i == 4, " ").otherwise("文")).alias("usable"))
+    """A grid of each document's first words against one translated by its length: alike, part translated, cut short, ragged or without text."""
+    w = lambda k: F.coalesce(F.get(F.split("text", " "), F.lit(k)), F.lit(""))
+    i = F.length("text") % 5
+    rows = F.when(i == 3, F.array(F.array(w(0), w(1)), F.array(w(2)))).otherwise(F.array(F.array(w(0), w(1)), F.array(w(2), w(3))))
+    part = F.array(F.array(F.concat(F.lit("译"), w(0)), w(1)), F.array(w(2), w(3)))
+    zh = F.when((i == 0) | (i == 4), part).when(i == 2, F.slice(part, 1, 1)).otherwise(rows)
+    shown = F.when(i == 4, F.regexp_replace(w(0), ".", " ")).otherwise(F.concat(F.lit("译"), w(0)))
+    return table(s, d, "documents").where("text is not null").select("doc_id", VA.table_usable(rows, zh, shown).alias("usable"))
 
 
 def blocks_stored(s, d):
@@ -273,7 +291,7 @@ def blocks_stored(s, d):
     DO.save_blocks(b.where("paper_id % 3 = 1").withColumn("en", F.upper("id")), path, 8)
     out = None
     for paper in (2, 4, 5):
-        one = DO.load_blocks(s, path, paper, 8).select("paper_id", "ord", "id", "en")
+        one = DO.load_blocks(s, path, paper).select("paper_id", "ord", "id", "en")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -285,7 +303,7 @@ QUERIES = {
     "blocks_stored": blocks_stored,
     "logos_dropped": lambda s, d: SP.without_logos(_spans(s, d), F.lit(4.5)).groupBy("paper_id").agg(F.count(F.lit(1)).alias("n")),
     "junk_lines": lambda s, d: V.blocks(s, d).groupBy("paper_id").agg(F.count_if(T.junk(F.substring(F.trim("en"), -2, 2))).alias("n")),
-    "json_values": lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(DO.json_or(F.when(F.col("doc_id") % 2 == 0, '["a","b"]').when(F.col("doc_id") % 4 == 1, "none"), "array<string>", F.array(F.lit("-"))), "|").alias("v")),
+    "json_values": lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(DO.json_or(F.when(F.length("text") % 2 == 0, F.to_json(F.slice(F.split("text", " "), 1, 3))).when(F.length("text") % 4 == 1, F.substring("text", 1, 9)), "array<string>", F.array(F.lit("-"))), "|").alias("v")),
     "marks_by_block": marks_by_block,
     "highlights_in_order": lambda s, d: A.in_order(V.marks(s, d)).select("block_id", "place", "id"),
     "highlight_checks": highlight_checks,
@@ -335,13 +353,13 @@ _SPANS = """p AS (SELECT paper_id AS block_id, length(title) AS n FROM papers WH
 _LISTED = "SELECT paper_id, page, list(id ORDER BY ord) AS ids FROM blocks GROUP BY paper_id, page"
 
 ORACLES = {
-    "code_cooldown": 'SELECT event_id, greatest(0, 60 - event_id % 100) AS "left" FROM events',
+    "code_cooldown": """SELECT event_id, greatest(0, 60 - CAST(epoch(date_trunc('second', ts)) - epoch(last) AS BIGINT) % 100) AS "left" FROM (SELECT event_id, ts, lag(date_trunc('second', ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last FROM events) WHERE last IS NOT NULL""",
     "shares_backfilled": V.with_(V.SHARES) + f"SELECT token, CASE WHEN token % 2 = 0 THEN expires_at ELSE TIMESTAMP '{V.SHARES_AS_OF}' + INTERVAL 24 HOUR END AS expires_at FROM shares",
-    "grids_usable": "SELECT doc_id, doc_id % 5 = 0 AS usable FROM documents",
+    "grids_usable": "SELECT doc_id, length(text) % 5 = 0 AS usable FROM documents WHERE text IS NOT NULL",
     "blocks_stored": V.with_(V.BLOCKS) + "SELECT paper_id, ord, id, CASE WHEN paper_id % 3 = 1 THEN upper(id) ELSE en END AS en FROM blocks WHERE paper_id IN (2, 4, 5)",
     "logos_dropped": V.with_(V.BLOCKS, SPANS) + "SELECT paper_id, count(*) AS n FROM spans WHERE NOT (length(trim(text)) <= 3 AND size >= 9) GROUP BY paper_id",
     "junk_lines": V.with_(V.BLOCKS) + r"SELECT paper_id, count(*) FILTER (WHERE regexp_matches(x, '^[^A-Za-z0-9]{0,2}$') AND NOT regexp_matches(x, '[\p{L}\p{N}]')) AS n FROM (SELECT paper_id, right(trim(en), 2) AS x FROM blocks) GROUP BY paper_id",
-    "json_values": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'a|b' ELSE '-' END AS v FROM documents",
+    "json_values": "SELECT doc_id, CASE WHEN length(text) % 2 = 0 THEN array_to_string(string_split(text, ' ')[1:3], '|') ELSE '-' END AS v FROM documents",
     "marks_by_block": V.with_(V.PAPERS, V.MARKS) + """SELECT p.paper_id AS block_id, count(id) AS n, coalesce(string_agg(start || ':' || "end" || ':' || id || ':' || color, ',' ORDER BY start, "end", id), '') AS marks FROM papers p LEFT JOIN marks m ON m.block_id = p.paper_id GROUP BY p.paper_id""",
     "highlights_in_order": V.with_(V.MARKS) + "SELECT block_id, row_number() OVER (PARTITION BY block_id ORDER BY start, id) AS place, id FROM marks",
     "highlight_checks": V.with_(V.MARKS) + f"SELECT id, CASE WHEN id % 9 = 0 THEN 'empty range' WHEN color NOT IN ({_PENS}) THEN 'no such pen' END AS refused FROM marks",
@@ -370,17 +388,19 @@ ORACLES = {
     "participating": V.with_(V.BLOCKS) + "SELECT paper_id, count(*) AS n FROM blocks WHERE type <> 'figure' OR ord % 26 <> 12 AND en <> '' GROUP BY paper_id",
     "translation_todo": V.with_(V.BLOCKS, TRANSLATED, f"own AS (SELECT *, en AS text FROM translated WHERE (type <> 'figure' OR coalesce(en <> '', false)) AND zh_source <> 'human'), todo AS (SELECT * FROM own WHERE {_EXPECTED})") + r"""SELECT paper_id, 'all' AS choice, count(*) AS n FROM todo GROUP BY paper_id
       UNION ALL SELECT paper_id, 'only', count(*) FROM todo WHERE ord % 4 = 1 GROUP BY paper_id UNION ALL SELECT paper_id, 'resume', count(*) FROM todo WHERE NOT regexp_matches(zh, '\S') GROUP BY paper_id""",
-    "payload_checks": """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'below' WHEN 1 THEN 'above' END AS side, CASE WHEN doc_id % 4 = 0 THEN '#A0b1c2' ELSE '' END AS color, CAST(CASE doc_id % 5 WHEN 1 THEN 0.98 WHEN 2 THEN 0.7 ELSE 0 END AS DOUBLE) AS em,
-      CASE WHEN doc_id % 5 IN (1, 2) THEN 'a|12|||' ELSE '' END AS markers FROM documents""",
+    "payload_checks": r"""SELECT doc_id, CASE n % 3 WHEN 0 THEN 'below' WHEN 1 THEN 'above' END AS side, CASE WHEN n % 4 = 0 THEN '#' || upper(substr(md5(text), 1, 6)) ELSE '' END AS color, em,
+      CASE WHEN em > 0 THEN concat(substr(word, 1, 1), '|', CASE WHEN n % 200 < 100 THEN CAST(n % 200 AS VARCHAR) ELSE '' END, '|', CASE WHEN length(word) = 1 THEN word ELSE '' END) ELSE '' END AS markers
+      FROM (SELECT *, CAST(CASE WHEN n % 5 = 3 THEN 0 WHEN e > 0.5 AND e <= 0.98 THEN e ELSE 0 END AS DOUBLE) AS em FROM (SELECT doc_id, text, length(text) AS n, CAST('0.' || (length(text) % 100) AS DOUBLE) AS e, regexp_extract(text, '^([A-Za-z]*)', 1) AS word FROM documents WHERE text IS NOT NULL))""",
     "asset_names": V.with_(V.BLOCKS) + "SELECT DISTINCT paper_id, 'f' || ord % 4 || '.png' AS name FROM blocks WHERE ord % 3 = 0",
     "asset_sizes": V.with_(V.BLOCKS) + "SELECT paper_id, count(*) AS n, CAST(sum(k + 1) * 100 AS BIGINT) AS bytes, sum(k + 1) * 100 <= 300 AS fits FROM (SELECT DISTINCT paper_id, ord % 4 AS k FROM blocks WHERE ord % 3 = 0) WHERE k < 3 GROUP BY paper_id",
-    "cache_repointed": """SELECT event_id AS key, '{"dir":"/data/' || CASE event_id % 4 WHEN 0 THEN 'kept/a' WHEN 1 THEN 'older/a' WHEN 2 THEN 'kept' ELSE 'new' END || '","n":' || event_id || '}' AS value FROM events""",
+    "cache_repointed": """SELECT event_id AS key, '/data/' || CASE event_type WHEN 'view' THEN 'kept/' || props WHEN 'click' THEN 'older/a' WHEN 'purchase' THEN 'kept' ELSE 'new' END AS dir, '/data/old' AS inner_dir, user_id AS n, value AS size, event_type AS kind, props FROM events""",
     "enqueue_guard": V.with_(V.PAPERS) + "SELECT paper_id, CASE WHEN paper_id % 3 = 0 AND conv_state NOT IN ('doing', 'queued') OR paper_id % 3 <> 0 AND conv_state = 'done' THEN 'queued' ELSE 'conflict' END AS verdict FROM papers",
     "band_blocks": V.with_(V.BLOCKS, r"""lines AS (SELECT paper_id, page, ord AS n, lower(regexp_replace(substr(en, 3, 30), '[\s-]+', '', 'g')) AS line FROM blocks WHERE ord % 3 = 1 AND ord % 10 * 12 >= 18 AND ord % 10 * 12 + 10 <= 82)""") + r"""SELECT DISTINCT paper_id, page, id FROM
       (SELECT l.paper_id, l.page, b.id, row_number() OVER (PARTITION BY l.paper_id, l.page, l.n ORDER BY length(en), ord) AS k FROM lines l JOIN blocks b ON b.paper_id = l.paper_id AND b.page = l.page AND b.type = 'p' AND length(line) >= 3 AND contains(lower(regexp_replace(en, '[\s-]+', '', 'g')), line)) WHERE k = 1""",
-    "paper_abstract": r"SELECT page_id, CASE WHEN page_id % 4 = 0 THEN '' ELSE 'On ' || page_id || ' \(a<b\) & more.' END AS abstract FROM pages",
-    "equation_marks": "SELECT page_id, 'S1.E1' AS eq_id, CASE WHEN page_id % 3 = 0 THEN '' ELSE CAST(page_id AS VARCHAR) END AS number FROM pages UNION ALL SELECT page_id, 'S1.E2', '2.a' FROM pages",
-    "paper_refs": "SELECT doc_id, CASE doc_id % 5 WHEN 2 THEN 'hep-th/9901001' WHEN 4 THEN NULL ELSE lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '1') || '.' || lpad(CAST(doc_id AS VARCHAR), 5, '0') END AS ref FROM documents",
+    "paper_abstract": V.with_(V.BLOCKS) + r"""SELECT paper_id, md5(trim(regexp_replace(en, '\s+', ' ', 'g') || ' \[a<b\]')) AS abstract FROM blocks WHERE ord = 0""",
+    "equation_marks": V.with_(V.BLOCKS) + "SELECT paper_id, 'S1.E' || ord AS eq_id, CASE WHEN ord % 3 <> 0 THEN CAST(ord AS VARCHAR) ELSE '' END AS number FROM blocks WHERE ord % 4 = 1",
+    "paper_refs": """SELECT doc_id, CASE k WHEN 2 THEN 'math.GT/' || lpad(CAST(n % 10000000 AS VARCHAR), 7, '0') WHEN 4 THEN 'hep-th/9901001' WHEN 5 THEN NULL ELSE number END AS id, CASE k WHEN 0 THEN 'v2' WHEN 2 THEN 'v3' WHEN 3 THEN 'v1' WHEN 5 THEN NULL ELSE '' END AS version
+      FROM (SELECT *, lpad(CAST(n % 10000 AS VARCHAR), 4, '1') || '.' || lpad(CAST(w % 100000 AS VARCHAR), 5, '0') AS number, n % 6 AS k FROM (SELECT doc_id, length(text) AS n, len(string_split(text, ' ')) AS w FROM documents WHERE text IS NOT NULL)) UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE text IS NULL""",
     "split_zh": "SELECT doc_id, unnest(range(0, len(l))) AS n, unnest(l) AS sentence FROM (SELECT doc_id, list_filter(regexp_extract_all('一' || translate(text, '.!?;', '。！？；'), '[^。！？；…]+[。！？；…]*'), lambda x: regexp_matches(x, '\\S')) AS l FROM documents)",
     "has_math": r"SELECT doc_id, regexp_matches(t, '(?s)\\\(.+?\\\)|\\\[.+?\\\]') AS math FROM (SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN '\(x^2\)' WHEN 1 THEN '\(' WHEN 2 THEN '\[y\]' ELSE '$z$' END AS t FROM documents)",
 }

@@ -13,23 +13,27 @@ BLOCK_TYPE = "array<struct<ord:bigint,id:string,type:string,en:string>>"
 BUCKETS = 64
 
 
-def _bucket(paper: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(paper.cast("long")), F.lit(buckets)).cast("int")
+def _bucket(paper: Column, buckets: Column) -> Column:
+    return F.pmod(F.xxhash64(paper.cast("long")), buckets).cast("int")
 
 
 def save_blocks(blocks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Replace the stored blocks of the papers in `blocks`, and of no others: whole bucket folders are rewritten.
 
-    Papers share a bounded number of folders, so the table doesn't grow one folder a paper. What the folders will hold is
-    written aside first: nothing is recomputed from a folder that is being replaced. load_blocks() takes the same number.
+    Papers share a bounded number of folders, so the table doesn't grow one folder a paper. The number is stored with the
+    table, as a folder above its buckets; a table that is there keeps its own. What the folders will hold is written
+    aside first: nothing is recomputed from a folder that is being replaced.
     """
     spark = blocks.sparkSession
-    bucketed = blocks.withColumn("bucket", _bucket(F.col("paper_id"), buckets))
-    touched = bucketed.select("bucket").distinct()
-    if _exists(spark, path):
+    there = _exists(spark, path)
+    if there and (first := spark.read.parquet(path).select("buckets").first()) is not None:
+        buckets = first.buckets
+    bucketed = blocks.withColumns({"buckets": F.lit(buckets), "bucket": _bucket(F.col("paper_id"), F.lit(buckets))})
+    if there:
+        touched = bucketed.select("bucket").distinct()
         rest = spark.read.parquet(path).join(touched, "bucket", "left_semi").join(blocks.select("paper_id").distinct(), "paper_id", "left_anti")
         bucketed = written(bucketed.unionByName(rest), "blocks")
-    bucketed.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    bucketed.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("buckets", "bucket").parquet(path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -38,10 +42,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def load_blocks(spark: SparkSession, path: str, paper_id: int, buckets: int = BUCKETS) -> DataFrame:
-    """A paper's blocks in order; the bucket folder prunes the scan."""
-    own = spark.range(1).select(_bucket(F.lit(paper_id), buckets).alias("b")).first().b
-    return spark.read.parquet(path).where((F.col("bucket") == own) & (F.col("paper_id") == paper_id)).orderBy("ord").drop("bucket")
+def load_blocks(spark: SparkSession, path: str, paper_id: int) -> DataFrame:
+    """A paper's blocks in order; which folder they are in follows from its id and the number of buckets, so the scan is pruned."""
+    own = F.col("bucket") == _bucket(F.lit(paper_id), F.col("buckets"))
+    return spark.read.parquet(path).where(own & (F.col("paper_id") == paper_id)).orderBy("ord").drop("buckets", "bucket")
+
+
+def load_block(spark: SparkSession, path: str, paper_id: int, block_id: str) -> DataFrame:
+    """One block."""
+    return load_blocks(spark, path, paper_id).where(F.col("id") == block_id)
 
 
 def to_json(blocks: DataFrame) -> DataFrame:

@@ -66,9 +66,20 @@ def depth_match(pages: DataFrame, id_col: str, html_col: str, tag: str) -> DataF
     return paired.where("slash = '' and shut = '/'").select(id_col, F.col("n").cast("long").alias("opened"), F.col("closed").cast("long").alias("closed"), "depth")
 
 
+#: The forms of a paper's number, of today and before 2007, and its version.
+NUMBERS, VERSION = ("[0-9]{4}\\.[0-9]{4,5}", "[a-z-]+(?:\\.[A-Z]{2})?/[0-9]{7}"), "(v[0-9]+)?"
+
+
 def paper_ref(c: Column) -> Column:
-    """A paper's id out of an id or address, without its version; null if there is none."""
-    found = [F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in (r"(?i)arxiv\.org/(?:abs|pdf|html)/([a-z.-]+/[0-9]{7}|[0-9]{4}\.[0-9]{4,5})", r"^([a-z.-]+/[0-9]{7})(?:v[0-9]+)?$", r"(?i)^(?:arxiv:)?([0-9]{4}\.[0-9]{4,5})(?:v[0-9]+)?$")]
+    """The id alone."""
+    return paper_ref_parts(c)["id"]
+
+
+def paper_ref_parts(c: Column) -> Column:
+    """(id, version) out of a paper's id or address; version empty if none is given, null if there is no id. An address is looked for first, then an old number, then one of today."""
+    today, old = NUMBERS
+    forms = [rf"arxiv\.org/(?:abs|pdf|html)/({today}){VERSION}", f"({old}){VERSION}", f"({today}){VERSION}"]
+    found = [F.when(c.rlike(p), F.struct(F.regexp_extract(c, p, 1).alias("id"), F.regexp_extract(c, p, 2).alias("version"))) for p in forms]
     return F.coalesce(*found)
 
 
@@ -76,20 +87,3 @@ def math_to_text(fragment: Column) -> Column:
     """math elements become their alternative text between inline or display signs."""
     display = F.regexp_replace(fragment, r'(?is)<math[^>]*alttext="([^"]*)"[^>]*display="block"[^>]*>.*?</math>', r"\\[$1\\]")
     return F.regexp_replace(display, r'(?is)<math[^>]*alttext="([^"]*)"[^>]*>.*?</math>', r"\\($1\\)")
-
-
-def abstract(html: Column) -> Column:
-    """The text of a paper's abstract without its heading, mathematics as alternative text; empty if there is none."""
-    found = [F.regexp_extract(html, rf'(?is)<div[^>]*class="[^"]*ltx_abstract[^"]*"[^>]*>(.*?)</div>{end}', 1) for end in (r"\s*</section>", "")]
-    body = F.coalesce(*[F.nullif(x, F.lit("")) for x in found], F.lit(""))
-    return plain(math_to_text(F.regexp_replace(body, r"(?is)<h[1-6][^>]*>.*?</h[1-6]>", " ")))
-
-
-def equation_marks(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(id, eq_id, number) of each displayed equation: its printed number, and empty where none is printed.
-
-    Equations are the outermost tables of their class: what stands between one such start and the next is one's own.
-    """
-    parts = pages.select(id_col, F.posexplode(F.split(html_col, r"(?i)<table(?=[^>]*ltx_equation)(?=[^>]*ltx_eqn_table)")).alias("n", "own")).where("n > 0")
-    printed = F.regexp_extract("own", r"ltx_tag_equation[^>]*>\s*\(?\s*([\w.]+?)\s*\)?\s*</span>", 1)
-    return parts.select(id_col, F.regexp_extract("own", r'^[^>]*?\bid="([^"]+)"', 1).alias("eq_id"), printed.alias("number"))

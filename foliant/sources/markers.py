@@ -5,9 +5,8 @@ Tags must be followed in order, so a fragment is read in Python, in Arrow batche
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from html import unescape
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,33 +14,50 @@ from pyspark.sql import DataFrame
 from foliant.session import ship
 from foliant.sources.html import VOID
 
-_TOKEN = re.compile(r"<(/?)([a-zA-Z][\w-]*)([^>]*)>|([^<]+|<)")
-_MARK = re.compile(r'data-b="([^"]*)"')
-_SKIPPED = re.compile(r"(?is)<(style|script)\b[^>]*>.*?</\1\s*>")
 
+class MarkReader(HTMLParser):
+    """Open elements are a list of (tag, number of its marker or None); text goes to the innermost marked element."""
 
-def read(html: str) -> list[tuple[int, str, str, str, bool, bool]]:
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, int | None]] = []
+        self.found: list[tuple[str, str, list[str], bool, bool]] = []
+
+    def _begin(self, tag: str, attrs: list[tuple[str, str | None]]) -> int | None:
+        own = dict(attrs)
+        if "data-b" not in own:
+            return None
+        self.found.append((own["data-b"] or "", tag, [], own.get("data-nt") == "1", own.get("data-pt") == "1"))
+        return len(self.found) - 1
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        mark = self._begin(tag, attrs)
+        if tag not in VOID:
+            self.open.append((tag, mark))
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self._begin(tag, attrs)
+
+    def handle_endtag(self, tag: str) -> None:
+        at = max((i for i, (name, _) in enumerate(self.open) if name == tag), default=None)
+        if at is not None:
+            del self.open[at:]
+
+    def handle_data(self, data: str) -> None:
+        if any(tag in ("style", "script") for tag, _ in self.open):
+            return
+        for _, mark in reversed(self.open):
+            if mark is not None:
+                self.found[mark][2].append(data)
+                return
+
+
+def read(html: str | None) -> list[tuple[int, str, str, str, bool, bool]]:
     """(n, id, tag, text, untranslated, partial) of each marker, in order; text goes to the innermost marked element."""
-    found: list[list] = []
-    stack: list[tuple[str, int | None]] = []
-    for end, tag, attrs, text in _TOKEN.findall(_SKIPPED.sub("", html or "")):
-        if text:
-            owner = next((k for _, k in reversed(stack) if k is not None), None)
-            if owner is not None:
-                found[owner][2].append(unescape(text))
-            continue
-        name = tag.lower()
-        if end:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if at is not None:
-                del stack[at:]
-            continue
-        mark = _MARK.search(attrs)
-        if mark:
-            found.append([mark[1], name, [], 'data-nt="1"' in attrs, 'data-pt="1"' in attrs])
-        if name not in VOID and not attrs.endswith("/"):
-            stack.append((name, len(found) - 1 if mark else None))
-    return [(n, i, tag, " ".join("".join(parts).split()), nt, pt) for n, (i, tag, parts, nt, pt) in enumerate(found)]
+    reader = MarkReader()
+    reader.feed(html or "")
+    reader.close()
+    return [(n, i, tag, " ".join("".join(parts).split()), nt, pt) for n, (i, tag, parts, nt, pt) in enumerate(reader.found)]
 
 
 def markers(docs: DataFrame, html: str = "html") -> DataFrame:
