@@ -228,8 +228,8 @@ def test_a_damaged_table_keeps_every_conversation(spark, tmp_path):
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_named_tokens_of_the_tables_are_found(spark, sf):
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
-    named = re.compile(r'token = "([0-9a-f]{40})"')
-    texts = {r.doc_id: r.text or "" for r in docs.where("text like '%token = %'").select("doc_id", "text").collect()}
+    named = re.compile(r'(?i)token = "([0-9a-f]{40})"')
+    texts = {r.doc_id: r.text or "" for r in docs.where("lower(text) like '%token = %'").select("doc_id", "text").collect()}
     want = {(k, f"secret:{m.start(1)}:{m.end(1)}") for k, t in texts.items() for m in named.finditer(t)}
     rows = pii.detect(docs).where("n_added > 0").select("doc_id", pii.joined_spans(F.col("spans")).alias("spans")).collect()
     got = {(r.doc_id, s) for r in rows for s in r.spans.split(",") if s.split(":")[0] in pii.WIDE}
