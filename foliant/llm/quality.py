@@ -26,8 +26,8 @@ from foliant.llm.labels import MAX_LABELS, remainder, sample
 STATISTICS = ["log_chars", "log_words", "word_length", "upper", "digit", "punctuation", "symbol", "space", "non_ascii", "distinct_words", "line_length", "repeated_lines", "repeated_words", "no_letter_words", "exclaimed", "sentence_ends"]
 #: Their columns, under names that a caller's won't clash with.
 COLUMNS = [f"_stat_{s}" for s in STATISTICS]
-#: Rules over which the lasso chooses, at most, and its strength.
-MAX_RULES, STRENGTH = 160, 0.002
+#: Strength of the lasso, which chooses among all distinct rules.
+STRENGTH = 0.002
 
 _BYTES = np.arange(256)
 _CLASSES = {
@@ -83,7 +83,7 @@ def fit(rows: list) -> tuple[float, list[tuple[tuple, float]]]:
     found = list(dict.fromkeys(r for t in trees for r in boosting.paths(t)))
     hits = np.stack([boosting.rule_values(r, x) for r in found], axis=1).astype(float) if found else np.zeros((len(y), 0))
     spread = hits.std(axis=0)
-    order = np.argsort(-np.abs((hits - hits.mean(axis=0)).T @ (y - y.mean())) / np.maximum(spread, 1e-9), kind="stable")[:MAX_RULES]
+    order = np.argsort(-np.abs((hits - hits.mean(axis=0)).T @ (y - y.mean())) / np.maximum(spread, 1e-9), kind="stable")
     order = [k for k in order if spread[k] > 0]
     base, w = boosting.lasso_logistic(hits[:, order], y, STRENGTH)
     return base, [(found[k], float(v)) for k, v in zip(order, w, strict=True) if v]

@@ -7,7 +7,8 @@ queries at a time. Each pair of blocks yields the k best of each query by partit
 window. All candidates are scored for all queries.
 
 A candidate moves once for each block of queries and a query once for each block of candidates. The blocks are as large
-as a task's memory allows (QUERY_BLOCK and CANDIDATE_BLOCK vectors), so that few copies move.
+as a task's memory allows (QUERY_BLOCK and CANDIDATE_BLOCK vectors, and of long vectors only as many as BLOCK_BYTES hold
+as doubles), so that few copies move. A task holds its two blocks a few times over, and PART rows of scores.
 
 Scores are exact. Where components are so large that a sum could leave 63 bits, unbounded integers are used, and a score
 outside the range of a long is set to its nearest end.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import picked, ship, shuffle_partitions, written
 
-QUERY_BLOCK, CANDIDATE_BLOCK = 16_384, 65_536
+QUERY_BLOCK, CANDIDATE_BLOCK, BLOCK_BYTES = 16_384, 65_536, 32 << 20
 #: Queries whose scores against a block of candidates are held at once.
 PART = 128
 #: Queries and candidates whose scores are accumulated at once, to stay in a core's cache.
@@ -125,8 +126,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     ship(vectors.sparkSession)
     rows = written(quantized(vectors, is_query, id_col, vector_col, scale), "vectors")
     queries = rows.where("query")
-    n_q = max(1, -(-queries.count() // QUERY_BLOCK))
-    n_c = max(-(-rows.count() // CANDIDATE_BLOCK), -(-shuffle_partitions(vectors.sparkSession) // n_q))
+    size = rows.agg(F.count_if("query"), F.count(F.lit(1)), F.max(F.size("v"))).first()
+    held = lambda most: max(1, min(most, BLOCK_BYTES // (8 * max(1, size[2] or 1))))
+    n_q = max(1, -(-size[0] // held(QUERY_BLOCK)))
+    n_c = max(-(-size[1] // held(CANDIDATE_BLOCK)), -(-shuffle_partitions(vectors.sparkSession) // n_q))
     part = lambda n: F.pmod(F.xxhash64("row"), F.lit(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = queries.select("row", "id", "v", part(n_q).alias("qb"), each(n_c).alias("cb"))

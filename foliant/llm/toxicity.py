@@ -35,9 +35,14 @@ SEED = frozenset(
 )
 SECOND = frozenset("you your yours yourself u ur youre tu toi ton ta tes vous votre vos du dich dir dein deine ihr euch te ti tú usted ustedes vosotros".split())
 FEATURES = ["seed", "seed_log", "learned", "learned_log", "obfuscated", "near_second", "second", "capital_words", "upper", "exclaimed", "punctuation", "symbol", "stretched", "spelled_out", "distinct_hits", "digits_in_words"]
-#: The learned lexicon holds word beginnings of STEM code points (marked *) and whole words: LEARNED at most, each in
-#: SUPPORT sampled rows and SHARE of those of label 1, RATIO times as frequent in them as in the others.
-STEM, LEARNED, SUPPORT, SHARE, RATIO = range(3, 8), 400, 5, 0.02, 8.0
+#: The learned lexicon holds word beginnings of STEM code points (marked *) and whole words, each in SUPPORT sampled rows
+#: and SHARE of those of label 1, RATIO times as frequent in them as in the others. It is bounded by the sample: a row
+#: adds its words, and each word of the lexicon takes up SHARE of the rows of label 1.
+STEM, SUPPORT, SHARE, RATIO = range(3, 8), 5, 0.02, 8.0
+#: Parts of the sample: each is scored by a lexicon and trees made from the others.
+PARTS = 4
+#: Letters of the shortest word that is looked for in a run of single letters.
+SPELLED = 4
 #: Words between a second-person word and a lexicon word that are near.
 NEAR, CACHE = 5, 1 << 19
 TREES = {"trees": 40, "depth": 3, "rate": 0.2, "least": 8}
@@ -71,6 +76,11 @@ class _Codes(dict):
     def __init__(self, learned: frozenset):
         super().__init__()
         self.learned = learned
+        self.lengths = sorted({len(w) for w in SEED | learned if len(w) >= SPELLED and not w.endswith("*")})
+
+    def spelled(self, run: str) -> bool:
+        """Whether a word of the lexicon stands in a run of letters."""
+        return any(run[i : i + n] in SEED or run[i : i + n] in self.learned for n in self.lengths for i in range(len(run) - n + 1))
 
     def knows(self, word: str) -> bool:
         return word in self.learned or any(f"{word[:k]}*" in self.learned for k in STEM if len(word) >= k)
@@ -99,7 +109,7 @@ def features(text: str, codes: _Codes) -> list[float]:
     spelled = 0
     for start, end in _letter_runs(code):
         run = "".join(words[k].strip(_EDGES) for k in range(start, end)).lower()
-        if any(run[i:j] in SEED or run[i:j] in codes.learned for i in range(len(run)) for j in range(i + 4, min(len(run), i + 14) + 1)):
+        if codes.spelled(run):
             spelled += 1
             code[start] |= 1 | 2
     hits = np.flatnonzero(code & 3)
@@ -141,7 +151,7 @@ def _computed(learned: frozenset):
 
 
 def lexicon(rows: DataFrame) -> frozenset:
-    """Words far more frequent in rows of label 1, from (_label, _text): at most LEARNED."""
+    """Words far more frequent in rows of label 1, from (_label, _text)."""
     texts = rows.groupBy("_text").agg(F.max("_label").alias("_label"))  # copies count once
     words = F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}\p{N}]+"))
     stems = F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(w, *[F.when(F.length(w) >= k, F.concat(F.substring(w, 1, k), F.lit("*"))) for k in STEM]))))
@@ -151,7 +161,7 @@ def lexicon(rows: DataFrame) -> frozenset:
     toxic, clean = max(1, total[0] or 0), max(1, (total[1] or 0) - (total[0] or 0))
     ratio = (F.col("hit") / toxic) / ((F.col("n") - F.col("hit") + 0.5) / clean)
     # a floor on the share of label 1 keeps out rare words that meet it by chance
-    top = seen.where((ratio >= RATIO) & (F.col("hit") >= SHARE * toxic)).orderBy(F.desc("hit"), "w").limit(LEARNED)
+    top = seen.where((ratio >= RATIO) & (F.col("hit") >= SHARE * toxic))
     return frozenset(r.w for r in top.select("w").collect())
 
 
@@ -159,21 +169,30 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELS):
     """(learned lexicon, trees, isotonic knots), the same each time."""
     from foliant.llm.common import written
 
-    own = written(sample(docs, labels, "toxic", 5, F.col("_fold") == 0, limit).select("_id", "_label", "_text"), "toxic-sample")
+    # copies share a part, so that no score of a part has seen its texts
+    part = F.pmod(F.xxhash64("_text"), F.lit(PARTS)).cast("int").alias("_part")
+    own = written(sample(docs, labels, "toxic", 5, F.col("_fold") == 0, limit).select("_id", "_label", part, "_text"), "toxic-sample")
     words = lexicon(own)
-    kinds = f"_id {own.schema['_id'].dataType.simpleString()}, _label int, {', '.join(f'{f} double' for f in FEATURES)}"
-    rows = [tuple(r)[1:] for r in sorted(own.mapInArrow(_computed(words), kinds).collect(), key=tuple)]
-    y = np.array([r[0] for r in rows], float)
+    parts, y, x = _matrix(own, words)
     if len(set(y.tolist())) < 2:
         return words, None, float((y.sum() + 0.5) / (len(y) + 1))
-    x = np.array([r[1:] for r in rows], float).reshape(len(rows), len(FEATURES))
-    fold, unseen = np.arange(len(y)) % 4, np.zeros(len(y))
-    for k in range(4):
-        inside = fold != k
-        unseen[~inside] = boosting.margin(boosting.boost(x[inside], y[inside], **TREES), x[~inside]) if len(set(y[inside].tolist())) > 1 else 0
+    unseen = np.zeros(len(y))
+    for k in range(PARTS):
+        inside = parts != k
+        if len(set(y[inside].tolist())) > 1 and not inside.all():
+            _, _, clean = _matrix(own, lexicon(own.where(F.col("_part") != k)))
+            unseen[~inside] = boosting.margin(boosting.boost(clean[inside], y[inside], **TREES), clean[~inside])
     return words, boosting.boost(x, y, **TREES), boosting.isotonic(unseen, y)
 
 
+def _matrix(own: DataFrame, words: frozenset) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part, label, features) of the sampled rows (_id, _label, _part, _text) under a lexicon, in an order that is the same each time."""
+    kinds = f"_id {own.schema['_id'].dataType.simpleString()}, _label int, _part int, {', '.join(f'{f} double' for f in FEATURES)}"
+    rows = sorted((tuple(r) for r in own.mapInArrow(_computed(words), kinds).collect()), key=lambda r: r[0])  # ids are told apart
+    x = np.array([r[3:] for r in rows], float).reshape(len(rows), len(FEATURES))
+    return np.array([r[2] for r in rows]), np.array([r[1] for r in rows], float), x
+
+
 def _scored(trees, knots):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

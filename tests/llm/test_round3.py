@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.llm import html_text, negatives, pii, sharding, turns
+from foliant.llm import html_text, negatives, pii, sharding, topk, toxicity, turns
 
 # sharding
 
@@ -288,3 +288,45 @@ def test_scores_decided_every_page(spark, monkeypatch):
         article = next(n for n in html_text._order(root) if n.tag == "article")
         assert text == "\n".join(html_text._blocks([article], set(), True))
     assert len(found) == len(pages) and all(n is not None and n.score > 0 for n in found)
+
+
+# bounds: blocks by bytes, lexicons by tests alone, parts that have not seen their texts
+
+
+def test_long_vectors_make_small_blocks(spark, monkeypatch):
+    """2,048 dimensions: no group of queries or candidates is beyond the bytes of a block, and the result is the same."""
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 8 * 2048 * 16)
+    rng = random.Random(1)
+    rows = [(k, [rng.uniform(-1, 1) for _ in range(2048)]) for k in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    done = topk.top_k(df, F.expr("id % 10 = 0"), 3)
+    whole = {k: [math.floor(256 * x) for x in v] for k, v in rows}
+    want = Counter()
+    for q in range(0, 120, 10):
+        scored = sorted((-sum(map(int.__mul__, whole[q], v)), k) for k, v in whole.items() if k != q)[:3]
+        want.update((q, rank, k, -s) for rank, (s, k) in enumerate(scored, 1))
+    assert Counter(tuple(r) for r in done.select("query_id", "rank", "vec_id", "score").collect()) == want
+    plan = done._jdf.queryExecution().analyzed().toString()
+    assert re.search(r"pmod\(xxhash64\([^)]*\), (?:cast\()?8\b", plan), plan  # 120 candidates by 16
+
+
+def test_runs_of_letters_of_any_length():
+    long = "kakorrhaphiophobia"
+    codes = toxicity._Codes(frozenset({long, "abcd*"}))
+    assert codes.spelled("xx" + long + "yy") and codes.spelled("stupidyou") and not codes.spelled("abcde") and not codes.spelled(long[:-1])
+    assert toxicity.features(" ".join(long), codes)[toxicity.FEATURES.index("spelled_out")] > 0
+
+
+def test_calibration_has_not_seen_its_texts(spark):
+    """Words that tell label 1 by chance, each in the copies of one text: clean parts give them no weight, so no score is far from the rate of label 1."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(4))
+    rows = []
+    for k in range(60):
+        text = " ".join(word() for _ in range(12))
+        rows += [(20 * k + c, text, k % 2) for c in range(8)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], 0, r[2]) for r in rows], "doc_id long, quality int, toxic int")
+    words, trees, knots = toxicity.learn(docs, labels)
+    scores = {r.doc_id: r.score for r in toxicity.classify(docs, (words, trees, knots)).collect()}
+    assert all(0.05 <= s <= 0.95 for s in scores.values())
