@@ -70,6 +70,14 @@ REFERENCE_SIGNS = r"\bpp\.|\bvol\.|\bProc\.|IEEE Trans|\bdoi:|arXiv:|,\s*(?:19|2
 REFERENCE_NUMBER = r"^\s*\[[0-9]{1,3}\]"
 
 
+#: Fixed value: how a publisher's mark on a page begins.
+WATERMARK = r"(?i)^(Authorized licensed use limited to|Downloaded on .{0,60}from IEEE Xplore|Restrictions apply|[0-9]{4}\s+IEEE\.\s*Personal use is permitted)"
+
+
+def watermark(c: Column) -> Column:
+    return c.rlike(WATERMARK)
+
+
 def reference_like(c: Column) -> Column:
     return c.rlike(REFERENCE_SIGNS)
 

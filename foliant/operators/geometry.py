@@ -179,6 +179,19 @@ def margin_graphics(boxes: DataFrame, texts: DataFrame, height: float = HEIGHT,
     return free.withColumn("k", place).where(F.col("k") <= top).select(*PAGE, "id", F.col("k").cast("long").alias("k"))
 
 
+#: Fixed value: points by which boxes must overlap on each axis, since a frame and a line beside it may touch.
+TOUCH = 0.6
+
+
+def overlapping(a: DataFrame, b: DataFrame, tolerance: float = TOUCH) -> DataFrame:
+    """(paper_id, page, a, b, area) of boxes of two kinds that lie over one another by more than a tolerance on both axes. Boxes meet on their page alone."""
+    named = lambda df, k: df.select(*PAGE, F.col("id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("x0", "y0", "x1", "y1")])
+    wide = F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0")
+    high = F.least("a_y1", "b_y1") - F.greatest("a_y0", "b_y0")
+    over = (F.col("a_x0") < F.col("b_x1") - tolerance) & (F.col("b_x0") < F.col("a_x1") - tolerance) & (F.col("a_y0") < F.col("b_y1") - tolerance) & (F.col("b_y0") < F.col("a_y1") - tolerance)
+    return named(a, "a").join(named(b, "b"), PAGE).where(over).select(*PAGE, "a", "b", (wide * high).alias("area"))
+
+
 def column_seams(ordered: DataFrame) -> DataFrame:
     """(paper_id, page, before, after): a left column's last text that goes on at the head of the right one. ordered: place, side, text."""
     w = Window.partitionBy(*PAGE).orderBy("place")

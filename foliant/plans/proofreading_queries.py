@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 from foliant.functions import ledger as L
 from foliant.functions import models as M
+from foliant.functions import text as T
+from foliant.operators import assets as AS
 from foliant.operators import export as EX
+from foliant.operators import geometry as G
 from foliant.operators import intervals as I
 from foliant.operators import prompts as PR
 from foliant.operators import render as H
 from foliant.operators import sequence as S
 from foliant.operators import tables as TB
 from foliant.operators import validate as VA
+from foliant.plans.document_queries import BOXES, _split_boxes
 from foliant.plans.text_queries import _MATH
 from foliant.session import scratch, table
 from foliant.sources import layout as LA
@@ -202,7 +206,54 @@ def math_units(s, d):
     return units.select("paper_id", "ord", F.col("unit").cast("long").alias("unit"), F.col("u_start").cast("long").alias("start"), F.col("u_end").cast("long").alias("end"), "atomic")
 
 
-QUERIES = {f.__name__: f for f in (latex_fidelity, chunk_numbers, latexized, table_verdicts, table_blocks, tables_translated, marks_on_formulas, export_pieces, chunk_prompts, layout_pages, retry_deliveries, model_ledger, page_sections, math_units)}
+# assets, boxes, marks of publishers
+
+
+def _assets(s, d):
+    """Assets named by blocks, what was recorded of them, and the files that lie there: some changed, some gone, some never recorded."""
+    b = V.blocks(s, d).where("ord % 6 = 2")
+    name, n = F.concat(F.lit("f"), F.col("ord").cast("string"), F.lit(".png")), F.length("en")
+    wanted = b.select("paper_id", name.alias("name"))
+    folder = F.concat(F.lit("p"), (F.col("paper_id") % 50).cast("string"), F.lit("/"), F.col("paper_id").cast("string"))
+    recorded = b.where(n % 7 != 3).select("paper_id", folder.alias("folder"), name.alias("name"), F.sha2("en", 256).alias("digest"))
+    files = b.where(n % 11 != 4).select(folder.alias("folder"), name.alias("name"), F.when(n % 5 == 1, F.upper("en")).otherwise(F.col("en")).cast("binary").alias("content"))
+    return wanted, recorded, files
+
+
+def assets_verified(s, d):
+    return AS.verified(*_assets(s, d)).select("paper_id", "name", "status")
+
+
+def assets_reusable(s, d):
+    return AS.reusable(AS.verified(*_assets(s, d)))
+
+
+def assets_copied(s, d):
+    return AS.copies(AS.verified(*_assets(s, d)))
+
+
+def reextracted(s, d):
+    """How many rows are left of each table once every ninth paper is extracted anew."""
+    papers = table(s, d, "documents").select(F.col("doc_id").alias("paper_id"), F.sha2("text", 256).alias("fingerprint"))
+    marks = V.marks(s, d).select(F.col("block_id").alias("paper_id"), "id", "lang")
+    left = AS.reextracted(papers.where("paper_id % 9 = 4"), papers, marks.where("lang = 'en'"), marks.where("lang = 'zh'"))
+    rows = [df.select("paper_id", F.lit(k).alias("kind")) for df, k in zip(left, ("cache", "notes", "marks"), strict=True)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("paper_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def boxes_overlapping(s, d):
+    a, b = _split_boxes(s, d)
+    return G.overlapping(a, b, 12.0)
+
+
+def watermarks(s, d):
+    """Lines with a publisher's mark before some of them."""
+    n = F.col("ord") % 8
+    lead = F.when(n == 0, "Authorized licensed use limited to: ").when(n == 1, "DOWNLOADED ON May 1 from IEEE Xplore. ").when(n == 2, "2020  IEEE. Personal use is permitted ").when(n == 3, "x Restrictions apply ").when(n == 4, "restrictions apply").otherwise("")
+    return V.blocks(s, d).select("paper_id", "ord", T.watermark(F.concat(lead, F.col("en"))).alias("mark"))
+
+
+QUERIES = {f.__name__: f for f in (latex_fidelity, chunk_numbers, latexized, table_verdicts, table_blocks, tables_translated, marks_on_formulas, export_pieces, chunk_prompts, layout_pages, retry_deliveries, model_ledger, page_sections, math_units, assets_verified, assets_reusable, assets_copied, reextracted, boxes_overlapping, watermarks)}
 
 
 def _words(x: str) -> str:
@@ -286,6 +337,10 @@ walk(paper_id, i, phase, tries, due, late, late_due, outcome, at_) AS (
     FROM walk w JOIN ends e ON e.paper_id = w.paper_id AND e.i = w.i + 1)
 )"""
 
+_ASSETS = """named AS (SELECT paper_id, 'f' || ord || '.png' AS name, 'p' || (paper_id % 50) || '/' || paper_id AS folder, length(en) AS n, en FROM blocks WHERE ord % 6 = 2),
+verified AS (SELECT paper_id, name, CASE WHEN n % 7 <> 3 THEN folder END AS folder, CASE WHEN n % 7 = 3 THEN 'unrecorded' WHEN n % 11 = 4 THEN 'missing' WHEN n % 5 = 1 AND upper(en) <> en THEN 'refused' ELSE 'verified' END AS status FROM named),
+reusable AS (SELECT paper_id, count(*) FILTER (status <> 'verified') = 0 AS usable, count(*) AS n, coalesce(string_agg(name || ': ' || status, ', ' ORDER BY name || ': ' || status) FILTER (status <> 'verified'), '') AS why FROM verified GROUP BY paper_id)"""
+
 ORACLES = {
     "latex_fidelity": V.with_(V.BLOCKS, _TYPESET, _JUDGED) + f"""SELECT paper_id, ord, concat_ws(',', CASE WHEN NOT regexp_matches(after, '\\\\\\(|\\\\\\[') THEN 'no_math' END, CASE WHEN {_NUMBERS('before')} <> {_NUMBERS('after')} THEN 'numbers' END,
       CASE WHEN rewritten THEN 'words' END, CASE WHEN length(after) < length(before) * 0.7 THEN 'shrunk' END) AS problems, array_to_string(lost, ',') AS lost FROM judged""",
@@ -316,4 +371,12 @@ ORACLES = {
     "math_units": V.with_(V.BLOCKS, """led AS (SELECT paper_id, ord, length(en) AS n, length(regexp_extract(en, '^((?:[^ ]+ ){3})', 1)) AS p FROM blocks),
       parts AS (SELECT paper_id, ord, unnest(CASE WHEN p = 0 THEN [{'s': 0, 'e': n, 'm': false}] ELSE [{'s': 0, 'e': p, 'm': false}, {'s': p, 'e': p + 7, 'm': true}, {'s': p + 7, 'e': n + 8, 'm': false}] END) AS u FROM led WHERE n > 0)""")
       + """SELECT paper_id, ord, row_number() OVER (PARTITION BY paper_id, ord ORDER BY u.s) - 1 AS unit, u.s AS start, u.e AS "end", u.m AS atomic FROM parts""",
+    "assets_verified": V.with_(V.BLOCKS, _ASSETS) + "SELECT paper_id, name, status FROM verified",
+    "assets_reusable": V.with_(V.BLOCKS, _ASSETS) + "SELECT * FROM reusable",
+    "assets_copied": V.with_(V.BLOCKS, _ASSETS) + "SELECT paper_id, name, folder FROM verified SEMI JOIN (SELECT paper_id FROM reusable WHERE usable) USING (paper_id)",
+    "reextracted": V.with_(V.MARKS, "gone AS (SELECT doc_id AS paper_id, text FROM documents WHERE doc_id % 9 = 4)") + """SELECT doc_id AS paper_id, 'cache' AS kind, count(*) AS n FROM documents d WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.text = d.text) GROUP BY doc_id
+      UNION ALL SELECT block_id, CASE lang WHEN 'en' THEN 'notes' ELSE 'marks' END, count(*) FROM marks WHERE block_id NOT IN (SELECT paper_id FROM gone) GROUP BY ALL""",
+    "boxes_overlapping": f"WITH {BOXES}" + """ SELECT a.paper_id, a.page, a.id AS a, b.id AS b, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS area FROM boxes a JOIN boxes b ON a.paper_id = b.paper_id AND a.page = b.page AND a.id % 3 <> 0 AND b.id % 3 = 0
+      WHERE a.x0 < b.x1 - 12 AND b.x0 < a.x1 - 12 AND a.y0 < b.y1 - 12 AND b.y0 < a.y1 - 12""",
+    "watermarks": V.with_(V.BLOCKS) + "SELECT paper_id, ord, ord % 8 IN (0, 1, 2, 4) AS mark FROM blocks",
 }
