@@ -56,6 +56,18 @@ def test_shards_of_any_rows(spark):
     assert sharding.shard(docs.limit(0), 5).collect() == []
 
 
+def test_written_shards(spark, tmp_path):
+    """Files hold the rows of their shard alone, hot keys in several."""
+    rows = [("hot", f"row {k}") for k in range(300)] + [(str(k), "x") for k in range(200)] + [(None, None)]
+    docs = spark.createDataFrame([(*r, 5) for r in rows], "doc_id string, text string, shard int")
+    path = str(tmp_path / "shards")
+    sharding.write_shards(docs, 7, path, files=4)
+    done = spark.read.parquet(path).select("*", F.input_file_name().alias("file")).collect()
+    assert Counter((r.doc_id, r.text, r.shard) for r in done) == Counter((*r, 5) for r in rows)
+    assert all(r._shard == jump(bits(r.doc_id), 7) for r in done)
+    assert len({r.file for r in done if r.doc_id == "hot"}) == 4 and len({r.file for r in done}) <= 28
+
+
 def test_shares_are_even_and_few_rows_move(spark):
     out = sharding.placed(spark.range(40_000), F.col("id"), 40).groupBy("shard").agg(F.count("*").alias("n"), F.count_if(F.col("grown_shard") != F.col("shard")).alias("moved")).collect()
     assert len(out) == 40 and all(800 < r.n < 1200 for r in out)
