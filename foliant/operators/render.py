@@ -27,6 +27,15 @@ def document(blocks: DataFrame, title: str | None = None) -> DataFrame:
     return parts.select("paper_id", F.concat(head, "body", F.lit("\n</body></html>")).alias("html"))
 
 
+def document_modes(blocks: DataFrame) -> DataFrame:
+    """(paper_id, mode, html): each paper's body in its language, in the other (a block without a translation as it stands), and with both side by side."""
+    other = F.coalesce(F.nullif(F.col("zh"), F.lit("")), F.col("en"))
+    html = lambda c: render_block(F.col("type"), F.col("id"), c)
+    shaped = dual_rows(blocks).select("paper_id", "ord", F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), h.alias("html")) for m, h in (("en", html(F.col("en"))), ("zh", html(other)), ("dual", F.col("row")))])).alias("m"))
+    whole = shaped.groupBy("paper_id", "m.mode").agg(F.array_sort(F.collect_list(F.struct("ord", "m.html"))).alias("l"))
+    return whole.select("paper_id", "mode", F.array_join(F.transform("l", lambda x: x["html"]), "\n").alias("html"))
+
+
 def dual_rows(blocks: DataFrame) -> DataFrame:
     """Two cells where a translation stands beside a text, one wide cell otherwise."""
     wide = F.col("type").isin(*T.UNTRANSLATED_TYPES) | ~F.coalesce(F.col("zh"), F.lit("")).rlike(r"\S")

@@ -42,6 +42,15 @@ def page_groups(blocks: DataFrame) -> DataFrame:
     return runs.groupBy(KEY, "island").agg(F.first("page").alias("page"), F.min("ord").alias("first"), F.count(F.lit(1)).alias("n"))
 
 
+def wrapped_titles(blocks: DataFrame) -> DataFrame:
+    """blocks with each run of neighbouring first-level headings as one, in the place and under the id of its first: a title that was wrapped."""
+    title = F.coalesce(F.col("type") == "h1", F.lit(False))
+    runs = islands(blocks, ~(title & F.coalesce(F.lag(title).over(by_paper()), F.lit(False))))
+    held = F.array_sort(F.collect_list(F.struct("ord", "id", "type", "en")))
+    first = F.get("b", F.lit(0))
+    return runs.groupBy(KEY, "island").agg(held.alias("b")).select(KEY, first["ord"].alias("ord"), first["id"].alias("id"), first["type"].alias("type"), F.array_join(F.transform("b", lambda x: F.trim(x["en"])), " ").alias("en"), F.size("b").cast("long").alias("parts"))
+
+
 def merge_runs(blocks: DataFrame, alike: Column, signal: Column, least: int = 2) -> DataFrame:
     """Runs of at least `least` consecutive blocks that are alike, with a signal in one of them: the head's place, members, joined text."""
     flagged = blocks.withColumns({"alike": F.coalesce(alike, F.lit(False)), "signal": F.coalesce(signal, F.lit(False))})

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.operators import render as H
+from foliant.operators import sequence as S
 from foliant.operators import sharing as SH
-from foliant.plans.document_queries import _HTML
+from foliant.plans.document_queries import _HTML, _esc
 from foliant.sources import views as V
 
 #: Plans of the stand-in: papers and shares are dealt to as many.
@@ -80,7 +82,18 @@ def notes_placed(s, d):
     return SH.notes_in_order(notes, V.blocks(s, d)).select("note_id", "paper_id", "place")
 
 
-QUERIES = {f.__name__: f for f in (share_requests, share_marks, share_plans, public_blocks, share_documents, owner_notes, notes_placed)}
+def document_modes(s, d):
+    n = F.col("ord")
+    b = V.blocks(s, d).withColumn("zh", F.when(n % 3 == 0, F.concat(F.lit("中"), "en")))
+    return H.document_modes(b).select("paper_id", "mode", F.md5("html").alias("html"))
+
+
+def wrapped_titles(s, d):
+    """Two lines of each five are a title."""
+    return S.wrapped_titles(V.blocks(s, d).withColumn("type", F.when(F.col("ord") % 5 < 2, "h1").otherwise(F.col("type")))).where("type = 'h1'").select("paper_id", "ord", "id", F.md5("en").alias("en"), "parts")
+
+
+QUERIES = {f.__name__: f for f in (share_requests, share_marks, share_plans, public_blocks, share_documents, owner_notes, notes_placed, document_modes, wrapped_titles)}
 
 _PLAN_PAPERS = f"plan_papers AS (SELECT * REPLACE (paper_id % {PLANS} AS plan_id) FROM papers)"
 _JUDGED = f"""requests AS (
@@ -105,4 +118,8 @@ ORACLES = {
       FROM (SELECT DISTINCT token, paper_id FROM verdicts WHERE verdict = 'ok' AND paper_id IS NOT NULL AND token % 7 = 0) v JOIN public p ON p.paper_id = v.paper_id GROUP BY token, v.paper_id""",
     "owner_notes": V.with_(V.PAPERS, V.MARKS, _PLAN_PAPERS) + "SELECT id AS note_id, block_id AS paper_id FROM marks m JOIN plan_papers p ON p.paper_id = m.block_id WHERE p.plan_id % 25 = 7",
     "notes_placed": V.with_(V.BLOCKS, V.MARKS) + "SELECT m.id AS note_id, m.block_id AS paper_id, ord AS place FROM marks m LEFT JOIN blocks b ON b.paper_id = m.block_id AND b.id = CASE WHEN m.id % 11 <> 0 THEN printf('b-%04d', m.id % 12 + 1) END",
+    "document_modes": V.with_(V.BLOCKS, "t AS (SELECT *, CASE WHEN ord % 3 = 0 THEN '中' || en END AS zh FROM blocks)") + f"""SELECT paper_id, 'en' AS mode, md5(string_agg({_HTML}, chr(10) ORDER BY ord)) AS html FROM t GROUP BY paper_id
+      UNION ALL SELECT paper_id, 'zh', md5(string_agg({_HTML}, chr(10) ORDER BY ord)) FROM (SELECT * REPLACE (coalesce(nullif(zh, ''), en) AS en) FROM t) GROUP BY paper_id
+      UNION ALL SELECT paper_id, 'dual', md5(string_agg(CASE WHEN type = 'deco' OR NOT coalesce(regexp_matches(zh, '\\S'), false) THEN '<div class="wide">' || {_esc('en')} || '</div>' ELSE '<div class="en">' || {_esc('en')} || '</div><div class="zh">' || {_esc('zh')} || '</div>' END, chr(10) ORDER BY ord)) FROM t GROUP BY paper_id""",
+    "wrapped_titles": V.with_(V.BLOCKS) + """SELECT paper_id, min(ord) AS ord, arg_min(id, ord) AS id, md5(string_agg(trim(en), ' ' ORDER BY ord)) AS en, count(*) AS parts FROM blocks WHERE ord % 5 < 2 GROUP BY paper_id, ord // 5""",
 }
