@@ -7,12 +7,16 @@ first. A block goes into one table: proposals of a paper are taken in order.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.functions.multisets import bound
 from foliant.operators.validate import grid_shape, grid_text
+from foliant.session import ship, written
 
 #: What is no content of a cell, beside blanks; most rows of a table; words left over that show text left out, and words that don't count among them.
 HYPHENS = "\\-\u00ad\u2010\u2011\u2012\u2013\u2014\u2212"
@@ -30,17 +34,41 @@ def placeable(source: Column, cell: Column) -> Column:
     return bare(source).contains(bare(cell))
 
 
+def left_words(source: str | None, placed: list[str] | None) -> list[str]:
+    """The words of a source that placed texts don't cover; longer texts are taken out first, and a stretch once. Linear in the source for each text."""
+    flat = re.sub(r"(?<=[A-Za-z])-\s+(?=[a-z])", "", re.sub(r"\s+", " ", (source or "").replace("\u00ad", "")))
+    kept = [i for i, c in enumerate(flat) if not _DROPPED.match(c)]
+    tight, taken = "".join(flat[i] for i in kept), bytearray(len(kept))
+    for text in sorted({_DROPPED.sub("", p or "") for p in placed if p} if placed is not None else (), key=lambda p: (-len(p), p)):
+        at = tight.find(text) if len(text) > 1 else -1
+        while at >= 0:
+            if taken.find(1, at, at + len(text)) < 0:
+                taken[at : at + len(text)] = b"\1" * len(text)
+                at = tight.find(text, at + len(text))
+            else:
+                at = tight.find(text, at + 1)
+    signs = list(flat)
+    for i, gone in zip(kept, taken, strict=True):
+        if gone:
+            signs[i] = " "
+    return [w for w in re.findall("[A-Za-z][A-Za-z's-]{3,}", "".join(signs)) if w.lower() not in COMMON]
+
+
+_DROPPED = re.compile(f"[\\s{HYPHENS}]")
+
+
+def _left(sources: pd.Series, placed: pd.Series) -> pd.Series:
+    return pd.Series([left_words(s, None if p is None else list(p)) for s, p in zip(sources, placed, strict=True)])
+
+
 def residue(source: Column, placed: Column) -> Column:
-    """The words of a source that placed texts don't cover; longer texts are taken out first, and a stretch once."""
-    sizes = F.transform(F.filter(F.transform(placed, bare), lambda p: F.length(p) > 1), lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p")))
-    quoted = lambda p: F.array_join(F.transform(F.filter(F.split(p, ""), lambda c: c != ""), lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E"))), f"[\\s{HYPHENS}]*")
-    flat = F.regexp_replace(F.regexp_replace(F.replace(source, F.lit("\u00ad"), F.lit("")), r"\s+", " "), "(?<=[A-Za-z])-\\s+(?=[a-z])", "")
-    rest = F.aggregate(F.array_sort(sizes), flat, lambda a, x: F.regexp_replace(a, quoted(x["p"]), F.lit(" ")))
-    return F.filter(F.regexp_extract_all(rest, F.lit("[A-Za-z][A-Za-z's-]{3,}"), F.lit(0)), lambda w: ~F.lower(w).isin(COMMON))
+    """left_words() over columns, in Arrow batches: a cell may be as long as a block, too long for a pattern."""
+    return F.pandas_udf(_left, "array<string>")(source, placed)
 
 
 def judged(proposals: DataFrame, blocks: DataFrame) -> DataFrame:
     """proposals (paper_id, table_id, ids, rows, caption) with verdict (empty if sound), their blocks in the order given, and detail, the cells or words that speak against them."""
+    ship(proposals.sparkSession)
     each = proposals.select(*KEY, F.posexplode(F.array_distinct("ids")).alias("k", "id"))
     own = blocks.select("paper_id", "id", "ord", "type", "page", "en", F.lit(True).alias("there"))
     held = F.array_sort(F.collect_list(F.struct("k", "id", "ord", "type", "page", "en", "there")))
@@ -71,7 +99,7 @@ def judged(proposals: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def settled(proposals: DataFrame, blocks: DataFrame) -> DataFrame:
     """judged(), where a sound proposal is refused ("taken") if one before it was accepted that holds one of its blocks."""
-    sound = judged(proposals, blocks)
+    sound = written(judged(proposals, blocks), "tables")  # judged once, though read twice
     order = F.array_sort(F.collect_list(F.struct("table_id", F.transform("blocks", lambda b: b["id"]).alias("ids"))))
     zero = F.struct(F.array().cast("array<string>").alias("held"), F.array().cast("array<bigint>").alias("won"))
     step = lambda a, x: F.when(F.arrays_overlap(a["held"], x["ids"]), a).otherwise(F.struct(F.concat(a["held"], x["ids"]).alias("held"), F.concat(a["won"], F.array(x["table_id"])).alias("won")))
