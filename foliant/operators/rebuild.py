@@ -21,73 +21,68 @@ from foliant.session import ship, written
 
 STRETCH = ["paper_id", "stretch"]
 BLOCK = ["id", "type", "page", "band", "en"]
+ROW = [*BLOCK, "ord", "role", "joint", "base"]
+LAST_PAGE = 2**62
 
 
-def stretches(blocks: DataFrame) -> DataFrame:
-    """blocks (paper_id, ord, id, type, page, band, en) with stretch, its first fragment's ord as head, and role: fragment, furniture between fragments, or other."""
+def placed(blocks: DataFrame) -> DataFrame:
+    """blocks (paper_id, ord, id, type, page, band, en) with stretch and role (fragment, furniture between fragments, other), top, the paper's highest number of an id, and for fragments with text the joint before them and their base in the stretch's stream."""
     listed = F.coalesce(F.col("type") == "refs", F.lit(False))
     fragment = listed & F.col("band").isNull()
-    by_paper = Window.partitionBy("paper_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = blocks.withColumn("stretch", F.sum((~listed).cast("int")).over(by_paper))
-    headed = cut.withColumn("head", F.min(F.when(fragment, F.col("ord"))).over(Window.partitionBy(*STRETCH)))
-    role = F.when(fragment, "fragment").when(listed & (F.col("ord") > F.col("head")), "furniture").otherwise("other")
-    return headed.withColumn("role", role)
-
-
-def fragments(cut: DataFrame) -> DataFrame:
-    """The fragments that hold text, with text, base (where they begin in their stretch's stream) and joint, the blank before them or nothing."""
-    own = cut.where("role = 'fragment' and en <> ''")
-    order = Window.partitionBy(*STRETCH).orderBy("ord")
-    before = F.lag(F.substring("en", -1, 1)).over(order)
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    number = F.when(F.col("id").rlike("^b-[0-9]+$"), F.substring("id", 3, 18).cast("long"))
+    cut = blocks.withColumns({"stretch": F.sum((~listed).cast("int")).over(Window.partitionBy("paper_id").orderBy("ord").rowsBetween(*so_far)), "top": F.coalesce(F.max(number).over(Window.partitionBy("paper_id")), F.lit(0))})
+    within = Window.partitionBy(*STRETCH).orderBy("ord")
+    begun = F.coalesce(F.max(fragment).over(within.rowsBetween(*so_far)), F.lit(False))
+    held = fragment & (F.col("en") != "")
+    before = F.last(F.when(held, F.substring("en", -1, 1)), ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, -1))
     bare = before.isNull() | before.rlike(r"\s") | F.col("en").rlike(r"^\s") | ((before == "-") & F.col("en").rlike(r"^\p{L}"))
-    joined = own.withColumn("joint", F.when(bare, "").otherwise(" "))
-    upto = F.sum(F.length("joint") + F.length("en")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return joined.withColumn("base", (upto - F.length("en")).cast("int"))
+    roles = cut.withColumns({"role": F.when(fragment, "fragment").when(listed & begun, "furniture").otherwise("other"), "joint": F.when(held, F.when(bare, "").otherwise(" "))})
+    upto = F.sum(F.length("joint") + F.length("en")).over(within.rowsBetween(*so_far))
+    return roles.withColumn("base", F.when(F.col("joint").isNotNull(), upto - F.length("en")).cast("int"))
 
 
 def _starts(streams: pd.Series) -> pd.Series:
     return pd.Series([entry_starts(x) for x in streams])
 
 
-def streams(parts: DataFrame) -> DataFrame:
-    """(paper_id, stretch, head, stream, bases, pages, ids, starts) of the stretches that are cut into entries, each of which is short enough."""
-    ship(parts.sparkSession)
-    held = F.array_sort(F.collect_list(F.struct("base", "joint", "en", "page", "id")))
-    whole = parts.groupBy(*STRETCH, "head").agg(held.alias("parts"))
-    pick = lambda name: F.transform("parts", lambda x: x[name])
-    stream = F.array_join(F.transform("parts", lambda x: F.concat(x["joint"], x["en"])), "")
-    named = whole.select(*STRETCH, "head", stream.alias("stream"), pick("base").alias("bases"), pick("page").alias("pages"), pick("id").alias("ids"))
-    found = named.withColumn("starts", F.pandas_udf(_starts, "array<int>")("stream"))
-    return found.where(F.size("starts") > 1).where(~F.exists(_cuts(), lambda x: F.length(_entry(x)) > LONGEST))
+def stretches(blocks: DataFrame) -> DataFrame:
+    """(paper_id, stretch, rows, parts, stream, starts, head, first): a row for each stretch with its blocks in order and its stream.
+
+    starts is null where the stream has no sound entries; head is the place of the first fragment, and first the number of
+    the paper's next new id. Rows are dealt by paper twice: before the streams are formed, and again after Python has read
+    them, since that forgets how rows are dealt; all else keeps to that partitioning.
+    """
+    ship(blocks.sparkSession)
+    rows = F.array_sort(F.collect_list(F.struct("ord", *[c for c in ROW if c != "ord"])))
+    whole = _streamed(placed(blocks.repartition("paper_id")).groupBy(*STRETCH, "top").agg(rows.alias("rows")))
+    found = whole.withColumn("starts", F.pandas_udf(_starts, "array<int>")("stream"))
+    sound = (F.size("starts") > 1) & ~F.exists(_cuts(), lambda x: F.length(squeezed(_raw(x))) > LONGEST)
+    head = F.array_min(F.transform(F.filter("rows", lambda x: x["role"] == "fragment"), lambda x: x["ord"]))
+    kept = found.select(*STRETCH, "top", "rows", F.when(sound, F.col("starts")).alias("starts"), head.alias("head"))  # the text moves once, in rows
+    earlier = F.coalesce(F.sum(F.when(F.col("starts").isNotNull(), F.size("starts"))).over(Window.partitionBy("paper_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return _streamed(kept.withColumn("first", F.col("top") + earlier + 1).drop("top"))
+
+
+def _streamed(whole: DataFrame) -> DataFrame:
+    """whole with parts, the fragments with text, and stream, their text joined."""
+    named = whole.withColumn("parts", F.filter("rows", lambda x: x["base"].isNotNull()))
+    return named.withColumn("stream", F.array_join(F.transform("parts", lambda x: F.concat(x["joint"], x["en"])), ""))
 
 
 def _cuts() -> Column:
-    """The places [from, to) of the entries."""
+    """The places [from, to) of the entries, that of what stands before them first."""
     ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.length("stream")))
-    return F.zip_with("starts", ends, lambda a, b: F.struct(a.alias("from"), b.alias("to")))
-
+    lead = F.array(F.struct(F.lit(0).alias("from"), F.get("starts", F.lit(0)).alias("to")))
+    return F.concat(lead, F.zip_with("starts", ends, lambda a, b: F.struct(a.alias("from"), b.alias("to"))))
 
-def _entry(cut: Column) -> Column:
-    return squeezed(F.substring(F.col("stream"), cut["from"] + 1, cut["to"] - cut["from"]))
 
+def _raw(cut: Column) -> Column:
+    return F.substring(F.col("stream"), cut["from"] + 1, cut["to"] - cut["from"])
 
-def entries(lists: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(paper_id, stretch, head, n, id, type, page, en, from, to, raw) of the new blocks: entries from 1 under ids that go on from the paper's highest, with the page of the fragment they begin in.
 
-    What stands before the first entry stays a block of its own, number 0, under its fragment's id.
-    """
-    lead = F.array(F.struct(F.lit(0).alias("from"), F.get("starts", F.lit(0)).alias("to")))
-    each = lists.select("*", F.posexplode(F.concat(lead, _cuts())).alias("n", "cut"))
-    held = F.size(F.filter("bases", lambda b: b <= F.col("cut.from")))
-    raw = F.substring(F.col("stream"), F.col("cut.from") + 1, F.col("cut.to") - F.col("cut.from"))
-    cut = each.select(*STRETCH, "head", "n", F.get("ids", F.lit(0)).alias("first"), F.get("pages", F.greatest(held - 1, F.lit(0))).alias("page"), "cut.from", "cut.to", raw.alias("raw"))
-    cut = cut.withColumn("en", squeezed(F.col("raw"))).where("en <> ''")
-    number = F.when(F.col("id").rlike("^b-[0-9]+$"), F.substring("id", 3, 18).cast("long"))
-    highest = blocks.groupBy("paper_id").agg(F.coalesce(F.max(number), F.lit(0)).alias("top"))
-    nth = F.sum((F.col("n") > 0).cast("int")).over(Window.partitionBy("paper_id").orderBy("stretch", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    made = cut.withColumn("nth", nth).join(highest, "paper_id")
-    named = F.when(F.col("n") == 0, F.col("first")).otherwise(T.block_id(F.col("top") + F.col("nth")))
-    return made.select(*STRETCH, "head", "n", named.alias("id"), F.when(F.col("n") == 0, "refs").otherwise("ref").alias("type"), "page", "en", "from", "to", "raw")
+def _new_id(n: Column) -> Column:
+    return F.when(n == 0, F.get("parts", F.lit(0))["id"]).otherwise(T.block_id(F.col("first") + n - 1))
 
 
 def zh_range(en: Column, zh: Column, title: Column, title_zh: Column, start: Column, end: Column) -> tuple[Column, Column]:
@@ -102,31 +97,60 @@ def zh_range(en: Column, zh: Column, title: Column, title_zh: Column, start: Col
 
 
 class Rebuild:
-    """The rebuilding of all reference lists of blocks; a stretch without sound entries stays as it was, and a second rebuilding changes nothing."""
+    """The rebuilding of all reference lists of blocks. A second rebuilding changes nothing."""
 
     def __init__(self, blocks: DataFrame) -> None:
-        self.blocks = blocks
-        self.cut = stretches(blocks)
-        self.lists = written(streams(fragments(self.cut)), "streams")
-        self.entries = written(entries(self.lists, blocks), "entries")
+        self.whole = stretches(blocks)
+        self._lists: DataFrame | None = None
+
+    @property
+    def lists(self) -> DataFrame:
+        """The stretches that were cut into entries, written once: what anchors move through."""
+        if self._lists is None:
+            parts = F.transform("parts", lambda x: F.struct(x["id"].alias("id"), x["base"].alias("base"), F.length(x["en"]).alias("size")))
+            self._lists = written(self.whole.where("starts is not null").select(*STRETCH, parts.alias("parts"), "stream", "starts", "first"), "streams")
+        return self._lists
 
     def after(self) -> DataFrame:
-        """(paper_id, place, id, type, page, band, en): the blocks, numbered by paper. Furniture goes by its page: a header before the page's first entry, anything else behind its last."""
-        sound = self.lists.select(*STRETCH, F.lit(True).alias("sound"))
-        old = self.cut.join(sound, STRETCH, "left").where("sound is null or role <> 'fragment'")
-        among = F.coalesce(F.col("sound") & (F.col("role") == "furniture"), F.lit(False))
-        place = lambda c, otherwise: F.when(among, c).otherwise(otherwise).cast("long")
-        side = F.when(F.col("band") == "head", 0).otherwise(2)
-        kept = old.select("paper_id", *BLOCK, place(F.col("head"), F.col("ord")).alias("_at"), place(F.coalesce("page", F.lit(2**62)), F.lit(0)).alias("_page"), place(side, F.lit(0)).alias("_side"), F.col("ord").cast("long").alias("_sub"))
-        upto = Window.partitionBy(*STRETCH).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        new = self.entries.select("paper_id", "id", "type", "page", F.lit(None).cast("string").alias("band"), "en", F.col("head").cast("long").alias("_at"), F.coalesce(F.max("page").over(upto), F.lit(0)).cast("long").alias("_page"), F.lit(1).cast("long").alias("_side"), F.col("n").cast("long").alias("_sub"))
-        order = Window.partitionBy("paper_id").orderBy("_at", "_page", "_side", "_sub")
-        return kept.unionByName(new).withColumn("place", F.row_number().over(order)).select("paper_id", "place", *BLOCK)
+        """(paper_id, place, id, type, page, band, en): the blocks, numbered by paper.
+
+        Entries have new ids that go on from the paper's highest, and the page of the fragment they begin in; what stands
+        before the first stays a block under its fragment's id. Furniture goes by its page: a header before the page's
+        first entry, anything else behind its last. Stretches without sound entries stay as they were.
+        """
+        sound = F.col("starts").isNotNull()
+
+        def old(x: Column) -> Column:
+            among = sound & (x["role"] == "furniture")
+            place = lambda c, otherwise: F.when(among, c).otherwise(otherwise).cast("long")
+            side = F.when(x["band"] == "head", 0).otherwise(2)
+            return F.struct(place(F.col("head"), x["ord"]).alias("at"), place(F.coalesce(x["page"], F.lit(LAST_PAGE)), F.lit(0)).alias("by"), place(side, F.lit(0)).alias("side"), x["ord"].cast("long").alias("sub"), *[x[c].alias(c) for c in BLOCK])
+
+        def new(cut: Column, n: Column) -> Column:
+            held = F.size(F.filter("parts", lambda p: p["base"] <= cut["from"]))
+            page = F.get("parts", F.greatest(held - 1, F.lit(0)))["page"]
+            kind = F.when(n == 0, "refs").otherwise("ref")
+            return F.struct(F.col("head").cast("long").alias("at"), F.lit(None).cast("long").alias("by"), F.lit(1).cast("long").alias("side"), n.cast("long").alias("sub"), _new_id(n).alias("id"), kind.alias("type"), page.alias("page"), F.lit(None).cast("string").alias("band"), squeezed(_raw(cut)).alias("en"))
+
+        kept = F.transform(F.filter("rows", lambda x: ~(sound & (x["role"] == "fragment"))), old)
+        made = F.when(sound, F.filter(F.transform(_cuts(), new), lambda x: x["en"] != "")).otherwise(F.filter(kept, lambda x: F.lit(False)))
+        each = self.whole.select(*STRETCH, F.inline(F.concat(kept, made)))
+        # an entry's page is never before that of the one ahead of it
+        reached = F.max(F.when(F.col("side") == 1, F.col("page"))).over(Window.partitionBy(*STRETCH).orderBy("side", "sub").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        by = F.when(F.col("by").isNull(), F.coalesce(reached, F.lit(0)).cast("long")).otherwise(F.col("by"))
+        order = Window.partitionBy("paper_id").orderBy("at", "_by", "side", "sub")
+        return each.withColumn("_by", by).withColumn("place", F.row_number().over(order)).select("paper_id", "place", *BLOCK)
+
+    def entries(self) -> DataFrame:
+        """(paper_id, stretch, n, new_id, from, to, raw): the new blocks and their stretch of the stream."""
+        each = self.lists.select("*", F.posexplode(_cuts()).alias("n", "cut"))
+        return each.select(*STRETCH, "n", _new_id(F.col("n")).alias("new_id"), "cut.from", "cut.to", _raw(F.col("cut")).alias("raw")).where(F.col("raw").rlike(r"\S"))
 
     def moves(self) -> DataFrame:
-        """(paper_id, block_id, stretch, base, size, starts) of each fragment that became part of entries."""
-        parts = fragments(self.cut).select(*STRETCH, F.col("id").alias("block_id"), "base", F.length("en").alias("size"))
-        return parts.join(self.lists.select(*STRETCH, "starts"), STRETCH)
+        """(paper_id, block_id, stretch, base, size, starts, led) of each fragment that became part of entries; led: something stands before the first."""
+        led = F.substring(F.col("stream"), F.lit(1), F.get("starts", F.lit(0))).rlike(r"\S")
+        each = self.lists.select(*STRETCH, "starts", led.alias("led"), F.explode("parts").alias("p"))
+        return each.select(*STRETCH, F.col("p.id").alias("block_id"), "p.base", "p.size", "starts", "led")
 
     def anchors(self, anchors: DataFrame, titles: DataFrame | None = None) -> DataFrame:
         """(paper_id, id, block_id, lang, start, end, moved) of anchors afterwards: those of merged fragments on their entries, all others as they were.
@@ -136,12 +160,10 @@ class Rebuild:
         """
         own = anchors.join(self.moves(), ["paper_id", "block_id"], "left")
         point = F.col("base") + F.least(F.coalesce("start", F.lit(0)), F.col("size") - 1)
-        # a blank lead is no block: its places go to the first entry
-        led = self.entries.where("n = 0").select(*STRETCH, F.lit(True).alias("led"))
         nth = F.size(F.filter("starts", lambda s: s <= point))
-        placed = own.join(led, STRETCH, "left").withColumn("n", F.when((nth == 0) & F.col("led").isNull(), 1).otherwise(nth))
-        target = self.entries.select(*STRETCH, "n", F.col("id").alias("new_id"), "from", "to", "en", squeeze_map(F.col("raw")).alias("pieces"))
-        both = placed.join(target, [*STRETCH, "n"], "left")
+        placed_ = own.withColumn("n", F.when((nth == 0) & ~F.col("led"), 1).otherwise(nth))  # a blank lead is no block
+        target = self.entries().withColumns({"en": squeezed(F.col("raw")), "pieces": squeeze_map(F.col("raw"))}).drop("raw")
+        both = placed_.join(target, [*STRETCH, "n"], "left")
         start = F.least(F.greatest(F.col("base") + F.col("start"), F.col("from")), F.col("to") - 1)
         end = F.least(F.greatest(F.col("base") + F.col("end"), start + 1), F.col("to"))
         low, high = moved_range(F.col("pieces"), start - F.col("from"), end - F.col("from"))
@@ -157,17 +179,15 @@ class Rebuild:
 
     def report(self, anchors: DataFrame) -> DataFrame:
         """(paper_id, changed, refs, entries, refs_left, anchors_moved) of each paper."""
-        kinds = self.blocks.groupBy("paper_id").agg(F.count_if(F.col("type") == "refs").alias("refs"), F.count_if(F.col("type") == "ref").alias("old"))
-        new = self.entries.groupBy("paper_id").agg(F.count_if(F.col("n") > 0).alias("new"), F.count_if(F.col("n") == 0).alias("leads"))
-        merged = self.moves().groupBy("paper_id").agg(F.count(F.lit(1)).alias("merged"))
-        blank = self.cut.where("role = 'fragment' and coalesce(en, '') = ''").join(self.lists.select(*STRETCH), STRETCH, "left_semi").groupBy("paper_id").agg(F.count(F.lit(1)).alias("blank"))
+        count = lambda kind: F.size(F.filter("rows", lambda x: kind(x)))
+        sound = F.col("starts").isNotNull()
+        led = F.when(sound & F.substring(F.col("stream"), F.lit(1), F.get("starts", F.lit(0))).rlike(r"\S"), 1).otherwise(0)
+        refs = count(lambda x: x["type"] == "refs")
+        left = F.when(sound, count(lambda x: (x["type"] == "refs") & (x["role"] != "fragment")) + led).otherwise(refs)
+        sums = self.whole.select("paper_id", refs.alias("refs"), (count(lambda x: x["type"] == "ref") + F.when(sound, F.size("starts")).otherwise(0)).alias("entries"), left.alias("refs_left"), sound.alias("changed"))
+        papers = sums.groupBy("paper_id").agg(F.bool_or("changed").alias("changed"), *[F.sum(c).alias(c) for c in ("refs", "entries", "refs_left")])
         moved = self.anchors(anchors).groupBy("paper_id").agg(F.count_if("moved").alias("anchors_moved"))
-        every = kinds
-        for df in (new, merged, blank, moved):
-            every = every.join(df, "paper_id", "left")
-        n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-        left = F.col("refs") - n("merged") - n("blank") + n("leads")
-        return every.select("paper_id", (n("new") > 0).alias("changed"), "refs", (F.col("old") + n("new")).alias("entries"), left.alias("refs_left"), n("anchors_moved").alias("anchors_moved"))
+        return papers.join(moved, "paper_id", "left").select("paper_id", "changed", "refs", "entries", "refs_left", F.coalesce("anchors_moved", F.lit(0)).cast("long").alias("anchors_moved"))
 
 
 # notes

@@ -23,21 +23,23 @@ def lists(s, d):
     rows = lines.select("paper_id", "en", (F.row_number().over(order) - 1).cast("long").alias("k"), F.lag("en").over(order).alias("prev"), F.lead("en").over(order).isNull().alias("last"))
     left = lambda c: F.substring(c, F.lit(1), F.floor(F.length(c) / 2).cast("int"))
     right = lambda c: F.substring(c, F.floor(F.length(c) / 2).cast("int") + 1, F.length(c))
-    page = F.floor(F.col("k") / 10) + 1
-    none = F.lit(None).cast("string")
-
-    def block(df, ord_, kind, at, band, en):
-        return df.select("paper_id", ord_.alias("ord"), T.block_id(ord_ + 1).alias("id"), F.lit(kind).alias("type"), at.alias("page"), band.alias("band"), en.alias("en"))
-
-    k10 = F.col("k") * 10
-    number = F.concat(F.lit("["), (F.col("k") + 1).cast("string"), F.lit("] "))
-    out = block(rows.where("k = 0"), k10, "h2", page, none, F.lit("References"))
-    out = out.unionByName(block(rows, k10 + 10, "refs", page, none, F.concat(F.coalesce(F.concat(right(F.col("prev")), F.lit(" ")), F.lit("")), number, left(F.col("en")))))
-    out = out.unionByName(block(rows.where("last").withColumn("k", F.col("k") + 1), k10 + 10, "refs", page, none, right(F.col("en"))))
-    tens = rows.where("k % 10 = 9")
-    out = out.unionByName(block(tens, k10 + 15, "refs", page, F.lit("foot"), F.concat(F.lit("page "), page.cast("string"))))
-    out = out.unionByName(block(tens, k10 + 16, "refs", page + 1, F.lit("head"), F.lit("A running head")))
-    return out.unionByName(block(rows.where("k % 40 = 39"), k10 + 17, "figure", page + 1, none, F.lit("")))
+    k, k10, page = F.col("k"), F.col("k") * 10, F.floor(F.col("k") / 10) + 1
+    number = F.concat(F.lit("["), (k + 1).cast("string"), F.lit("] "))
+    opening = F.concat(F.coalesce(F.concat(right(F.col("prev")), F.lit(" ")), F.lit("")), number, left(F.col("en")))
+
+    def block(when, ord_, kind, at, band, en):
+        made = F.struct(ord_.alias("ord"), T.block_id(ord_ + 1).alias("id"), F.lit(kind).alias("type"), at.cast("long").alias("page"), F.lit(band).cast("string").alias("band"), en.alias("en"))
+        return F.when(when, made)
+
+    each = F.array(
+        block(k == 0, k10, "h2", page, None, F.lit("References")),
+        block(F.lit(True), k10 + 10, "refs", page, None, opening),
+        block(F.col("last"), k10 + 20, "refs", F.floor((k + 1) / 10) + 1, None, right(F.col("en"))),
+        block(k % 10 == 9, k10 + 15, "refs", page, "foot", F.concat(F.lit("page "), page.cast("string"))),
+        block(k % 10 == 9, k10 + 16, "refs", page + 1, "head", F.lit("A running head")),
+        block(k % 40 == 39, k10 + 17, "figure", page + 1, None, F.lit("")),
+    )
+    return rows.select("paper_id", F.inline(F.filter(each, lambda x: x.isNotNull())))
 
 
 def list_anchors(s, d):

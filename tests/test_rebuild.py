@@ -117,3 +117,10 @@ def test_notes_by_fate(spark):
     anchors = spark.createDataFrame([(1, 1, "b-1", "en", 3, 7), (1, 2, "b-1", "en", 1, 3), (1, 3, "b-1", "zh", 0, 1), (1, 4, "b-5", "zh", 0, 1), (1, 5, "b-2", "en", 0, 2), (1, 6, "b-1", "en", None, None)], ANCHOR)
     moved = {r.id: (r.fate, r.start, r.end) for r in RB.note_anchors(anchors, after).collect()}
     assert moved == {1: ("moved", 2, 6), 2: ("removed", None, None), 3: ("removed", None, None), 4: ("kept", 0, 1), 5: ("kept", 0, 2), 6: ("kept", None, None)}
+
+
+def test_two_exchanges_by_paper(spark):
+    """Before the streams are formed, and after Python has read them; fragments, entries, ids, furniture and numbering keep to that."""
+    plan = RB.Rebuild(blocks(spark, [("refs", 1, None, "[1] Adams, A. One.")])).after()._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning(paper_id") == 2
+    assert plan.split("Initial Plan")[-1].count("Exchange ") == 2
