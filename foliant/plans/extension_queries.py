@@ -66,12 +66,22 @@ def asof_last_event(s, d):
 
 
 def range_join(s, d):
-    """Items whose price lies in a band of parts' prices: both sides meet in buckets of the price, then by the range."""
+    """How many items' prices lie in the band of each part's price: those below its high end less those below its low end.
+
+    Items are counted by price first, and ends by the part's price, so copies fold; in each cell of prices that a band
+    reaches, the items below an end are a running sum in order of price. No item meets a part.
+    """
     p, l = _t(s, d, "part", "lineitem")
-    bands = p.select("p_partkey", (F.col("p_retailprice") * 10).alias("low"), (F.col("p_retailprice") * 10 + 200).alias("high"))
-    cells = bands.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / 1000), F.floor(F.col("high") / 1000))))
-    items = l.withColumn("cell", F.floor(F.col("l_extendedprice") / 1000))
-    return cells.join(items, "cell").where("l_extendedprice >= low and l_extendedprice < high").groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n"))
+    cell, finite = lambda c: F.floor(c / 200), lambda c: F.abs(c) < float("inf")
+    prices = l.where(finite(F.col("l_extendedprice"))).groupBy(F.col("l_extendedprice").alias("v")).agg(F.count(F.lit(1)).alias("items"))
+    low = F.col("price") * 10
+    bands = p.select(F.col("p_retailprice").alias("price")).where(finite(low)).distinct().withColumn("cell", F.explode(F.sequence(cell(low), cell(low + 200))))
+    ends = bands.select("price", "cell", F.inline(F.array(F.struct(low.alias("v"), F.lit(-1).alias("sign")), F.struct((low + 200).alias("v"), F.lit(1).alias("sign")))))
+    both = ends.withColumn("items", F.lit(0).cast("long")).unionByName(prices.withColumn("cell", cell(F.col("v"))), allowMissingColumns=True)
+    w = Window.partitionBy("cell").orderBy("v", F.col("sign").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    below = both.withColumn("below", F.sum("items").over(w)).where("sign is not null")
+    counts = below.groupBy(F.col("price").alias("p_retailprice")).agg(F.sum(F.col("sign") * F.col("below")).alias("n")).where("n > 0")
+    return p.join(counts, "p_retailprice").groupBy("p_partkey").agg(F.sum("n").alias("n"))
 
 
 def reference_entries(s, d):
