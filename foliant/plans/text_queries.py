@@ -25,7 +25,9 @@ YEARS = "CASE doc_id % 4 WHEN 0 THEN CAST(1890 + doc_id % 300 AS VARCHAR(9)) WHE
 
 
 def _docs(spark, sf, expr=DECORATED, name="t"):
-    return table(spark, sf, "documents").select("doc_id", F.expr(expr).alias(name))
+    """A null has no part in what is put together."""
+    docs = table(spark, sf, "documents")
+    return docs.withColumns({c: F.coalesce(c, F.lit("")) for c in ("text", "lang", "source")}).select("doc_id", F.expr(expr).alias(name))
 
 
 def _per_doc(f, name, expr=DECORATED):
