@@ -76,10 +76,14 @@ def stitched_rules(segments: DataFrame, dy: float = 1.2, gap: float = 4.0, least
     return out.where(F.col("x1") - F.col("x0") >= width * least).drop("run")
 
 
-def heading_level(text: Column, size: Column, oblique: Column, body: Column) -> Column:
-    """1 by size; 2 by a roman numeral; 3 by an oblique letter; 4 by a dotted number; 2 by a somewhat larger size."""
-    named = F.lower(text).rlike(r"^(abstract|introduction|references|conclusions?|acknowledge?ments?|appendix|methods?|results|discussion)\b")
-    return F.when(F.length(text) > 160, None).when(size >= body * 1.8, 1).when(text.rlike(r"^[IVX]{1,6}\.\s+\S") & ~oblique, 2).when(text.rlike(r"^[A-Z]\.\s+\S") & oblique, 3).when(text.rlike(r"^[0-9]+(?:\.[0-9]+){1,3}\.?\s+\S"), 4).when(named & (F.length(text) < 60), 2).when((size >= body + 1) & (F.length(text) < 90), 2)
+def heading_level(text: Column, size: Column, oblique: Column, body: Column, number: Column | None = None) -> Column:
+    """1 by size; 2 by a roman numeral; 3 by an oblique letter; 4 by a dotted number; 2 by a name or a somewhat larger size.
+
+    number: what is looked at for a number, if that is known apart from the text (null: the heading has none).
+    """
+    number = text if number is None else number
+    named = F.lower(text).rlike(r"^(abstract|introduction|references|conclusions?|acknowledge?ments?|appendix|methods?|results|discussion)(?![0-9A-Za-z_])")
+    return F.when(F.length(text) > 160, None).when(size >= body * 1.8, 1).when(number.rlike(r"^[IVX]{1,6}\.\s+\S") & ~oblique, 2).when(number.rlike(r"^[A-Z]\.\s+\S") & oblique, 3).when(number.rlike(r"^[0-9]+(?:\.[0-9]+){1,3}\.?\s+\S"), 4).when(named & (F.length(text) < 60), 2).when((size >= body + 1) & (F.length(text) < 90), 2)
 
 
 def hex_color(rgb: Column) -> Column:
