@@ -33,7 +33,7 @@ CAPACITY, END_ID = 4096, 1
 #: Pieces of a shard in the mean; a shard is packed in the memory of one task.
 SHARD = 25_000
 #: Parts of chunks whose ids are kept in a worker's memory; the longest that is kept; code points that are numbered at once.
-CACHE, KEPT_CHARS, SLICE = 600_000, 64, 12_000_000
+CACHE, KEPT_CHARS, SLICE = 150_000, 64, 12_000_000
 #: Letters that have one lower case each, and the signs of ASCII but the apostrophe, which may part words.
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
