@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.functions.multisets import bound
 
 
 def overlay(marks: DataFrame, keys: list[str], start: str = "start", end: str = "end", order: tuple[str, ...] = ("ts", "id"), payload: str = "color", width: int = 64) -> DataFrame:
@@ -65,15 +66,20 @@ def exact_range(marks: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFra
 
 def common_prefix(a: Column, b: Column) -> Column:
     """Length of the common prefix, by bisection: 31 comparisons of substrings whatever the length."""
-    most = F.least(F.length(a), F.length(b))
-    zero = F.struct(F.lit(0).alias("low"), most.alias("high"))
 
-    def halve(s: Column, _: Column) -> Column:
-        middle = ((s["low"] + s["high"] + 1) / 2).cast("int")
-        same = F.substring(a, 1, middle) == F.substring(b, 1, middle)
-        return F.when(s["low"] >= s["high"], s).otherwise(F.struct(F.when(same, middle).otherwise(s["low"]).alias("low"), F.when(same, s["high"]).otherwise(middle - 1).alias("high")))
+    def measured(x: Column, y: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("low"), F.least(F.length(x), F.length(y)).alias("high"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(31)), zero, halve, lambda s: s["low"])
+        def halve(s: Column, _: Column) -> Column:
+            def cut(middle: Column) -> Column:
+                same = F.substring(x, s["low"] + 1, middle - s["low"]) == F.substring(y, s["low"] + 1, middle - s["low"])
+                return F.when(same, F.struct(middle.alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), (middle - 1).alias("high")))
+
+            return F.when(s["low"] >= s["high"], s).otherwise(bound(((s["low"] + s["high"] + 1) / 2).cast("int"), cut))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(31)), zero, halve, lambda s: s["low"])
+
+    return bound(a, lambda x: bound(b, lambda y: measured(x, y)))
 
 
 def common_suffix(a: Column, b: Column) -> Column:
@@ -93,7 +99,10 @@ def remap(old: Column, new: Column, start: Column, end: Column, shared: tuple[Co
     pure insertion, a start at the seam moves with the text after it and an end there doesn't. Where the text changed, a
     range that reaches beyond it is held to the new text.
     """
-    p, q = shared or seams(old, new)
+    if shared is None:  # the texts and what they share are computed once, not wherever the rules below name them
+        both = lambda o, n: bound(F.struct(*[c.alias(k) for c, k in zip(seams(o, n), "pq", strict=True)]), lambda x: remap(o, n, start, end, (x["p"], x["q"])))
+        return bound(old, lambda o: bound(new, lambda n: both(o, n)))
+    p, q = shared
     a, b = F.length(old) - q, F.length(new) - q  # the replaced part is [p, a), and [p, b) in the new text
     shift = F.length(new) - F.length(old)
     s = F.when(start < p, start).when(start >= a, start + shift).otherwise(b)
