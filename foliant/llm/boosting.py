@@ -1,12 +1,18 @@
 """Gradient-boosted trees, lasso logistic regression and isotonic calibration, fitted on the driver from a bounded sample.
 
+Trees are also fitted on a whole table: boost_table() has Spark sum the histograms of every row, and only sums reach the
+driver.
+
 A tree is (feature, threshold, left, right): rows with x[feature] <= threshold go left; a leaf is a float.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Tree = tuple | float
@@ -88,6 +94,142 @@ def tree_column(tree: Tree, features: list[Column]) -> Column:
     return F.when(features[f] <= F.lit(at), tree_column(left, features)).otherwise(tree_column(right, features))
 
 
+#: Gradients are summed as integers of this part, so that sums don't hang on their order; leaves are multiples of GRAIN, so that margins are exact.
+PART, GRAIN = 1 << 20, 1 / 1024
+#: A binned tree: ({node: (feature, bin)}, {leaf: value}); the root is 1, the children of n are 2n (bin or lower) and 2n + 1.
+Binned = tuple[dict[int, tuple[int, int]], dict[int, float]]
+
+
+def table_edges(rows: DataFrame, names: list[str], most: int) -> list[np.ndarray]:
+    """For each numeric column, ends of at most `most` bins of about as many rows each, midway between values; every row counts."""
+    each = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("f"), F.col(n).cast("double").alias("v")) for k, n in enumerate(names)])).alias("x")).select("x.*")
+    place, whole = Window.partitionBy("f").orderBy("v"), Window.partitionBy("f")
+    sums = each.groupBy("f", "v").agg(F.count(F.lit(1)).alias("n")).withColumns({"cum": F.sum("n").over(place), "all": F.sum("n").over(whole), "values": F.count(F.lit(1)).over(whole)})
+    bin_ = F.when(F.col("values") <= most, F.col("cum")).otherwise(F.floor((F.col("cum") - 1) * most / F.col("all")))
+    ends = sums.withColumn("bin", bin_).select("f", "v", "bin", F.lead("v").over(place).alias("v2"), F.lead("bin").over(place).alias("bin2")).where("bin <> bin2")
+    out: list[list[float]] = [[] for _ in names]
+    for r in ends.collect():
+        out[r.f].append((r.v + r.v2) / 2)
+    return [np.array(sorted(e)) for e in out]
+
+
+def _nodes(splits: dict[int, tuple[int, int]], bins: np.ndarray) -> np.ndarray:
+    """The node of a binned tree that each row ends in."""
+    at = np.ones(len(bins), np.int64)
+    for node in sorted(splits):
+        f, k = splits[node]
+        own = at == node
+        at[own] = 2 * node + (bins[own, f] > k)
+    return at
+
+
+def binned_margin(model: tuple[float, list[Binned]], bins: np.ndarray) -> np.ndarray:
+    z = np.full(len(bins), model[0])
+    for splits, leaves in model[1]:
+        value = np.zeros(max(leaves) + 1)
+        value[list(leaves)] = list(leaves.values())
+        z += value[_nodes(splits, bins)]
+    return z
+
+
+def cell_arrays(batch: pa.RecordBatch, features: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The bins, a row for each cell, and the other columns by name."""
+    own = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names if n != "bins"}
+    return np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, features), own
+
+
+def _histograms(models: list, growing: list[dict], nodes: list[list[int]], features: int, slots: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(models), slots, features, 256, 3), np.int64)
+        for batch in batches:
+            bins, own = cell_arrays(batch, features)
+            for m, model in enumerate(models):
+                if not nodes[m]:
+                    continue
+                q = sigmoid(binned_margin(model, bins))
+                g, h = np.rint(own["n"] * (q - own["label"]) * PART), np.rint(own["n"] * q * (1 - q) * PART)
+                at = np.where(own["fold"] == m, 0, _nodes(growing[m], bins))
+                for j, node in enumerate(nodes[m]):
+                    rows = np.flatnonzero(at == node)
+                    for f in range(features):
+                        for k, w in enumerate((g, h, own["forms"])):
+                            total[m, j, f, :, k] += np.bincount(bins[rows, f], w[rows], 256).astype(np.int64)
+        flat = total.reshape(-1, 3)
+        some = np.flatnonzero(flat.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(flat[some, k]) for k in range(3))], names=["at", "g", "h", "n"])
+
+    return run
+
+
+def boost_table(cells: DataFrame, edges: list[np.ndarray], folds: int, trees: int, depth: int, rate: float, least: int = 10, ridge: float = 1.0) -> list[tuple[float, list[Binned]] | None]:
+    """Logistic models over the bins of every row: one without each fold, then one of all; None where a model's rows have one label.
+
+    cells: (fold, label, n, forms, bins), n the weight of `forms` equal rows, bins a byte for each feature. All models
+    grow together, a level at a time; a level's histograms are summed by Spark, and at most one row for each model, node,
+    feature and bin comes to the driver.
+    """
+    features, models = len(edges), []
+    counts = cells.groupBy("fold", "label").agg(F.sum("n").alias("n")).collect()
+    for m in range(folds + 1):
+        n = [sum(r.n for r in counts if r.fold != m and r.label == k) for k in (0, 1)]
+        p = float(np.clip(n[1] / max(1, sum(n)), 1e-3, 1 - 1e-3))
+        models.append((round(float(np.log(p / (1 - p))) / GRAIN) * GRAIN, []) if min(n) else (0.0, None))
+    kept = [m for m, model in enumerate(models) if model[1] is not None]
+    for _ in range(trees):
+        growing, leaves = [{} for _ in models], [{} for _ in models]
+        nodes = [[1] if m in kept else [] for m in range(len(models))]
+        for _level in range(depth):
+            if not any(nodes):
+                break
+            slots = max(map(len, nodes))
+            held = [(b, list(t or [])) for b, t in models]
+            sums = cells.mapInArrow(_histograms(held, growing, nodes, features, slots), "at long, g long, h long, n long").groupBy("at").agg(*[F.sum(c).alias(c) for c in "ghn"]).toArrow()
+            total = np.zeros((len(models) * slots * features * 256, 3))
+            total[sums.column("at").to_numpy()] = np.stack([sums.column(c).to_numpy() for c in "ghn"], axis=1)
+            total = total.reshape(len(models), -1, features, 256, 3)
+            total[..., :2] /= PART
+            for m in kept:
+                after = []
+                for j, node in enumerate(nodes[m]):
+                    after += _split(total[m, j], edges, growing[m], leaves[m], node, least, ridge, rate)
+                nodes[m] = after
+        for m in kept:
+            models[m][1].append((growing[m], {k: v for k, v in leaves[m].items() if k not in growing[m]}))
+    return [model if model[1] is not None else None for model in models]
+
+
+def _split(own: np.ndarray, edges: list[np.ndarray], growing: dict, leaves: dict, node: int, least: int, ridge: float, rate: float) -> list[int]:
+    """Splits a node where that gains most; its leaf, or those of its children, are noted, and the children given."""
+    worth = lambda g, h: round(float(-g / (h + ridge)) * rate / GRAIN) * GRAIN
+    g, h, n = own[0].sum(axis=0)
+    leaves[node] = worth(g, h)
+    best, found = 1e-6, None
+    for f, e in enumerate(edges):
+        if n < 2 * least or not len(e):
+            continue
+        gs, hs, ns = np.cumsum(own[f, : len(e)], axis=0).T
+        gain = gs**2 / (hs + ridge) + (g - gs) ** 2 / (h - hs + ridge) - g**2 / (h + ridge)
+        gain[(ns < least) | (n - ns < least)] = 0
+        k = int(gain.argmax())
+        if gain[k] > best:
+            best, found = gain[k], (f, k, gs[k], hs[k])
+    if found is None:
+        return []
+    f, k, gl, hl = found
+    growing[node] = (f, k)
+    leaves[2 * node], leaves[2 * node + 1] = worth(gl, hl), worth(g - gl, h - hl)
+    return [2 * node, 2 * node + 1]
+
+
+def unbinned(tree: Binned, edges: list[np.ndarray], node: int = 1) -> Tree:
+    """A binned tree with the thresholds that its bins end at."""
+    splits, leaves = tree
+    if node not in splits:
+        return float(leaves[node])
+    f, k = splits[node]
+    return (f, float(edges[f][k]), unbinned(tree, edges, 2 * node), unbinned(tree, edges, 2 * node + 1))
+
+
 def paths(tree: Tree, above: tuple = ()) -> list[tuple]:
     """The conjunctions of a tree: for each node below the root, ((feature, threshold, is_left), ...)."""
     if isinstance(tree, float):

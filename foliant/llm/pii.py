@@ -1,15 +1,15 @@
 """PII: high-recall generators propose spans, boosted trees judge them by format and context, calibrated thresholds select.
 
-Only DataFrame functions. The base patterns (email, ip, card, phone) with their checks always stand. Wider generators
+DataFrame functions, and Arrow batches for the sums that trees grow by. The base patterns (email, ip, card, phone) with their checks always stand. Wider generators
 propose overlapping spans: addresses with spelled-out signs, long digit groups, long tokens. Trees over the format of a
-span and the text around it, fitted on a bounded sample of the distinct labelled spans of each kind and weighted by how
-often they come, give a score. Scores of trees that didn't see the span are calibrated; by them it is settled how many of a
+span and the text around it, fitted on all distinct labelled spans, weighted by how often they come, give a score: Spark
+sums the histograms that the trees grow by, and no span reaches the driver. Scores of trees that didn't see the span are calibrated; by them it is settled how many of a
 generator's labelled spans that no base span holds, the best first, still have the precision wanted, and the least score that the final trees
 give to as many of them is the generator's threshold: it is read off the very trees that it is applied to. What passes is added unless a base span holds it already; it may overlap or extend base spans.
 
 Labels come from the corpus, none of them an input of the trees. A candidate that takes a base span's place is 1, one
 that cuts or runs over a base span 0. Of the rest, an address is 1 if it becomes a base email with its signs put back,
-a long digit group if it passes the checksum of cards (0 if it fails, is too short or too long, or follows a word for
+a long digit group if it passes the checksum of cards (0 if it fails, is too short or too long, is part of a longer word, or follows a word for
 orders, versions and the like; one of 10 to 13 digits that is no phone and follows no such word has no label, and is
 scored by what the others teach), a long token after a name and an equals sign, or in a form that issuers of keys have
 published, is 1, and one of letters alone 0. So for secrets the trees mostly learn how a token is assigned. Base
@@ -26,12 +26,15 @@ empty table. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm import boosting
-from foliant.llm.common import picked, written
+from foliant.llm.common import picked, shipped, written
 
 _LOCAL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++"
 #: Base kinds in order, as possessive forms of the patterns that define them.
@@ -53,8 +56,11 @@ KINDS = [*BASE, *WIDE]
 GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "address": r"@|\(at\)|\[at\]| at [A-Za-z0-9-]+ dot ", "number": "[0-9][ ().-]{0,2}[0-9]", "secret": "[A-Za-z0-9_+/-]{20}"}
 #: Code points of context before and after a span.
 BEFORE, AFTER = 24, 8
-#: Distinct spans of each kind that the trees are fitted on at most: those of the smallest hashes.
-MAX_SPANS = 8_000
+#: Bins of a feature at most (a byte each): the places where a tree may cut it. Every span counts in its bin.
+BINS = 48
+FOLDS, TREES, DEPTH, RATE = 3, 12, 3, 0.3
+#: Margins beyond this are as sure as any.
+FAR = 64.0
 PRECISION = 0.95
 NAMED = r"(?i)(?:key|token|secret|password|passwd|pwd|auth|bearer)[a-z_]{0,12}\s?[=:]\s?[\"']?$"
 #: Beginnings of published forms of keys and tokens.
@@ -146,7 +152,8 @@ def _weak_labels(spans: DataFrame) -> DataFrame:
     m, digits = F.col("m"), F.regexp_replace("m", "[^0-9]", "")
     n = F.length(digits)
     address = respelled(m).rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$")
-    number = F.when((n < 10) | (n > 19) | F.col("before").rlike(COUNTED), 0).when(n >= 14, _luhn(digits).cast("int"))
+    joined = F.col("before").rlike(r"[\p{L}\p{N}_]$") | F.col("after").rlike(r"^[\p{L}\p{N}_]")
+    number = F.when((n < 10) | (n > 19) | joined | F.col("before").rlike(COUNTED), 0).when(n >= 14, _luhn(digits).cast("int"))
     secret = F.when(F.col("before").rlike(NAMED) | m.rlike(ISSUED), 1).when(m.rlike("^[A-Za-z-]+$"), 0)
     placed = F.when(F.col("same"), 1).when(F.col("cut"), 0)
     kind = F.col("kind")
@@ -181,34 +188,70 @@ def _forms(spans: DataFrame) -> DataFrame:
     return own.select("kind", "m", "before", "after", F.xxhash64("m", "before", "after", "kind").alias("h"), "n", "free", (F.col("ones") * 2 > F.col("n")).cast("int").alias("_label"))
 
 
-def learn(spans: DataFrame, limit: int = MAX_SPANS):
-    """(trees, knots, {kind: least margin of the trees}) from spans with the columns of _within; None where the sample has one label only.
+def _binned(edges: list[np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = np.stack([np.searchsorted(e, batch.column(f"x_{f}").to_numpy(), "left") for f, e in zip(FEATURES, edges, strict=True)], axis=1).astype(np.uint8)
+            raw, width = bins.tobytes(), len(FEATURES)
+            rows = pa.array([raw[k * width : (k + 1) * width] for k in range(len(bins))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "fold", "label", "n", "free")), rows], names=["kind", "fold", "label", "n", "free", "bins"])
+
+    return run
+
+
+def cells(spans: DataFrame, limit: int = BINS) -> tuple[DataFrame, list[np.ndarray]]:
+    """(kind, fold, label, bins, n, forms, free) of the distinct labelled spans that fall into the same bins, and the ends of the bins; a span is in one fold."""
+    own = _forms(spans).select("kind", F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold"), F.col("_label").alias("label"), "n", "free", *[c.alias(f"x_{f}") for f, c in zip(FEATURES, _features(), strict=True)])
+    forms = shipped(written(own, "forms"))
+    edges = boosting.table_edges(forms, [f"x_{f}" for f in FEATURES], min(limit, 255))
+    binned = forms.mapInArrow(_binned(edges), "kind int, fold int, label int, n long, free long, bins binary")
+    folded = binned.groupBy("kind", "fold", "label", "bins").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("forms"), F.sum("free").alias("free"))
+    return written(folded, "cells"), edges
+
+
+def _margins(models: list):
+    """(kind, label, n, free, unseen, final) of each cell: margins of the trees that did not see its fold, and of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins, own = boosting.cell_arrays(batch, len(FEATURES))
+            unseen = np.zeros(len(bins))
+            for k in range(FOLDS):
+                if models[k] is not None:
+                    inside = own["fold"] == k
+                    unseen[inside] = boosting.binned_margin(models[k], bins[inside])
+            z = [pa.array(np.clip(x, -FAR, FAR)) for x in (unseen, boosting.binned_margin(models[FOLDS], bins))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "label", "n", "free")), *z], names=["kind", "label", "n", "free", "unseen", "final"])
+
+    return run
+
+
+def learn(spans: DataFrame, limit: int = BINS):
+    """(trees, knots, {kind: least margin of the trees}) from spans with the columns of _within; None where they have one label only.
 
-    The sample holds at most `limit` distinct spans of each kind, weighted by how often they come; a span is in one fold.
+    Trees, calibration and thresholds take every distinct labelled span, weighted by how often it comes. limit: the bins
+    of a feature at most. Margins are multiples of boosting.GRAIN within FAR, so that their sums are a bounded table.
     """
-    forms, rows = written(_forms(spans), "forms"), []
-    for kind in range(len(BASE), len(KINDS)):
-        first = forms.where(F.col("kind") == kind).orderBy("h", "m", "before", "after").limit(limit)
-        rows += sorted(tuple(r) for r in first.select("h", "_label", "kind", "n", "free", *[c.alias(f) for f, c in zip(FEATURES, _features(), strict=True)]).collect())
-    y = np.array([r[1] for r in rows], float)
-    if len(set(y.tolist())) < 2:
+    folded, edges = cells(spans, limit)
+    models = boosting.boost_table(folded, edges, FOLDS, TREES, DEPTH, RATE)
+    if models[FOLDS] is None:
         return None
-    kinds, weight, x = np.array([r[2] for r in rows]), np.array([r[3] for r in rows], float), np.array([r[5:] for r in rows], float)
-    free = np.array([r[4] for r in rows], float)  # what a base span holds is never added, so it has no say in the thresholds
-    fold, unseen = np.array([r[0] % 3 for r in rows]), np.zeros(len(y))
-    for k in range(3):
-        inside = fold != k
-        if len(set(y[inside].tolist())) > 1:
-            unseen[~inside] = boosting.margin(boosting.boost(x[inside], y[inside], trees=12, depth=3, rate=0.3, weight=weight[inside]), x[~inside])
-    knots = boosting.isotonic(unseen, y, weight=weight)
-    trees = boosting.boost(x, y, trees=12, depth=3, rate=0.3, weight=weight)
-    p, final, least = np.interp(unseen, *knots), boosting.margin(trees, x), {}
-    for kind in range(len(BASE), len(KINDS)):
-        own = (kinds == kind) & (free > 0)
-        selected = _selected(p[own], y[own], free[own])
+    scored = folded.mapInArrow(_margins(models), "kind int, label int, n long, free long, unseen double, final double")
+    both = F.array(*[F.struct(F.lit(k).alias("whole"), F.col(c).alias("z")) for k, c in enumerate(("unseen", "final"))])
+    each = scored.select("kind", "label", "n", "free", F.explode(both).alias("m")).groupBy("kind", "m.whole", "m.z")
+    table = each.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("ones"), F.sum("free").alias("free"), F.sum(F.col("free") * F.col("label")).alias("free_ones")).orderBy("kind", "whole", "z").toArrow()
+    kind, whole, z, n, ones, free, free_ones = (table.column(c).to_numpy().astype(float) for c in ("kind", "whole", "z", "n", "ones", "free", "free_ones"))
+    out = whole == 0
+    knots = boosting.isotonic(z[out], ones[out] / n[out], weight=n[out])
+    least = {}
+    for k in range(len(BASE), len(KINDS)):
+        own = out & (kind == k) & (free > 0)  # what a base span holds is never added, so it has no say in the thresholds
+        selected = _selected(np.interp(z[own], *knots), free_ones[own] / free[own], free[own])
         if selected > 0:
-            least[kind] = _reaching(final[own], free[own], selected)
-    return trees, knots, least
+            final = ~out & (kind == k) & (free > 0)
+            least[k] = _reaching(z[final], free[final], selected)
+    bias, trees = models[FOLDS]
+    return (bias, [boosting.unbinned(t, edges) for t in trees]), knots, least
 
 
 def _selected(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
@@ -241,7 +284,7 @@ def _added(model) -> Column:
     return passes
 
 
-def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_SPANS) -> DataFrame:
+def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BINS) -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, n_added, base, spans) of each row; base and spans: arrays of (kind, start, end), ordered."""
     spans = candidates(docs, id_col, text_col).withColumn("base", checked())
     spans = written(_within(spans.where(F.col("base") | (F.col("kind") >= len(BASE)))), "spans")
