@@ -40,21 +40,36 @@ def without_logos(spans: DataFrame, body: Column) -> DataFrame:
     return spans.where(~((F.length(F.trim("text")) <= 3) & (F.col("size") >= body * 2)))
 
 
+def _place() -> Column:
+    """The place of a span in reading order as one number, so that its least is found by hashing, without a sort."""
+    return F.col("line").cast("long") * (1 << 32) + F.col("span")
+
+
+def _main() -> Column:
+    """Of rows (size, w, first): the size with most characters; of equal ones, that seen first."""
+    return F.min_by("size", F.struct(F.col("w").isNull(), -F.col("w"), "first"))
+
+
 def main_sizes(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """The size with most characters; of equal ones, that seen first."""
-    weights = spans.groupBy(*keys, "size").agg(F.sum(F.length("text")).alias("w"), F.min(F.struct("line", "span")).alias("first"))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("w"), "first"))
-    return weights.withColumn("_k", place).where("_k = 1").select(*keys, F.col("size").alias("main"))
+    """The size with most characters; of equal ones, that seen first. Spans become one row for each size before they are compared."""
+    weights = spans.groupBy(*keys, "size").agg(F.sum(F.length("text")).alias("w"), F.min(_place()).alias("first"))
+    return weights.groupBy(*keys).agg(_main().alias("main"))
 
 
 def note_areas(spans: DataFrame, body: float, smaller: float = 0.4, gap: float = 1.0, least: int = 2) -> DataFrame:
-    """(block, marks, em) of blocks in small print of which at least two lines start with a raised letter or number."""
-    first = F.row_number().over(Window.partitionBy(*LINE).orderBy("span"))
-    mains = main_sizes(spans, LINE).withColumnRenamed("main", "line_main")
-    heads = spans.withColumn("_k", first).where("_k = 1").join(mains, LINE)
-    mark = F.trim("text").rlike("^([a-z]|[0-9]{1,2})$") & (F.col("size") < F.col("line_main") - smaller)
-    counted = heads.groupBy(*BLOCK).agg(F.count_if(mark).alias("marks"), F.count(F.lit(1)).alias("lines"))
-    found = counted.join(main_sizes(spans, BLOCK), BLOCK).where((F.col("lines") >= 2) & (F.col("marks") >= least) & (F.col("main") > 0) & (F.col("main") < body - gap))
+    """(block, marks, em) of blocks in small print of which at least two lines start with a raised letter or number.
+
+    Spans are read once: sums of each size of a line, then of a line, then of a block.
+    """
+    short = F.trim("text")
+    mark = F.coalesce((F.length(short) <= 2) & short.rlike("^([a-z]|[0-9]{1,2})$"), F.lit(False))
+    sized = spans.groupBy(*LINE, "size").agg(F.sum(F.length("text")).alias("w"), F.min(_place()).alias("first"), F.min(_place() * 2 + mark.cast("long")).alias("head"))
+    lines = sized.groupBy(*LINE).agg(_main().alias("line_main"), F.min_by(F.struct("size", (F.pmod("head", F.lit(2)) == 1).alias("mark")), "first").alias("head"), F.collect_list(F.struct("size", "w", "first")).alias("sizes"))
+    raised = F.col("head.mark") & (F.col("head.size") < F.col("line_main") - smaller)
+    blocks = lines.groupBy(*BLOCK).agg(F.count_if(raised).alias("marks"), F.count(F.lit(1)).alias("lines"), F.flatten(F.collect_list("sizes")).alias("sizes"))
+    small = blocks.where((F.col("lines") >= 2) & (F.col("marks") >= least))
+    parts = small.select(*BLOCK, "marks", F.inline("sizes")).groupBy(*BLOCK, "marks", "size").agg(F.sum("w").alias("w"), F.min("first").alias("first"))
+    found = parts.groupBy(*BLOCK, "marks").agg(_main().alias("main")).where((F.col("main") > 0) & (F.col("main") < body - gap))
     return found.select(*BLOCK, "marks", F.round(F.col("main") / body, 3).alias("em"))
 
 
