@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.session import scratch, ship, written
+from foliant.session import give_back, scratch, ship, written
 
-__all__ = ["scratch", "ship", "written"]
+__all__ = ["give_back", "scratch", "ship", "written"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A table of at most so many bytes may be broadcast; larger ones are joined by shuffle.
@@ -42,13 +41,6 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterato
     give_back()
 
 
-def give_back() -> None:
-    """Memory that a worker no longer uses goes back to the machine: workers live on after a stage, beside the next one's."""
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc alone
-        trim(0)
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased and nothing else; lower() is used where a text is plain ASCII, since it is far quicker than translate()."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
