@@ -32,8 +32,8 @@ from foliant.llm.common import picked, shipped, slices, written
 CAPACITY, END_ID = 4096, 1
 #: Pieces of a shard in the mean; a shard is packed in the memory of one task.
 SHARD = 25_000
-#: Parts of chunks whose ids are kept in a worker's memory; the longest that is kept; code points that are numbered at once.
-CACHE, KEPT_CHARS, SLICE = 150_000, 64, 12_000_000
+#: Parts of chunks whose ids are kept in a worker's memory, half of them since the last turn; the longest that is kept; code points that are numbered at once.
+CACHE, KEPT_CHARS, SLICE = 300_000, 64, 12_000_000
 #: Letters that have one lower case each, and the signs of ASCII but the apostrophe, which may part words.
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -60,6 +60,7 @@ class ChunkIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
@@ -79,18 +80,23 @@ class ChunkIds:
 
     def _ids(self, parts: list[str], simple: list[bool]) -> list[bytes]:
         """Of distinct parts; simple ones are one run of letters or of signs each."""
-        own = self.known
+        own, old = self.known, self.before
         new = [(x, s) for x, s in zip(parts, simple, strict=True) if x not in own]
         if new:
-            plain, rest = [x for x, s in new if s], [x for x, s in new if not s]
-            found = dict(zip(plain, self._words(plain), strict=True)) if plain else {}
+            found = {x: old[x] for x, _ in new if x in old}
+            plain, rest = [x for x, s in new if s and x not in found], [x for x, s in new if not s and x not in found]
+            if plain:
+                found.update(zip(plain, self._words(plain), strict=True))
             if rest:
                 found.update(zip(rest, self._encode(rest), strict=True))
-            if len(own) + len(found) > CACHE:
-                own = self.known = {"": b""} | {x: own[x] for x in parts if x in own}
             long = {x: found.pop(x) for x in [x for x in found if len(x) >= KEPT_CHARS]}
-            own.update(found)
-            own = own | long if long else own
+            if len(own) + len(found) > CACHE // 2:  # what was used since the last turn is kept for one more
+                self.before, kept = own, {"": b""}
+                self.known = kept | found
+                own = own | found | long
+            else:
+                own.update(found)
+                own = own | long if long else own
         return [own[x] for x in parts]
 
     def of(self, texts: list[str]) -> Iterator[memoryview]:
