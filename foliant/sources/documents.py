@@ -22,7 +22,7 @@ def save_blocks(blocks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
 
     Papers share a bounded number of folders, so the table doesn't grow one folder a paper. The number is stored with the
     table, as a folder above its buckets; a table that is there keeps its own. What the folders will hold is written
-    aside first: nothing is recomputed from a folder that is being replaced. A bucket is written by as many tasks as its
+    aside first: nothing is recomputed from a folder that is being replaced. Names of buckets are broadcast, never dealt by. A bucket is written by as many tasks as its
     size asks for.
     """
     spark = blocks.sparkSession
@@ -32,7 +32,7 @@ def save_blocks(blocks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     bucketed = blocks.withColumns({"buckets": F.lit(buckets), "bucket": _bucket(F.col("paper_id"), F.lit(buckets))})
     if there:
         touched = bucketed.select("bucket").distinct()
-        rest = spark.read.parquet(path).join(touched, "bucket", "left_semi").join(blocks.select("paper_id").distinct(), "paper_id", "left_anti")
+        rest = spark.read.parquet(path).join(F.broadcast(touched), "bucket", "left_semi").join(blocks.select("paper_id").distinct(), "paper_id", "left_anti")
         bucketed = written(bucketed.unionByName(rest), "blocks")
     bucketed.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("buckets", "bucket").parquet(path)
 
