@@ -66,14 +66,21 @@ def shade_cover(boxes: DataFrame, shades: DataFrame, least: float = 0.6) -> Data
 
 
 def stitched_rules(segments: DataFrame, dy: float = 1.2, gap: float = 4.0, least: float = 0.25, width: float = WIDTH) -> DataFrame:
-    """Segments of one height whose ends meet, as one rule each; short ones go. Heights are grouped by dy."""
-    row = F.floor(F.col("y0") / dy)
+    """Segments of one height whose ends meet, as one rule each; short ones go. Heights are grouped by dy.
+
+    Runs are told by one sort of the columns that matter: each value of a run is carried to its last segment by windows of that
+    order, so no table of runs is held beside it. A struct that begins with the run's number has its maximum within the run.
+    """
+    own = segments.select(*PAGE, F.floor(F.col("y0") / dy).alias("row"), "x0", "x1", "id")
     reach = Window.partitionBy(*PAGE, "row").orderBy("x0", "x1", "id")
+    so_far = reach.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = F.max("x1").over(reach.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(F.col("x0") - before <= gap, 0).otherwise(1)
-    runs = segments.withColumn("row", row).withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(reach.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    out = runs.groupBy(*PAGE, "row", "run").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.count(F.lit(1)).alias("n"))
-    return out.where(F.col("x1") - F.col("x0") >= width * least).drop("run")
+    runs = own.withColumn("fresh", fresh).withColumns({"run": F.sum("fresh").over(so_far), "place": F.row_number().over(reach), "last": F.coalesce(F.lead("fresh").over(reach) == 1, F.lit(True))})
+    of_run = lambda c: F.max(F.struct("run", c.alias("v"))).over(so_far)["v"]
+    ends = runs.withColumns({"left": -of_run(-F.col("x0")), "right": of_run(F.col("x1")), "n": F.col("place") - F.max(F.when(F.col("fresh") == 1, F.col("place"))).over(so_far) + 1})
+    found = ends.where(F.col("last") & (F.col("right") - F.col("left") >= width * least))
+    return found.select(*PAGE, "row", F.col("left").alias("x0"), F.col("right").alias("x1"), F.col("n").cast("long").alias("n"))
 
 
 def heading_level(text: Column, size: Column, oblique: Column, body: Column, number: Column | None = None) -> Column:
