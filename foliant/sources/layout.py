@@ -24,7 +24,7 @@ from typing import BinaryIO, Protocol
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -36,8 +36,8 @@ BOX = "x0: double, y0: double, x1: double, y1: double"
 SCHEMA = f"""path string, document string, page int, width double, height double, rotation int,
   spans array<struct<text: string, size: double, font: string, color: int, {BOX}>>,
   drawings array<struct<kind: string, {BOX}, color: int, width: double>>, error string"""
-#: Rows of a batch; a page holds many spans.
-BATCH = 256
+#: Rows of a batch, and of a file that is written; a page holds many spans.
+BATCH, FILE_PAGES = 256, 512
 
 
 class Decoder(Protocol):
@@ -173,11 +173,22 @@ def read_layouts(spark: SparkSession, path: str, schema: str = SCHEMA, **options
 
 
 def write_layouts(pages: DataFrame, path: str) -> None:
-    """Pages (columns of SCHEMA) as files of JSON lines."""
-    pages.select(F.to_json(F.struct(*pages.columns)).alias("value")).write.text(path)
+    """Pages (columns of SCHEMA) as files of JSON lines, FILE_PAGES at most in each: a large file is counted by the driver, and read from its start for each of its ranges."""
+    lines = pages.select(F.to_json(F.struct(*pages.columns)).alias("value"))
+    lines.write.option("maxRecordsPerFile", FILE_PAGES).text(path)
+
+
+def thin(x0: Column, y0: Column, x1: Column, y1: Column, thickest: float = 2.0) -> Column:
+    """Whether a drawing is a thin rule across."""
+    return (x1 > x0) & (y1 - y0 <= thickest)
+
+
+def thin_count(drawings: Column, thickest: float = 2.0) -> Column:
+    """How many of a page's drawings are thin rules across: counted beside what else is read of the page, in one reading."""
+    return F.coalesce(F.size(F.filter(drawings, lambda d: thin(d["x0"], d["y0"], d["x1"], d["y1"], thickest))), F.lit(0))
 
 
 def thin_lines(pages: DataFrame, thickest: float = 2.0) -> DataFrame:
     """(path, page, x0, y0, x1, y1, color, width) of the drawings that are thin rules across."""
     each = pages.select("path", "page", F.inline("drawings"))
-    return each.where((F.col("x1") > F.col("x0")) & (F.col("y1") - F.col("y0") <= thickest)).select("path", "page", "x0", "y0", "x1", "y1", "color", "width")
+    return each.where(thin(*[F.col(c) for c in ("x0", "y0", "x1", "y1")], thickest)).select("path", "page", "x0", "y0", "x1", "y1", "color", "width")
