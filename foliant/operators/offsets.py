@@ -43,3 +43,14 @@ def moved_range(pieces: Column, start: Column, end: Column) -> tuple[Column, Col
     """Both ends of a range that isn't empty, by its first and last sign, held to the text."""
     last = F.get(pieces, F.size(pieces) - 1)
     return moved(pieces, start), F.least(moved(pieces, end - 1) + 1, last["to"] + last["n"])
+
+
+def squeezed_place(text: Column, size: Column, place: Column) -> Column:
+    """moved(squeeze_map(text), place) for a text that isn't blank, by squeezing what stands before the place; size: the length of squeezed(text)."""
+    seam = F.when(F.substring(text, place + 1, F.lit(1)).rlike(BLANK), " #").otherwise("#")
+    return F.least(F.length(squeezed(F.concat(F.substring(text, F.lit(1), place), seam))) - 1, size)
+
+
+def squeezed_range(text: Column, size: Column, start: Column, end: Column) -> tuple[Column, Column]:
+    """moved_range() by squeezed_place()."""
+    return squeezed_place(text, size, start), F.least(squeezed_place(text, size, end - 1) + 1, size)

@@ -2,22 +2,24 @@
 
 A list's fragments form one stream for each stretch between other blocks; page furniture does not end a stretch. The
 stream is cut into entries, each squeezed, and an anchor goes through the maps fragment -> stream -> entry, with a
-translated title's shift for the translated side. Joins are by key alone: a place is looked up in the sorted starts of
-its stretch, which come with the stretch.
+translated title's shift for the translated side. Joins are by key alone: a place is looked up in the sorted starts that
+lie in its fragment, which come with the fragment.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_right
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.functions.matching import title_span_column
 from foliant.operators.intervals import remap_blank
-from foliant.operators.offsets import moved_range, squeeze_map, squeezed
+from foliant.operators.offsets import squeezed, squeezed_range
 from foliant.operators.references import LONGEST, entry_starts
-from foliant.session import ship, written
+from foliant.session import give_back, ship, written
 
 STRETCH = ["paper_id", "stretch"]
 BLOCK = ["id", "type", "page", "band", "en"]
@@ -42,26 +44,45 @@ def placed(blocks: DataFrame) -> DataFrame:
     return roles.withColumn("base", F.when(F.col("joint").isNotNull(), upto - F.length("en")).cast("int"))
 
 
-def _starts(streams: pd.Series) -> pd.Series:
-    return pd.Series([entry_starts(x) for x in streams])
+FOUND = pa.struct([(name, pa.list_(pa.int32())) for name in ("starts", "held", "before")])
+
+
+def _found(streams: pa.Array, bases: pa.Array) -> pa.Array:
+    """The starts of each stream's entries; how many parts begin up to the stream's begin and each start; how many starts lie up to each part's base.
+
+    Streams leave their batch one at a time, so that a worker holds little besides it.
+    """
+    out = []
+    for stream, own in zip(streams, bases, strict=True):
+        starts, at = entry_starts(stream.as_py()), own.as_py()
+        ordered = sorted(at)
+        out.append({"starts": starts, "held": [bisect_right(ordered, s) for s in (0, *starts)], "before": [bisect_right(starts, b) for b in at]} if starts else {"starts": []})
+    done = pa.array(out, FOUND)
+    give_back()
+    return done
 
 
 def stretches(blocks: DataFrame) -> DataFrame:
-    """(paper_id, stretch, rows, parts, stream, starts, head, first): a row for each stretch with its blocks in order and its stream.
+    """(paper_id, stretch, rows, parts, stream, starts, held, before, head, first): a row for each stretch with its blocks in order and its stream.
 
-    starts is null where the stream has no sound entries; head is the place of the first fragment, and first the number of
-    the paper's next new id. Rows are dealt by paper twice: before the streams are formed, and again after Python has read
-    them, since that forgets how rows are dealt; all else keeps to that partitioning.
+    starts is null where the stream has no sound entries; held and before tell starts and parts apart, as _found() does;
+    head is the place of the first fragment, and first the number of the paper's next new id. Rows are dealt by paper
+    twice: before the streams are formed, unless they are so already, and again after Python has read them, since that
+    forgets how rows are dealt; all else keeps to that partitioning.
     """
-    ship(blocks.sparkSession)
+    spark = blocks.sparkSession
+    ship(spark)
     rows = F.array_sort(F.collect_list(F.struct("ord", *[c for c in ROW if c != "ord"])))
-    whole = _streamed(placed(blocks.repartition("paper_id")).groupBy(*STRETCH, "top").agg(rows.alias("rows")))
-    found = whole.withColumn("starts", F.pandas_udf(_starts, "array<int>")("stream"))
-    sound = (F.size("starts") > 1) & ~F.exists(_cuts(), lambda x: F.length(squeezed(_raw(x))) > LONGEST)
+    whole = _streamed(placed(blocks).groupBy(*STRETCH, "top").agg(rows.alias("rows")))
+    read = F.arrow_udf(_found, "starts array<int>, held array<int>, before array<int>")
+    found = whole.withColumn("found", read("stream", F.transform("parts", lambda x: x["base"]))).select("*", "found.*")
+    long = lambda x: (x["to"] - x["from"] > LONGEST) & (F.length(squeezed(_raw(x))) > LONGEST)
+    sound = (F.size("starts") > 1) & ~F.exists(_cuts(), long)
     head = F.array_min(F.transform(F.filter("rows", lambda x: x["role"] == "fragment"), lambda x: x["ord"]))
-    kept = found.select(*STRETCH, "top", "rows", F.when(sound, F.col("starts")).alias("starts"), head.alias("head"))  # the text moves once, in rows
+    kept = found.select(*STRETCH, "top", "rows", F.when(sound, F.col("starts")).alias("starts"), "held", "before", head.alias("head"))  # the text moves once, in rows
+    dealt = kept.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "paper_id")
     earlier = F.coalesce(F.sum(F.when(F.col("starts").isNotNull(), F.size("starts"))).over(Window.partitionBy("paper_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return _streamed(kept.withColumn("first", F.col("top") + earlier + 1).drop("top"))
+    return _streamed(dealt.withColumn("first", F.col("top") + earlier + 1).drop("top"))
 
 
 def _streamed(whole: DataFrame) -> DataFrame:
@@ -81,6 +102,11 @@ def _raw(cut: Column) -> Column:
     return F.substring(F.col("stream"), cut["from"] + 1, cut["to"] - cut["from"])
 
 
+def _led() -> Column:
+    """Whether something stands before the first entry."""
+    return F.substring(F.col("stream"), F.lit(1), F.get("starts", F.lit(0))).rlike(r"\S")
+
+
 def _new_id(n: Column) -> Column:
     return F.when(n == 0, F.get("parts", F.lit(0))["id"]).otherwise(T.block_id(F.col("first") + n - 1))
 
@@ -101,15 +127,27 @@ class Rebuild:
 
     def __init__(self, blocks: DataFrame) -> None:
         self.whole = stretches(blocks)
-        self._lists: DataFrame | None = None
+        self._told: DataFrame | None = None
+
+    @property
+    def told(self) -> DataFrame:
+        """Every stretch, written once: its blocks counted by what they are and become, and what anchors move through where it was cut into entries."""
+        if self._told is None:
+            sound = F.col("starts").isNotNull()
+            count = lambda kind: F.size(F.filter("rows", kind))
+            refs = count(lambda x: x["type"] == "refs")
+            left = F.when(sound, count(lambda x: (x["type"] == "refs") & (x["role"] != "fragment")) + _led().cast("int")).otherwise(refs)
+            entries = count(lambda x: x["type"] == "ref") + F.when(sound, F.size("starts")).otherwise(0)
+            upto = lambda i: F.coalesce(F.get("before", i + 1), F.size("starts"))
+            part = lambda x, i: F.struct(x["id"].alias("id"), x["base"].alias("base"), F.length(x["en"]).alias("size"), F.get("before", i).alias("before"), upto(i).alias("upto"))
+            kept = [F.when(sound, c).alias(n) for n, c in (("parts", F.transform("parts", part)), ("stream", F.col("stream")))]
+            self._told = written(self.whole.select(*STRETCH, *kept, "starts", "first", refs.alias("refs"), entries.alias("entries"), left.alias("refs_left")), "streams")
+        return self._told
 
     @property
     def lists(self) -> DataFrame:
-        """The stretches that were cut into entries, written once: what anchors move through."""
-        if self._lists is None:
-            parts = F.transform("parts", lambda x: F.struct(x["id"].alias("id"), x["base"].alias("base"), F.length(x["en"]).alias("size")))
-            self._lists = written(self.whole.where("starts is not null").select(*STRETCH, parts.alias("parts"), "stream", "starts", "first"), "streams")
-        return self._lists
+        """The stretches that were cut into entries: what anchors move through."""
+        return self.told.where("starts is not null").select(*STRETCH, "parts", "stream", "starts", "first")
 
     def after(self) -> DataFrame:
         """(paper_id, place, id, type, page, band, en): the blocks, numbered by paper.
@@ -127,8 +165,7 @@ class Rebuild:
             return F.struct(place(F.col("head"), x["ord"]).alias("at"), place(F.coalesce(x["page"], F.lit(LAST_PAGE)), F.lit(0)).alias("by"), place(side, F.lit(0)).alias("side"), x["ord"].cast("long").alias("sub"), *[x[c].alias(c) for c in BLOCK])
 
         def new(cut: Column, n: Column) -> Column:
-            held = F.size(F.filter("parts", lambda p: p["base"] <= cut["from"]))
-            page = F.get("parts", F.greatest(held - 1, F.lit(0)))["page"]
+            page = F.get("parts", F.greatest(F.get("held", n) - 1, F.lit(0)))["page"]
             kind = F.when(n == 0, "refs").otherwise("ref")
             return F.struct(F.col("head").cast("long").alias("at"), F.lit(None).cast("long").alias("by"), F.lit(1).cast("long").alias("side"), n.cast("long").alias("sub"), _new_id(n).alias("id"), kind.alias("type"), page.alias("page"), F.lit(None).cast("string").alias("band"), squeezed(_raw(cut)).alias("en"))
 
@@ -147,26 +184,31 @@ class Rebuild:
         return each.select(*STRETCH, "n", _new_id(F.col("n")).alias("new_id"), "cut.from", "cut.to", _raw(F.col("cut")).alias("raw")).where(F.col("raw").rlike(r"\S"))
 
     def moves(self) -> DataFrame:
-        """(paper_id, block_id, stretch, base, size, starts, led) of each fragment that became part of entries; led: something stands before the first."""
-        led = F.substring(F.col("stream"), F.lit(1), F.get("starts", F.lit(0))).rlike(r"\S")
-        each = self.lists.select(*STRETCH, "starts", led.alias("led"), F.explode("parts").alias("p"))
-        return each.select(*STRETCH, F.col("p.id").alias("block_id"), "p.base", "p.size", "starts", "led")
+        """(paper_id, block_id, stretch, base, size, before, starts, led) of each fragment that became part of entries.
+
+        starts: those within the fragment, behind its first sign; before: how many lie ahead of them; led: something stands
+        before the list's first.
+        """
+        each = self.lists.select(*STRETCH, "starts", _led().alias("led"), F.explode("parts").alias("p"))
+        within = F.slice("starts", F.col("p.before") + 1, F.greatest(F.col("p.upto") - F.col("p.before"), F.lit(0)))
+        return each.select(*STRETCH, F.col("p.id").alias("block_id"), "p.base", "p.size", "p.before", within.alias("starts"), "led")
 
     def anchors(self, anchors: DataFrame, titles: DataFrame | None = None) -> DataFrame:
         """(paper_id, id, block_id, lang, start, end, moved) of anchors afterwards: those of merged fragments on their entries, all others as they were.
 
-        An anchor goes to the entry in which it starts, held to it; one without a range goes with its fragment's beginning.
+        An anchor goes to the entry in which it starts, held to it and to its fragment; one without a range goes with its fragment's beginning.
         titles: (paper_id, id, zh, title_en, title_zh) of translated entries.
         """
         own = anchors.join(self.moves(), ["paper_id", "block_id"], "left")
-        point = F.col("base") + F.least(F.coalesce("start", F.lit(0)), F.col("size") - 1)
-        nth = F.size(F.filter("starts", lambda s: s <= point))
+        point = F.col("base") + F.least(F.greatest(F.coalesce("start", F.lit(0)), F.lit(0)), F.col("size") - 1)
+        nth = F.col("before") + F.size(F.filter("starts", lambda s: s <= point))
         placed_ = own.withColumn("n", F.when((nth == 0) & ~F.col("led"), 1).otherwise(nth))  # a blank lead is no block
-        target = self.entries().withColumns({"en": squeezed(F.col("raw")), "pieces": squeeze_map(F.col("raw"))}).drop("raw")
+        target = self.entries().withColumns({"en": squeezed(F.col("raw")), "flat": F.length(squeezed(F.col("raw")))})
         both = placed_.join(target, [*STRETCH, "n"], "left")
         start = F.least(F.greatest(F.col("base") + F.col("start"), F.col("from")), F.col("to") - 1)
         end = F.least(F.greatest(F.col("base") + F.col("end"), start + 1), F.col("to"))
-        low, high = moved_range(F.col("pieces"), start - F.col("from"), end - F.col("from"))
+        both = both.withColumns({"_low": (start - F.col("from")).cast("int"), "_high": (end - F.col("from")).cast("int")})
+        low, high = squeezed_range(F.col("raw"), F.col("flat"), F.col("_low"), F.col("_high"))
         both = both.withColumns({"_low": low.cast("long"), "_high": high.cast("long")})
         if titles is not None:
             told = titles.select("paper_id", F.col("id").alias("new_id"), "zh", "title_en", "title_zh")
@@ -178,16 +220,11 @@ class Rebuild:
         return both.select("paper_id", "id", F.coalesce("new_id", "block_id").alias("block_id"), "lang", at("_low", "start").alias("start"), at("_high", "end").alias("end"), there.alias("moved"))
 
     def report(self, anchors: DataFrame) -> DataFrame:
-        """(paper_id, changed, refs, entries, refs_left, anchors_moved) of each paper."""
-        count = lambda kind: F.size(F.filter("rows", lambda x: kind(x)))
-        sound = F.col("starts").isNotNull()
-        led = F.when(sound & F.substring(F.col("stream"), F.lit(1), F.get("starts", F.lit(0))).rlike(r"\S"), 1).otherwise(0)
-        refs = count(lambda x: x["type"] == "refs")
-        left = F.when(sound, count(lambda x: (x["type"] == "refs") & (x["role"] != "fragment")) + led).otherwise(refs)
-        sums = self.whole.select("paper_id", refs.alias("refs"), (count(lambda x: x["type"] == "ref") + F.when(sound, F.size("starts")).otherwise(0)).alias("entries"), left.alias("refs_left"), sound.alias("changed"))
-        papers = sums.groupBy("paper_id").agg(F.bool_or("changed").alias("changed"), *[F.sum(c).alias(c) for c in ("refs", "entries", "refs_left")])
-        moved = self.anchors(anchors).groupBy("paper_id").agg(F.count_if("moved").alias("anchors_moved"))
-        return papers.join(moved, "paper_id", "left").select("paper_id", "changed", "refs", "entries", "refs_left", F.coalesce("anchors_moved", F.lit(0)).cast("long").alias("anchors_moved"))
+        """(paper_id, changed, refs, entries, refs_left, anchors_moved) of each paper. Every fragment of a list has an entry to go to, so an anchor moves where its fragment does."""
+        sums = self.told.groupBy("paper_id").agg(F.bool_or(F.col("starts").isNotNull()).alias("changed"), *[F.sum(c).alias(c) for c in ("refs", "entries", "refs_left")])
+        own = self.told.where("starts is not null").select("paper_id", F.explode("parts.id").alias("block_id"))
+        moved = anchors.select("paper_id", "block_id").join(own, ["paper_id", "block_id"]).groupBy("paper_id").agg(F.count(F.lit(1)).alias("anchors_moved"))
+        return sums.join(moved, "paper_id", "left").select("paper_id", "changed", "refs", "entries", "refs_left", F.coalesce("anchors_moved", F.lit(0)).alias("anchors_moved"))
 
 
 # notes

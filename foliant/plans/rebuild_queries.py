@@ -19,7 +19,7 @@ def lists(s, d):
     After ten fragments come the page's footer and the next page's header, after forty a figure.
     """
     order = Window.partitionBy("paper_id").orderBy("ord")
-    lines = V.blocks(s, d).where(F.length(F.trim("en")) >= 2).select("paper_id", "en", "ord")
+    lines = V.blocks(s, d, dealt=True).where(F.length(F.trim("en")) >= 2).select("paper_id", "en", "ord")
     rows = lines.select("paper_id", "en", (F.row_number().over(order) - 1).cast("long").alias("k"), F.lag("en").over(order).alias("prev"), F.lead("en").over(order).isNull().alias("last"))
     left = lambda c: F.substring(c, F.lit(1), F.floor(F.length(c) / 2).cast("int"))
     right = lambda c: F.substring(c, F.floor(F.length(c) / 2).cast("int") + 1, F.length(c))
