@@ -8,13 +8,12 @@ A tree is (feature, threshold, left, right): rows with x[feature] <= threshold g
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.session import written
+
 Tree = tuple | float
 
 
@@ -132,33 +131,46 @@ def binned_margin(model: tuple[float, list[Binned]], bins: np.ndarray) -> np.nda
     return z
 
 
-def cell_arrays(batch: pa.RecordBatch, features: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """The bins, a row for each cell, and the other columns by name."""
-    own = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names if n != "bins"}
-    return np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, features), own
+def packed(bins: list[Column]) -> Column:
+    """Small numbers, of 255 at most, as a byte each."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(b), 2, "0") for b in bins]))
 
 
-def _histograms(models: list, growing: list[dict], nodes: list[list[int]], features: int, slots: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(models), slots, features, 256, 3), np.int64)
-        for batch in batches:
-            bins, own = cell_arrays(batch, features)
-            for m, model in enumerate(models):
-                if not nodes[m]:
-                    continue
-                q = sigmoid(binned_margin(model, bins))
-                g, h = np.rint(own["n"] * (q - own["label"]) * PART), np.rint(own["n"] * q * (1 - q) * PART)
-                at = np.where(own["fold"] == m, 0, _nodes(growing[m], bins))
-                for j, node in enumerate(nodes[m]):
-                    rows = np.flatnonzero(at == node)
-                    for f in range(features):
-                        for k, w in enumerate((g, h, own["forms"])):
-                            total[m, j, f, :, k] += np.bincount(bins[rows, f], w[rows], 256).astype(np.int64)
-        flat = total.reshape(-1, 3)
-        some = np.flatnonzero(flat.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(flat[some, k]) for k in range(3))], names=["at", "g", "h", "n"])
+def unpacked(bins: Column, features: int) -> Column:
+    """The numbers of packed(), as an array."""
+    return F.transform(F.sequence(F.lit(1), F.lit(features)), lambda k: F.conv(F.hex(F.substring(bins, k, F.lit(1))), 16, 10).cast("int"))
+
+
+def _node_column(splits: dict[int, tuple[int, int]], worth, node: int = 1) -> Column:
+    """worth(node) of the node of a binned tree that a row ends in, its bins being an array."""
+    if node not in splits:
+        return worth(node)
+    f, k = splits[node]
+    return F.when(F.get("bins", F.lit(f)) <= k, _node_column(splits, worth, 2 * node)).otherwise(_node_column(splits, worth, 2 * node + 1))
 
-    return run
+
+def margin_column(model: tuple[float, list[Binned]]) -> Column:
+    """binned_margin() over a column of arrays."""
+    z = F.lit(model[0])
+    for splits, leaves in model[1]:
+        z = z + _node_column(splits, lambda n, own=leaves: F.lit(own[n]))
+    return z
+
+
+def _histograms(rows: DataFrame, growing: list[dict], nodes: list[list[int]], features: int, slots: int) -> DataFrame:
+    """(at, g, h, n): sums of the gradients and of the forms of each model, node, feature and bin."""
+    own = []
+    for m, now in enumerate(nodes):
+        if not now:
+            continue
+        q = 1 / (1 + F.exp(-F.greatest(F.least(f"z{m}", F.lit(35.0)), F.lit(-35.0))))
+        slot = _node_column(growing[m], lambda n, m=m, now=now: F.lit(m * slots + now.index(n) if n in now else None).cast("long"))
+        g, h = F.rint(F.col("n") * (q - F.col("label")) * PART), F.rint(F.col("n") * q * (1 - q) * PART)
+        own.append(F.struct(F.when(F.col("fold") != m, slot).alias("slot"), g.cast("long").alias("g"), h.cast("long").alias("h")))
+    each = rows.select("bins", F.col("forms").alias("n"), F.inline(F.array(*own))).where("slot is not null")
+    cut = each.select("slot", "g", "h", "n", F.posexplode("bins").alias("f", "bin"))
+    at = (F.col("slot") * features + F.col("f")) * 256 + F.col("bin")
+    return cut.groupBy(at.alias("at")).agg(*[F.sum(c).alias(c) for c in "ghn"])
 
 
 def boost_table(cells: DataFrame, edges: list[np.ndarray], folds: int, trees: int, depth: int, rate: float, least: int = 10, ridge: float = 1.0) -> list[tuple[float, list[Binned]] | None]:
@@ -166,7 +178,7 @@ def boost_table(cells: DataFrame, edges: list[np.ndarray], folds: int, trees: in
 
     cells: (fold, label, n, forms, bins), n the weight of `forms` equal rows, bins a byte for each feature. All models
     grow together, a level at a time; a level's histograms are summed by Spark, and at most one row for each model, node,
-    feature and bin comes to the driver.
+    feature and bin comes to the driver. The margins so far are written with the cells after each tree.
     """
     features, models = len(edges), []
     counts = cells.groupBy("fold", "label").agg(F.sum("n").alias("n")).collect()
@@ -175,15 +187,18 @@ def boost_table(cells: DataFrame, edges: list[np.ndarray], folds: int, trees: in
         p = float(np.clip(n[1] / max(1, sum(n)), 1e-3, 1 - 1e-3))
         models.append((round(float(np.log(p / (1 - p))) / GRAIN) * GRAIN, []) if min(n) else (0.0, None))
     kept = [m for m, model in enumerate(models) if model[1] is not None]
-    for _ in range(trees):
+    if not kept:
+        return [None for _ in models]
+    rows = cells.select("fold", "label", "n", "forms", unpacked(F.col("bins"), features).alias("bins"), *[F.lit(models[m][0]).alias(f"z{m}") for m in kept])
+    rows = written(rows.repartition(cells.sparkSession.sparkContext.defaultParallelism), "margins")
+    for k in range(trees):
         growing, leaves = [{} for _ in models], [{} for _ in models]
         nodes = [[1] if m in kept else [] for m in range(len(models))]
         for _level in range(depth):
             if not any(nodes):
                 break
             slots = max(map(len, nodes))
-            held = [(b, list(t or [])) for b, t in models]
-            sums = cells.mapInArrow(_histograms(held, growing, nodes, features, slots), "at long, g long, h long, n long").groupBy("at").agg(*[F.sum(c).alias(c) for c in "ghn"]).toArrow()
+            sums = _histograms(rows, growing, nodes, features, slots).toArrow()
             total = np.zeros((len(models) * slots * features * 256, 3))
             total[sums.column("at").to_numpy()] = np.stack([sums.column(c).to_numpy() for c in "ghn"], axis=1)
             total = total.reshape(len(models), -1, features, 256, 3)
@@ -194,7 +209,9 @@ def boost_table(cells: DataFrame, edges: list[np.ndarray], folds: int, trees: in
                     after += _split(total[m, j], edges, growing[m], leaves[m], node, least, ridge, rate)
                 nodes[m] = after
         for m in kept:
-            models[m][1].append((growing[m], {k: v for k, v in leaves[m].items() if k not in growing[m]}))
+            models[m][1].append((growing[m], {n: v for n, v in leaves[m].items() if n not in growing[m]}))
+        if k < trees - 1:
+            rows = written(rows.withColumns({f"z{m}": F.col(f"z{m}") + margin_column((0.0, models[m][1][-1:])) for m in kept}), "margins")
     return [model if model[1] is not None else None for model in models]
 
 

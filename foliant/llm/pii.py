@@ -1,6 +1,6 @@
 """PII: high-recall generators propose spans, boosted trees judge them by format and context, calibrated thresholds select.
 
-DataFrame functions, and Arrow batches for the sums that trees grow by. The base patterns (email, ip, card, phone) with their checks always stand. Wider generators
+DataFrame functions alone, no Python on the executors. The base patterns (email, ip, card, phone) with their checks always stand. Wider generators
 propose overlapping spans: addresses with spelled-out signs, long digit groups, long tokens. Trees over the format of a
 span and the text around it, fitted on all distinct labelled spans, weighted by how often they come, give a score: Spark
 sums the histograms that the trees grow by, and no span reaches the driver. Scores of trees that didn't see the span are calibrated; by them it is settled how many of a
@@ -26,15 +26,12 @@ empty table. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm import boosting
-from foliant.llm.common import picked, shipped, written
+from foliant.llm.common import picked, written
 
 _LOCAL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++"
 #: Base kinds in order, as possessive forms of the patterns that define them.
@@ -188,42 +185,33 @@ def _forms(spans: DataFrame) -> DataFrame:
     return own.select("kind", "m", "before", "after", F.xxhash64("m", "before", "after", "kind").alias("h"), "n", "free", (F.col("ones") * 2 > F.col("n")).cast("int").alias("_label"))
 
 
-def _binned(edges: list[np.ndarray]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bins = np.stack([np.searchsorted(e, batch.column(f"x_{f}").to_numpy(), "left") for f, e in zip(FEATURES, edges, strict=True)], axis=1).astype(np.uint8)
-            raw, width = bins.tobytes(), len(FEATURES)
-            rows = pa.array([raw[k * width : (k + 1) * width] for k in range(len(bins))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "fold", "label", "n", "free")), rows], names=["kind", "fold", "label", "n", "free", "bins"])
-
-    return run
+def _binned(x: Column, edges: np.ndarray) -> Column:
+    """How many ends of bins lie below x."""
+    if not len(edges):
+        return F.lit(0)
+    return F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < x))
 
 
 def cells(spans: DataFrame, limit: int = BINS) -> tuple[DataFrame, list[np.ndarray]]:
     """(kind, fold, label, bins, n, forms, free) of the distinct labelled spans that fall into the same bins, and the ends of the bins; a span is in one fold."""
     own = _forms(spans).select("kind", F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold"), F.col("_label").alias("label"), "n", "free", *[c.alias(f"x_{f}") for f, c in zip(FEATURES, _features(), strict=True)])
-    forms = shipped(written(own, "forms"))
+    forms = written(own, "forms")
     edges = boosting.table_edges(forms, [f"x_{f}" for f in FEATURES], min(limit, 255))
-    binned = forms.mapInArrow(_binned(edges), "kind int, fold int, label int, n long, free long, bins binary")
+    bins = boosting.packed([_binned(F.col(f"x_{f}"), e) for f, e in zip(FEATURES, edges, strict=True)])
+    binned = forms.select("kind", "fold", "label", "n", "free", bins.alias("bins"))
     folded = binned.groupBy("kind", "fold", "label", "bins").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("forms"), F.sum("free").alias("free"))
     return written(folded, "cells"), edges
 
 
-def _margins(models: list):
+def _margins(folded: DataFrame, models: list) -> DataFrame:
     """(kind, label, n, free, unseen, final) of each cell: margins of the trees that did not see its fold, and of all."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bins, own = boosting.cell_arrays(batch, len(FEATURES))
-            unseen = np.zeros(len(bins))
-            for k in range(FOLDS):
-                if models[k] is not None:
-                    inside = own["fold"] == k
-                    unseen[inside] = boosting.binned_margin(models[k], bins[inside])
-            z = [pa.array(np.clip(x, -FAR, FAR)) for x in (unseen, boosting.binned_margin(models[FOLDS], bins))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "label", "n", "free")), *z], names=["kind", "label", "n", "free", "unseen", "final"])
-
-    return run
+    unseen = F.lit(0.0)
+    for k in range(FOLDS):
+        if models[k] is not None:
+            unseen = F.when(F.col("fold") == k, boosting.margin_column(models[k])).otherwise(unseen)
+    own = folded.withColumn("bins", boosting.unpacked(F.col("bins"), len(FEATURES)))
+    z = [F.greatest(F.least(c, F.lit(FAR)), F.lit(-FAR)).alias(n) for n, c in (("unseen", unseen), ("final", boosting.margin_column(models[FOLDS])))]
+    return own.select("kind", "label", "n", "free", *z)
 
 
 def learn(spans: DataFrame, limit: int = BINS):
@@ -236,7 +224,7 @@ def learn(spans: DataFrame, limit: int = BINS):
     models = boosting.boost_table(folded, edges, FOLDS, TREES, DEPTH, RATE)
     if models[FOLDS] is None:
         return None
-    scored = folded.mapInArrow(_margins(models), "kind int, label int, n long, free long, unseen double, final double")
+    scored = _margins(folded, models)
     both = F.array(*[F.struct(F.lit(k).alias("whole"), F.col(c).alias("z")) for k, c in enumerate(("unseen", "final"))])
     each = scored.select("kind", "label", "n", "free", F.explode(both).alias("m")).groupBy("kind", "m.whole", "m.z")
     table = each.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("ones"), F.sum("free").alias("free"), F.sum(F.col("free") * F.col("label")).alias("free_ones")).orderBy("kind", "whole", "z").toArrow()
